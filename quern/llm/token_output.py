@@ -93,11 +93,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode every text of ``docs`` (doc_id, text) and write its ids, in ascending order of doc_id, under ``path``.
 
     A null text is empty, so it is its end id alone.  A null doc_id comes first.  Rows that share a doc_id stay rows of
-    their own, in the order of their texts.  An empty table leaves a folder without segments.
+    their own, in the order of a hash of their texts.  An empty table leaves a folder without segments.
     """
     rows = K.documents_of(docs)
     n = partitions or default_partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Range borders come from keys that Spark samples to the driver, so no key is a text.
+    keyed = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, first = TaskContext.get().partitionId(), 0, 0
