@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kernels, language_id, license_scan, packing, simhash, token_output, topk_search
+from . import decontaminate, kernels, language_id, license_scan, packing, simhash, substring_dedup, token_output, topk_search
 
 
 def held_out(remainder: int = 0) -> Column:
@@ -27,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, dictionaries).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
 
@@ -53,7 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op8_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
