@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kernels, language_id, license_scan, packing, simhash, substring_dedup, token_output, topk_search
+from . import decontaminate, kernels, language_id, license_scan, lm_scoring, packing, simhash, substring_dedup, token_output, topk_search
 
 
 def held_out(remainder: int = 0) -> Column:
@@ -48,6 +48,11 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scoring.score_texts(table(spark, sf_dir, "documents"), ~held_out(1))
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +62,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op7_lm_scoring, op8_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
