@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kernels, language_id, license_scan, lm_scoring, packing, simhash, substring_dedup, token_output, topk_search
+from . import decontaminate, kernels, language_id, license_scan, lm_scoring, packing, quality, simhash, substring_dedup, token_output, topk_search
 
 
 def held_out(remainder: int = 0) -> Column:
@@ -61,8 +61,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 2048)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op7_lm_scoring, op8_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op7_lm_scoring, op8_decontamination, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
