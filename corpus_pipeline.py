@@ -4,11 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quern.llm import decontaminate, kernels, language_id, packing, simhash, substring_dedup
 from quern.storage import stage_table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without letters or with a narrow margin go.  The other columns stay as they are."""
+    names = [kernels.free_name(n, docs.columns) for n in ("lang_pred", "score", "margin", "accepted")]
+    found = language_id.identify(docs, language_id.fit_dictionaries(docs), keep=docs.columns)
+    return found.where(F.col(names[-1])).drop(*names)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group; of rows with that doc_id one stays.  Rows without a doc_id all stay."""
+    found = simhash.near_duplicates(docs)
+    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand earlier; a document of which no word is left goes."""
+    names = [kernels.free_name(n, docs.columns) for n in ("n_words", "n_removed", "kept_sha256", "kept_text", "factors")]
+    words, removed, _, text, _ = (F.col(n) for n in names)
+    found = substring_dedup.remove_duplicates(docs, keep=docs.columns).where((removed == 0) | (removed < words))
+    changed = removed > 0
+    out = {"text": F.when(changed, text).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumns(out).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item stands."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_contamination(docs, benchmark).where("n_hit > 0").select("doc_key").distinct()
+    key = kernels.free_name("_doc_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(found.withColumnRenamed("doc_key", key), key, "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of all documents that are left."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 #: Tokenisation and compression have no SQL form, so the pipeline is tested against brute force.
 ORACLE_SQL = None
