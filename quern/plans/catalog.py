@@ -1,4 +1,4 @@
-"""All registered queries of the library's own operators, and their SQL."""
+"""All registered queries of the library's own operators, and the SQL that states their results."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import analysis, corpus, retrieval
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return retrieval.QUERIES | corpus.QUERIES | analysis.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.SQL | corpus.SQL | analysis.SQL
