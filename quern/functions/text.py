@@ -28,6 +28,11 @@ EXPANSIONS = {
 PAGE_LINE = r"(?i)^\s*\d+\s*$|^\s*page\s*\d+|^\s*\d+\s*/\s*\d+\s*$"
 
 
+def stripped(x: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -111,7 +116,7 @@ def answer_state(answer: Column | str, confidence: Column, expect_reject: Column
 
 def clean_page_text(text: Column | str) -> Column:
     """Lines without blanks, page numbers and running heads; a line behind a hyphen goes on with the next one."""
-    lines = F.transform(F.split(_text(text), "\n"), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
+    lines = F.transform(F.split(_text(text), "\n"), stripped)
     kept = F.filter(lines, lambda line: (line != "") & ~line.rlike(PAGE_LINE))
     joined = F.aggregate(kept, F.lit(None).cast("string"), lambda out, line: F.when(out.isNull(), line).when(out.endswith("-"), F.concat(F.regexp_replace(out, "-$", ""), line)).otherwise(F.concat(out, F.lit("\n"), line)))
     return F.coalesce(joined, F.lit(""))
@@ -126,7 +131,7 @@ def infer_title(text: Column | str, within: int = 500, longest: int = 80) -> Col
 
 def unfenced(text: Column | str) -> Column:
     """The inside of a fenced block, or the text."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(_text(text)), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(_text(text)), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
 
 
 def numbered_part(text: Column | str, n: Column) -> Column:
@@ -134,7 +139,7 @@ def numbered_part(text: Column | str, n: Column) -> Column:
     marks = F.split(_text(text), r"---\s*第\d+段\s*---")
     order = F.transform(F.regexp_extract_all(_text(text), F.lit(r"---\s*第(\d+)段\s*---"), F.lit(1)), lambda x: x.cast("int"))
     at = F.array_position(order, n)
-    return F.when(at > 0, F.trim(F.element_at(marks, (at + 1).cast("int"))))
+    return F.when(at > 0, stripped(F.element_at(marks, (at + 1).cast("int"))))
 
 
 def rewritten_variants(reply: Column | str, question: Column, most: int = 3) -> Column:

@@ -25,7 +25,7 @@ def _ordered(rows: DataFrame, *columns: str) -> DataFrame:
 def model_context(hits: DataFrame) -> DataFrame:
     """query_id and context: numbered blocks with source and confidence, a blank line between them."""
     rows = _ordered(_shown(hits).withColumn("_source", F.coalesce("source", F.lit("unknown"))), "_source", "confidence", "_shown", "_whole")
-    block = lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), h._source, F.when(h._whole, F.lit(" (parent chunk, 置信度: ")).otherwise(F.lit(" (置信度: ")), F.format_number(F.coalesce(h.confidence, F.lit(0.0)), "0.00"), F.lit(")\n"), h._shown)
+    block = lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), h._source, F.when(h._whole, F.lit(" (parent chunk, 置信度: ")).otherwise(F.lit(" (置信度: ")), F.format_string("%.2f", F.coalesce(h.confidence, F.lit(0.0))), F.lit(")\n"), h._shown)
     return rows.select("query_id", F.array_join(F.transform("_hits", block), "\n\n").alias("context"))
 
 
@@ -86,4 +86,4 @@ def prompt(question: Column, context: Column, memory: Column | None = None, past
 
 def refusal(max_confidence: Column) -> Column:
     """The fixed text that stands for an answer below the confidence gate."""
-    return F.concat(F.lit("资料中未找到与该问题相关的内容（最高置信度 "), F.format_number(max_confidence, "0.00"), F.lit("）。建议换个说法或检查文档是否已索引。"))
+    return F.concat(F.lit("资料中未找到与该问题相关的内容（最高置信度 "), F.format_string("%.2f", max_confidence), F.lit("）。建议换个说法或检查文档是否已索引。"))

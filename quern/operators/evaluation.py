@@ -88,5 +88,5 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
 def report_lines(compared: DataFrame) -> DataFrame:
     """metric and line: a row of fixed width with an arrow for better, worse or equal."""
     arrow = F.when(F.col("diff").isNull(), " ").when(F.col("diff") > 0, "↑").when(F.col("diff") < 0, "↓").otherwise("=")
-    show = lambda c: F.lpad(F.coalesce(F.format_number(c, "0.0000"), F.lit("-")), 10, " ")
+    show = lambda c: F.lpad(F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))).otherwise("-"), 10, " ")
     return compared.select("metric", F.concat(F.rpad("metric", 36, " "), show("before"), show("after"), show("diff"), F.lit(" "), arrow).alias("line"))

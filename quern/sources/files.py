@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,18 +149,17 @@ def parse_one(path: str, raw: bytes, parsers: dict[str, list[Callable[[bytes], l
 
 def parse(files: DataFrame) -> DataFrame:
     """Documents (path, ordinal, content, ...) of files (path, content); failures have an ``error`` and no content."""
-    columns = [c.split()[0] for c in DOCUMENT_SCHEMA.split(", ")]
+    kinds = {"int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in DOCUMENT_SCHEMA.split(", "))])
     parsers = {k: list(v) for k, v in PARSERS.items()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"path": p} | d for p, raw in zip(batch["path"], batch["content"], strict=True) for d in parse_one(p, bytes(raw), parsers)]
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ("ordinal", "slide", "page", "total_pages"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if found := parse_one(path, raw.as_py() or b"", parsers):
+                    yield pa.RecordBatch.from_pylist([{"path": path} | d for d in found], schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, DOCUMENT_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, DOCUMENT_SCHEMA)
 
 
 def text_documents(files: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def bursts(events: DataFrame, gap_seconds: float = DEFAULT.debounce_seconds, key
     """
     rows = events.withWatermark("ts", late) if late else events
     window = F.session_window("ts", f"{int(gap_seconds * 1000)} milliseconds")
-    keys = [window, *([F.col(key)] if key else [])]
+    # Sessions on a stream need a key beside the window; without one all events share a value.
+    keys = [window, F.col(key) if key else F.col("ts").isNull().alias("_all")]
     grouped = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return grouped.select(*([key] if key else []), "first", "last", "n")
 

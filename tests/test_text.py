@@ -1,0 +1,95 @@
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quern.functions import text as X
+
+EDGES = ["", "合", "合同2024金额", "Hello, WORLD_1 合同 foo", "éa ßb", "a  b\nc", "emoji 😀 合😀同", "ABC"]
+
+
+def search_tokens(t):
+    low = t.lower()
+    cjk = re.findall("[一-鿿]", low)
+    return re.findall("[a-z0-9_]+", low) + cjk + ["".join(p) for p in zip(cjk, cjk[1:])]
+
+
+def one(spark, expression, *values, schema=None):
+    names = [f"c{i}" for i in range(len(values))]
+    return spark.createDataFrame([values], schema or names).select(expression(*map(F.col, names)).alias("x")).first()["x"]
+
+
+def test_search_tokens(spark):
+    rows = spark.createDataFrame([(t,) for t in EDGES] + [(None,)], "t string").select("t", X.search_tokens("t").alias("x"), X.memory_tokens("t").alias("m")).collect()
+    for r in rows:
+        assert r.x == search_tokens(r.t or "")
+        cjk = re.findall("[一-鿿]", (r.t or "").lower())
+        assert set(r.m) == set(re.findall("[a-z0-9]+", (r.t or "").lower()) + ["".join(p) for p in zip(cjk, cjk[1:])])
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.text(alphabet="ab_9 合同金é\n", max_size=12), min_size=1, max_size=20))
+def test_search_tokens_of_any_text(spark, texts):
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.search_tokens("t").alias("x")).orderBy("i").collect()]
+    assert got == [search_tokens(t) for t in texts]
+
+
+def test_outline_and_lines(spark):
+    text = "# A\nx\n### B b \n#no\n####### seven\ny"
+    heads = one(spark, X.outline, text)
+    assert [(h.level, h.title, h.line) for h in heads] == [(1, "A", 1), (3, "B b", 3)]
+    df = spark.createDataFrame([(text, n) for n in (0, 1, 2, 3, 6, 9)], "t string, n int")
+    rows = df.select("n", X.heading_at(X.outline("t"), F.col("n")).title.alias("h"), X.lines_around("t", F.col("n"), 1).alias("s")).orderBy("n").collect()
+    assert [r.h for r in rows] == [None, "A", "A", "B b", "B b", "B b"]
+    assert rows[1].s == "# A\nx" and rows[4].s == "####### seven\ny" and rows[2].s == "# A\nx\n### B b "
+
+
+STATES = [
+    ("anything", 0.29, False, ["any"], "SYSTEM_REFUSE"),
+    ("anything", 0.30, False, ["any"], "DELIVERED"),
+    ("资料中未找到与该问题相关的内容（最高置信度 0.45）。建议换个说法", 0.9, True, [], "SYSTEM_REFUSE"),
+    ("知识库为空。", 0.9, False, [], "SYSTEM_REFUSE"),
+    (None, 0.9, True, [], "REFUSED"),
+    ("  \n", 0.9, False, ["x"], "REFUSED"),
+    ("The KEY is here", 0.9, False, ["key"], "DELIVERED"),
+    ("A full answer", 0.9, True, [], "DELIVERED"),
+    ("未找到。abcdefghijk", 0.9, True, [], "REFUSED"),
+    ("未找到。abcdefghijkl", 0.9, True, [], "REDIRECTED"),
+    ("未找到。**abc** - [defghijk]", 0.9, True, [], "REFUSED"),
+    ("no word of it", 0.9, False, [""], "REFUSED"),
+    ("no word of it at all", 0.9, False, None, "REDIRECTED"),
+    ("Not found in it. But there is more than enough", 0.9, False, ["zzz"], "REDIRECTED"),
+]
+
+
+def test_answer_states(spark):
+    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(STATES)], "i int, a string, c double, e boolean, k array<string>, want string")
+    for r in rows.select("*", X.answer_state("a", F.col("c"), F.col("e"), F.col("k")).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_clean_page_text(spark):
+    assert one(spark, X.clean_page_text, "Head\n\n 12 \npage 3\n4 / 9\natten-\ntion is\nwell-") == "Head\nattention is\nwell-"
+    assert one(spark, X.clean_page_text, "") == ""
+
+
+def test_rewriting(spark):
+    assert one(spark, X.rewritten_variants, "- first\n2. second\n\nq\n* third\nfourth", "q") == ["q", "first", "second", "third"]
+    assert one(spark, X.expanded_variants, "What equipment and contract?") == ["What equipment and contract?", "What hiking shoes and contract?", "What tent and contract?", "What equipment and clause?"]
+    assert one(spark, X.expanded_variants, "nothing") == ["nothing"]
+    assert one(spark, X.expanded_variants, "the api") == ["the api"]
+
+
+def test_small_parsers(spark):
+    assert one(spark, X.unfenced, "```json\n{\"a\": 1}\n```") == '{"a": 1}'
+    assert one(spark, lambda c: X.numbered_part(c, F.lit(2)), "--- 第1段 ---\none\n--- 第2段 ---\ntwo\n") == "two"
+    assert one(spark, lambda c: X.numbered_part(c, F.lit(5)), "--- 第1段 ---\none") is None
+    assert one(spark, X.infer_title, "text line\n# Title\nx") == "text line" and one(spark, X.infer_title, "#no\n# Title") == "Title"
+    assert one(spark, X.html_text, "<p>a&amp;b <script>x()</script><b>c</b><!-- d -->") == "a&b c"
+
+
+@pytest.mark.parametrize(("value", "want"), [(0.5, 0.5), (2.0, 1.0), (-1.0, 0.0), (float("nan"), 0.0), (float("inf"), 0.0), (None, 0.0)])
+def test_clamp(spark, value, want):
+    assert one(spark, X.clamp, value, schema="c0 double") == want
