@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_ROOT: dict[str, str] = {}
 
@@ -47,3 +48,9 @@ def drop_stage(df: DataFrame | None) -> None:
 def default_partitions(spark: SparkSession) -> int:
     """Shuffle partitions that the cluster's owner has sized for its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_if_small(df: DataFrame, label: str, rows: int = 1 << 20) -> DataFrame:
+    """``df`` written once, and marked for broadcast if it has at most ``rows`` rows; else joins shuffle it as usual."""
+    held = stage_table(df, label)
+    return F.broadcast(held) if held.limit(rows + 1).count() <= rows else held
