@@ -122,7 +122,7 @@ def _compressors(dictionaries: dict[str, bytes]) -> Compressors:
     return _ready[key]
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.02, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.005, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default doc_id) and, for each row, lang_pred, score, margin and accepted.
 
     lang_pred is ``und`` if the text is null or has no letter, or if no language was learned; then score is 0 and the
