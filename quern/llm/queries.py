@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kernels, language_id, license_scan, lm_scoring, packing, quality, simhash, substring_dedup, token_output, topk_search
+from . import decontaminate, kernels, language_id, license_scan, lm_scoring, oracles, packing, quality, simhash, substring_dedup, token_output, topk_search
 
 
 def held_out(remainder: int = 0) -> Column:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_topk_search": oracles.TOP_K, "op8_decontamination": oracles.DECONTAMINATION}
