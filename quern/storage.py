@@ -6,6 +6,8 @@ and executors share.  Only a session without that setting (a local test) gets a
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
-        _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="quern-")
+        folder = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN_ROOT[app] = f"file://{folder}"
     return _OWN_ROOT[app]
 
 
