@@ -2,7 +2,7 @@
 
 Test items are cut into windows of words.  The corpus frequency of every test term is counted, so each window knows its
 rarest term.  Postings (term, document, position) of test terms are stored for the whole corpus where they can matter:
-close enough to a rarest term to lie in its window.  A window's candidate places are its rarest term's postings moved by
+close enough to a rarest term to lie in its window, beside the next rarest term of that window.  A window's candidate places are its rarest term's postings moved by
 the term's offset; they are intersected with the postings of the other terms at their own offsets.  With a slop of zero
 what is left is the exact phrase; with more, terms may stand that far from their place.
 
@@ -94,17 +94,29 @@ def term_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def positional_postings(docs: DataFrame, terms: np.ndarray, anchors: np.ndarray, reach: int) -> DataFrame:
-    """doc_key, doc_id, n_words and the postings (term, position) within ``reach`` words of an anchor term, per document."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, anchors))
+def positional_postings(docs: DataFrame, terms: np.ndarray, anchors: np.ndarray, reach: int, beside: np.ndarray | None = None) -> DataFrame:
+    """doc_key, doc_id, n_words and the postings (term, position) within ``reach`` words of an anchor term, per document.
+
+    ``beside`` has rows (anchor term, distance, other term), sorted by the first: an anchor then counts only where one of
+    its other terms, the next rarest of a window, stands at that distance.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((terms, anchors, beside))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        known, is_anchor = shared.value
+        known, is_anchor, pairs = shared.value
         words = K.batch_words(part, K.ALNUM, lower=True)
         n = len(words.start)
         rows = _index(known).find(words.hashes())
         text_of = words.text_of
         at = np.flatnonzero((rows >= 0) & is_anchor[np.maximum(rows, 0)])
+        if pairs is not None and len(at):
+            low, high = (np.searchsorted(pairs[:, 0], rows[at], side=s) for s in ("left", "right"))
+            mine = np.repeat(np.arange(len(at)), high - low)
+            pair = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(len(mine))
+            there = at[mine] + pairs[pair, 1]
+            inside = (there >= words.first[text_of[at[mine]]]) & (there < words.first[text_of[at[mine]] + 1])
+            met = inside & (rows[np.clip(there, 0, n - 1)] == pairs[pair, 2])
+            at = at[np.unique(mine[met])]
         step = np.zeros(n + 1, np.int64)
         np.add.at(step, np.maximum(at - reach, words.first[text_of[at]]), 1)
         np.add.at(step, np.minimum(at + reach + 1, words.first[text_of[at] + 1]), -1)
@@ -167,9 +179,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window_words: int
         alive = np.where(windows.members >= 0, frequency[np.maximum(windows.members, 0)] > 0, True).mean(axis=1) >= min_terms
         anchors = np.zeros(len(windows.terms), bool)
         anchors[windows.members[np.arange(len(rarest)), rarest][alive]] = True
+        beside = None
         if min_terms < 1.0:
             anchors[:] = True
-        index = stage_table(positional_postings(rows, windows.terms, anchors, window_words - 1 + slop), "postings")
+        elif slop == 0:
+            rarity[np.arange(len(rarest)), rarest] = np.iinfo(np.int64).max
+            second = np.where(windows.lengths > 1, rarity.argmin(axis=1), rarest)
+            row = np.arange(len(rarest))[alive]
+            beside = np.unique(np.column_stack([windows.members[row, rarest[alive]], (second - rarest)[alive], windows.members[row, second[alive]]]).astype(np.int64).reshape(-1, 3), axis=0)
+        index = stage_table(positional_postings(rows, windows.terms, anchors, window_words - 1 + slop, beside), "postings")
         base = index.select("doc_key", "doc_id", "n_words") if base is None else base
         flat = index.select("doc_key", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("doc_key", F.col("p.terms").alias("term"), F.col("p.positions").alias("position"))
         places.append(intersect(spark, flat, windows, rarest, slop, min_terms))
