@@ -3,9 +3,11 @@
 All text is the reference, and a document is parsed against what comes earlier: documents of smaller id, and its own
 earlier words.  The index of the reference is spread over blocks, which are the partitions of a shuffle.  Its entries
 are anchors: in every window of ``window`` words the ``ANCHOR_WORDS``-gram with the smallest hash, so equal windows have
-equal anchors and meet in one block.  An entry holds the windows of its anchor, about seven of them, as 48-bit
+equal anchors and meet in one block.  An entry holds the windows of its anchor, about eight of them, as 48-bit
 fingerprints beside the 64 bits of the anchor.  Within its slice a task settles entries that are equal throughout, so a
-passage that a third of all rows share reaches a block once per slice.
+passage that a third of all rows share reaches a block once per slice.  Anchors at which very many documents go on in
+different ways, like the edges of such a passage, are found by a look at a few documents; there every window is an
+entry of its own, under its own key.
 
 A block answers with factors: runs of windows of a document that stand in the same order at an earlier place.  A
 document's factors are put in order and joined where one goes on in the next one's source; where a factor ends, the
@@ -27,10 +29,12 @@ from ..storage import default_partitions
 from . import kernels as K
 
 WINDOW_WORDS = 20
-ANCHOR_WORDS = 8
+ANCHOR_WORDS = 6
 PRINT_BYTES = 6
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST, HOT_MOST = 32, 1 / 500, 24, 1 << 16
 LAST_ID = (1 << 63) - 1  # rows without an id come last
-HEAD = np.dtype([("doc_id", "<i8"), ("tie", "<i8"), ("start", "<i4"), ("n", "<i4")])
+PLAIN_HEAD = np.dtype([("doc_id", "<i8"), ("start", "<i4"), ("n", "<i2")])  # n windows, below 0 in a settled entry
+TIED_HEAD = np.dtype([*PLAIN_HEAD.descr, ("tie", "<i8")])  # where ids repeat
 SOURCE = np.dtype([("doc_id", "<i8"), ("start", "<i4")])
 FACTOR_SCHEMA = "doc_id long, tie long, start int, n int, source_id long, source_start int"
 
@@ -54,8 +58,41 @@ def _ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def index_entries(part: pa.RecordBatch, window: int = WINDOW_WORDS) -> tuple[np.ndarray, list[bytes]]:
-    """Keys and payloads of the entries of a slice: open ones with the windows of an anchor, settled ones with a source."""
+def _held(values: np.ndarray | None, among: np.ndarray) -> np.ndarray:
+    if values is None or not len(values):
+        return np.zeros(len(among), bool)
+    return values[np.minimum(np.searchsorted(values, among), len(values) - 1)] == among
+
+
+def hot_anchors(docs: DataFrame, window: int = WINDOW_WORDS) -> np.ndarray:
+    """Anchors of at least HOT_SHARE of the documents, sorted, by a look at every HOT_SAMPLE-th document.
+
+    A passage of a third of all rows gives such anchors at its edges, where every row goes on in its own way; as one
+    group their entries would meet in one task.  Which anchors are named changes only how work is dealt out.
+    """
+    seen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(HOT_SAMPLE)) == 0).select("text")
+
+    def anchors(part: pa.RecordBatch) -> pa.RecordBatch:
+        words = K.batch_words(part, K.SPACED, lower=False)
+        hashes, k = words.hashes(), min(ANCHOR_WORDS, window)
+        at, _ = words.ngram_hashes(window, hashes)
+        found = np.zeros((0, 2), np.uint64)
+        if len(at):
+            grams = K.rolling(hashes, k)
+            pairs = np.column_stack([words.text_of[at].astype(np.uint64), grams[_sliding_argmin(grams, window - k + 1)[at]]])
+            found = np.unique(pairs, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(K.signed(found[:, 1]))], names=["anchor"])
+
+    least = max(HOT_LEAST, seen.count() * HOT_SHARE)
+    counts = K.map_texts(seen, anchors, "anchor long").groupBy("anchor").count().where(F.col("count") >= least)
+    return np.sort(counts.orderBy(F.desc("count")).limit(HOT_MOST).select("anchor").toArrow().column("anchor").to_numpy().view(np.uint64))
+
+
+def index_entries(part: pa.RecordBatch, window: int = WINDOW_WORDS, head_type: np.dtype = TIED_HEAD, hot: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """Keys and payloads of the entries of a slice: open ones with the windows of an anchor, settled ones with a source.
+
+    Windows of the anchors in ``hot`` (sorted) are entries of their own, with the window's hash for a key.
+    """
     words = K.batch_words(part, K.SPACED, lower=False)
     k = min(ANCHOR_WORDS, window)
     hashes = words.hashes()
@@ -65,13 +102,14 @@ def index_entries(part: pa.RecordBatch, window: int = WINDOW_WORDS) -> tuple[np.
     grams = K.rolling(hashes, k)
     anchor = _sliding_argmin(grams, window - k + 1)[at]
     text_of = words.text_of[at]
-    head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (text_of[1:] != text_of[:-1])]))
+    alone = _held(hot, grams[anchor])
+    head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (text_of[1:] != text_of[:-1])]) | alone)
     sizes = np.diff(np.append(head, len(at)))
-    keys, own = grams[anchor[head]], text_of[head]
+    keys, own = np.where(alone[head], K.mix(prints[head]), grams[anchor[head]]), text_of[head]
     start = (at[head] - words.first[own]).astype(np.int32)
     ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
     ties = part.column("tie").to_numpy(zero_copy_only=False).astype(np.int64)
-    content = K.mix(np.add.reduceat(K.mix(prints + (at - np.repeat(at[head], sizes)).astype(K.U64)), head) ^ keys)
+    content = K.mix(np.add.reduceat(K.mix(prints + (at - np.repeat(at[head], sizes)).astype(K.U64)), head) + K.mix(grams[anchor[head]]))
     order = np.lexsort((start, ties[own], ids[own], content))
     same = np.concatenate([[False], content[order][1:] == content[order][:-1]])
     leader = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
@@ -82,13 +120,15 @@ def index_entries(part: pa.RecordBatch, window: int = WINDOW_WORDS) -> tuple[np.
     for a, b in zip(here(np.arange(len(head))), here(source), strict=True):
         moved |= a != b
     repeat = (source != np.arange(len(head))) & ~moved  # the same place again, from a repeated row
-    heads = np.zeros(len(head), HEAD)
-    heads["doc_id"], heads["tie"], heads["start"], heads["n"] = ids[own], ties[own], start, np.where(moved, -sizes, sizes)
+    heads = np.zeros(len(head), head_type)
+    heads["doc_id"], heads["start"], heads["n"] = ids[own], start, np.where(moved, -sizes, sizes)
+    if "tie" in head_type.names:
+        heads["tie"] = ties[own]
     tails = np.zeros(len(head), SOURCE)
     tails["doc_id"], tails["start"] = ids[own[source]], start[source]
     raw_heads, raw_tails = heads.tobytes(), tails.tobytes()
     raw_prints = np.ascontiguousarray(prints.view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES]).tobytes()
-    h, t = HEAD.itemsize, SOURCE.itemsize
+    h, t = head_type.itemsize, SOURCE.itemsize
     payloads, kept = [], np.flatnonzero(~repeat)
     for i, a, n, settled in zip(kept.tolist(), head[kept].tolist(), sizes[kept].tolist(), moved[kept].tolist(), strict=True):
         tail = raw_tails[i * t : (i + 1) * t] if settled else raw_prints[a * PRINT_BYTES : (a + n) * PRINT_BYTES]
@@ -102,12 +142,13 @@ def _fields(raw: np.ndarray, at: np.ndarray, kind: np.dtype) -> np.ndarray:
     return raw[at[:, None] + np.arange(kind.itemsize)].view(kind).ravel()
 
 
-def block_factors(keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def block_factors(keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray, head_type: np.dtype = TIED_HEAD) -> list[np.ndarray]:
     """Columns of the factors of whole groups of equal keys."""
-    heads = _fields(raw, offsets[:-1], HEAD)
+    heads = _fields(raw, offsets[:-1], head_type)
+    ties = heads["tie"] if "tie" in head_type.names else np.zeros(len(heads), np.int64)
     settled = np.flatnonzero(heads["n"] < 0)
-    out = [[heads["doc_id"][settled], heads["tie"][settled], heads["start"][settled], -heads["n"][settled]]]
-    source = _fields(raw, offsets[settled] + HEAD.itemsize, SOURCE)
+    out = [[heads["doc_id"][settled], ties[settled], heads["start"][settled], -heads["n"][settled]]]
+    source = _fields(raw, offsets[settled] + head_type.itemsize, SOURCE)
     out[0] += [source["doc_id"], source["start"]]
     open_ = np.flatnonzero(heads["n"] > 0)
     key = keys[open_]
@@ -118,11 +159,11 @@ def block_factors(keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> lis
         n = heads["n"][rows].astype(np.int64)
         row = np.repeat(np.arange(len(rows)), n)
         step = _ragged(np.zeros(len(rows), np.int64), n)
-        place = offsets[rows][row] + HEAD.itemsize + step * PRINT_BYTES
+        place = offsets[rows][row] + head_type.itemsize + step * PRINT_BYTES
         prints = np.zeros((len(place), 8), np.uint8)
         prints[:, :PRINT_BYTES] = raw[place[:, None] + np.arange(PRINT_BYTES)]
         prints = prints.view(np.uint64).ravel()
-        doc, tie, pos = heads["doc_id"][rows][row], heads["tie"][rows][row], heads["start"][rows][row].astype(np.int64) + step
+        doc, tie, pos = heads["doc_id"][rows][row], ties[rows][row], heads["start"][rows][row].astype(np.int64) + step
         order = np.lexsort((pos, tie, doc, prints, key[row]))
         new = np.concatenate([[True], (prints[order][1:] != prints[order][:-1]) | (key[row][order][1:] != key[row][order][:-1])])
         first = np.empty(len(order), np.int64)
@@ -136,12 +177,17 @@ def block_factors(keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> lis
     return [np.concatenate([np.asarray(o[c]) for o in out]) for c in range(6)]
 
 
-def find_factors(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """Factors of ``docs`` (doc_id with no null, tie, text): n windows from word ``start`` on stand earlier, at a source."""
+def find_factors(docs: DataFrame, window: int = WINDOW_WORDS, ties: bool = True) -> DataFrame:
+    """Factors of ``docs`` (doc_id with no null, tie, text): n windows from word ``start`` on stand earlier, at a source.
+
+    ``ties`` says whether any tie is other than 0.
+    """
+    head_type = TIED_HEAD if ties else PLAIN_HEAD
+    shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, window))
     rows = docs.select("doc_id", "tie", "text")
 
     def entries(part: pa.RecordBatch) -> pa.RecordBatch:
-        keys, payloads = index_entries(part, window)
+        keys, payloads = index_entries(part, window, head_type, shared.value)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(payloads, pa.binary())], names=["key", "entry"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +196,7 @@ def find_factors(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
         def answer(keys: np.ndarray, entries_: pa.Array) -> pa.RecordBatch:
-            columns = block_factors(keys, *K.text_bytes(entries_))
+            columns = block_factors(keys, *K.text_bytes(entries_), head_type)
             return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -206,7 +252,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     order = F.xxhash64(F.col("text").cast("string")) if repeated else F.lit(0).cast("long")
     rows = docs.select(*keep, ids.alias(key), order.alias(tie), F.col("text").cast("string").alias(text))
-    factors = find_factors(rows.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text")), window)
+    factors = find_factors(rows.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text")), window, repeated)
     per_doc = factors.groupBy(F.col("doc_id").alias(key), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("start", "n", "source_id", "source_start")).alias(found))
     joined = rows.join(per_doc, [key, tie], "left").select(*keep, text, found)
     names = [K.free_name(n, keep) for n in ("n_words", "n_removed", "kept_sha256", "kept_text", "factors")]
