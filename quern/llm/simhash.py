@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import drop_stage, stage_table
+from ..storage import broadcast_if_small, drop_stage, stage_table
 from . import kernels as K
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
 SHARD_LIMIT = 4096
+PIVOTS_FROM = 32
+WIDE_WORDS, WIDE_RADIUS, WIDE_SHINGLE_WORDS, WIDE_SHARD_LIMIT = 4, 46, 5, 1024
+KEYS = 8
 
 
 def fingerprint_batch(part: pa.RecordBatch, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -97,9 +100,17 @@ class BKTree:
         return node
 
 
-def shard_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """For each of the distinct ``values`` that has company, a link to the smallest of those it is connected to."""
-    tree, parent = BKTree(), list(range(len(values)))
+def shard_links(nodes: np.ndarray, values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """For each of the distinct ``nodes`` that has company, a link to the smallest of those it is connected to.
+
+    ``values`` has a row of 64-bit words for each node.  In a larger shard everything within the radius of a pivot is
+    one cluster at once, so a dense group costs one distance a node; the BK-tree then holds what is outside the largest
+    cluster, and finds what joins clusters.
+    """
+    order = np.argsort(nodes)
+    nodes, values = nodes[order], values[order]
+    n = len(nodes)
+    parent = list(range(n))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -107,15 +118,32 @@ def shard_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    numbers = np.sort(values).tolist()  # signed order, so that the smallest is the root
-    mask = (1 << 64) - 1
-    for number in numbers:
-        near = tree.near(number & mask, radius)
-        node = tree.add(number & mask)
-        for other in near:
-            a, b = sorted((root(node), root(other)))
-            parent[b] = a
-    return [(numbers[i], numbers[r]) for i in range(len(numbers)) if (r := root(i)) != i]
+    def join(x: int, y: int) -> None:
+        x, y = sorted((root(x), root(y)))
+        parent[y] = x
+
+    asked = held = range(n)
+    if n > PIVOTS_FROM:
+        left, clusters = np.arange(n), []
+        while len(left):
+            near = np.bitwise_count(values[left] ^ values[left[0]]).sum(axis=1, dtype=np.int64) <= radius
+            clusters.append(left[near])
+            for x in left[near].tolist():
+                parent[x] = int(left[0])
+            left = left[~near]
+        largest = max(clusters, key=len)
+        held = np.setdiff1d(np.arange(n), largest).tolist()
+    numbers = [int.from_bytes(row.tobytes(), "little") for row in values]
+    tree, place = BKTree(), []
+    for x in held:
+        tree.add(numbers[x])
+        place.append(x)
+    for x in asked:
+        for found in tree.near(numbers[x], radius) if held else ():
+            if place[found] != x:
+                join(x, place[found])
+    ids = nodes.tolist()
+    return [(ids[i], ids[r]) for i in range(n) if (r := root(i)) != i]
 
 
 def key_scheme(n: int, radius: int = RADIUS) -> tuple[int, int]:
@@ -134,39 +162,49 @@ def _masks(blocks: int, equal: int) -> list[int]:
 
 def linked_pairs(nodes: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
     """Links (node, parent) between distinct values of ``fp`` whose connected sets are those of all pairs within ``radius``."""
-    n = nodes.count()
-    blocks, equal = key_scheme(n, radius)
+    blocks, equal = key_scheme(nodes.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in _masks(blocks, equal)]
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
-    crowded = keyed.groupBy("table", "key").count().where(F.col("count") > limit).withColumn("chunks", F.ceil(F.col("count") / limit).cast("int")).drop("count")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))
-    shards = keyed.join(crowded, ["table", "key"], "left").select("table", "key", "fp", own.alias("own"), met.alias("met"))
-    shards = shards.select("table", "key", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "fp")
-    keys = ["table", "key", "low", "high"]
+    # The place of the mask is part of the key, for equal bits mean nothing in other places.
+    keys = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]), lambda k: F.xxhash64(k.i, k.bits))
+    return shard_pairs(nodes.select(F.col("fp").alias("node"), F.explode(keys).alias("key")), radius, limit)
+
+
+def shard_pairs(keyed: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> DataFrame:
+    """Links (node, parent) within the shards of ``keyed`` (node, key, and ``bits`` where node is not the fingerprint)."""
+    wide = "bits" in keyed.columns
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
+    met = keyed.join(counts, "key").withColumn("met", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    columns = ["node", *(["bits"] if wide else [])]
+    shards = met.select("key", F.least(own, "met").alias("low"), F.greatest(own, "met").alias("high"), *columns)
+    keys = ["key", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def links(rows: np.ndarray) -> pa.RecordBatch | None:
-            change = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+        def links(rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
+            change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             edges = np.concatenate([[0], change, [len(rows)]])
             found: list[tuple[int, int]] = []
             for k in np.flatnonzero(np.diff(edges) > 1).tolist():
-                found += shard_links(rows[edges[k] : edges[k + 1], 4], radius)
+                found += shard_links(rows[edges[k] : edges[k + 1], 3], values[edges[k] : edges[k + 1]], radius)
             if found:
                 return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["node", "parent"])
             return None
 
         for batch in batches:
-            held.append(np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in (*keys, "fp")]))
-            rows = np.concatenate(held)
-            same = (rows[:, :4] == rows[-1, :4]).all(axis=1)
+            if not batch.num_rows:
+                continue
+            rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in (*keys, "node")])
+            values = K.text_bytes(batch.column("bits"))[0].reshape(len(rows), -1).copy().view(K.U64) if wide else rows[:, 3:].copy().view(K.U64)
+            held.append((rows, values))
+            rows, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            same = (rows[:, :3] == rows[-1, :3]).all(axis=1)
             last = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last shard begins
-            held = [rows[last:]]
-            if last and (out := links(rows[:last])) is not None:
+            held = [(rows[last:], values[last:])]
+            if last and (out := links(rows[:last], values[:last])) is not None:
                 yield out
-        if held and len(held[0]) > 1 and (out := links(held[0])) is not None:
+        if held and len(held[0][0]) > 1 and (out := links(*held[0])) is not None:
             yield out
 
     return shards.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, parent long").distinct()
@@ -201,20 +239,79 @@ def star_components(links: DataFrame) -> DataFrame:
     return now.withColumnRenamed("parent", "root")
 
 
+def _components(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of rows (doc_id, node, fp) from links between nodes."""
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    roots = star_components(links)
+    # (node, root) of linked nodes, and of their roots too
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
+    firsts = linked.join(nodes, "node").groupBy("root").agg(F.min("first_id").alias("root_id"))
+    named = nodes.join(linked.join(firsts, "root"), "node", "left").select("node", F.coalesce("root_id", "first_id").alias("component_id"))
+    # As a table of its own it is broadcast if small, and else joined by a shuffle whose hot nodes Spark can split.
+    named = broadcast_if_small(named, "components", 1 << 19)
+    return prints.join(named, "node", "left").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links within ``radius`` bits lead to) of every row.
 
     Rows without words link like any other row, by fingerprint 0.  A row without a doc_id never names a component
     unless no row of its component has one.  Rows that share a doc_id are rows of their own.
     """
-    prints = stage_table(fingerprints(docs, shingle_words), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = star_components(linked_pairs(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    # (fp, root) of linked fingerprints, and their roots too
-    linked = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).distinct()
-    firsts = linked.join(nodes, "fp").groupBy("root").agg(F.min("first_id").alias("root_id"))
-    named = nodes.join(linked.join(firsts, "root"), "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    prints = stage_table(fingerprints(docs, shingle_words).withColumn("node", F.col("fp")), "fingerprints")
+    return _components(prints, linked_pairs(prints.select("fp").distinct(), radius))
+
+
+def wide_fingerprint_batch(part: pa.RecordBatch, shingle_words: int = WIDE_SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """256-bit fingerprints of each text as rows of four words, and the keys of the shards it belongs to.
+
+    A key is the smallest of the shingles' hashes in one of KEYS orders: two texts of which a share of the shingles is
+    common have the same one with that probability, so at a share of 0.8 all but 3 in a million pairs meet.
+    """
+    words = K.batch_words(part, K.SPACED, lower=True)
+    hashes, counts, first = words.hashes(), words.counts, words.first[:-1]
+    at, grams = words.ngram_hashes(shingle_words, hashes)
+    owner = words.text_of[at]
+    for size in range(1, shingle_words):  # a shorter text is one shingle
+        short = np.flatnonzero(counts == size)
+        if len(short):
+            grams = np.concatenate([grams, K.rolling(hashes, size)[first[short]]])
+            owner = np.concatenate([owner, short])
+    order = np.argsort(owner, kind="stable")
+    grams, owner = grams[order], owner[order]
+    prints, keys = np.zeros((len(counts), WIDE_WORDS), K.U64), np.zeros((len(counts), KEYS), K.U64)
+    if len(grams):
+        head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        n = np.diff(np.append(head, len(owner)))
+        for w in range(WIDE_WORDS):
+            bits = np.unpackbits(K.mix(grams + K.U64(w + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, head, axis=0, dtype=np.int32)
+            prints[owner[head], w] = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(K.U64).ravel()
+        for i in range(KEYS):
+            keys[owner[head], i] = K.mix(np.minimum.reduceat(K.mix(grams ^ K.mix(np.array([i + 101], K.U64))), head) + K.U64(i))
+    return prints, keys
+
+
+def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, shingle_words: int = WIDE_SHINGLE_WORDS) -> DataFrame:
+    """doc_id, fp and component_id of every row, as :func:`near_duplicates`, at a similarity of about 0.8 or more.
+
+    Three bits of 64 are closer than that: they tell apart texts of which a few words in a hundred differ.  Here
+    fingerprints have 256 bits of five-word shingles, of which texts with a share of 0.8 in common differ in 39 on
+    average; the radius lets pass nine in ten of those, and nearly all of the closer ones.  Rows without words are one group.
+    """
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        prints, keys = wide_fingerprint_batch(part, shingle_words)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * KEYS, pa.int32()), pa.array(K.signed(keys).ravel()))
+        raw = np.ascontiguousarray(prints).tobytes()
+        size = 8 * WIDE_WORDS
+        return K.with_columns(part, fp=pa.array([raw[i * size : (i + 1) * size] for i in range(part.num_rows)], pa.binary()), keys=lists)
+
+    prints = K.map_texts(K.documents_of(docs), work, "doc_id long, fp binary, keys array<long>")
+    prints = stage_table(prints.withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
+    nodes = prints.groupBy("node").agg(F.first("fp").alias("bits"), F.first("keys").alias("keys"))
+    keyed = nodes.select("node", "bits", F.explode("keys").alias("key"))
+    return _components(prints.drop("keys"), shard_pairs(keyed, radius, WIDE_SHARD_LIMIT))
 
 
 def fingerprint_text(fp: str = "fp") -> F.Column:

@@ -60,6 +60,11 @@ def license_base(docs):
     return out
 
 
+def shingles(text, size=5):
+    words = SPACED.findall(lower(text))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
 def simhash(docs, radius=3):
     import xxhash
 

@@ -45,9 +45,12 @@ def test_substring_dedup_texts_and_factors(docs, rows):
     assert seen
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_substring_dedup_small_alphabet(spark, seed):
-    """Texts of two words repeat everywhere, with overlaps and ties."""
+@pytest.mark.parametrize("seed", range(4))
+def test_substring_dedup_small_alphabet(spark, seed, monkeypatch):
+    """Texts of two words repeat everywhere, with overlaps and ties; hot anchors change nothing."""
+    if seed > 1:
+        for name, value in (("HOT_SAMPLE", 1), ("HOT_LEAST", 3)):
+            monkeypatch.setattr(substring_dedup, name, value)
     rng = random.Random(seed)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 90))) if i % 3 else " ".join(["a"] * rng.randint(15, 60))) for i in range(25)]
     found = substring_dedup.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=6)
@@ -124,6 +127,25 @@ def test_links_of_chains_and_crowded_shards(spark, limit):
     assert {v: roots.get(v, v) for v in signed} == parent
 
 
+def test_similar_documents(spark):
+    """Near copies by their share of five-word shingles: groups of them are found, texts that share half are left apart."""
+    rng, rows, kin = random.Random(11), [], {}
+    for g in range(30):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(80, 300))]
+        for c in range(4):
+            changed = list(words)
+            for _ in range(c * len(words) // 150):
+                changed[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+            if c == 3:
+                changed = words[: len(words) // 2] + [f"y{rng.randrange(9999)}" for _ in range(len(words) // 2)]
+            kin[len(rows)] = (g, c)
+            rows.append((len(rows), " ".join(changed)))
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    near = [d for d, (g, c) in kin.items() if c in (1, 2)]
+    assert sum(found[d] == 4 * kin[d][0] for d in near) >= 0.97 * len(near)
+    assert all(found[d] == d for d, (g, c) in kin.items() if c in (0, 3))
+
+
 def test_key_scheme_never_misses():
     for n in (1, 10**6, 10**9, 10**13):
         blocks, equal = simhash.key_scheme(n)
