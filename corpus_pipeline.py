@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, kernels, language_id, packing, simhash, substring_dedup
-from quern.storage import stage_table
+from quern.storage import broadcast_if_small, stage_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group; of rows with that doc_id one stays.  Rows without a doc_id all stay."""
-    found = simhash.near_duplicates(docs)
+    found = stage_table(simhash.similar_documents(docs), "similar")
     gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    gone = broadcast_if_small(gone, "near-copies")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
@@ -33,11 +34,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier; a document of which no word is left goes."""
     names = [kernels.free_name(n, docs.columns) for n in ("n_words", "n_removed", "kept_sha256", "kept_text", "factors")]
     words, removed, _, text, _ = (F.col(n) for n in names)
-    found = substring_dedup.remove_duplicates(docs, keep=docs.columns).where((removed == 0) | (removed < words))
-    changed = removed > 0
-    out = {"text": F.when(changed, text).otherwise(F.col("text"))}
+    found = substring_dedup.remove_duplicates(docs, keep=[c for c in docs.columns if c != "text"]).where((removed == 0) | (removed < words))
+    out = {"text": text}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(removed > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumns(out).select(*docs.columns)
 
 
@@ -45,6 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in which no window of a benchmark item stands."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, benchmark).where("n_hit > 0").select("doc_key").distinct()
+    found = broadcast_if_small(found, "contaminated")
     key = kernels.free_name("_doc_key", docs.columns)
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(found.withColumnRenamed("doc_key", key), key, "left_anti").select(*docs.columns)
