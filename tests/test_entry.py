@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from quern.plans import catalog
@@ -16,8 +17,8 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: "null" if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v)
-    return sorted(tuple(map(plain, r)) for r in frame.astype(object).itertuples(index=False)), list(frame.columns)
+    plain = lambda v: "null" if v is None or pd.isna(v) else round(float(v), 5) if isinstance(v, float) else str(v)
+    return sorted((tuple(map(plain, r)) for r in frame.astype(object).itertuples(index=False)), key=repr), list(frame.columns)
 
 
 @needs_data
