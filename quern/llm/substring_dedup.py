@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,8 +242,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
 
     A word goes if a window of ``window`` words over it also starts earlier: in a row of smaller doc_id, or before in
     the same text.  Windows are those of the input.  kept_text is the text without these words and the white space
-    behind them, kept_sha256 digests the kept words with one space between.  Null or empty text: no words, nothing
-    removed.  A row without doc_id counts as later than all with one.  Rows that share a doc_id are in the order of a
+    behind them, and null where the text is; kept_sha256 digests the kept words with one space between.  Null or empty
+    text: no words, nothing removed.  A row without doc_id counts as later than all with one.  Rows that share a doc_id are in the order of a
     hash of their texts; rows equal in both are one place in the order, so none is removed for the other's sake.
     """
     keep = keep or ["doc_id"]
@@ -254,23 +255,36 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
     rows = docs.select(*keep, ids.alias(key), order.alias(tie), F.col("text").cast("string").alias(text))
     factors = find_factors(rows.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text")), window, repeated)
     per_doc = factors.groupBy(F.col("doc_id").alias(key), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("start", "n", "source_id", "source_start")).alias(found))
-    joined = rows.join(per_doc, [key, tie], "left").select(*keep, text, found)
+    stored = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    columns = [*keep, key, tie]
+
+    def shrink(part: pa.RecordBatch) -> pa.RecordBatch:
+        """Texts are the larger part of what the join shuffles, and zstandard makes them a third smaller than Spark does."""
+        press = zstandard.ZstdCompressor(level=3)
+        blobs = [None if t is None else press.compress(t.encode()) for t in part.column(text).to_pylist()]
+        return pa.RecordBatch.from_arrays([*(part.column(n) for n in columns), pa.array(blobs, pa.binary())], names=[*columns, text])
+
+    small = K.map_texts(rows, shrink, ", ".join([*stored, f"`{key}` long", f"`{tie}` long", f"`{text}` binary"]), text=text)
+    joined = small.join(per_doc, [key, tie], "left").select(*keep, text, found)
     names = [K.free_name(n, keep) for n in ("n_words", "n_removed", "kept_sha256", "kept_text", "factors")]
     kinds = ["long", "long", "string", "string", "array<struct<start:int,length:int,source_id:bigint,source_start:int>>"]
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))]
+    fields = [*stored, *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))]
     factor_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())]))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = K.text_bytes(part.column(text))
+        expand = zstandard.ZstdDecompressor()
+        blobs = part.column(text).to_pylist()
+        whole = [b"" if b is None else expand.decompress(b) for b in blobs]
+        data, offsets = np.frombuffer(b"".join(whole), np.uint8), np.cumsum([0, *map(len, whole)])
         words = K.find_words(data, offsets, K.SPACED)
         removed, digests, texts, parsed = [], [], [], []
         for d, own in enumerate(part.column(found).to_pylist()):
             a, b = int(words.first[d]), int(words.first[d + 1])
             begin, end = words.start[a:b], words.end[a:b]
-            raw = data[offsets[d] : offsets[d + 1]].tobytes()
+            raw = whole[d]
             if not own:
                 removed.append(0)
-                texts.append(raw)
+                texts.append(None if blobs[d] is None else raw)
                 parsed.append([])
                 digests.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
                 continue
@@ -290,6 +304,6 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
         out = [pa.array(words.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(parsed, factor_type)]
         return pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *out], names=[*keep, *names])
 
-    return K.map_texts(joined, work, ", ".join(fields), text=text)
+    return K.map_texts(joined, work, ", ".join(fields), text=text, limit=K.SLICE_BYTES // 2)
 
 
