@@ -1,7 +1,8 @@
 """BM25 over a corpus, for many queries at once.
 
-An index is two tables: postings (token, doc_id, tf, n_tokens) and terms (token, df, idf).  Only postings of query
-tokens are read for a search; scores are summed before the shuffle, and the rank keeps a bounded number per query.
+An index is two tables, postings (token, doc_id, tf, n_tokens) and terms (token, df, idf), and two numbers.  Texts are
+tokenised once, when the postings are written; all statistics come from them.  Only postings of query tokens take part
+in a search; scores are summed before the shuffle, and the rank keeps a bounded number per query.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
+from ..storage import stage_table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -20,22 +22,23 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
-    stats: DataFrame
     documents: DataFrame
+    n_docs: int
+    avg_tokens: float
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
     """Postings and statistics of ``docs``.  An idf below zero becomes EPSILON times the mean idf of all terms."""
     tokens = docs.select(F.col(id_col).alias("doc_id"), search_tokens(text_col).alias("tokens"))
-    sized = tokens.withColumn("n_tokens", F.size("tokens").cast("long"))
-    postings = sized.select("doc_id", "n_tokens", F.explode("tokens").alias("token")).groupBy("token", "doc_id", "n_tokens").agg(F.count("*").alias("tf"))
-    stats = sized.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
-    raw = df.select("token", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
-    mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))  # one row
-    idf = F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))
-    return LexicalIndex(postings, terms, stats, tokens.select("doc_id"))
+    exploded = tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.explode("tokens").alias("token"))
+    postings = stage_table(exploded.groupBy("token", "doc_id", "n_tokens").agg(F.count("*").alias("tf")), "postings")
+    n_docs = docs.count()
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    raw_idf = F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = stage_table(postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("raw_idf", raw_idf), "terms")
+    mean = raw.agg(F.coalesce(F.avg("raw_idf"), F.lit(0.0))).first()[0]
+    terms = raw.select("token", "df", F.when(F.col("raw_idf") < 0, EPSILON * mean).otherwise(F.col("raw_idf")).alias("idf"))
+    return LexicalIndex(postings, terms, docs.select(F.col(id_col).alias("doc_id")), n_docs, total / n_docs if n_docs else 0.0)
 
 
 def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only: bool = False, id_col: str = "query_id", text_col: str = "question") -> DataFrame:
@@ -45,9 +48,9 @@ def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only:
     list at score 0, smallest ids first; a query without tokens has no list.
     """
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(search_tokens(text_col)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.terms, "token").crossJoin(F.broadcast(index.stats))
+    weighted = asked.join(index.terms, "token")
     hits = index.postings.join(weighted, "token")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens")))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(index.avg_tokens)))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     if not matched_only:
         # A list that is short of ``top`` matches finds its fill among the first 2 * top ids.

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import dot, search_tokens
 from ..operators import chunking, context, dense, fusion, gates, lexical, ranking
 from ..providers import overlap_reranker
-from ..storage import stage_table
 from .common import TOKENS, Registry, table
 
 R = Registry()
@@ -45,9 +44,7 @@ hits AS (SELECT *, 0.8::double * greatest(0, least(1, rerank_score)) + 0.2::doub
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    index = lexical.build_index(table(spark, sf_dir, "documents"))
-    index.postings = stage_table(index.postings, "postings")
-    return lexical.LexicalIndex(index.postings, stage_table(index.terms, "terms"), index.stats, index.documents)
+    return lexical.build_index(table(spark, sf_dir, "documents"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
