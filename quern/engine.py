@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import providers
 from .config import Config
+from .functions import fixed
 from .functions.text import expanded_variants
 from .operators import chunking, context, evaluation, fusion, gates, indexing, lexical, ranking
 from .sources import files as file_source
@@ -138,9 +139,9 @@ def answer(store: Store, questions: DataFrame, top_k: int | None = None, memorie
     asks = open_ & ~refused
     reply = model(F.when(asks, context.prompt(F.col("question"), F.col("context"), F.col("memory"), F.col("history"))))
     text = (
-        F.when(F.col("max_confidence").isNull(), "知识库为空。请先建立索引。")
+        F.when(F.col("max_confidence").isNull(), fixed.EMPTY_STORE)
         .when(F.col("rejected"), context.refusal(F.col("max_confidence")))
-        .when(refused, "资料中无法确认该问题的具体答案。为避免编造信息，本次不生成推测性回答。")
+        .when(refused, fixed.UNCONFIRMED)
         .otherwise(F.coalesce(reply, F.col("context")))
     )
     rows = rows.select("query_id", "question", text.alias("answer"), F.coalesce("max_confidence", F.lit(0.0)).alias("confidence"), "status", asks.alias("delivered"))

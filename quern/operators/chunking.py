@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions import fixed
 from .indexing import chunk_id
 
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", " ", "")
@@ -101,5 +102,5 @@ def with_parents(hits: DataFrame, parent_rows: DataFrame) -> DataFrame:
 
 def contextualise(chunks: DataFrame, describe: Column) -> DataFrame:
     """Chunks with a model's description before their content, or a fixed mark where it gave none."""
-    text = F.when(F.coalesce(F.trim(describe), F.lit("")) != "", describe).otherwise(F.lit("[无上下文]"))
-    return chunks.withColumn("context", text).withColumn("content", F.concat(F.lit("【"), F.col("context"), F.lit("】\n\n"), F.col("content")))
+    text = F.when(F.coalesce(F.trim(describe), F.lit("")) != "", describe).otherwise(F.lit(fixed.NO_CONTEXT))
+    return chunks.withColumn("context", text).withColumn("content", F.concat(F.lit(fixed.CONTEXT_OPEN), F.col("context"), F.lit(fixed.CONTEXT_CLOSE), F.col("content")))

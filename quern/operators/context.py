@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions import fixed
 from ..functions.text import heading_at, lines_around, outline
 from .fusion import first_per_parent
 
@@ -25,7 +26,7 @@ def _ordered(rows: DataFrame, *columns: str) -> DataFrame:
 def model_context(hits: DataFrame) -> DataFrame:
     """query_id and context: numbered blocks with source and confidence, a blank line between them."""
     rows = _ordered(_shown(hits).withColumn("_source", F.coalesce("source", F.lit("unknown"))), "_source", "confidence", "_shown", "_whole")
-    block = lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), h._source, F.when(h._whole, F.lit(" (parent chunk, 置信度: ")).otherwise(F.lit(" (置信度: ")), F.format_string("%.2f", F.coalesce(h.confidence, F.lit(0.0))), F.lit(")\n"), h._shown)
+    block = lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), h._source, F.when(h._whole, F.lit(f" (parent chunk, {fixed.CONFIDENCE_MARK}")).otherwise(F.lit(f" ({fixed.CONFIDENCE_MARK}")), F.format_string("%.2f", F.coalesce(h.confidence, F.lit(0.0))), F.lit(")\n"), h._shown)
     return rows.select("query_id", F.array_join(F.transform("_hits", block), "\n\n").alias("context"))
 
 
@@ -69,21 +70,18 @@ def history(messages: DataFrame, turns: int = DEFAULT.history_turns) -> DataFram
     """conv_id and history: the last ``2 * turns`` messages, one a line with who speaks."""
     last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     recent = messages.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= 2 * turns)
-    line = F.concat(F.when(F.col("role") == "user", F.lit("用户: ")).otherwise(F.lit("助手: ")), F.coalesce("text", F.lit("")))
+    line = F.concat(F.when(F.col("role") == "user", F.lit(fixed.USER_LINE)).otherwise(F.lit(fixed.ASSISTANT_LINE)), F.coalesce("text", F.lit("")))
     rows = recent.select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
     return rows.select("conv_id", F.array_join(F.transform("lines", lambda x: x.line), "\n").alias("history"))
 
 
-NO_HISTORY = "(无历史)"
-
-
 def prompt(question: Column, context: Column, memory: Column | None = None, past: Column | None = None) -> Column:
     """The text of a model call: history, memories and context, then the question."""
     known = context if memory is None else F.when(F.coalesce(memory, F.lit("")) != "", F.concat(memory, F.lit("\n\n"), context)).otherwise(context)
-    before = F.coalesce(past, F.lit(NO_HISTORY)) if past is not None else F.lit(NO_HISTORY)
+    before = F.coalesce(past, F.lit(fixed.NO_HISTORY)) if past is not None else F.lit(fixed.NO_HISTORY)
     return F.concat(before, F.lit("\n\n"), known, F.lit("\n\n"), question)
 
 
 def refusal(max_confidence: Column) -> Column:
     """The fixed text that stands for an answer below the confidence gate."""
-    return F.concat(F.lit("资料中未找到与该问题相关的内容（最高置信度 "), F.format_string("%.2f", max_confidence), F.lit("）。建议换个说法或检查文档是否已索引。"))
+    return F.concat(F.lit(fixed.NOT_FOUND_HEAD), F.format_string("%.2f", max_confidence), F.lit(fixed.NOT_FOUND_TAIL))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 SUFFIXES = ("md", "txt", "pdf", "docx", "pptx", "doc", "xlsx", "csv")
 DOCUMENT_SCHEMA = "path string, ordinal int, content string, sheet string, slide int, page int, total_pages int, layout string, parser string, chunk_role string, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -213,4 +215,4 @@ def image_captions(images: DataFrame, caption: F.Column, min_size: int = 100, mo
     large = images.where((F.col("width") >= min_size) & (F.col("height") >= min_size)).withColumn("caption", caption)
     said = large.where(F.coalesce(F.trim("caption"), F.lit("")) != "")
     first = said.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("page", "ordinal"))).where(F.col("_n") <= most)
-    return first.select("source", "page", F.concat(F.lit("[图片描述] "), F.col("caption")).alias("content"), F.lit("image").alias("type"))
+    return first.select("source", "page", F.concat(F.lit(fixed.IMAGE_CAPTION), F.col("caption")).alias("content"), F.lit("image").alias("type"))
