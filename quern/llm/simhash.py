@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_if_small, drop_stage, stage_table
+from ..storage import broadcast_if_small, default_partitions, drop_stage, stage_table
 from . import kernels as K
 
 SHINGLE_WORDS = 3
@@ -100,6 +100,29 @@ class BKTree:
         return node
 
 
+def tree_matches(tree: BKTree, held: np.ndarray, values: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``values``, position in the tree) within ``radius``, for all rows ``asked`` at once.
+
+    ``held`` are the rows that the tree was built from.  All searches go down the tree together, a level at a time.
+    """
+    sizes = np.array([len(c) for c in tree.children])
+    first = np.cumsum(sizes) - sizes
+    edge = np.array([e for c in tree.children for e in c], np.int64)
+    child = np.array([n for c in tree.children for n in c.values()], np.int64)
+    query, node = asked, np.zeros(len(asked), np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(query):
+        distance = np.bitwise_count(values[query] ^ values[held[node]]).sum(axis=1, dtype=np.int64)
+        hit = distance <= radius
+        found.append((query[hit], node[hit]))
+        n = sizes[node]
+        step = np.repeat(first[node] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        query, distance = np.repeat(query, n), np.repeat(distance, n)
+        on = np.abs(edge[step] - distance) <= radius
+        query, node = query[on], child[step[on]]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def shard_links(nodes: np.ndarray, values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """For each of the distinct ``nodes`` that has company, a link to the smallest of those it is connected to.
 
@@ -122,8 +145,13 @@ def shard_links(nodes: np.ndarray, values: np.ndarray, radius: int) -> list[tupl
         x, y = sorted((root(x), root(y)))
         parent[y] = x
 
-    asked = held = range(n)
-    if n > PIVOTS_FROM:
+    tree, numbers = BKTree(), [int.from_bytes(row.tobytes(), "little") for row in values]
+    if n <= PIVOTS_FROM:
+        for x in range(n):
+            for found in tree.near(numbers[x], radius):
+                join(x, found)
+            tree.add(numbers[x])
+    else:
         left, clusters = np.arange(n), []
         while len(left):
             near = np.bitwise_count(values[left] ^ values[left[0]]).sum(axis=1, dtype=np.int64) <= radius
@@ -131,17 +159,14 @@ def shard_links(nodes: np.ndarray, values: np.ndarray, radius: int) -> list[tupl
             for x in left[near].tolist():
                 parent[x] = int(left[0])
             left = left[~near]
-        largest = max(clusters, key=len)
-        held = np.setdiff1d(np.arange(n), largest).tolist()
-    numbers = [int.from_bytes(row.tobytes(), "little") for row in values]
-    tree, place = BKTree(), []
-    for x in held:
-        tree.add(numbers[x])
-        place.append(x)
-    for x in asked:
-        for found in tree.near(numbers[x], radius) if held else ():
-            if place[found] != x:
-                join(x, place[found])
+        held = np.setdiff1d(np.arange(n), max(clusters, key=len))
+        for x in held.tolist():
+            tree.add(numbers[x])
+        pivot = np.array(parent)
+        for block in np.array_split(np.arange(n), -(-n // 256)) if len(held) else ():
+            query, place = tree_matches(tree, held, values, block, radius)
+            for a, b in np.unique(np.column_stack([pivot[query], pivot[held[place]]]), axis=0).tolist():
+                join(a, b)
     ids = nodes.tolist()
     return [(ids[i], ids[r]) for i in range(n) if (r := root(i)) != i]
 
@@ -207,7 +232,8 @@ def shard_pairs(keyed: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> Data
         if held and len(held[0][0]) > 1 and (out := links(*held[0])) is not None:
             yield out
 
-    return shards.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, parent long").distinct()
+    # A number of partitions of its own: the rows are few bytes but much work, and Spark would merge them by bytes.
+    return shards.repartition(default_partitions(keyed.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, parent long").distinct()
 
 
 def star_components(links: DataFrame) -> DataFrame:
