@@ -1,7 +1,7 @@
 """Vectorised text kernels that run inside Spark tasks.
 
 Spark hands a task Arrow batches.  The kernels look at the UTF-8 bytes of a batch's text column as one numpy array, so
-splitting, hashing and counting need no Python object per word.  A batch is worked on in slices of a few megabytes; a
+splitting, hashing and counting need no Python object per word.  A batch is worked on in slices of a megabyte; a
 longer text is a slice of its own, so memory follows the longest text and never the partition.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 # Word alphabets as tables over byte values.

@@ -83,7 +83,7 @@ POINT = _table("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")  # ASCII punctuation but the
 class UnitEncoder:
     """Token ids of texts, with the ids of the units met so far kept up to ``most`` units."""
 
-    def __init__(self, path: str, most: int = 1 << 21):
+    def __init__(self, path: str, most: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
