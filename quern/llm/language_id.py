@@ -2,6 +2,8 @@
 
 For every language a raw-content zstandard dictionary is filled with labelled texts.  A text, in lower case, belongs to the
 language whose dictionary lets it compress to the fewest bytes.  Where the runner-up is almost as small, the text is rejected.
+A longer text is compressed in blocks, each from the dictionary afresh: a text soon becomes its own best source, and then
+the dictionaries' differences would vanish in its size.
 
 Learning is bounded: at most ``rows_per_language`` labelled rows of each language give at most ``piece_chars``
 characters each.  The rows are those with the smallest hash of doc_id, found in two steps: a count of rows by language,
@@ -24,6 +26,7 @@ UNDECIDED = "und"
 SHORT_BYTES = 300  # up to here a slower search with three-byte matches decides
 LETTER = r"\p{L}"
 _OTHER = re.compile(r"[\W\d_]+")
+BLOCK_BYTES = 1 << 14
 LEADS, LEAD_BYTES = 3, 1024
 SECOND_LOOK = 0.02  # a margin below this calls for a look at the distinct words
 NATS_PER_BYTE = 0.3
@@ -89,7 +92,10 @@ class Compressors:
 
     def sizes(self, text: bytes) -> list[float]:
         if len(text) > SHORT_BYTES:
-            return [len(c.compress(text)) for c in self.fast]
+            n = -(-len(text) // BLOCK_BYTES)
+            cuts = [len(text) * i // n for i in range(n + 1)]
+            blocks = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            return [sum(len(c.compress(b)) for b in blocks) for c in self.fast]
         return [max(0.5, sum(len(c.compress(lead + b" " + text)) - n for lead, n in leads) / LEADS) for c, leads in zip(self.fine, self.leads, strict=True)]
 
     def judge(self, raw: bytes) -> tuple[str, float, float]:

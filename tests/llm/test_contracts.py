@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import HEADS, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -300,6 +301,17 @@ def test_language_id(docs, rows):
     assert held >= 8 and right / held >= 0.9
 
 
+def test_long_texts_keep_their_margin(docs, spark):
+    """A clean text of megabytes is as sure as a short one of its kind."""
+    dictionaries, rng = language_id.fit_dictionaries(docs), random.Random(12)
+    rows = [(lang, prose(rng, lang, n)) for lang in sorted(HEADS) for n in (2_000, 300_000)]
+    assert all(len(t) > 1_000_000 for _, t in rows[1::2])
+    found = language_id.identify(spark.createDataFrame(rows, "lang string, text string"), dictionaries, keep=["lang"]).collect()
+    assert all(r.lang_pred == r.lang and r.accepted for r in found)
+    margins = {lang: [r.margin for r in found if r.lang == lang] for lang in HEADS}
+    assert all(max(m) < 2 * min(m) for m in margins.values()), margins
+
+
 def test_language_without_labels(docs):
     found = language_id.identify(docs, language_id.fit_dictionaries(docs.where("lang = 'xx'")))
     assert {(r.lang_pred, r.accepted) for r in found.collect()} == {("und", False)}
