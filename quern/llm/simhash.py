@@ -31,8 +31,10 @@ RADIUS = 3
 SEED = 42
 SHARD_LIMIT = 4096
 PIVOTS_FROM = 32
-WIDE_WORDS, WIDE_RADIUS, WIDE_SHINGLE_WORDS, WIDE_SHARD_LIMIT = 4, 46, 5, 1024
+WIDE_WORDS, WIDE_RADIUS, WIDE_SHINGLE_WORDS, WIDE_SHARD_LIMIT = 4, 76, 5, 1024
 KEYS = 8
+LEAST_SHARE = 0.8
+EXACT_BYTES = 1 << 24  # shingle hashes of a chunk
 
 
 def fingerprint_batch(part: pa.RecordBatch, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -288,12 +290,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
     return _components(prints, linked_pairs(prints.select("fp").distinct(), radius))
 
 
-def wide_fingerprint_batch(part: pa.RecordBatch, shingle_words: int = WIDE_SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """256-bit fingerprints of each text as rows of four words, and the keys of the shards it belongs to.
-
-    A key is the smallest of the shingles' hashes in one of KEYS orders: two texts of which a share of the shingles is
-    common have the same one with that probability, so at a share of 0.8 all but 3 in a million pairs meet.
-    """
+def shingle_batch(part: pa.RecordBatch, shingle_words: int = WIDE_SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, sorted within a text, and the text of each."""
     words = K.batch_words(part, K.SPACED, lower=True)
     hashes, counts, first = words.hashes(), words.counts, words.first[:-1]
     at, grams = words.ngram_hashes(shingle_words, hashes)
@@ -303,9 +301,31 @@ def wide_fingerprint_batch(part: pa.RecordBatch, shingle_words: int = WIDE_SHING
         if len(short):
             grams = np.concatenate([grams, K.rolling(hashes, size)[first[short]]])
             owner = np.concatenate([owner, short])
-    order = np.argsort(owner, kind="stable")
+    order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
-    prints, keys = np.zeros((len(counts), WIDE_WORDS), K.U64), np.zeros((len(counts), KEYS), K.U64)
+    new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])[: len(grams)]
+    return grams[new], owner[new]
+
+
+def set_hashes(grams: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """A hash of each text's set of shingles, 0 for one without words."""
+    out = np.zeros(texts, K.U64)
+    if len(grams):
+        head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[owner[head]] = K.mix(np.add.reduceat(K.mix(grams ^ K.mix(np.array([99], K.U64))), head))
+    return out
+
+
+def wide_fingerprint_batch(part: pa.RecordBatch, shingle_words: int = WIDE_SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """256-bit fingerprints of each text's distinct shingles as rows of four words, the keys of the shards it belongs to,
+    and the hash of its shingles.
+
+    A key is the smallest of the shingles' hashes in one of KEYS orders: two texts of which a share of the shingles is
+    common have the same one with that probability, so at a share of 0.8 all but 3 in a million pairs meet.
+    """
+    texts = part.num_rows
+    grams, owner = shingle_batch(part, shingle_words)
+    prints, keys = np.zeros((texts, WIDE_WORDS), K.U64), np.zeros((texts, KEYS), K.U64)
     if len(grams):
         head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         n = np.diff(np.append(head, len(owner)))
@@ -315,29 +335,114 @@ def wide_fingerprint_batch(part: pa.RecordBatch, shingle_words: int = WIDE_SHING
             prints[owner[head], w] = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(K.U64).ravel()
         for i in range(KEYS):
             keys[owner[head], i] = K.mix(np.minimum.reduceat(K.mix(grams ^ K.mix(np.array([i + 101], K.U64))), head) + K.U64(i))
-    return prints, keys
+    return prints, keys, set_hashes(grams, owner, texts)
+
+
+def exact_links(nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], radius: int = WIDE_RADIUS) -> list[tuple[int, int]]:
+    """For each of the ``nodes`` that has company, a link to the smallest of those it is connected to by pairs that share
+    LEAST_SHARE of their shingles.  Pairs whose fingerprints are farther apart than ``radius`` are not compared."""
+    order = np.argsort(nodes)
+    nodes, prints, n = nodes[order], prints[order], len(nodes)
+    sizes = np.array([len(sets[i]) for i in order])
+    first = np.cumsum(sizes) - sizes
+    distinct, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    mark, label = np.zeros(len(distinct), bool), np.arange(n)
+
+    def similar(x: int, others: np.ndarray) -> np.ndarray:
+        few, many = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+        others = others[few >= LEAST_SHARE * many]
+        others = others[np.bitwise_count(prints[others] ^ prints[x]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(others):
+            return others
+        own, size = flat[first[x] : first[x] + sizes[x]], sizes[others]
+        head = np.cumsum(size) - size
+        mark[own] = True
+        both = np.add.reduceat(mark[flat[np.repeat(first[others] - head, size) + np.arange(int(size.sum()))]], head, dtype=np.int64)
+        mark[own] = False
+        return others[both / (sizes[x] + size - both) >= LEAST_SHARE]
+
+    left = np.arange(n)
+    while len(left):  # what is similar to a pivot is one cluster at once
+        near = similar(int(left[0]), left[1:])
+        label[near] = left[0]
+        left = left[label[left] != left[0]]
+    for x in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        for other in np.unique(label[similar(x, np.flatnonzero(label != label[x]))]).tolist():
+            low, high = sorted((int(label[x]), other))
+            label[label == high] = low
+    ids = nodes.tolist()
+    return [(ids[i], ids[r]) for i, r in enumerate(label.tolist()) if r != i]
+
+
+def similar_pairs(docs: DataFrame, members: DataFrame, shingle_words: int, limit: int = WIDE_SHARD_LIMIT) -> DataFrame:
+    """Links (node, parent) whose connected sets are those of all pairs that share LEAST_SHARE of their shingles.
+
+    ``members`` has node, root and bits: a pair is looked at if it has the same root.  The shingles of the members are
+    fetched once from ``docs``; a root with many of them is cut into chunks, and every pair of chunks is a shard.
+    """
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        grams, owner = shingle_batch(part, shingle_words)
+        cuts = pa.array(8 * np.searchsorted(owner, np.arange(part.num_rows + 1)), pa.int32())
+        held = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, cuts.buffers()[1], pa.py_buffer(grams.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(K.signed(set_hashes(grams, owner, part.num_rows))), held], names=["node", "shingles"])
+
+    sets = K.map_texts(docs.select(F.col("text").cast("string").alias("text")), work, "node long, shingles binary")
+    sets = sets.join(broadcast_if_small(members, "members", 1 << 19), "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("root", "bits", "shingles")))
+    sets = stage_table(sets, "shingles")
+    wanted = F.greatest(F.count("*") / limit, F.sum(F.length("shingles").cast("long")) / EXACT_BYTES)
+    counts = sets.groupBy("root").agg(F.ceil(wanted).cast("int").alias("chunks"))
+    met = sets.join(counts, "root").withColumn("met", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    keys = ["root", "low", "high"]
+    shards = met.select("root", F.least(own, "met").alias("low"), F.greatest(own, "met").alias("high"), "node", "bits", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                prints = np.frombuffer(b"".join(h[1] for h in held), K.U64).reshape(len(held), -1)
+                found = exact_links(np.array([h[0] for h in held], np.int64), prints, [np.frombuffer(h[2], K.U64) for h in held])
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["node", "parent"])
+
+        for batch in batches:
+            columns = [batch.column(c) for c in (*keys, "node", "bits", "shingles")]
+            for i in range(batch.num_rows):
+                *now, node, bits, shingles = (c[i].as_py() for c in columns)
+                if now != key:
+                    yield from links()
+                    key, held = now, []
+                held.append((node, bits, shingles))
+        yield from links()
+
+    return shards.repartition(default_partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, parent long").distinct()
 
 
 def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, shingle_words: int = WIDE_SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp and component_id of every row, as :func:`near_duplicates`, at a similarity of about 0.8 or more.
+    """doc_id, fp and component_id of every row, as :func:`near_duplicates`, by pairs of texts that have a share of 0.8 or
+    more of their distinct five-word shingles in common.
 
-    Three bits of 64 are closer than that: they tell apart texts of which a few words in a hundred differ.  Here
-    fingerprints have 256 bits of five-word shingles, of which texts with a share of 0.8 in common differ in 39 on
-    average; the radius lets pass nine in ten of those, and nearly all of the closer ones.  Rows without words are one group.
+    Texts with the same shingles are one node.  Fingerprints only find candidates: at a share of 0.8 those of 256 bits
+    differ in 39 on average, of the shortest texts (four shingles of five) in 48, so nothing but a few pairs in a million
+    is beyond the radius; the candidates' shingles are then compared.  Rows without words are one group.
     """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        prints, keys = wide_fingerprint_batch(part, shingle_words)
+        prints, keys, nodes = wide_fingerprint_batch(part, shingle_words)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * KEYS, pa.int32()), pa.array(K.signed(keys).ravel()))
         raw = np.ascontiguousarray(prints).tobytes()
         size = 8 * WIDE_WORDS
-        return K.with_columns(part, fp=pa.array([raw[i * size : (i + 1) * size] for i in range(part.num_rows)], pa.binary()), keys=lists)
+        return K.with_columns(part, fp=pa.array([raw[i * size : (i + 1) * size] for i in range(part.num_rows)], pa.binary()), keys=lists, node=K.signed(nodes))
 
-    prints = K.map_texts(K.documents_of(docs), work, "doc_id long, fp binary, keys array<long>")
-    prints = stage_table(prints.withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
+    prints = K.map_texts(K.documents_of(docs), work, "doc_id long, fp binary, keys array<long>, node long")
+    prints = stage_table(prints, "wide-fingerprints")
     nodes = prints.groupBy("node").agg(F.first("fp").alias("bits"), F.first("keys").alias("keys"))
-    keyed = nodes.select("node", "bits", F.explode("keys").alias("key"))
-    return _components(prints.drop("keys"), shard_pairs(keyed, radius, WIDE_SHARD_LIMIT))
+    roots = star_components(shard_pairs(nodes.select("node", "bits", F.explode("keys").alias("key")), radius, WIDE_SHARD_LIMIT))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = roots.join(nodes.select("node", "bits"), "node")
+    return _components(prints.drop("keys"), similar_pairs(docs, members, shingle_words))
 
 
 def fingerprint_text(fp: str = "fp") -> F.Column:

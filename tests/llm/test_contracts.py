@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import HEADS, prose
 from pyspark.sql import functions as F
@@ -147,6 +148,38 @@ def test_similar_documents(spark):
     assert all(found[d] == d for d, (g, c) in kin.items() if c in (0, 3))
 
 
+def test_similar_documents_against_brute_force(spark):
+    """Pairs just above and below 0.8, short texts, and texts that share nothing but a repeated shingle."""
+    rng, rows = random.Random(21), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for k in range(120):
+        n = rng.choice([8, 9, 40, 100, 200])
+        words = [word() for _ in range(n)]
+        last = max(1, round((n - 4) * rng.uniform(0.05, 0.18)))  # so many shingles are others
+        rows += [" ".join(words), " ".join(words[:-last] + [word() for _ in range(last)]) if k % 2 else " ".join(words[: n - last])]
+    rows += [" ".join(["spam spam spam spam spam"] * 40 + [word() for _ in range(20)]) for _ in range(6)]
+    sets = [brute.shingles(t) for t in rows]
+    parent = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((parent[a], parent[b]))
+                parent = [low if p == high else p for p in parent]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()}
+    assert found == dict(enumerate(parent))
+    assert 30 < sum(p != i for i, p in enumerate(parent)) < 110
+
+
+@pytest.mark.parametrize("limit", [2, 1024])
+def test_exact_links_in_chunks(spark, limit):
+    """A chain of texts, each similar to the next alone, holds together over chunks."""
+    words = [f"w{i}" for i in range(140)]
+    docs = spark.createDataFrame([(k, " ".join(words[4 * k : 4 * k + 60])) for k in range(20)], "doc_id long, text string")
+    prints = docs.select("text").mapInArrow(lambda parts: (pa.RecordBatch.from_arrays([pa.array(kernels.signed(n)), pa.array([x.tobytes() for x in p])], names=["node", "bits"]) for p, _, n in map(simhash.wide_fingerprint_batch, parts)), "node long, bits binary")
+    links = simhash.similar_pairs(docs, prints.withColumn("root", F.lit(0).cast("long")), 5, limit)
+    assert len({r.root for r in simhash.star_components(links).collect()}) == 1 and simhash.star_components(links).count() == 19
+
+
 def test_key_scheme_never_misses():
     for n in (1, 10**6, 10**9, 10**13):
         blocks, equal = simhash.key_scheme(n)
