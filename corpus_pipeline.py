@@ -20,14 +20,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group; of rows with that doc_id one stays.  Rows without a doc_id all stay."""
-    found = stage_table(simhash.similar_documents(docs), "similar")
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    """One row of each group: that of smallest doc_id, and of those with that doc_id the one of smallest hash.  Rows without a doc_id all stay."""
+    key = kernels.free_name("_row_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    found = stage_table(simhash.similar_documents(keyed, key=key).where("doc_id is not null"), "similar")
+    gone = found.where(F.struct("doc_id", "row_key") != F.col("component_id")).select(F.col("row_key").alias(key)).distinct()
     gone = broadcast_if_small(gone, "near-copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    kept = keyed.join(gone, key, "left_anti")
+    if found.groupBy("row_key").count().where("count > 1").limit(1).count():  # rows equal in all columns
+        kept = kept.where("doc_id is not null").dropDuplicates([key]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

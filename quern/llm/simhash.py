@@ -267,9 +267,12 @@ def star_components(links: DataFrame) -> DataFrame:
     return now.withColumnRenamed("parent", "root")
 
 
-def _components(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of rows (doc_id, node, fp) from links between nodes."""
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+def _components(prints: DataFrame, links: DataFrame, name: F.Column | None = None) -> DataFrame:
+    """doc_id, fp and component_id of rows (doc_id, node, fp and others) from links between nodes; the others are kept.
+
+    A component's id is the smallest ``name`` (default doc_id) of its rows.
+    """
+    nodes = prints.groupBy("node").agg(F.min(F.col("doc_id") if name is None else name).alias("first_id"))
     roots = star_components(links)
     # (node, root) of linked nodes, and of their roots too
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
@@ -277,7 +280,8 @@ def _components(prints: DataFrame, links: DataFrame) -> DataFrame:
     named = nodes.join(linked.join(firsts, "root"), "node", "left").select("node", F.coalesce("root_id", "first_id").alias("component_id"))
     # As a table of its own it is broadcast if small, and else joined by a shuffle whose hot nodes Spark can split.
     named = broadcast_if_small(named, "components", 1 << 19)
-    return prints.join(named, "node", "left").select("doc_id", "fp", "component_id")
+    others = [c for c in prints.columns if c not in ("doc_id", "node", "fp")]
+    return prints.join(named, "node", "left").select("doc_id", "fp", "component_id", *others)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -420,13 +424,16 @@ def similar_pairs(docs: DataFrame, members: DataFrame, shingle_words: int, limit
     return shards.repartition(default_partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, parent long").distinct()
 
 
-def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, shingle_words: int = WIDE_SHINGLE_WORDS) -> DataFrame:
+def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, shingle_words: int = WIDE_SHINGLE_WORDS, key: str | None = None) -> DataFrame:
     """doc_id, fp and component_id of every row, as :func:`near_duplicates`, by pairs of texts that have a share of 0.8 or
     more of their distinct five-word shingles in common.
 
     Texts with the same shingles are one node.  Fingerprints only find candidates: at a share of 0.8 those of 256 bits
     differ in 39 on average, of the shortest texts (four shingles of five) in 48, so nothing but a few pairs in a million
     is beyond the radius; the candidates' shingles are then compared.  Rows without words are one group.
+
+    With ``key``, a column of longs that tells apart rows of one doc_id, there is a column row_key with it, and
+    component_id is the (doc_id, row_key) that is smallest among rows with a doc_id, null if there are none.
     """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -436,13 +443,17 @@ def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, shingle_words:
         size = 8 * WIDE_WORDS
         return K.with_columns(part, fp=pa.array([raw[i * size : (i + 1) * size] for i in range(part.num_rows)], pa.binary()), keys=lists, node=K.signed(nodes))
 
-    prints = K.map_texts(K.documents_of(docs), work, "doc_id long, fp binary, keys array<long>, node long")
+    rows, held = K.documents_of(docs), ""
+    if key is not None:
+        rows, held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("row_key")), "row_key long, "
+    prints = K.map_texts(rows, work, f"doc_id long, {held}fp binary, keys array<long>, node long")
     prints = stage_table(prints, "wide-fingerprints")
     nodes = prints.groupBy("node").agg(F.first("fp").alias("bits"), F.first("keys").alias("keys"))
     roots = star_components(shard_pairs(nodes.select("node", "bits", F.explode("keys").alias("key")), radius, WIDE_SHARD_LIMIT))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     members = roots.join(nodes.select("node", "bits"), "node")
-    return _components(prints.drop("keys"), similar_pairs(docs, members, shingle_words))
+    name = None if key is None else F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))
+    return _components(prints.drop("keys"), similar_pairs(docs, members, shingle_words), name)
 
 
 def fingerprint_text(fp: str = "fp") -> F.Column:
