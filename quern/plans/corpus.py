@@ -133,4 +133,11 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select("item_id", "question", F.size("v").alias("n_variants"), F.element_at("v", 2).alias("second"))
 
 
+@R.query()
+def query_variants_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants of every benchmark item; query_variants has those items whose variants are constants of its SQL."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("What amount is due? "), "text").alias("question"))
+    return rows.withColumn("variants", expanded_variants(F.col("question")))
+
+
 QUERIES, SQL = R.queries, R.sql
