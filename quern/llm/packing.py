@@ -1,14 +1,14 @@
 """Packing token sequences into windows by multiway differencing.
 
-Each task packs the documents of its own partition, so nothing is shuffled.  Whole windows are cut off long documents
-first.  What is left of the documents is packed in small groups by the method of Karmarkar and Karp: every piece begins
-as a partial partition of ``k`` windows, the two partial partitions with the largest spread are merged so that the
-fullest window of one meets the emptiest of the other, until one is left with near-equal windows.  If a window exceeds
-the capacity, the group is packed again with one window more.
-
-The windows that this leaves slightly short are then filled up: the emptiest are taken apart and cut to fit the gaps of
-the others.  What is over goes to the next group, and at the end of a partition into windows whose lengths are powers
-of two, which need no padding.
+Each task packs the documents of its own partition, so nothing is shuffled.  Documents wait in small groups until their
+ids fill ``k`` windows; what is more stays for the next group.  A group is packed by the method of Karmarkar and Karp:
+every piece begins as a partial partition of ``k`` windows, the two partial partitions with the largest spread are merged
+so that the fullest window of one meets the emptiest of the other, until one is left with near-equal windows.
+
+A window of more than the capacity is not cut short there: what is over is cut off its largest piece, the cut becomes a
+piece of its own, and the group is differenced again, so that small pieces settle what large ones left unequal.  If that
+does not end, the number of windows rises.  Windows are written as differencing gives them.  The last ids of a partition,
+fewer than a window, become windows whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,34 +26,31 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 from .tokens import encode_batch
 
+ROUNDS = 24  # tries before the number of windows rises
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """``k`` groups of near-equal sums of the positions of ``sizes``, by the largest differencing method."""
-    empty = None
-    heap: list[tuple[int, int, np.ndarray, list]] = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = size
-        heap.append((-size, i, sums, [i] + [empty] * (k - 1)))
+    # A partial partition is k pairs (sum, members) in descending order; members are nested pairs until the end.
+    idle: list[tuple[int, tuple | int | None]] = [(0, None)] * (k - 1)
+    heap = [(-size, i, [(size, i), *idle]) for i, size in enumerate(sizes)]
     if not heap:
         return [[] for _ in range(k)]
     heapq.heapify(heap)
     tick = len(sizes)
+    total = itemgetter(0)
     while len(heap) > 1:
-        _, _, a, members_a = heapq.heappop(heap)
-        _, _, b, members_b = heapq.heappop(heap)
-        total = a + b[::-1]  # both are in descending order, so opposing imbalances meet
-        order = np.argsort(-total, kind="stable")
-        merged = [y if x is empty else x if y is empty else (x, y) for x, y in zip(members_a, reversed(members_b), strict=True)]
-        total = total[order]
-        base = total[-1]
-        heapq.heappush(heap, (int(base - total[0]), tick, total, [merged[i] for i in order]))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heap[0]
+        # Both are in descending order, so opposing imbalances meet.
+        met = [(x + y, n if m is None else m if n is None else (m, n)) for (x, m), (y, n) in zip(a, reversed(b), strict=True)]
+        met.sort(key=total, reverse=True)
+        heapq.heapreplace(heap, (met[-1][0] - met[0][0], tick, met))
         tick += 1
     groups = []
-    for tree in heap[0][3]:
-        leaves, todo = [], [tree] if tree is not empty else []
+    for _, tree in heap[0][2]:
+        leaves, todo = [], [] if tree is None else [tree]
         while todo:
             x = todo.pop()
             if isinstance(x, tuple):
@@ -63,46 +61,76 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return groups
 
 
+Piece = tuple[int, int, int]  # document's place in the batch list, first id, number of ids
+
+
 def balanced_windows(sizes: list[int], capacity: int) -> list[list[int]]:
     """Groups of positions none of which exceeds ``capacity``; the number of windows rises until that holds."""
-    total = sum(sizes)
-    k = max(1, -(-total // capacity))
+    k = max(1, -(-sum(sizes) // capacity))
     while True:
         groups = differencing(sizes, k)
-        if max(sum(sizes[i] for i in g) for g in groups) <= capacity or k >= len(sizes):
+        if max((sum(sizes[i] for i in g) for g in groups), default=0) <= capacity or k >= len(sizes):
             return [g for g in groups if g]
         k += 1
 
 
-Piece = tuple[int, int, int]  # document's place in the batch list, first id, number of ids
-
+def filled_windows(pieces: list[Piece], k: int, capacity: int, rounds: int = ROUNDS) -> list[list[Piece]]:
+    """``k`` windows of ``pieces`` as differencing gives them, none above ``capacity``, or more windows if that takes more.
 
-def level(windows: list[list[Piece]], capacity: int) -> tuple[list[list[Piece]], list[Piece]]:
-    """Fill windows to ``capacity`` with what the emptiest hold; the full ones, and pieces of less than one window."""
-    size = lambda w: sum(p[2] for p in w)
-    windows = sorted(windows, key=size, reverse=True)
-    total = sum(size(w) for w in windows)
-    full, spare = windows[: total // capacity], [p for w in windows[total // capacity :] for p in w]
-    spare.sort(key=lambda p: p[2])
-    for w in full:
-        gap = capacity - size(w)
-        while gap:
-            doc, first, n = spare.pop()
-            take = min(n, gap)
-            w.append((doc, first, take))
-            if n > take:
-                spare.append((doc, first + take, n - take))
-            gap -= take
-    return full, spare
-
-
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_windows: int = 16) -> DataFrame:
+    After each try, what a window has above the capacity is cut off its largest piece.  Every ``rounds`` tries the number
+    of windows rises by one, so that this ends: cuts only make pieces smaller.
+    """
+    pieces, tries = list(pieces), 0
+    while True:
+        groups = differencing([p[2] for p in pieces], k)
+        over = [(g, n) for g in groups if (n := sum(pieces[i][2] for i in g) - capacity) > 0]
+        if not over:
+            return [[pieces[i] for i in g] for g in groups if g]
+        for group, n in over:
+            i = max(group, key=lambda j: pieces[j][2])
+            doc, first, length = pieces[i]
+            n = min(n, length - 1) or 1
+            pieces[i] = (doc, first, length - n)
+            pieces.append((doc, first + length - n, n))
+        pieces = [p for p in pieces if p[2]]
+        tries += 1
+        k += tries % rounds == 0
+
+
+def in_order(window: list[Piece]) -> list[Piece]:
+    """Pieces by document and place; those that lie next to each other in one document are one piece."""
+    out: list[Piece] = []
+    for doc, first, n in sorted(window):
+        if out and out[-1][0] == doc and out[-1][1] + out[-1][2] == first:
+            out[-1] = (doc, out[-1][1], out[-1][2] + n)
+        else:
+            out.append((doc, first, n))
+    return out
+
+
+def take_ids(pieces: list[Piece], wanted: int) -> tuple[list[Piece], list[Piece]]:
+    """The first ``wanted`` ids of ``pieces``, and the rest; a piece is cut where the border falls."""
+    taken, rest = [], []
+    for doc, first, n in pieces:
+        here = min(n, wanted)
+        taken += [(doc, first, here)] * (here > 0)
+        rest += [(doc, first + here, n - here)] * (n > here)
+        wanted -= here
+    return taken, rest
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_windows: int = 16, whole: bool = False) -> DataFrame:
     """Pack every text of ``docs`` (doc_id, text) into sequences of at most ``capacity`` ids.
 
     One row for each piece of a document: where it begins in the document, its length, a checksum of its ids, the ids
-    of the whole document, its sequence, and where in that sequence it lies.  Every sequence is full or a power of two
-    long.  A null text is empty, so its end id alone is packed.  Rows that share a doc_id (or have none) are packed as
-    documents of their own.  Sequence ids are unique, not dense: the task is in their upper half.
+    of the whole document, its sequence, and where in that sequence it lies.  A sequence of fewer than ``capacity`` ids
+    that is no power of two long is to be padded; it only occurs where the number of windows of a group had to rise.  A
+    null text is empty, so its end id alone is packed.  Rows that share a doc_id (or have none) are packed as documents
+    of their own.  A text of any length is one document, cut into pieces of at most ``capacity``.  No rows: no pieces.
+    Sequence ids are unique, not dense: the task is in their upper half.
+
+    With ``whole``, documents are cut at multiples of ``capacity`` only, and the number of windows of a group rises
+    instead, so sequences have gaps at their ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,28 +138,30 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
         docs_held: list[tuple[int | None, np.ndarray]] = []
         open_pieces: list[Piece] = []
         out: list[tuple] = []
-        full: list[list[Piece]] = []
         waiting = 0
 
         def emit(windows: list[list[Piece]]) -> None:
             nonlocal next_id
             for w in windows:
                 offset = 0
-                for doc, first, n in w:
+                for doc, first, n in in_order(w):
                     doc_id, ids = docs_held[doc]
                     out.append((doc_id, first, n, zlib.crc32(ids[first : first + n].tobytes()), len(ids), next_id, offset))
                     offset += n
                 next_id += 1
 
-        def close_group() -> None:
+        def close_group(k: int) -> None:
             nonlocal open_pieces, docs_held, waiting
-            windows = balanced_windows([p[2] for p in open_pieces], capacity)
-            done, spare = level([[open_pieces[i] for i in w] for w in windows], capacity)
-            emit(done)
-            kept = sorted({p[0] for p in spare})
+            if whole:
+                now, rest = open_pieces, []
+                emit([[now[i] for i in g] for g in balanced_windows([p[2] for p in now], capacity)])
+            else:
+                now, rest = take_ids(open_pieces, k * capacity)
+                emit(filled_windows(now, k, capacity))
+            kept = sorted({p[0] for p in rest})
             place = {d: i for i, d in enumerate(kept)}
             docs_held = [docs_held[d] for d in kept]
-            open_pieces = [(place[d], first, n) for d, first, n in spare]
+            open_pieces = [(place[d], first, n) for d, first, n in rest]
             waiting = sum(p[2] for p in open_pieces)
 
         def rows() -> pa.RecordBatch:
@@ -145,27 +175,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     docs_held.append((doc_id, ids[a:b].astype("<u4")))
                     doc, n = len(docs_held) - 1, b - a
-                    whole = n - n % capacity
-                    emit([[(doc, first, capacity)] for first in range(0, whole, capacity)])
-                    if n > whole:
-                        open_pieces.append((doc, whole, n - whole))
-                        waiting += n - whole
-                    if waiting >= group_windows * capacity:
-                        close_group()
+                    open_pieces += [(doc, first, min(capacity, n - first)) for first in range(0, n, capacity)]
+                    waiting += n
+                    while waiting >= group_windows * capacity:
+                        close_group(group_windows)
                 if out:
                     yield rows()
-        if open_pieces:
-            close_group()
+        if waiting >= capacity or (whole and waiting):
+            close_group(waiting // capacity)
         while open_pieces:  # less than one window is left
-            room = 1 << (sum(p[2] for p in open_pieces).bit_length() - 1)
-            window, rest = [], []
-            for doc, first, n in open_pieces:
-                take = min(n, room)
-                window += [(doc, first, take)] * (take > 0)
-                rest += [(doc, first + take, n - take)] * (n > take)
-                room -= take
+            window, open_pieces = take_ids(open_pieces, 1 << (sum(p[2] for p in open_pieces).bit_length() - 1))
             emit([window])
-            open_pieces = rest
         if out:
             yield rows()
 

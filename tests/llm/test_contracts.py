@@ -316,6 +316,37 @@ def test_differencing_balances_and_raises_the_count():
     assert len(packing.balanced_windows([1500, 1500, 1000], 2048)) == 3
 
 
+def test_windows_are_those_of_differencing(monkeypatch):
+    """What is written is what the last differencing gave, full windows throughout, each id once."""
+    rng, calls, method = random.Random(7), [], packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, k: calls.append((sizes, method(sizes, k))) or calls[-1][1])
+    for _ in range(20):
+        pieces = [(d, 0, rng.randint(1, 1500)) for d in range(60)]
+        k = sum(p[2] for p in pieces) // 2048
+        now, rest = packing.take_ids(pieces, k * 2048)
+        assert sum(p[2] for p in now) == k * 2048 and sum(p[2] for p in now + rest) == sum(p[2] for p in pieces)
+        windows = packing.filled_windows(now, k, 2048)
+        sizes, groups = calls[-1]
+        assert [[p[2] for p in w] for w in windows] == [[sizes[i] for i in g] for g in groups if g]
+        assert [sum(p[2] for p in w) for w in windows] == [2048] * k
+        ids = [(doc, i) for w in windows for doc, first, n in w for i in range(first, first + n)]
+        assert sorted(ids) == [(doc, i) for doc, first, n in now for i in range(first, first + n)]
+
+
+def test_packing_of_whole_and_of_very_long_documents(spark):
+    rng = random.Random(9)
+    rows = [(0, prose(rng, "en", 300_000)), *((i, prose(rng, "fr", rng.randint(1, 400))) for i in range(1, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for whole in (False, True):
+        found, used = packing.pack_documents(docs, WORD, whole=whole).collect(), {}
+        assert sum(r.length for r in found) == sum(r.doc_tokens for r in found if r.start == 0)
+        for r in found:
+            used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+        assert max(used.values()) == 2048
+        assert whole or sum(n < 2048 for n in used.values()) <= 11
+        assert not whole or all(r.start % 2048 == 0 for r in found)
+
+
 def test_language_id(docs, rows):
     dictionaries = language_id.fit_dictionaries(docs, kernels.remainder() != 0)
     assert set(dictionaries) <= {"en", "fr", "de"}
