@@ -1,25 +1,29 @@
 """Exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-A component of a vector is a term: its postings are the vectors of a block with a weight other than zero there.  Query
-rows are taken in chunks of a fixed size, the only thing that is broadcast.  For each chunk every task walks the terms
-of its candidate blocks, and every query with a weight on the term scatters weight times postings into a dense array of
-scores.  A task selects its best k of each query; a window over these few rows merges the tasks.
+A component of a vector is a term: its postings are the vectors of a block with a weight other than zero there.  Queries
+are dealt into groups of a bounded size and candidates into groups too, and every pair of groups is a cell, which is one
+unit of a shuffle: the number of cells grows with the data, the plan and the driver's work do not.  A cell holds its
+queries and streams its candidates in blocks: it walks their terms, and every query with a weight on the term scatters
+weight times postings into a dense array of scores.  A cell selects its best k of each query; a window over these few
+rows merges the cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_CHUNK = 4096  # queries broadcast at once
+from ..storage import default_partitions
+
+QUERY_CHUNK = 16384  # queries of a cell, about
 BLOCK = 4096  # candidates scored at once
 QUERY_BLOCK = 256  # queries scored at once
-SAFE = 1 << 62
+LARGE = 1 << 25  # products of smaller weights fit a long in vectors of up to 4,096 components
+LONG = (1 << 63) - 1
 
 
 def _usable(vector: Column) -> Column:
@@ -27,7 +31,10 @@ def _usable(vector: Column) -> Column:
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """vec_id and weights floor(scale * component); rows without an id or with a component that is no finite number are left out."""
+    """vec_id and weights floor(scale * component); rows without an id or with a component that is no finite number are left out.
+
+    A weight beyond a long is the nearest long.
+    """
     doubles = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("_v")).where(F.col("vec_id").isNotNull() & _usable(F.col("_v")))
     return rows.select("vec_id", F.transform("_v", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("weights"))
@@ -47,15 +54,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores of every query with every candidate, a term at a time."""
+    """Scores of every query with every candidate, a term at a time; a score beyond a long is the nearest long."""
     width = min(queries.shape[1], candidates.shape[1])
-    bound = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(candidates.astype(float)).max(initial=0)) * max(width, 1)
-    kind = np.int32 if bound < 2**31 - 1 else np.int64
-    if bound >= SAFE:
-        raise OverflowError("an inner product of these vectors may not fit a long")
+    queries, candidates = queries[:, :width], candidates[:, :width]
+    most = [np.abs(x.astype(float)).max(axis=1, initial=0.0) for x in (queries, candidates)]
+    large = [m >= LARGE / max(1.0, (width / 4096) ** 0.5) for m in most]
+    if not (large[0].any() or large[1].any()):
+        bound = most[0].max(initial=0.0) * most[1].max(initial=0.0) * max(width, 1)
+        return _scatter(queries, candidates, np.int32 if bound < 2**31 - 1 else np.int64)
+    # The few rows with very large weights are scored in whole numbers of any size.
+    out = np.zeros((len(queries), len(candidates)), np.int64)
+    small = [~x for x in large]
+    out[np.ix_(small[0], small[1])] = _scatter(queries[small[0]], candidates[small[1]], np.int64)
+    for rows, columns in ((large[0], np.ones(len(candidates), bool)), (small[0], large[1])):
+        if rows.any() and columns.any():
+            exact = queries[rows].astype(object) @ candidates[columns].astype(object).T
+            out[np.ix_(rows, columns)] = np.clip(exact, -LONG - 1, LONG).astype(np.int64)
+    return out
+
+
+def _scatter(queries: np.ndarray, candidates: np.ndarray, kind: type) -> np.ndarray:
     queries, candidates = queries.astype(kind), candidates.astype(kind)
     scores = np.zeros((len(queries), len(candidates)), kind)
-    for term in range(width):
+    for term in range(queries.shape[1]):
         rows = np.flatnonzero(queries[:, term])
         postings = np.flatnonzero(candidates[:, term])
         if not len(rows) or not len(postings):
@@ -92,43 +113,64 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
 
     ``is_query`` is a condition on vec_id.  Every row is a candidate, rows with equal vec_id each on their own, but none
     with the query's own id.  Query rows with equal id and vector are one query; with equal id and other vectors each
-    is answered.  Fewer than ``k`` others: all of them.  No query or no vector: no row.  Rows with a null id
-    or vector, or with a component that is null or not finite, take no part.  Scores beyond a long are an error.
+    is answered.  Equal scores by smaller vec_id.  Fewer than ``k`` others: all of them.  No query or no vector: no row.
+    Rows with a null id or vector, or with a component that is null or not finite, take no part; a component that is
+    missing at the end of a shorter vector weighs nothing.  Weights and scores beyond a long are the nearest long.
+    Other columns are not looked at.
     """
-    spark = vectors.sparkSession
+    parts = default_partitions(vectors.sparkSession)
     rows = quantised(vectors, scale)
     queries = rows.where(is_query).dropDuplicates()
-    chunks = max(1, -(-queries.count() * 5 // (query_chunk * 4)))
-    placed = queries.withColumn("_chunk", F.pmod(F.xxhash64("vec_id", "weights"), F.lit(chunks)))
-
-    def search(chunk: int) -> DataFrame:
-        picked = placed.where(F.col("_chunk") == chunk).select("vec_id", "weights").toArrow().combine_chunks()
-        ids = picked.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        weights = _matrix(picked.column("weights")) if len(ids) else np.zeros((0, 0), np.int64)
-        shared = spark.sparkContext.broadcast((ids[order], weights[order]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, wanted = shared.value
-            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(at, BLOCK)
-                    there, ids_ = _matrix(part.column("weights")), part.column("vec_id").to_numpy()
-                    for first in range(0, len(own), QUERY_BLOCK):
-                        scores = accumulate(wanted[first : first + QUERY_BLOCK], there)
-                        q, i, s = best_of(scores, ids_, own[first : first + QUERY_BLOCK], k)
-                        best.append((q + first, i, s))
-                if len(best) > 64:
-                    best = [_reduce(best, k)]
+    groups = max(1, -(-queries.count() // query_chunk))
+    deals = max(1, -(-parts // groups))  # candidate groups, so that there are cells for all partitions
+    own = F.xxhash64("vec_id", "weights")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.pmod(own, F.lit(groups)).cast("int").alias("group"), every(deals).alias("deal"), F.lit(True).alias("query"), "vec_id", F.xxhash64("weights").alias("version"), "weights")
+    there = rows.select(every(groups).alias("group"), F.pmod(own, F.lit(deals)).cast("int").alias("deal"), F.lit(False).alias("query"), "vec_id", F.lit(0).cast("long").alias("version"), "weights")
+    cells = asked.unionByName(there).withColumn("cell", F.col("group") * deals + F.col("deal")).drop("group", "deal")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, wanted = -1, [], None
+        best: list[tuple[np.ndarray, ...]] = []
+
+        def answer() -> Iterator[pa.RecordBatch]:
             if best:
                 q, i, s = _reduce(best, k)
-                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "query_row", "vec_id", "score"])
-
-        return rows.mapInArrow(run, "query_id long, query_row long, vec_id long, score long")
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[0][q]), pa.array(wanted[1][q]), pa.array(i), pa.array(s)], names=["query_id", "version", "vec_id", "score"])
+                best.clear()
+
+        for batch in batches:
+            cell_of = batch.column("cell").to_numpy()
+            is_asked = batch.column("query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((cell_of[1:] != cell_of[:-1]) | (is_asked[1:] != is_asked[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if cell_of[a] != cell:
+                    yield from answer()
+                    cell, held, wanted = cell_of[a], [], None
+                if is_asked[a]:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if not held:
+                    continue
+                if wanted is None:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    wanted = table.column("vec_id").to_numpy(), table.column("version").to_numpy(), _matrix(table.column("weights"))
+                for at in range(a, b, BLOCK):
+                    part = batch.slice(at, min(BLOCK, b - at))
+                    block, ids = _matrix(part.column("weights")), part.column("vec_id").to_numpy()
+                    for first in range(0, len(wanted[0]), QUERY_BLOCK):
+                        scores = accumulate(wanted[2][first : first + QUERY_BLOCK], block)
+                        q, i, s = best_of(scores, ids, wanted[0][first : first + QUERY_BLOCK], k)
+                        best.append((q + first, i, s))
+                if len(best) > 64:
+                    best[:] = [_reduce(best, k)]
+        yield from answer()
 
-    found = reduce(DataFrame.unionByName, [search(c) for c in range(chunks)])
-    by_query = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    dealt = cells.repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", F.desc("query"))
+    found = dealt.mapInArrow(run, "query_id long, version long, vec_id long, score long")
+    by_query = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,5 +1,6 @@
 """Operators against the contracts worked out row by row, on rows with every awkward case."""
 
+import math
 import random
 
 import brute
@@ -211,6 +212,23 @@ def test_top_k(spark):
     assert topk_search.exact_top_k(few.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_odd_rows(spark):
+    """Repeated rows, shared and missing ids, ties, clashing columns, ragged and huge vectors, an empty table."""
+    long = (1 << 63) - 1
+    given = [(0, [1.0, 1.0]), (0, [1.0, 1.0]), (0, [2.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [9.0, 9.0]), (4, [1e30, -1e30]), (5, [-1e30]), (6, []), (50, [1e30, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, "x") for i, v in given], "vec_id long, embedding array<double>, score long, rank int, weights long, cell string").repartition(3)
+    weights = [(i, [max(-long - 1, min(long, math.floor(256 * x))) for x in v]) for i, v in given if i is not None]
+    want = []
+    for q, v in {(i, tuple(w)) for i, w in weights if i % 50 == 0}:
+        scores = sorted((-max(-long - 1, min(long, sum(a * b for a, b in zip(v, w)))), i) for i, w in weights if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    for chunk in (1, 100):
+        found = topk_search.exact_top_k(df, F.col("vec_id") % 50 == 0, query_chunk=chunk)
+        assert found.columns == ["query_id", "rank", "vec_id", "score"]
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert topk_search.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
 def test_sparse_accumulation():
     rng = np.random.default_rng(0)
     a, b = (rng.integers(-9, 9, (k, 30)) * (rng.random((k, 30)) < 0.2) for k in (7, 50))
