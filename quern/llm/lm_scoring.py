@@ -1,15 +1,27 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Counts of words, pairs and triples come from all training documents.  Words above a share of the corpus form the first
-level of the trie, n-grams above a share the next ones; by the pigeonhole principle a share of 1 in ``2**20`` leaves at
-most ``2**20`` entries on a level, whatever the corpus holds, so the trie can be broadcast.  The far greater number of
-rare words is never gathered: their counts stay a table, and the rare words of every document are joined to it.
-
-A level is a monotone sequence in Elias-Fano code: the low bits of its values packed, the high bits in unary, with a
-directory of zeros.  The entries of level ``n`` are ``context * vocabulary + word``, so the successors of a context lie
-together, and an n-gram is found by searching for the word among its context's successors.  Beside a level lie 16-bit
-codes of log probabilities and of the weights that lead to the level below.  Workers map the bytes of the trie from a
-file that has no name any more.
+The model interpolates words, pairs and triples of all training documents with Dirichlet priors: an n-gram's probability
+is ``(count + MU * lower) / (count of its context + MU)``, where ``lower`` is that of the n-gram without its first word.
+No n-gram is left out, however rare, so the trie grows with the corpus.  It is therefore cut into shards by the first
+word of an n-gram, and texts come to the shards instead of the trie to the texts:
+
+1. Texts are written in slices of two megabytes.
+2. A slice asks every shard for its distinct n-grams of that shard, as one row: first words, the successors of each, and
+   theirs, with the counts that training texts among them have.  These requests are the counts that a shard adds up.
+3. A shard builds its trie from them and answers each request in the order in which it came: counts of first words, and
+   codes of pairs and triples.
+4. A slice with its answers has all that the probabilities of its tokens need.
+
+A level of a shard's trie is a monotone sequence in Elias-Fano code: the low bits of its values packed, the high bits in
+unary, with a directory.  The successors of a context are a range of the next level, and monotone pointers, in the same
+code, give its ends; an n-gram is found by searching for a word within the range of its context.  Beside a level lie
+16-bit codes of the smoothed probabilities' own parts, ``count / (count of the context + MU)``.  A task maps a shard's
+levels from a file that has no name any more.
+
+A first word above a share of the corpus is spread over the shards by the second word, a pair above it by the third: only
+the count of a context has to be known to all of them, and those of such words and pairs, a bounded number, are counted
+while slices are written.  Which ones they are, and which words have short numbers in requests, is found by a look at
+every 32nd document; that changes how work is dealt out, and no result.
 """
 
 from __future__ import annotations
@@ -17,30 +29,52 @@ from __future__ import annotations
 import io
 import mmap
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stage_table
+from ..storage import default_partitions, drop_stage, stage_table
 from . import kernels as K
+from .tokens import HashIndex
 
-LEVEL_SHARES = (2.0**-20, 2.0**-12, 2.0**-8)  # a word's least share of the corpus, for level 1, for pairs and for triples
-GRAM_SHARE = 2.0**-20  # a pair's or triple's least share
-DISCOUNT = 0.75
-END = np.uint64(1)  # stands for the end of a text; the mixed hash of no word is likely to be 1
+MU = 8.0
+BEGIN, END, NONE = np.uint64(0), np.uint64(1), np.uint64(2)  # stand for what is no word; the mixed hash of no word is likely to be one of these
 CODE_FLOOR = -16.0
-CODE_STEP = 16.0 / 65535
+CODE_STEP = 16.0 / 65534
+SLICE_BYTES = 1 << 21
+SHARD_TOKENS = 1 << 20
+SAMPLE, NUMBERED, HOT_MOST = 32, 65534, 1 << 14
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.round((log10 - CODE_FLOOR) / CODE_STEP), 0, 65535).astype(np.uint16)
+    """16-bit codes from 1 on; 0 stands for no entry."""
+    return np.clip(np.round((log10 - CODE_FLOOR) / CODE_STEP) + 1, 1, 65535).astype(np.uint16)
 
 
 def restore(codes: np.ndarray) -> np.ndarray:
-    return codes * CODE_STEP + CODE_FLOOR
+    return (codes.astype(float) - 1) * CODE_STEP + CODE_FLOOR
+
+
+def shares(codes: np.ndarray) -> np.ndarray:
+    """What codes stand for, as shares; 0 for no entry."""
+    return np.where(codes > 0, 10.0 ** restore(codes), 0.0)
+
+
+def _place_of(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which bit of each 64-bit word is its one number ``rank`` (from 1)."""
+    place, rest = np.zeros(len(words), np.int64), rank.copy()
+    for width in (32, 16, 8, 4, 2, 1):
+        part = np.bitwise_count((words >> place.astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        skip = part < rest
+        rest -= np.where(skip, part, 0)
+        place += np.where(skip, width, 0)
+    return place
 
 
 class EliasFano:
@@ -51,6 +85,7 @@ class EliasFano:
         words = high.view("<u8")
         zeros = 64 - np.bitwise_count(words).astype(np.int64)
         self.zeros = np.concatenate([[0], np.cumsum(zeros)])
+        self.ones = np.arange(len(self.zeros)) * 64 - self.zeros
         self.words = words
         self.loads = np.lib.stride_tricks.as_strided(low, (len(low) - 7, 8), (1, 1)) if len(low) >= 8 else None
 
@@ -89,25 +124,27 @@ class EliasFano:
         word = np.searchsorted(self.zeros, want, side="left") - 1
         past = word >= len(self.words)
         word = np.minimum(word, len(self.words) - 1)
-        rest = want - self.zeros[word]
-        bits = ~self.words[word]
-        place = np.zeros(len(want), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            part = np.bitwise_count((bits >> place.astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            skip = part < rest
-            rest -= np.where(skip, part, 0)
-            place += np.where(skip, width, 0)
+        place = _place_of(~self.words[word], want - self.zeros[word])
         out[some] = np.where(past, self.n, np.minimum(word * 64 + place - (want - 1), self.n))
         return out
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The index of each value, -1 where it is not in the sequence."""
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places ``i``."""
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        high = word * 64 + _place_of(self.words[word], i - self.ones[word] + 1) - i
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
+
+    def find(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """The index of each value, -1 where it is not in the sequence, or not at a place from ``first`` to before ``last``."""
         if not self.n or not len(values):
             return np.full(len(values), -1, np.int64)
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         low = values & np.uint64((1 << self.low_bits) - 1)
         left, right = self._below(high), self._below(high + 1)
+        if first is not None:
+            left, right = np.maximum(left, first), np.minimum(right, last)
+        stop = right.copy()
         while True:  # successor search among the values with the same high bits
             busy = np.flatnonzero(left < right)
             if not len(busy):
@@ -117,7 +154,7 @@ class EliasFano:
             left[busy[less]] = middle[less] + 1
             right[busy[~less]] = middle[~less]
         inside = np.minimum(left, self.n - 1)
-        return np.where((left < self._below(high + 1)) & (self._low(inside) == low), left, -1)
+        return np.where((left < stop) & (self._low(inside) == low), left, -1)
 
     def parts(self, name: str) -> dict[str, np.ndarray]:
         return {f"{name}.shape": np.array([self.n, self.low_bits]), f"{name}.low": self.low, f"{name}.high": self.high}
@@ -128,21 +165,6 @@ class EliasFano:
         return EliasFano(n, bits, parts[f"{name}.low"], parts[f"{name}.high"])
 
 
-@dataclass
-class Counts:
-    """Training counts: N tokens, V distinct, and the n-grams that the trie holds, words by their hash."""
-
-    tokens: int
-    distinct: int
-    words: np.ndarray
-    word_counts: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    triples: np.ndarray
-    triple_counts: np.ndarray
-    texts: int
-
-
 def pack_arrays(parts: dict[str, np.ndarray]) -> bytes:
     """Arrays one behind the other, 64 bytes apart, with a directory in front."""
     out, directory = io.BytesIO(), []
@@ -172,104 +194,300 @@ def map_arrays(raw: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def build_trie(c: Counts) -> bytes:
-    """Levels, probabilities and weights.
+@dataclass
+class Layout:
+    """How n-grams are dealt out.  Words are known by 64-bit hashes; the arrays of hashes are sorted."""
 
-    Level 1: add-half estimates of the words.  A higher level discounts the counts of a context's successors and gives
-    what that frees, and what successors outside the trie have, to the level below, so a context's distribution sums to 1.
+    shards: int
+    numbered: np.ndarray  # words with short numbers
+    hot_words: np.ndarray
+    hot_pairs: np.ndarray  # hashes of pairs that begin with a hot word
+
+    def shard_of(self, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+        spread = K.mix(a)
+        hot = np.flatnonzero(held(self.hot_words, a))
+        spread[hot] = pair = pair_hashes(a[hot], b[hot])
+        both = np.flatnonzero(held(self.hot_pairs, pair))
+        spread[hot[both]] = pair_hashes(pair[both], t[hot[both]])
+        return ((spread >> np.uint64(24)) % np.uint64(self.shards)).astype(np.uint16 if self.shards <= 1 << 16 else np.uint32)
+
+
+def held(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of ``among`` are in the sorted ``values``."""
+    if not len(values):
+        return np.zeros(len(among), bool)
+    return values[np.minimum(np.searchsorted(values, among), len(values) - 1)] == among
+
+
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(a) + b)
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of a slice, by shard and then by word: triples below pairs below first words.
+
+    ``triple_of`` has the triple of every entry; entries are the tokens of a text in order, each with the two before it,
+    and one more behind the last token, which stands for the pair that ends the text.
     """
-    order = np.argsort(c.words)
-    words, counts = c.words[order], c.word_counts[order].astype(float)
-    base = np.log10((counts + 0.5) / (c.tokens + 0.5 * (c.distinct + 1)))
-    size = len(words) + 1  # the number behind the last word stands for the beginning of a text
-    first = EliasFano.build(words)
-    parts = first.parts("words") | {"word_counts": c.word_counts[order].astype(np.int64), "word_codes": quantise(base)}
-
-    def level(contexts: np.ndarray, successors: np.ndarray, n: np.ndarray, context_totals: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = np.maximum(n - DISCOUNT, 0.0) / context_totals[contexts]
-        used = np.bincount(contexts, weights=share, minlength=len(context_totals))
-        weight = np.clip(1.0 - used, 1e-12, 1.0)
-        return np.log10(share + weight[contexts] * 10.0**lower), np.log10(weight)
-
-    rows = lambda grams: np.where(grams == 0, size - 1, np.searchsorted(words, grams))
-    at, to = rows(c.pairs[:, 0]), rows(c.pairs[:, 1])
-    keys = at.astype(np.uint64) * np.uint64(size) + to.astype(np.uint64)
-    order = np.argsort(keys)
-    keys, at, to, pair_counts = keys[order], at[order], to[order], c.pair_counts[order].astype(float)
-    totals = np.append(counts, max(1.0, float(c.texts)))
-    pair_log, word_weight = level(at, to, pair_counts, totals, base[to])
-    parts |= EliasFano.build(keys).parts("pairs") | {"pair_codes": quantise(pair_log), "word_weights": quantise(word_weight)}
-    before = np.searchsorted(keys, rows(c.triples[:, 0]).astype(np.uint64) * np.uint64(size) + rows(c.triples[:, 1]).astype(np.uint64))
-    last = rows(c.triples[:, 2]).astype(np.uint64)
-    lower_key = rows(c.triples[:, 1]).astype(np.uint64) * np.uint64(size) + last
-    lower_at = np.minimum(np.searchsorted(keys, lower_key), max(len(keys) - 1, 0))
-    keys3 = before.astype(np.uint64) * np.uint64(size) + last
-    order = np.argsort(keys3)
-    if len(keys):
-        lower = np.where(keys[lower_at] == lower_key, pair_log[lower_at], 0.0)
-        triple_log, pair_weight = level(before[order], last[order].astype(np.int64), c.triple_counts[order].astype(float), np.maximum(pair_counts, 1.0), lower[order])
-    else:
-        triple_log, pair_weight = np.zeros(0), np.zeros(0)
-    parts |= EliasFano.build(keys3[order]).parts("triples") | {"triple_codes": quantise(triple_log), "pair_weights": quantise(pair_weight)}
-    parts["totals"] = np.array([c.tokens, c.distinct], np.int64)
-    return pack_arrays(parts)
+
+    words: np.ndarray
+    shard: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    t: np.ndarray
+    n: np.ndarray
+    pair_at: np.ndarray
+    first_at: np.ndarray
+    triple_of: np.ndarray | None
+
+
+def cut_grams(tokens: np.ndarray, ends: np.ndarray, training: np.ndarray, layout: Layout, places: bool) -> Grams:
+    """Distinct n-grams of texts (tokens up to ``ends``, each text's end included), counted where ``training``."""
+    texts = len(ends) - 1
+    sizes = np.diff(ends) + 1
+    last = np.cumsum(sizes) - 1  # the entry that stands for the pair at the end
+    word = np.full(int(last[-1]) + 1 if texts else 0, NONE, np.uint64)
+    real = np.ones(len(word), bool)
+    real[last] = False
+    word[real] = tokens
+    words, rank = np.unique(np.concatenate([word, [BEGIN]]), return_inverse=True)
+    t, begin = rank[:-1].astype(np.uint64), np.uint64(rank[-1])
+    step = np.arange(len(word)) - np.repeat(last - sizes + 1, sizes)
+    b = np.where(step < 1, begin, np.concatenate([[begin], t[:-1]])[: len(t)])
+    a = np.where(step < 2, begin, np.concatenate([[begin, begin], t[:-2]])[: len(t)])
+    counted = np.repeat(training, sizes).astype(np.uint64)
+    if len(words) <= 1 << 21:
+        keys = (a << np.uint64(42)) | (b << np.uint64(21)) | t
+        parts = lambda k: (k >> np.uint64(42), (k >> np.uint64(21)) & np.uint64((1 << 21) - 1), k & np.uint64((1 << 21) - 1))
+    else:  # a single text of very many words
+        pairs, pair = np.unique((a << np.uint64(32)) | b, return_inverse=True)
+        keys = (pair.astype(np.uint64) << np.uint64(32)) | t
+        parts = lambda k: (pairs[(k >> np.uint64(32)).astype(np.int64)] >> np.uint64(32), pairs[(k >> np.uint64(32)).astype(np.int64)] & np.uint64((1 << 32) - 1), k & np.uint64((1 << 32) - 1))
+    found = np.sort((keys << np.uint64(1)) | counted)
+    counted, found = (found & np.uint64(1)).astype(np.int64), found >> np.uint64(1)
+    head = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
+    n, found = np.add.reduceat(counted, head) if len(head) else counted, found[head]
+    ra, rb, rt = (x.astype(np.int64) for x in parts(found))
+    shard = layout.shard_of(words[ra], words[rb], words[rt])
+    order = np.argsort(shard, kind="stable")
+    shard, ra, rb, rt, n = shard[order], ra[order], rb[order], rt[order], n[order]
+    apart = np.concatenate([[True], (shard[1:] != shard[:-1]) | (ra[1:] != ra[:-1])])[: len(ra)]
+    first_at = np.flatnonzero(apart)
+    pair_at = np.flatnonzero(apart | np.concatenate([[True], rb[1:] != rb[:-1]])[: len(ra)])
+    triple_of = None
+    if places:
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        triple_of = moved[np.searchsorted(found, keys)]
+    return Grams(words, shard, ra, rb, rt, n, pair_at, first_at, triple_of)
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary value for the ``values`` between each two ``cuts``."""
+    offsets = (cuts * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _short(values: np.ndarray, small: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    """Two columns: short numbers, and in full the values whose short number is the largest there is."""
+    wide = small == np.iinfo(small.dtype).max
+    return [_binary(small, cuts), _binary(values[wide].astype(np.uint64), np.concatenate([[0], np.cumsum(wide)])[cuts])]
+
+
+def _whole(batch: pa.RecordBatch, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Short numbers of all rows of a batch, and the full values in order."""
+    small = K.text_bytes(batch.column(name))[0].view(kind)
+    return small, K.text_bytes(batch.column(name + "_x"))[0].view(np.uint64)
+
+
+def _counts(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    small, full = _whole(batch, name, np.uint8)
+    out = small.astype(np.int64)
+    out[small == 255] = full
+    return out
+
+
+FIELDS = ("a", "a_n", "b", "b_n", "b_count", "t", "t_count")
+REQUEST = "shard int, slice_id long, " + ", ".join(f"{n} binary, {n}_x binary" for n in FIELDS)
+ANSWER = "slice_id long, shard int, firsts binary, pairs binary, triples binary"
+
+
+def requests(g: Grams, slice_id: int, layout: Layout) -> pa.RecordBatch:
+    """A slice's n-grams, one row for each shard that has some."""
+    at = np.minimum(np.searchsorted(layout.numbered, g.words), max(len(layout.numbered) - 1, 0))
+    known = layout.numbered[at] == g.words if len(layout.numbered) else np.zeros(len(g.words), bool)
+    number = np.where(known, at, 65535).astype(np.uint16)
+    rows = np.flatnonzero(np.concatenate([[True], g.shard[1:] != g.shard[:-1]])[: len(g.shard)])
+    edge = np.append(rows, len(g.shard))
+    byte = lambda x: np.minimum(x, 255).astype(np.uint8)
+    real = g.words[g.t] != NONE
+    before = np.concatenate([[0], np.cumsum(real)])
+    pair_edge, first_edge = np.append(g.pair_at, len(g.t)), np.searchsorted(g.pair_at, np.append(g.first_at, len(g.t)))
+    by_first, by_pair, by_triple = np.searchsorted(g.first_at, edge), np.searchsorted(g.pair_at, edge), before[edge]
+    a, b, t = g.a[g.first_at], g.b[g.pair_at], g.t[real]
+    a_n, b_n = np.diff(first_edge), np.diff(before[pair_edge])
+    b_count = np.add.reduceat(g.n, g.pair_at) if len(g.pair_at) else g.n
+    t_count = g.n[real]
+    columns = []
+    for values, small, cuts in ((g.words[a], number[a], by_first), (a_n, byte(a_n), by_first), (g.words[b], number[b], by_pair), (b_n, byte(b_n), by_pair), (b_count, byte(b_count), by_pair), (g.words[t], number[t], by_triple), (t_count, byte(t_count), by_triple)):
+        columns += _short(values, small, cuts)
+    names = ["shard", "slice_id", *(x for n in FIELDS for x in (n, n + "_x"))]
+    return pa.RecordBatch.from_arrays([pa.array(g.shard[rows].astype(np.int32)), pa.array(np.full(len(rows), slice_id)), *columns], names=names)
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (below 2^52), sorted, and the sums of their counts."""
+    most = 4095
+    if counts.max(initial=0) > most:
+        times = -(-counts // most)
+        rest = counts - (times - 1) * most
+        keys, full = np.repeat(keys, times), np.full(int(times.sum()), most)
+        full[np.cumsum(times) - 1] = rest
+        counts = full
+    packed = np.sort((keys << np.uint64(12)) | counts.astype(np.uint64))
+    keys, counts = packed >> np.uint64(12), (packed & np.uint64(most)).astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
+
+
+@dataclass
+class Request:
+    """The n-grams of many requests, one behind the other, words as numbers of the shard."""
+
+    names: np.ndarray  # the hash of each word number
+    a: np.ndarray
+    b: np.ndarray
+    t: np.ndarray
+    first_of: np.ndarray  # of each pair
+    pair_of: np.ndarray  # of each triple
+    b_count: np.ndarray
+    t_count: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch, numbered: np.ndarray) -> Request:
+        raw = [_whole(batch, n, np.uint16) for n in ("a", "b", "t")]
+        rare = np.unique(np.concatenate([full for _, full in raw]))
+        words = []
+        for small, full in raw:
+            out = small.astype(np.int64)
+            out[small == 65535] = len(numbered) + np.searchsorted(rare, full)
+            words.append(out)
+        a_n, b_n = _counts(batch, "a_n"), _counts(batch, "b_n")
+        return Request(np.concatenate([numbered, rare]), *words, np.repeat(np.arange(len(a_n)), a_n), np.repeat(np.arange(len(b_n)), b_n), _counts(batch, "b_count"), _counts(batch, "t_count"))
 
 
 class Trie:
+    """The n-grams of one shard.  ``totals`` gives the counts of hot words and pairs, which other shards share."""
+
     def __init__(self, raw: bytes):
-        parts = map_arrays(raw)
-        self.words, self.pairs, self.triples = (EliasFano.of(parts, n) for n in ("words", "pairs", "triples"))
-        self.parts = parts
-        self.tokens, self.distinct = parts["totals"].tolist()
-        self.size = self.words.n + 1
-        self.mass = np.log10(self.tokens + 0.5 * (self.distinct + 1))
-
-    def score(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given the two before it; without its own word probability where that is not held.
-
-        ``rows`` are the level-1 rows of tokens, -1 where not held; ``first`` marks the first token of each text.
-        """
-        n, p = len(rows), self.parts
-        before = np.concatenate([[-1], rows[:-1]])
-        before[first] = self.size - 1
-        two = np.concatenate([[-1, -1], rows[:-2]])[:n]
-        two[np.flatnonzero(first)] = -1
-        second = np.flatnonzero(first[:-1]) + 1
-        two[second[~first[second]]] = self.size - 1
-        known, led = rows >= 0, before >= 0
-        out = np.zeros(n)
-        out[known] = restore(p["word_codes"][rows[known]])
-        out[led] += restore(p["word_weights"][before[led]])
-        pair = np.full(n, -1, np.int64)
-        both = np.flatnonzero(known & led)
-        pair[both] = self.pairs.find(before[both].astype(np.uint64) * np.uint64(self.size) + rows[both].astype(np.uint64))
-        held = pair >= 0
-        out[held] = restore(p["pair_codes"][pair[held]])
-        deep = np.flatnonzero(led & (two >= 0))
-        context = self.pairs.find(two[deep].astype(np.uint64) * np.uint64(self.size) + before[deep].astype(np.uint64))
-        deep, context = deep[context >= 0], context[context >= 0]
-        out[deep] += restore(p["pair_weights"][context])
-        ask = known[deep]
-        triple = self.triples.find(context[ask].astype(np.uint64) * np.uint64(self.size) + rows[deep[ask]].astype(np.uint64))
-        out[deep[ask][triple >= 0]] = restore(p["triple_codes"][triple[triple >= 0]])
+        self.parts = map_arrays(raw)
+        self.firsts, self.first_ends, self.pairs, self.pair_ends, self.triples = (EliasFano.of(self.parts, n) for n in ("firsts", "first_ends", "pairs", "pair_ends", "triples"))
+        self.width = np.uint64(self.parts["width"][0])
+
+    @staticmethod
+    def _range(ends: EliasFano, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return ends.get(i).astype(np.int64), ends.get(i + 1).astype(np.int64)
+
+    @staticmethod
+    def build(r: Request, totals: dict[str, tuple[np.ndarray, np.ndarray]]) -> bytes:
+        width = np.uint64(len(r.names))
+        seen = r.b_count > 0
+        pair_keys = (r.a[r.first_of].astype(np.uint64) << np.uint64(26)) | r.b.astype(np.uint64)
+        keys, counts = _added(pair_keys[seen], r.b_count[seen])
+        a, b = (keys >> np.uint64(26)).astype(np.int64), (keys & np.uint64((1 << 26) - 1)).astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
+        firsts = a[head]
+        of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(a))))
+        first_counts = _shared(r.names[firsts], np.add.reduceat(counts, head) if len(head) else counts, totals["words"])
+        counts = _shared(pair_hashes(r.names[a], r.names[b]), counts, totals["pairs"])
+        pair_log = np.log10(np.maximum(counts, 1)) - np.log10(first_counts[of] + MU)
+        pair_row = np.full(len(pair_keys), -1)
+        pair_row[seen] = np.searchsorted(keys, pair_keys[seen])
+        above = pair_row[r.pair_of]
+        known = r.t_count > 0
+        triple_keys, triple_counts = _added((above[known].astype(np.uint64) << np.uint64(26)) | r.t[known].astype(np.uint64), r.t_count[known])
+        up, t = (triple_keys >> np.uint64(26)).astype(np.int64), triple_keys & np.uint64((1 << 26) - 1)
+        triple_log = np.log10(np.maximum(triple_counts, 1)) - np.log10(counts[up] + MU)
+        parts = {"width": np.array([width], np.int64), "first_counts": first_counts.astype(np.int64), "pair_codes": quantise(pair_log), "triple_codes": quantise(triple_log)}
+        parts |= EliasFano.build(firsts).parts("firsts") | EliasFano.build(np.append(head, len(a))).parts("first_ends")
+        parts |= EliasFano.build(of.astype(np.uint64) * width + b.astype(np.uint64)).parts("pairs")
+        parts |= EliasFano.build(np.searchsorted(up, np.arange(len(keys) + 1))).parts("pair_ends")
+        parts |= EliasFano.build(up.astype(np.uint64) * width + t).parts("triples")
+        return pack_arrays(parts)
+
+    def find(self, a: np.ndarray, b: np.ndarray, t: np.ndarray, first_of: np.ndarray, pair_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of first words, of pairs among the successors of theirs, and of triples among those of their pairs; -1 for none."""
+        first = self.firsts.find(a)
+        return first, (pair := self._successor(self.pairs, self.first_ends, first, first_of, b)), self._successor(self.triples, self.pair_ends, pair, pair_of, t)
+
+    def _successor(self, level: EliasFano, ends: EliasFano, above: np.ndarray, of: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.full(len(word), -1, np.int64)
+        some = np.flatnonzero(above >= 0)
+        low, high = np.zeros((2, len(above)), np.int64)
+        low[some], high[some] = self._range(ends, above[some])
+        ask = np.flatnonzero(above[of] >= 0)
+        context = of[ask]
+        out[ask] = level.find(above[context].astype(np.uint64) * self.width + word[ask].astype(np.uint64), low[context], high[context])
         return out
 
+    def answer(self, r: Request) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the first words, codes of the pairs and of the triples of requests, 0 where there is none."""
+        rows = self.find(r.a, r.b, r.t, r.first_of, r.pair_of)
+        out = []
+        for row, name, kind in zip(rows, ("first_counts", "pair_codes", "triple_codes"), (np.int64, np.uint16, np.uint16), strict=True):
+            values = np.zeros(len(row), kind)
+            values[row >= 0] = self.parts[name][row[row >= 0]]
+            out.append(values)
+        return out[0], out[1], out[2]
 
-_tries: dict[int, Trie] = {}
 
+def _shared(keys: np.ndarray, counts: np.ndarray, totals: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """``counts``, but those of ``totals`` (sorted keys and counts) where it has the key."""
+    here = np.flatnonzero(held(totals[0], keys))
+    counts = counts.copy()
+    counts[here] = totals[1][np.searchsorted(totals[0], keys[here])]
+    return counts
 
-def _trie(raw: bytes) -> Trie:
-    key = hash(raw)
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(raw)
-    return _tries[key]
 
+@dataclass
+class Totals:
+    """Of all training texts: tokens (N), distinct tokens (V) and texts."""
 
-def tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of a slice, each text's end included, and the offsets of the texts."""
-    words = K.batch_words(part, K.SPACED, lower=True)
-    n = part.num_rows
+    tokens: int
+    distinct: int
+    texts: int
+
+
+def token_scores(g: Grams, firsts: np.ndarray, pairs: np.ndarray, triples: np.ndarray, ends: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token: its count, log10 of the word model, and of the interpolated model."""
+    n = len(g.triple_of)
+    first_of = np.searchsorted(g.first_at, np.arange(len(g.t)), side="right") - 1
+    pair_of = np.searchsorted(g.pair_at, np.arange(len(g.t)), side="right") - 1
+    words = np.where(g.words[g.a[g.first_at]] == BEGIN, totals.texts, firsts).astype(float)
+    real = g.words[g.t] != NONE
+    triple_codes = np.zeros(len(g.t), np.uint16)
+    triple_codes[real] = triples
+    texts = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    at = np.arange(len(texts)) + texts  # a token's entry; the entry of the pair that it ends comes next
+    now, following = g.triple_of[at], g.triple_of[at + 1]
+    is_end = np.zeros(len(texts), bool)
+    is_end[ends[1:] - 1] = True
+    count = np.where(is_end, totals.texts, words[first_of[g.triple_of[np.minimum(at + 2, n - 1)]]])
+    mass = totals.tokens + 0.5 * (totals.distinct + 1)
+    one = (count + 0.5) / mass
+    before = words[first_of[following]]
+    two = shares(pairs)[pair_of[following]] + MU / (before + MU) * one
+    context = shares(pairs)[pair_of[now]] * (words[first_of[now]] + MU)  # back to the count of the two words before
+    start = ends[:-1]
+    context[start] = totals.texts
+    three = shares(triple_codes)[now] + MU / (np.round(context) + MU) * two
+    return count, np.log10(one), np.log10(three)
+
+
+def hashed_tokens(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of texts, each text's end included, and the offsets of the texts."""
+    n = len(words.first) - 1
     ends = words.first + np.arange(n + 1)
     out = np.full(len(words.start) + n, END, np.uint64)
     keep = np.ones(len(out), bool)
@@ -278,95 +496,204 @@ def tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _counted(values: np.ndarray, names: list[str], schema: list[np.ndarray] | None = None) -> pa.RecordBatch:
-    found, n = np.unique(values, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(K.signed(found)), pa.array(n.astype(np.int64))], names=names)
-
-
-def word_counts(training: DataFrame) -> DataFrame:
-    """word (its hash) and n over all texts of ``training``."""
-    rows = K.map_texts(training.select("text"), lambda part: _counted(tokens_of(part)[0], ["word", "n"]), "word long, n long", limit=2 * K.SLICE_BYTES)
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+def tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of a slice, each text's end included, and the offsets of the texts."""
+    return hashed_tokens(K.batch_words(part, K.SPACED, lower=True))
 
 
-def _grams(training: DataFrame, order: int, vocabulary: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of words of ``vocabulary`` (0 stands for the beginning of a text) with at least ``least`` occurrences."""
-    shared = training.sparkSession.sparkContext.broadcast(np.sort(vocabulary))
-    bits = np.uint64(max(1, (len(vocabulary) + 1).bit_length()))
+def look(docs: DataFrame) -> Layout:
+    """The layout for ``docs`` (doc_id, text), from every SAMPLE-th document."""
+    seen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("look")), F.lit(SAMPLE)) == 0).select("text")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         tokens, ends = tokens_of(part)
-        known = shared.value
-        at = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
-        rows = np.where(known[at] == tokens, at + 1, -1) if len(known) else np.full(len(tokens), -1)
-        place = np.arange(len(tokens)) - np.repeat(ends[:-1], np.diff(ends))
-        packed, whole = np.zeros(len(tokens), np.uint64), np.ones(len(tokens), bool)
-        for back in range(order - 1, -1, -1):
-            value = np.concatenate([np.full(back, -1), rows[: len(rows) - back]])[: len(rows)] if back else rows
-            value = np.where(place == back - 1, 0, value)
-            whole &= (value >= 0) & (place >= back - 1)
-            packed = (packed << bits) | np.maximum(value, 0).astype(np.uint64)
-        return _counted(packed[whole], ["gram", "n"])
-
-    rows = K.map_texts(training.select("text"), work, "gram long, n long", limit=2 * K.SLICE_BYTES)
-    found = rows.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    packed, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    names = np.concatenate([np.zeros(1, np.uint64), np.sort(vocabulary)])
-    columns = [names[((packed >> (bits * np.uint64(order - 1 - j))) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)] for j in range(order)]
-    return np.column_stack(columns) if len(packed) else np.zeros((0, order), np.uint64), n
-
-
-def train(training: DataFrame) -> tuple[Counts, DataFrame]:
-    """Counts for the trie from all texts of ``training``, and the table of all word counts."""
-    table = stage_table(word_counts(training), "word-counts")
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct"), F.coalesce(F.max(F.when(F.col("word") == int(END), F.col("n"))), F.lit(0)).alias("texts")).first()
-    tokens = total["tokens"]
-    held = table.where(F.col("n") >= tokens * LEVEL_SHARES[0]).toArrow()
-    words, n = held.column("word").to_numpy().view(np.uint64), held.column("n").to_numpy()
-    pairs = _grams(training, 2, words[n >= tokens * LEVEL_SHARES[1]], tokens * GRAM_SHARE)
-    triples = _grams(training, 3, words[n >= tokens * LEVEL_SHARES[2]], tokens * GRAM_SHARE)
-    return Counts(tokens, total["distinct"], words, n, *pairs, *triples, total["texts"]), table
+        pairs = pair_hashes(tokens[:-1], tokens[1:])[np.diff(np.repeat(np.arange(part.num_rows), np.diff(ends))) == 0]
+        counted = [np.unique(x, return_counts=True) for x in (tokens, pairs)]
+        # A pair is hot only if its first word is; where it is not, the layout doesn't ask.
+        kinds = np.repeat([False, True], [len(c[0]) for c in counted])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(K.signed(np.concatenate([c[0] for c in counted]))), pa.array(np.concatenate([c[1] for c in counted]))], names=["pair", "gram", "n"])
+
+    counts = K.map_texts(seen, work, "pair boolean, gram long, n long", limit=SLICE_BYTES).groupBy("pair", "gram").agg(F.sum("n").alias("n"))
+    counts = stage_table(counts, "lm-look")
+    total = counts.where("not pair").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(default_partitions(docs.sparkSession), -(-total * SAMPLE // SHARD_TOKENS))
+    least = max(16.0, total / (4.0 * shards))
+    take = lambda rows, most: np.sort(rows.orderBy(F.desc("n")).limit(most).select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
+    words, often = counts.where("not pair"), F.col("n") >= least
+    hot_words = np.union1d(take(words.where(often), HOT_MOST), [BEGIN])
+    hot_pairs = np.union1d(take(counts.where("pair").where(often), HOT_MOST), pair_hashes(np.array([BEGIN]), np.array([BEGIN])))
+    layout = Layout(shards, take(words, NUMBERED), hot_words, hot_pairs)
+    drop_stage(counts)
+    return layout
+
+
+SLICE = "slice_id long, doc_ids array<long>, training array<boolean>, ends binary, texts binary, n_tokens long, n_texts long, hot binary, numbered binary, rare binary"
+
+
+def write_slices(rows: DataFrame, layout: Layout) -> DataFrame:
+    """``rows`` (doc_id, training, text) in slices, with counts of their training texts: tokens, texts, hot words and pairs, and which words there are."""
+    shared = rows.sparkSession.sparkContext.broadcast(layout)
+    hot_size = len(layout.hot_words) + len(layout.hot_pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_id, plan, press = TaskContext.get().partitionId() << 32, shared.value, zstandard.ZstdCompressor(level=3)
+        index = HashIndex()
+        index.add(np.concatenate([plan.hot_words, plan.hot_pairs]))
+        for batch in batches:
+            for part in K.text_slices(batch, limit=SLICE_BYTES):
+                data, offsets = K.text_bytes(part.column("text"))
+                tokens, ends = tokens_of(part)
+                training = part.column("training").to_numpy(zero_copy_only=False).astype(bool)
+                text = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                mine = training[text]
+                words = np.unique(tokens[mine])
+                led = np.flatnonzero(held(plan.hot_words, tokens[:-1]) & mine[:-1] & (text[1:] == text[:-1]))
+                places = np.concatenate([index.find(tokens[mine]), index.find(pair_hashes(tokens[led], tokens[led + 1]))])
+                hot = np.bincount(places[places >= 0], minlength=hot_size).astype(np.uint32)
+                known = held(plan.numbered, words)
+                marks = np.zeros(-(-len(plan.numbered) // 8) * 8, bool)
+                marks[np.searchsorted(plan.numbered, words[known])] = True
+                blobs = [(offsets[1:].astype(np.int64)).tobytes(), press.compress(data.tobytes()), hot.tobytes(), np.packbits(marks).tobytes(), words[~known].tobytes()]
+                columns = [pa.array([slice_id]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([training.tolist()], pa.list_(pa.bool_())), *(pa.array([b], pa.binary()) for b in blobs[:2])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([int(mine.sum())]), pa.array([int(training.sum())]), *(pa.array([b], pa.binary()) for b in blobs[2:])], names=[c.split()[0] for c in SLICE.split(", ")])
+                slice_id += 1
+
+    return stage_table(rows.mapInArrow(run, SLICE), "lm-slices")
+
+
+def gather_totals(slices: DataFrame, layout: Layout) -> tuple[Totals, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Numbers over all training texts, and the counts of hot words and pairs."""
+    size = len(layout.hot_words) + len(layout.hot_pairs)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, marks = np.zeros(size, np.int64), None
+        for batch in batches:
+            for raw, seen in zip(batch.column("hot"), batch.column("numbered"), strict=True):
+                hot += np.frombuffer(raw.as_py(), np.uint32)
+                bits = np.frombuffer(seen.as_py(), np.uint8)
+                marks = bits if marks is None else marks | bits
+        here = np.flatnonzero(hot)
+        words = np.flatnonzero(np.unpackbits(marks)) if marks is not None else here[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([True, False], [len(here), len(words)])), pa.array(np.concatenate([here, words])), pa.array(np.concatenate([hot[here], np.zeros(len(words), np.int64)]))], names=["hot", "row", "n"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.unique(K.text_bytes(batch.column("rare"))[0].view(np.uint64))))], names=["word"])
+
+    found = slices.select("hot", "numbered").mapInArrow(added, "hot boolean, row long, n long").groupBy("hot", "row").agg(F.sum("n").alias("n")).toArrow()
+    is_hot, row, n = (found.column(c).to_numpy() for c in ("hot", "row", "n"))
+    counts = np.zeros(size, np.int64)
+    counts[row[is_hot]] = n[is_hot]
+    rare = slices.select("rare").mapInArrow(words, "word long").distinct().count()
+    sums = slices.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_texts"), F.lit(0))).first()
+    words_, pairs = np.split(counts, [len(layout.hot_words)])
+    # The beginning stands before every text once, and as a pair too.
+    words_[layout.hot_words == BEGIN] = sums[1]
+    pairs[layout.hot_pairs == pair_hashes(np.array([BEGIN]), np.array([BEGIN]))] = sums[1]
+    met = [(keys[n > 0], n[n > 0]) for keys, n in ((layout.hot_words, words_), (layout.hot_pairs, pairs))]
+    return Totals(sums[0], rare + int((~is_hot).sum()), sums[1]), {"words": met[0], "pairs": met[1]}
+
+
+def _slice_grams(batch: pa.RecordBatch, i: int, layout: Layout, places: bool) -> tuple[Grams, np.ndarray]:
+    """The n-grams of a stored slice, and the ends of its texts' tokens."""
+    text = zstandard.ZstdDecompressor().decompress(batch.column("texts")[i].as_py())
+    offsets = np.concatenate([[0], np.frombuffer(batch.column("ends")[i].as_py(), np.int64)])
+    tokens, ends = hashed_tokens(K.find_words(K.LOWER[np.frombuffer(text, np.uint8)], offsets, K.SPACED))
+    return cut_grams(tokens, ends, np.array(batch.column("training")[i].as_py(), bool), layout, places), ends
+
+
+def ask(slices: DataFrame, layout: Layout) -> DataFrame:
+    """The requests of all slices, by shard."""
+    shared = slices.sparkSession.sparkContext.broadcast(layout)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, slice_id in enumerate(batch.column("slice_id").to_pylist()):
+                yield requests(_slice_grams(batch, i, shared.value, False)[0], slice_id, shared.value)
+
+    parts = default_partitions(slices.sparkSession)
+    rows = slices.select("slice_id", "training", "ends", "texts").mapInArrow(run, REQUEST)
+    return rows.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard")
+
+
+def answer(asked: DataFrame, layout: Layout, totals: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Each shard's trie, asked by every slice."""
+    shared = asked.sparkSession.sparkContext.broadcast((layout.numbered, totals))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_: list[pa.RecordBatch] = []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            numbered, sums = shared.value
+            table = pa.Table.from_batches(held_).combine_chunks()
+            held_.clear()
+            batch = table.to_batches()[0]
+            r = Request.of(batch, numbered)
+            firsts, pairs, triples = Trie(Trie.build(r, sums)).answer(r)
+            cuts = [np.concatenate([[0], K.text_bytes(batch.column(n))[1][1:] // 2]) for n in ("a", "b", "t")]
+            yield pa.RecordBatch.from_arrays([batch.column("slice_id"), batch.column("shard"), *(_binary(v, c) for v, c in zip((firsts, pairs, triples), cuts, strict=True))], names=[c.split()[0] for c in ANSWER.split(", ")])
+
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if held_ and held_[-1].column("shard")[0].as_py() != shard[a]:
+                    yield from answers()
+                held_.append(batch.slice(a, b - a))
+        if held_:
+            yield from answers()
+
+    return asked.mapInArrow(run, ANSWER)
 
 
 def score_texts(docs: DataFrame, is_training: Column) -> DataFrame:
     """doc_id, is_training, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
-    base_score is the add-half word model's log10 probability, score the trie's.  A null text is empty, so its end is
-    its one token.  Rows that share a doc_id, or have none, are scored each on their own.  Without training rows every
-    word is as likely as an unknown one.
+    base_score is the add-half word model's log10 probability, score that of the model of words, pairs and triples.  A
+    null text is empty, so its end is its one token.  Rows that share a doc_id, or have none, are scored each on their
+    own; repeated rows count each time.  Without training rows every word is as likely as an unknown one.  A text of any
+    length is scored whole, in a slice of its own if it is long.  No rows: no result.  Other columns are not looked at.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_training.alias("training"), F.col("text").cast("string").alias("text"))
-    counts, table = train(rows.where("training"))
-    shared = spark.sparkContext.broadcast(build_trie(counts))
-
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        trie = _trie(shared.value)
-        tokens, ends = tokens_of(part)
-        at = trie.words.find(tokens)
-        text = np.repeat(np.arange(part.num_rows), np.diff(ends))
-        first = np.zeros(len(tokens), bool)
-        first[ends[:-1]] = True
-        known = at >= 0
-        base = np.full(len(tokens), -trie.mass)
-        base[known] += np.log10(trie.parts["word_counts"][at[known]] + 0.5)
-        model = trie.score(at, first)
-        model[~known] -= trie.mass  # the count of a rare word comes with the join
-        rare = np.flatnonzero(~known)
-        order = rare[np.lexsort((tokens[rare], text[rare]))]
-        new = np.concatenate([[True], (tokens[order][1:] != tokens[order][:-1]) | (text[order][1:] != text[order][:-1])])[: len(order)]
-        head = np.flatnonzero(new)
-        times = np.diff(np.append(head, len(order)))
-        cuts = pa.array(np.searchsorted(text[order][head], np.arange(part.num_rows + 1)), pa.int32())
-        sums = lambda x: np.add.reduceat(x, ends[:-1])
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (K.signed(tokens[order][head]), times.astype(np.int32))]
-        return K.with_columns(part, n_tokens=np.diff(ends), held=sums(known.astype(np.int64)), base=sums(base), model=sums(model), words=lists[0], times=lists[1])
-
-    scored = K.map_texts(rows, work, "doc_id long, training boolean, n_tokens long, held long, base double, model double, words array<long>, times array<int>")
-    scored = stage_table(scored.withColumn("row_key", F.monotonically_increasing_id()), "lm-texts")
-    rare = scored.select("row_key", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row_key", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
-    seen = F.coalesce(F.col("n"), F.lit(0))
-    rare = rare.join(table, "word", "left").groupBy("row_key").agg(F.sum(F.col("times") * F.log10(seen + 0.5)).alias("rare"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    out = scored.drop("words", "times").join(rare, "row_key", "left")
-    more = F.coalesce("rare", F.lit(0.0))
-    return out.select("doc_id", "training", "n_tokens", (F.col("held") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("training"), F.col("text").cast("string").alias("text"))
+    layout = look(rows.where("training"))
+    slices = write_slices(rows, layout)
+    totals, hot = gather_totals(slices, layout)
+    answers = answer(ask(slices, layout), layout, hot)
+    texts = slices.select("slice_id", F.lit(-1).alias("shard"), "doc_ids", "training", "ends", "texts")
+    met = texts.unionByName(answers, allowMissingColumns=True)
+    parts = default_partitions(spark)
+    shared = spark.sparkContext.broadcast((layout, totals))
+    names = ["doc_id", "training", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_: list[pa.RecordBatch] = []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            plan, sums = shared.value
+            batch = pa.Table.from_batches(held_).combine_chunks().to_batches()[0]
+            held_.clear()
+            g, ends = _slice_grams(batch, 0, plan, True)
+            codes = [K.text_bytes(batch.column(n))[0].view(kind) for n, kind in (("firsts", np.int64), ("pairs", np.uint16), ("triples", np.uint16))]
+            count, base, model = token_scores(g, *codes, ends, sums)
+            add = lambda x: np.add.reduceat(x, ends[:-1])
+            columns = [pa.array(batch.column("doc_ids")[0].as_py(), pa.int64()), pa.array(batch.column("training")[0].as_py(), pa.bool_()), np.diff(ends), add((count > 0).astype(np.int64)), add(base), add(model)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+        for batch in batches:
+            slice_id = batch.column("slice_id").to_numpy()
+            edges = [0, *(np.flatnonzero(slice_id[1:] != slice_id[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if held_ and held_[-1].column("slice_id")[0].as_py() != slice_id[a]:
+                    yield from scored()
+                held_.append(batch.slice(a, b - a))
+        if held_:
+            yield from scored()
+
+    dealt = met.repartition(parts, "slice_id").sortWithinPartitions("slice_id", "shard")
+    out = dealt.mapInArrow(run, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "training", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

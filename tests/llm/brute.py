@@ -128,3 +128,25 @@ def language_model_base(docs):
             count.update(rows[doc_id])
     n, v = sum(count.values()), len(count)
     return {d: (len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for d, t in rows.items()}
+
+
+def language_model(docs, mu):
+    """log10 of the interpolated model of words, pairs and triples, for every text, from exact counts."""
+    rows, counts = {}, [Counter(), Counter(), Counter()]
+    texts = 0
+    for doc_id, text in docs:
+        rows[doc_id] = ["<s>", "<s>", *SPACED.findall(lower(text)), "</s>"]
+        if remainder(doc_id) != 1:
+            texts += 1
+            for i in range(2, len(rows[doc_id])):
+                for n in range(3):
+                    counts[n][tuple(rows[doc_id][i - n : i + 1])] += 1
+    tokens, distinct = sum(counts[0].values()), len(counts[0])
+
+    def probability(gram):
+        if len(gram) == 1:
+            return (counts[0][gram] + 0.5) / (tokens + 0.5 * (distinct + 1))
+        context = texts if set(gram[:-1]) == {"<s>"} else counts[len(gram) - 2][gram[:-1]]
+        return (counts[len(gram) - 1][gram] + mu * probability(gram[1:])) / (context + mu)
+
+    return {d: sum(math.log10(probability(tuple(t[i - 2 : i + 1]))) for i in range(2, len(t))) for d, t in rows.items()}

@@ -247,25 +247,95 @@ def test_language_model(docs, rows):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
-def test_trie_distributions_sum_to_one(spark):
-    """Over all words and the unknown one, the probabilities behind any context add up to 1."""
+def model_score_error(found, rows):
+    """The largest difference of a score from that by exact counts, in steps of the code for each token."""
+    want = brute.language_model(rows, lm_scoring.MU)
+    return max(abs(r.score - want[r.doc_id]) / r.n_tokens for r in found) / lm_scoring.CODE_STEP
+
+
+def test_language_model_scores_by_brute_force(docs, rows):
+    assert model_score_error(lm_scoring.score_texts(docs, kernels.remainder() != 1).collect(), pairs(rows)) < 1
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_language_model_in_slices_and_hot_shards(spark, hot, monkeypatch):
+    """Small slices, and words and pairs that are spread over all shards, change nothing; a text longer than a slice is whole."""
+    if hot:
+        look = lm_scoring.look
+
+        def spread(docs):
+            layout = look(docs)
+            words = [lm_scoring.tokens_of(pa.record_batch({"text": pa.array([w])}))[0][0] for w in "abc"]
+            layout.hot_words = np.union1d(layout.hot_words, np.array(words[:2], np.uint64))
+            layout.hot_pairs = np.union1d(layout.hot_pairs, lm_scoring.pair_hashes(np.array([words[0]] * 2), np.array([words[1], words[2]])))
+            layout.numbered = np.sort(np.array(words[1:], np.uint64))
+            layout.shards = 13
+            return layout
+
+        monkeypatch.setattr(lm_scoring, "look", spread)
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 200)
     rng = random.Random(4)
-    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcde") for _ in range(12))) for i in range(40)], "doc_id long, text string")
-    counts, _ = lm_scoring.train(docs)
-    trie = lm_scoring.Trie(lm_scoring.build_trie(counts))
-    words = np.sort(counts.words)
-    for context in ([], [0], [2, 3], [1, 1], [4, 0]):
-        total = 0.0
-        for w in range(len(words)):
-            rows_ = np.array([*context, w])
-            first = np.zeros(len(rows_), bool)
-            first[0] = True
-            total += 10 ** trie.score(rows_, first)[-1]
-        rows_ = np.array([*context, -1])
-        first = np.zeros(len(rows_), bool)
-        first[0] = True
-        total += 10 ** (trie.score(rows_, first)[-1] + np.log10(0.5) - trie.mass)
-        assert total == pytest.approx(1.0, abs=2e-3)
+    rows = [(i, " ".join(rng.choice("aaabbcdefg") for _ in range(rng.choice([0, 1, 2, 30, 600])))) for i in range(80)] + [(80, None)]
+    found = lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), kernels.remainder() != 1).collect()
+    base = brute.language_model_base(rows)
+    assert all((r.n_tokens, r.n_known, r.train_tokens) == base[r.doc_id][:3] and r.base_score == pytest.approx(base[r.doc_id][3], abs=1e-6) for r in found)
+    assert len(found) == 81 and model_score_error(found, rows) < 1
+
+
+def test_model_probabilities_sum_to_one(spark):
+    """Over all words and the unknown one, the probabilities behind a context add up to 1."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(12))) for i in range(40)]
+    contexts = ["", "a", "c d", "b b", "e a"]
+    asked = [(1000 + 10 * c + k, f"{context} {w}") for c, context in enumerate(contexts) for k, w in enumerate([*"abcde", "unknown"])] + [(2000 + c, context) for c, context in enumerate(contexts)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lm_scoring.score_texts(docs, F.col("doc_id") < 1000).collect()}
+    exact = lambda text: brute_text(rows, text)
+    for c, context in enumerate(contexts):
+        before = exact(context)
+        total = sum(10 ** (exact(f"{context} {w}")[0] - before[0]) for w in [*"abcde", "unknown"]) + 10 ** (before[1] - before[0])
+        assert total == pytest.approx(1.0, abs=1e-9)
+        for k, w in enumerate([*"abcde", "unknown"]):
+            assert score[1000 + 10 * c + k] == pytest.approx(exact(f"{context} {w}")[1], abs=2e-3)
+        assert score[2000 + c] == pytest.approx(before[1], abs=2e-3)
+
+
+def brute_text(rows, text):
+    """log10 of the words of a text, and of the whole text with its end, by exact counts."""
+    counts, texts = [brute.Counter() for _ in range(3)], len(rows)
+    for _, t in rows:
+        line = ["<s>", "<s>", *t.split(), "</s>"]
+        for i in range(2, len(line)):
+            for n in range(3):
+                counts[n][tuple(line[i - n : i + 1])] += 1
+
+    def probability(gram):
+        if len(gram) == 1:
+            return (counts[0][gram] + 0.5) / (sum(counts[0].values()) + 0.5 * (len(counts[0]) + 1))
+        context = texts if set(gram[:-1]) == {"<s>"} else counts[len(gram) - 2][gram[:-1]]
+        return (counts[len(gram) - 1][gram] + lm_scoring.MU * probability(gram[1:])) / (context + lm_scoring.MU)
+
+    line = ["<s>", "<s>", *text.split(), "</s>"]
+    logs = [math.log10(probability(tuple(line[i - 2 : i + 1]))) for i in range(2, len(line))]
+    return sum(logs[:-1]), sum(logs)
+
+
+def test_trie_finds_successors_within_their_context():
+    """Every n-gram of training texts is found below its context, and no other one."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    tokens, ends = lm_scoring.tokens_of(pa.record_batch({"text": pa.array(texts)}))
+    layout = lm_scoring.Layout(1, np.sort(np.unique(tokens))[:2], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    g = lm_scoring.cut_grams(tokens, ends, np.arange(30) % 2 == 0, layout, False)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    r = lm_scoring.Request.of(lm_scoring.requests(g, 0, layout), layout.numbered)
+    trie = lm_scoring.Trie(lm_scoring.Trie.build(r, {"words": none, "pairs": none}))
+    first, pair, triple = trie.find(r.a, r.b, r.t, r.first_of, r.pair_of)
+    assert ((pair >= 0) == (r.b_count > 0)).all() and ((triple >= 0) == (r.t_count > 0)).all()
+    for found in (first, pair, triple):
+        assert sorted(found[found >= 0].tolist()) == list(range(found.max() + 1))
+    ends_ = trie.first_ends.get(np.arange(trie.firsts.n + 1)).astype(int)
+    assert all(ends_[first[a]] <= p < ends_[first[a] + 1] for a, p in zip(r.first_of, pair) if p >= 0)
 
 
 def test_elias_fano():
@@ -275,6 +345,8 @@ def test_elias_fano():
         parts = lm_scoring.map_arrays(lm_scoring.pack_arrays(lm_scoring.EliasFano.build(values).parts("x")))
         held = lm_scoring.EliasFano.of(parts, "x")
         assert held.find(values).tolist() == list(range(len(values)))
+        assert held.get(np.arange(len(values))).tolist() == values.tolist()
+        assert held.find(values, np.arange(len(values)) + 1, np.full(len(values), len(values))).tolist() == [-1] * len(values)
         ask = np.concatenate([values + np.uint64(1), rng.integers(0, 2**63, 200, dtype=np.uint64), np.zeros(1, np.uint64)])
         where = {int(v): i for i, v in enumerate(values)}
         assert held.find(ask).tolist() == [where.get(int(v), -1) for v in ask]
