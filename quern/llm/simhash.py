@@ -8,9 +8,10 @@ fingerprints meet.  The scheme widens the keys with the number of fingerprints a
 A shard is the set of fingerprints with one key.  Its task builds a BK-tree (children keyed by their integer Hamming
 distance to the parent) and follows for each fingerprint only the edges within the radius.  A tree covers all
 fingerprints of its shard, so trees travel by shuffle: broadcasting them would need room for the whole corpus on every
-machine.  A shard above ``SHARD_LIMIT`` is cut into chunks, and every pair of chunks becomes a shard of its own.
-A shard returns one link per fingerprint to the smallest it is connected to, never all pairs; alternating stars join
-these links to components.
+machine.  The fingerprints of a shard above ``SHARD_LIMIT`` are keyed again by the bits that are not yet in the key.
+A search leaves out every subtree that is already one component with what it looks for, so a dense group costs little
+more than its first searches.  A shard returns one link per fingerprint to the smallest it is connected to, never all
+pairs; alternating stars join these links to components.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import broadcast_if_small, default_partitions, drop_stage, stage_table
@@ -30,7 +31,9 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
 SHARD_LIMIT = 4096
-PIVOTS_FROM = 32
+SMALL_SHARD = 32  # up to here fingerprints are looked for one by one
+SEARCHES = 1 << 18  # pairs of a fingerprint and a node that searches begin with at once
+SALTS = 32
 WIDE_WORDS, WIDE_RADIUS, WIDE_SHINGLE_WORDS, WIDE_SHARD_LIMIT = 4, 76, 5, 1024
 KEYS = 8
 LEAST_SHARE = 0.8
@@ -102,35 +105,59 @@ class BKTree:
         return node
 
 
-def tree_matches(tree: BKTree, held: np.ndarray, values: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of ``values``, position in the tree) within ``radius``, for all rows ``asked`` at once.
-
-    ``held`` are the rows that the tree was built from.  All searches go down the tree together, a level at a time.
-    """
-    sizes = np.array([len(c) for c in tree.children])
-    first = np.cumsum(sizes) - sizes
-    edge = np.array([e for c in tree.children for e in c], np.int64)
-    child = np.array([n for c in tree.children for n in c.values()], np.int64)
-    query, node = asked, np.zeros(len(asked), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(query):
-        distance = np.bitwise_count(values[query] ^ values[held[node]]).sum(axis=1, dtype=np.int64)
-        hit = distance <= radius
-        found.append((query[hit], node[hit]))
-        n = sizes[node]
-        step = np.repeat(first[node] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        query, distance = np.repeat(query, n), np.repeat(distance, n)
-        on = np.abs(edge[step] - distance) <= radius
-        query, node = query[on], child[step[on]]
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+class TreeSearch:
+    """Searches in a BK-tree for many of its own values at once, all of them going down a level at a time."""
+
+    def __init__(self, tree: BKTree, values: np.ndarray):
+        n = len(values)
+        self.values = values
+        self.sizes = np.array([len(c) for c in tree.children])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.edge = np.array([e for c in tree.children for e in c], np.int64)
+        self.child = np.array([x for c in tree.children for x in c.values()], np.int64)
+        self.up = np.zeros(n, np.int64)
+        self.up[self.child] = np.repeat(np.arange(n), self.sizes)
+        self.levels, level = [], np.zeros(1, np.int64)
+        while len(level):
+            self.levels.append(level)
+            level = self._children(level)[1]
+
+    def _children(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the edges of all ``node``, and the nodes that they lead to."""
+        n = self.sizes[node]
+        step = np.repeat(self.first[node] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return step, self.child[step]
+
+    def settled(self, label: np.ndarray) -> np.ndarray:
+        """The label of each subtree that has only one, -1 for the others."""
+        low, high = label.copy(), label.copy()
+        for level in self.levels[:0:-1]:
+            np.minimum.at(low, self.up[level], low[level])
+            np.maximum.at(high, self.up[level], high[level])
+        return np.where(low == high, low, -1)
+
+    def near(self, asked: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (asked, node) within ``radius``, but for nodes in subtrees that have the label of what is asked throughout."""
+        settled = self.settled(label)
+        query, node = asked, np.zeros(len(asked), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(query):
+            open_ = settled[node] != label[query]
+            query, node = query[open_], node[open_]
+            distance = np.bitwise_count(self.values[query] ^ self.values[node]).sum(axis=1, dtype=np.int64)
+            hit = distance <= radius
+            found.append((query[hit], node[hit]))
+            step, child = self._children(node)
+            query, distance = np.repeat(query, self.sizes[node]), np.repeat(distance, self.sizes[node])
+            on = np.abs(self.edge[step] - distance) <= radius
+            query, node = query[on], child[on]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def shard_links(nodes: np.ndarray, values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """For each of the distinct ``nodes`` that has company, a link to the smallest of those it is connected to.
 
-    ``values`` has a row of 64-bit words for each node.  In a larger shard everything within the radius of a pivot is
-    one cluster at once, so a dense group costs one distance a node; the BK-tree then holds what is outside the largest
-    cluster, and finds what joins clusters.
+    ``values`` has a row of 64-bit words for each node.  Everything is found in a BK-tree of the whole shard.
     """
     order = np.argsort(nodes)
     nodes, values = nodes[order], values[order]
@@ -148,29 +175,25 @@ def shard_links(nodes: np.ndarray, values: np.ndarray, radius: int) -> list[tupl
         parent[y] = x
 
     tree, numbers = BKTree(), [int.from_bytes(row.tobytes(), "little") for row in values]
-    if n <= PIVOTS_FROM:
+    if n <= SMALL_SHARD:
         for x in range(n):
             for found in tree.near(numbers[x], radius):
                 join(x, found)
             tree.add(numbers[x])
+        label = np.array([root(x) for x in range(n)])
     else:
-        left, clusters = np.arange(n), []
-        while len(left):
-            near = np.bitwise_count(values[left] ^ values[left[0]]).sum(axis=1, dtype=np.int64) <= radius
-            clusters.append(left[near])
-            for x in left[near].tolist():
-                parent[x] = int(left[0])
-            left = left[~near]
-        held = np.setdiff1d(np.arange(n), max(clusters, key=len))
-        for x in held.tolist():
-            tree.add(numbers[x])
-        pivot = np.array(parent)
-        for block in np.array_split(np.arange(n), -(-n // 256)) if len(held) else ():
-            query, place = tree_matches(tree, held, values, block, radius)
-            for a, b in np.unique(np.column_stack([pivot[query], pivot[held[place]]]), axis=0).tolist():
+        for number in numbers:
+            tree.add(number)
+        search, label = TreeSearch(tree, values), np.arange(n)
+        for first in range(0, n, step := max(1, SEARCHES // n)):
+            query, node = search.near(np.arange(first, min(n, first + step)), radius, label)
+            met = np.unique(np.column_stack([label[query], label[node]]), axis=0)
+            for a, b in met[met[:, 0] != met[:, 1]].tolist():
                 join(a, b)
+            held, place = np.unique(label, return_inverse=True)
+            label = np.array([root(x) for x in held.tolist()])[place]
     ids = nodes.tolist()
-    return [(ids[i], ids[r]) for i in range(n) if (r := root(i)) != i]
+    return [(ids[i], ids[r]) for i, r in enumerate(label.tolist()) if r != i]
 
 
 def key_scheme(n: int, radius: int = RADIUS) -> tuple[int, int]:
@@ -187,34 +210,53 @@ def _masks(blocks: int, equal: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, equal)]
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _further(mask: int, radius: int) -> list[int]:
+    """The bits outside ``mask`` in radius + 1 parts, one of which is equal in near fingerprints."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    edges = [round(len(bits) * i / (radius + 1)) for i in range(radius + 2)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+
+
 def linked_pairs(nodes: DataFrame, radius: int = RADIUS, limit: int = SHARD_LIMIT) -> DataFrame:
     """Links (node, parent) between distinct values of ``fp`` whose connected sets are those of all pairs within ``radius``."""
     blocks, equal = key_scheme(nodes.count(), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in _masks(blocks, equal)]
+    masks = _masks(blocks, equal)
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).alias("mask"), F.array(*[F.lit(_signed(x)) for x in _further(m, radius)]).alias("further")) for i, m in enumerate(masks)])
     # The place of the mask is part of the key, for equal bits mean nothing in other places.
-    keys = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]), lambda k: F.xxhash64(k.i, k.bits))
-    return shard_pairs(nodes.select(F.col("fp").alias("node"), F.explode(keys).alias("key")), radius, limit)
+    keyed = nodes.select(F.col("fp").alias("node"), F.explode(table).alias("m")).select("node", F.xxhash64("m.i", F.col("node").bitwiseAND(F.col("m.mask"))).alias("key"), "m.further")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    again = F.transform("further", lambda m, i: F.xxhash64("key", i, F.col("node").bitwiseAND(m)))
+    keys = F.when(F.col("n") > limit, again).otherwise(F.array("key"))
+    shards = keyed.join(counts, "key").select(F.explode(keys).alias("key"), "node")
+    return search_shards(shards, ["key"], radius)
 
 
 def shard_pairs(keyed: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Links (node, parent) within the shards of ``keyed`` (node, key, and ``bits`` where node is not the fingerprint)."""
-    wide = "bits" in keyed.columns
+    """Links (node, parent) within the shards of ``keyed`` (node, key, bits); a larger shard is cut into chunks, and every pair of them is a shard."""
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / limit).cast("int").alias("chunks"))
     met = keyed.join(counts, "key").withColumn("met", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    columns = ["node", *(["bits"] if wide else [])]
-    shards = met.select("key", F.least(own, "met").alias("low"), F.greatest(own, "met").alias("high"), *columns)
-    keys = ["key", "low", "high"]
+    shards = met.select("key", F.least(own, "met").alias("low"), F.greatest(own, "met").alias("high"), "node", "bits")
+    return search_shards(shards, ["key", "low", "high"], radius)
+
+
+def search_shards(shards: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Links (node, parent) within rows that have equal ``keys``; the fingerprint is ``bits``, or node if there is no such column."""
+    wide, of = "bits" in shards.columns, len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def links(rows: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
-            change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            change = np.flatnonzero((rows[1:, :of] != rows[:-1, :of]).any(axis=1)) + 1
             edges = np.concatenate([[0], change, [len(rows)]])
             found: list[tuple[int, int]] = []
             for k in np.flatnonzero(np.diff(edges) > 1).tolist():
-                found += shard_links(rows[edges[k] : edges[k + 1], 3], values[edges[k] : edges[k + 1]], radius)
+                found += shard_links(rows[edges[k] : edges[k + 1], of], values[edges[k] : edges[k + 1]], radius)
             if found:
                 return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["node", "parent"])
             return None
@@ -223,10 +265,10 @@ def shard_pairs(keyed: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> Data
             if not batch.num_rows:
                 continue
             rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in (*keys, "node")])
-            values = K.text_bytes(batch.column("bits"))[0].reshape(len(rows), -1).copy().view(K.U64) if wide else rows[:, 3:].copy().view(K.U64)
+            values = K.text_bytes(batch.column("bits"))[0].reshape(len(rows), -1).copy().view(K.U64) if wide else rows[:, of:].copy().view(K.U64)
             held.append((rows, values))
             rows, values = (np.concatenate(x) for x in zip(*held, strict=True))
-            same = (rows[:, :3] == rows[-1, :3]).all(axis=1)
+            same = (rows[:, :of] == rows[-1, :of]).all(axis=1)
             last = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last shard begins
             held = [(rows[last:], values[last:])]
             if last and (out := links(rows[:last], values[:last])) is not None:
@@ -235,14 +277,22 @@ def shard_pairs(keyed: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> Data
             yield out
 
     # A number of partitions of its own: the rows are few bytes but much work, and Spark would merge them by bytes.
-    return shards.repartition(default_partitions(keyed.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, parent long").distinct()
+    return shards.repartition(default_partitions(shards.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, parent long").distinct()
+
+
+def with_least(rows: DataFrame, group: str, value: Column, name: str, spread: str) -> DataFrame:
+    """``rows`` with the smallest ``value`` of their ``group`` as ``name``; a large group is joined in parts, by the hash of ``spread``."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    parts = salted.groupBy(group, "_salt").agg(F.min(value).alias(name))
+    whole = parts.groupBy(group).agg(F.min(name).alias(name), F.collect_set("_salt").alias("_salts"))
+    return salted.join(whole.select(group, name, F.explode("_salts").alias("_salt")), [group, "_salt"]).drop("_salt")
 
 
 def star_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that links to a smaller one, root being the smallest it is connected to.
 
     Large stars and small stars alternate until nothing changes.  Each round groups by node with a minimum, which is
-    combined before the shuffle, and joins it back, so no node's neighbours are gathered in one place.
+    combined before the shuffle, and joins it back in parts, so no node's neighbours are gathered in one place.
     """
 
     def sign(df: DataFrame) -> tuple:
@@ -252,12 +302,12 @@ def star_components(links: DataFrame) -> DataFrame:
     before = sign(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("parent").alias("node"), F.col("node").alias("parent")))
-        least = both.groupBy("node").agg(F.min("parent").alias("low")).withColumn("low", F.least("low", "node"))
-        large = both.join(least, "node").where(F.col("parent") > F.col("node")).select(F.col("parent").alias("node"), F.col("low").alias("parent")).distinct()
+        least = with_least(both, "node", F.least("node", "parent"), "low", "parent")
+        large = least.where(F.col("parent") > F.col("node")).select(F.col("parent").alias("node"), F.col("low").alias("parent")).distinct()
         large = stage_table(large, "links")
-        lows = large.groupBy("node").agg(F.min("parent").alias("low"))
-        small = large.join(lows, "node").where("parent <> low").select(F.col("parent").alias("node"), F.col("low").alias("parent"))
-        following = stage_table(small.unionByName(lows.withColumnRenamed("low", "parent")).distinct(), "links")
+        lows = with_least(large, "node", F.col("parent"), "low", "parent")
+        small = lows.select(F.when(F.col("parent") != F.col("low"), F.col("parent")).otherwise(F.col("node")).alias("node"), F.col("low").alias("parent"))
+        following = stage_table(small.distinct(), "links")
         drop_stage(large)
         drop_stage(now)
         now, after = following, sign(following)
@@ -267,7 +317,7 @@ def star_components(links: DataFrame) -> DataFrame:
     return now.withColumnRenamed("parent", "root")
 
 
-def _components(prints: DataFrame, links: DataFrame, name: F.Column | None = None) -> DataFrame:
+def _components(prints: DataFrame, links: DataFrame, name: Column | None = None) -> DataFrame:
     """doc_id, fp and component_id of rows (doc_id, node, fp and others) from links between nodes; the others are kept.
 
     A component's id is the smallest ``name`` (default doc_id) of its rows.
@@ -276,8 +326,8 @@ def _components(prints: DataFrame, links: DataFrame, name: F.Column | None = Non
     roots = star_components(links)
     # (node, root) of linked nodes, and of their roots too
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).distinct()
-    firsts = linked.join(nodes, "node").groupBy("root").agg(F.min("first_id").alias("root_id"))
-    named = nodes.join(linked.join(firsts, "root"), "node", "left").select("node", F.coalesce("root_id", "first_id").alias("component_id"))
+    firsts = with_least(linked.join(nodes, "node"), "root", F.col("first_id"), "root_id", "node")
+    named = nodes.join(firsts.select("node", "root_id"), "node", "left").select("node", F.coalesce("root_id", "first_id").alias("component_id"))
     # As a table of its own it is broadcast if small, and else joined by a shuffle whose hot nodes Spark can split.
     named = broadcast_if_small(named, "components", 1 << 19)
     others = [c for c in prints.columns if c not in ("doc_id", "node", "fp")]
@@ -456,7 +506,7 @@ def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, shingle_words:
     return _components(prints.drop("keys"), similar_pairs(docs, members, shingle_words), name)
 
 
-def fingerprint_text(fp: str = "fp") -> F.Column:
+def fingerprint_text(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 

@@ -197,6 +197,59 @@ def test_bk_tree():
         assert sorted(tree.values[i] for i in tree.near(q, 3)) == sorted(v for v in values if (v ^ q).bit_count() <= 3)
 
 
+def crowd(rng, n):
+    """Fingerprints around a few centres, chains among them, that all agree in sixteen bits."""
+    values = set()
+    while len(values) < n:
+        x = rng.choice([0, 0xFFFF0000, 0x0F0F0F0F0F0F])
+        for _ in range(rng.randint(0, 5)):
+            x ^= 1 << rng.randrange(48)
+            values.add(x)
+    return np.array(sorted(values)[:n], np.uint64)
+
+
+@pytest.mark.parametrize("n", [20, 700])
+def test_links_come_from_the_tree(n, monkeypatch):
+    """A shard's links are those of brute force, and without the tree there is none."""
+    values = crowd(random.Random(n), n)
+    links = simhash.shard_links(values.view(np.int64), values[:, None], 3)
+    close = np.bitwise_count(values[:, None] ^ values) <= 3
+    label = np.arange(n)
+    while not (label == (low := np.where(close, label, n).min(axis=1))).all():
+        label = low
+    assert dict(links) == {int(values[i]): int(values[r]) for i, r in enumerate(label) if i != r} and len(links) > n / 3
+    monkeypatch.setattr(simhash.BKTree, "near", lambda *_: [])
+    monkeypatch.setattr(simhash.TreeSearch, "near", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not simhash.shard_links(values.view(np.int64), values[:, None], 3)
+
+
+def test_tree_searches_skip_only_what_is_one_component():
+    values = crowd(random.Random(2), 300)
+    tree = simhash.BKTree()
+    for v in values.tolist():
+        tree.add(v)
+    search, label = simhash.TreeSearch(tree, values[:, None]), np.arange(300)
+    query, node = search.near(np.arange(300), 3, label)
+    close = np.bitwise_count(values[:, None] ^ values) <= 3
+    assert {(q, x) for q, x in zip(query.tolist(), node.tolist()) if q != x} == {(q, x) for q, x in zip(*map(np.ndarray.tolist, np.nonzero(close))) if q != x}
+    label = np.where(np.arange(300) < 150, 0, 1)
+    query, node = search.near(np.arange(300), 3, label)
+    across = {(q, x) for q, x in zip(*map(np.ndarray.tolist, np.nonzero(close))) if label[q] != label[x]}
+    assert across <= set(zip(query.tolist(), node.tolist()))
+
+
+@pytest.mark.parametrize("limit", [5, 10**6])
+def test_shards_that_are_keyed_again_lose_no_link(spark, limit):
+    values = crowd(random.Random(5), 400)
+    close = np.bitwise_count(values[:, None] ^ values) <= 3
+    label = np.arange(400)
+    while not (label == (low := np.where(close, label, 400).min(axis=1))).all():
+        label = low
+    nodes = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fp long").repartition(3)
+    roots = {r.node: r.root for r in simhash.star_components(simhash.linked_pairs(nodes, limit=limit)).collect()}
+    assert roots == {int(values[i]): int(values[r]) for i, r in enumerate(label) if i != r}
+
+
 def test_top_k(spark):
     rng = random.Random(2)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(120)]
