@@ -20,27 +20,80 @@ from .tokens import HashIndex
 
 GRAM = 3
 DIAGONAL_GAP = 2
+SPAN_BREAK = 32  # words without a vote after which a span ends
 MIN_COVERAGE = 0.6
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Notices as their licenses print them, and the statements by which texts name a license.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
-    ("mit", "Released under the MIT License"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
+# The texts by which public licenses give their terms, and the notices that they ask to be put on a work.
+WARRANTY = (
+    "is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of "
+    "merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be "
+    "liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or "
+    "in connection with the software or the use or other dealings in the software."
+)
+GNU_NOTICE = (
+    "{work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free "
+    "Software Foundation, either version {version} of the License, or (at your option) any later version."
+)
+GNU_WARRANTY = (
+    "{work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+)
+NOTICES = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "The software " + WARRANTY),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("gpl-3.0", GNU_NOTICE.format(work="This program", name="General Public License", version="3")),
+    ("lgpl-3.0", GNU_NOTICE.format(work="This library", name="Lesser General Public License", version="3")),
+    ("agpl-3.0", GNU_NOTICE.format(work="This program", name="Affero General Public License", version="3")),
+    ("gpl", GNU_WARRANTY.format(work="This program", name="General Public License")),
+    ("lgpl", GNU_WARRANTY.format(work="This library", name="Lesser General Public License")),
+    ("agpl-3.0", GNU_WARRANTY.format(work="This program", name="Affero General Public License")),
+    ("gfdl-1.3", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is available with a FAQ at"),
 ]
 
+# Names of licenses, and the conditions that Creative Commons licenses put together.
+NAMES = {
+    "mit": "MIT License", "apache-2.0": "Apache License, Version 2.0", "gpl-2.0": "GNU General Public License, version 2", "gpl-3.0": "GNU General Public License, version 3",
+    "lgpl-2.1": "GNU Lesser General Public License, version 2.1", "lgpl-3.0": "GNU Lesser General Public License, version 3", "agpl-3.0": "GNU Affero General Public License, version 3",
+    "mpl-2.0": "Mozilla Public License, version 2.0", "bsd-2-clause": "BSD 2-Clause License", "bsd-3-clause": "BSD 3-Clause License", "isc": "ISC License", "zlib": "zlib License",
+    "epl-2.0": "Eclipse Public License, version 2.0", "bsl-1.0": "Boost Software License, Version 1.0", "ofl-1.1": "SIL Open Font License, Version 1.1",
+}
+VERBS = ("licensed", "released", "distributed", "available")
+CONDITIONS = {"by": "Attribution", "sa": "ShareAlike", "nc": "NonCommercial", "nd": "NoDerivatives"}
+
+
+def _statements() -> list[tuple[str, str]]:
+    """How works say which license they are under: by name, by identifier, and by the marks of Creative Commons."""
+    out = [(label, f"{verb} under the {name}") for label, name in NAMES.items() for verb in VERBS]
+    out += [(label, f"SPDX-License-Identifier: {label}") for label in NAMES]
+    for kind in ("by", "by-sa", "by-nc", "by-nc-sa", "by-nd", "by-nc-nd"):
+        conditions = "-".join(CONDITIONS[c] for c in kind.split("-"))
+        for version, suffix in (("3.0", "Unported"), ("4.0", "International")):
+            out.append((f"cc-{kind}-{version}", f"licensed under a Creative Commons {conditions} {version} {suffix} License"))
+            out.append((f"cc-{kind}-{version}", f"licensed under CC {kind.upper()} {version}"))
+    return out
+
+
+TEMPLATES = NOTICES + _statements()
+
 
 def _words_of(texts: list[str]) -> K.Words:
     batch = pa.record_batch({"text": pa.array(texts, pa.string())})
@@ -94,7 +147,10 @@ def scan_words(docs: DataFrame, templates: list[tuple[str, str]] | None = None,
 
 
 def license_spans(scanned: DataFrame, templates: list[tuple[str, str]] | None = None, gram: int = GRAM, gap: int = DIAGONAL_GAP, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """Verified spans: row_key, template, label, first_word, end_word and coverage of the template's words."""
+    """Verified spans: row_key, template, label, first_word, end_word and coverage of the template's words.
+
+    Diagonals at most ``gap`` apart are one band; a band ends where SPAN_BREAK words have no vote, and begins anew.
+    """
     templates = templates or TEMPLATES
     words = _words_of([t for _, t in templates])
     at, hashes = words.ngram_hashes(gram)
@@ -105,22 +161,24 @@ def license_spans(scanned: DataFrame, templates: list[tuple[str, str]] | None =
     about = F.broadcast(spark.createDataFrame([(i, label, int(n)) for i, ((label, _), n) in enumerate(zip(templates, words.counts, strict=True))], "template int, label string, template_words int"))
     votes = scanned.select("row_key", F.explode(F.arrays_zip("places", "grams")).alias("v")).select("row_key", F.col("v.places").alias("at"), F.col("v.grams").alias("gram"))
     votes = votes.join(positions, "gram").withColumn("diagonal", F.col("at") - F.col("template_at"))
-    lines = votes.groupBy("row_key", "template", "diagonal").agg(F.collect_set("template_at").alias("hit"), F.min("at").alias("first_word"), F.max("at").alias("last_at"))
-    by_diagonal = Window.partitionBy("row_key", "template").orderBy("diagonal")
+    by_diagonal = Window.partitionBy("row_key", "template").orderBy("diagonal", "at")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) <= gap, 0).otherwise(1)
-    lines = lines.withColumn("apart", apart).withColumn("band", F.sum("apart").over(by_diagonal))
-    spans = lines.groupBy("row_key", "template", "band").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.min("first_word").alias("first_word"), (F.max("last_at") + gram).alias("end_word"))
+    votes = votes.withColumn("apart", apart).withColumn("band", F.sum("apart").over(by_diagonal))
+    by_place = Window.partitionBy("row_key", "template", "band").orderBy("at", "template_at")
+    far = F.when(F.col("at") - F.lag("at").over(by_place) <= SPAN_BREAK, 0).otherwise(1)
+    votes = votes.withColumn("far", far).withColumn("part", F.sum("far").over(by_place))
+    spans = votes.groupBy("row_key", "template", "band", "part").agg(F.collect_set("template_at").alias("hit"), F.min("at").alias("first_word"), (F.max("at") + gram).alias("end_word"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x, x + gram - 1)))))
     spans = spans.join(about, "template").withColumn("coverage", covered / F.col("template_words"))
-    fits = (F.col("coverage") >= min_coverage) & (F.col("end_word") - F.col("first_word") <= 2 * F.col("template_words") + 4 * gap)
-    return spans.where(fits).select("row_key", "template", "label", "first_word", "end_word", "coverage")
+    return spans.where(F.col("coverage") >= min_coverage).select("row_key", "template", "label", "first_word", "end_word", "coverage")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Licenses of each document: counts and places of the fixed phrases, labels of both ways, and a score.
 
-    The score is 1 where a phrase stands, else the best coverage of a verified span, else 0.  Null text: no words, no
-    labels.  Rows that share a doc_id, or have none, are judged each on their own.
+    The score is 1 where a phrase stands, else the best coverage of a verified span, else 0.  Null or empty text: no
+    words, no labels.  Rows that share a doc_id, or have none, and repeated rows are judged each on their own.  A text of
+    any length is looked at whole.  No rows: no result.  Other columns are not looked at.
     """
     scanned = stage_table(scan_words(docs).withColumn("row_key", F.monotonically_increasing_id()), "license-words")
     found = license_spans(scanned).groupBy("row_key").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))

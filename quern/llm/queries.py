@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_topk_search": oracles.TOP_K, "op8_decontamination": oracles.DECONTAMINATION}
+    return {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_license_scan": oracles.LICENSE_SCAN, "op6_topk_search": oracles.TOP_K, "op8_decontamination": oracles.DECONTAMINATION}
