@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import time
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +39,18 @@ def query(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Measure a labelled set; with --save keep rows and summary under a name with the time."""
-    rows, summary = engine.evaluate(engine.Store(spark, a.store), labelled.read_questions(spark, a.questions))
+    """Measure a labelled set, or the one that is held out; with --save keep rows and summary under a name with the time."""
+    questions = labelled.read_questions(spark, a.questions)
+    if a.holdout:
+        held = labelled.read_questions(spark, a.holdout)
+        shared = [r["source"] for r in labelled.overlapping_sources(questions, held).collect()]
+        if shared:
+            raise SystemExit(f"both sets cite {', '.join(sorted(shared))}")
+        questions = held
+    config = Config.load(spark)
+    if a.answerability:
+        config = replace(config, evaluate_answerability=True)
+    rows, summary = engine.evaluate(engine.Store(spark, a.store), questions, config)
     _show(summary)
     if a.save:
         labelled.save_run(rows, summary, a.save, datetime.now().strftime("%Y%m%d-%H%M%S"))
@@ -58,6 +70,9 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> None:
 def watch_folder(spark: SparkSession, a: argparse.Namespace) -> None:
     """Re-index at once and after every burst of change events."""
     store = engine.Store(spark, a.store)
+    if a.poll:
+        os.makedirs(a.events, exist_ok=True)
+        watch.poll_events(spark, a.docs, a.events, a.poll)
     started = watch.start(watch.read_events(spark, a.events), lambda: print(engine.reindex(store, a.docs).first()), checkpoint=a.checkpoint, once=a.once)
     started.awaitTermination()
 
@@ -83,22 +98,43 @@ def remember(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def diagnose(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Size and roles of a store's chunks."""
-    chunks = engine.Store(spark, a.store).chunks()
-    _show(diagnostics.collection_size(chunks))
-    _show(diagnostics.role_counts(chunks))
+    """Size and roles of a store's chunks; with questions every check, and how many passed."""
+    store = engine.Store(spark, a.store)
+    _show(diagnostics.collection_size(store.chunks()))
+    _show(diagnostics.role_counts(store.chunks()))
+    if a.questions:
+        checks = engine.stage_table(engine.diagnose(store, labelled.read_questions(spark, a.questions)), "checks")
+        _show(checks)
+        _show(checks.agg(F.count_if("passed").alias("passed"), F.count("*").alias("checks")))
+
+
+def faithfulness(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Share of supported claims in saved results, as the model judges them."""
+    schema = "question string, answer string, contexts array<string>, sources array<struct<snippet:string,context:string>>"
+    results = spark.read.schema(schema).option("multiLine", True).json(a.results)
+    judged = engine.stage_table(engine.faithfulness(results, Config.load(spark)), "faithfulness")
+    _show(probe.faithfulness_summary(judged))
+    _show(judged)
+    if a.save:
+        judged.coalesce(1).write.mode("overwrite").json(a.save)
 
 
 def probes(spark: SparkSession, a: argparse.Namespace) -> None:
     """States of saved answers of repeated runs."""
     runs = spark.read.schema("question string, type string, run int, answer string, confidence double, expect_reject boolean, keywords array<string>").json(a.runs)
     states = probe.classify(runs)
-    _show(probe.question_summary(states))
-    _show(probe.aggregate(states))
+    questions, totals = probe.question_summary(states), probe.aggregate(states)
+    _show(questions)
+    _show(totals)
+    if a.save:
+        questions.coalesce(1).write.mode("overwrite").json(f"{a.save}/questions")
+        totals.coalesce(1).write.mode("overwrite").json(f"{a.save}/totals")
 
 
 def import_notes(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Write the pages of a note-service dump as a table of Markdown texts."""
+    """Write the pages of a note-service dump as a table of Markdown texts; with --database the dump is fetched first."""
+    if a.database:
+        notion.fetch_dump(spark, a.database, a.token or "", a.dump, a.url)
     notion.markdown_files(notion.read_dump(spark, a.dump)).write.mode("overwrite").parquet(a.out)
 
 
@@ -115,13 +151,14 @@ def parser() -> argparse.ArgumentParser:
     store, docs = (("--store",), {"required": True}), (("--docs",), {"required": True})
     add("index", index, store, docs, (("--force",), {"action": "store_true"}), (("--webhook",), {}))
     add("query", query, store, (("question",), {}), (("--top-k",), {"type": int, "default": Config().top_k}))
-    add("evaluate", evaluate, store, (("questions",), {}), (("--save",), {}))
+    add("evaluate", evaluate, store, (("questions",), {}), (("--save",), {}), (("--holdout",), {}), (("--answerability",), {"action": "store_true"}))
     add("compare", compare, (("root",), {}), (("runs",), {"nargs": "*"}))
-    add("watch", watch_folder, store, docs, (("--events",), {"required": True}), (("--checkpoint",), {}), (("--once",), {"action": "store_true"}))
+    add("watch", watch_folder, store, docs, (("--events",), {"required": True}), (("--checkpoint",), {}), (("--once",), {"action": "store_true"}), (("--poll",), {"type": float}))
     add("memory", remember, (("action",), {"choices": ["add", "search", "list", "delete"]}), (("text",), {"nargs": "?", "default": ""}), (("--table",), {"required": True}), (("--user",), {"default": "default"}), (("--tags",), {"nargs": "*"}))
-    add("diagnose", diagnose, store)
-    add("probe", probes, (("runs",), {}))
-    add("notes", import_notes, (("dump",), {}), (("out",), {}))
+    add("diagnose", diagnose, store, (("--questions",), {}))
+    add("faithfulness", faithfulness, (("results",), {}), (("--save",), {}))
+    add("probe", probes, (("runs",), {}), (("--save",), {}))
+    add("notes", import_notes, (("dump",), {}), (("out",), {}), (("--database",), {}), (("--token",), {}), (("--url",), {"default": "https://api.notion.com/v1"}))
     return top
 
 

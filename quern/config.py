@@ -34,7 +34,6 @@ class Config:
     least_block_chars: int = 200
     debounce_seconds: float = 2.0
     embedding_dim: int = 512
-    collection: str = "documents"
     pdf_parser: str = "plain"
     embedder: str = "hashing"
     reranker: str = "overlap"

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import providers
 from .config import Config
 from .functions import fixed
-from .functions.text import expanded_variants
-from .operators import chunking, context, evaluation, fusion, gates, indexing, lexical, ranking
+from .functions.text import expanded_variants, infer_title, rewritten_variants
+from .operators import chunking, context, dense, diagnostics, evaluation, fusion, gates, indexing, lexical, probe, ranking
 from .sources import files as file_source
 from .storage import stage_table
 
@@ -40,6 +40,11 @@ class Store:
         now = self.version()
         return self.spark.read.schema(schema).parquet(self._path(name, now)) if now else self.spark.createDataFrame([], schema)
 
+    def index(self) -> lexical.LexicalIndex | None:
+        """The lexical index of the latest version, None in an empty store."""
+        now = self.version()
+        return lexical.read_index(self.spark, self._path("lexical", now)) if now else None
+
     def chunks(self) -> DataFrame:
         return self.read("chunks", CHUNK_SCHEMA)
 
@@ -50,9 +55,12 @@ class Store:
         return self.read("manifest", "path string, sha256 string")
 
     def write(self, chunks: DataFrame, parents: DataFrame, manifest: DataFrame) -> None:
+        """A new version: chunks and parents, the lexical index of the chunks, and at last the manifest, which makes it valid."""
         to = self.version() + 1
-        for name, df in (("chunks", chunks), ("parents", parents), ("manifest", manifest)):
-            df.write.mode("overwrite").parquet(self._path(name, to))
+        chunks.write.mode("overwrite").parquet(self._path("chunks", to))
+        parents.write.mode("overwrite").parquet(self._path("parents", to))
+        lexical.write_index(self.spark.read.schema(CHUNK_SCHEMA).parquet(self._path("chunks", to)), self._path("lexical", to), "chunk_id", "content")
+        manifest.write.mode("overwrite").parquet(self._path("manifest", to))
 
 
 def reindex(store: Store, docs_root: str, force: bool = False, config: Config | None = None) -> DataFrame:
@@ -67,7 +75,7 @@ def reindex(store: Store, docs_root: str, force: bool = False, config: Config |
     current = stage_table(indexing.manifest_of(found), "manifest")
     known = spark.createDataFrame([], "path string, sha256 string") if force else store.manifest()
     changed, deleted = indexing.changed_files(current, known), indexing.deleted_files(current, known)
-    documents = stage_table(file_source.parse(found.join(changed.select("path"), "path", "left_semi")), "documents")
+    documents = stage_table(file_source.parse(found.join(changed.select("path"), "path", "left_semi"), config.pdf_parser), "documents")
     texts = documents.where("content is not null").select(F.col("path").alias("source"), "content", "chunk_role")
     if config.use_parent_child:
         parents = chunking.parents(texts, config)
@@ -75,6 +83,10 @@ def reindex(store: Store, docs_root: str, force: bool = False, config: Config |
     else:
         parents = spark.createDataFrame([], PARENT_SCHEMA)
         chunks = chunking.chunk(texts, config).withColumns({"parent_id": F.lit(None).cast("string"), "chunk_role": F.lit(None).cast("string")})
+    if config.use_contextual:
+        titles = documents.where("content is not null").groupBy(F.col("path").alias("source")).agg(infer_title(F.min_by("content", "ordinal")).alias("title"))
+        told = stage_table(chunking.described(chunks, titles, providers.chosen(providers.MODELS, config.llm)), "described")
+        chunks = chunking.contextualise(told, F.col("_described")).drop("_described", "context")
     embed = providers.chosen(providers.EMBEDDERS, config.embedder)(config.embedding_dim)
     chunks = stage_table(chunks.withColumn("embedding", embed(F.col("content"))).select("chunk_id", "source", "parent_id", "ordinal", "content", "chunk_role", "embedding"), "chunks")
     old_chunks, old_parents = (spark.createDataFrame([], s) if force else t for s, t in ((CHUNK_SCHEMA, store.chunks()), (PARENT_SCHEMA, store.parents())))
@@ -95,17 +107,21 @@ def retrieve(store: Store, questions: DataFrame, top_k: int | None = None, confi
     chunks, parents = store.chunks(), store.parents()
     embed = providers.chosen(providers.EMBEDDERS, config.embedder)(config.embedding_dim)
     score = providers.chosen(providers.RERANKERS, config.reranker)
-    index = lexical.build_index(chunks, "chunk_id", "content")
+    index = store.index() or lexical.build_index(chunks, "chunk_id", "content")
     vectors = chunks.select(F.col("chunk_id").alias("vec_id"), "embedding")
     asked = questions.select("query_id", "question")
     if config.use_query_rewrite:
-        asked = asked.select("query_id", F.posexplode(expanded_variants(F.col("question"))).alias("list_no", "question")).withColumn("whole_id", F.col("query_id")).withColumn("query_id", F.concat_ws("\u0001", F.col("query_id").cast("string"), "list_no"))
+        variants = expanded_variants(F.col("question"))
+        if config.llm != "none":
+            model = providers.chosen(providers.MODELS, config.llm)
+            asked = stage_table(asked.withColumn("_reply", model(F.concat(F.lit(fixed.REWRITE_RULES + "\n\n"), "question"))), "rewritten")
+            variants = rewritten_variants(F.col("_reply"), F.col("question"))
+        asked = asked.select("query_id", F.posexplode(variants).alias("list_no", "question")).withColumn("whole_id", F.col("query_id")).withColumn("query_id", F.concat_ws("\u0001", F.col("query_id").cast("string"), "list_no"))
     shown = chunking.with_parents(chunks.select("chunk_id", "source", "parent_id", "ordinal", "content", "chunk_role"), parents).drop("shown_text")
     query_vectors = asked.select("query_id", embed(F.col("question")).alias("query_vector"))
 
     def reranked(hits: DataFrame, by: DataFrame) -> DataFrame:
-        text = chunks.select(F.col("chunk_id").alias("doc_id"), "content")
-        return hits.join(text, "doc_id").join(by, "query_id").withColumn("pair_score", score(F.col("question"), F.col("content"))).drop("content", "question")
+        return providers.score_pairs(hits, by, chunks.select(F.col("chunk_id").alias("doc_id"), "content"), score)
 
     hits = ranking.retrieve(index, vectors, asked.select("query_id", "question"), query_vectors, lambda h: reranked(h, asked.select("query_id", "question")), config)
     if config.use_query_rewrite:
@@ -127,13 +143,15 @@ def answer(store: Store, questions: DataFrame, top_k: int | None = None, memorie
     model = providers.chosen(providers.MODELS, config.llm)
     hits = stage_table(retrieve(store, questions, top_k, config), "hits")
     if config.use_critic:
-        hits = gates.apply_critic(hits.withColumn("verdict", gates.heuristic_verdict(F.col("confidence"))))
+        hits = criticised(hits, questions, config)
     gate = gates.confidence_gate(hits, config.confidence_threshold)
     rows = questions.select("query_id", "question").join(gate, "query_id", "left").join(context.model_context(hits), "query_id", "left").join(context.bounded_context(hits).withColumnRenamed("context", "evidence_context"), "query_id", "left")
     for extra, name in ((memories, "memory"), (past, "history")):
         rows = rows.withColumn(name, F.lit(None).cast("string")) if extra is None else rows.join(extra.select("query_id", name), "query_id", "left")
     open_ = F.col("max_confidence").isNotNull() & ~F.coalesce("rejected", F.lit(False))
-    checked = gates.answerability(model(F.when(open_, F.concat_ws("\n\n", "evidence_context", "question"))), F.col("evidence_context"), F.col("max_confidence").isNotNull())
+    rows = stage_table(rows.withColumn("_check", model(F.when(open_ & F.lit(config.use_answerability_check), checked_prompt()))), "checked")
+    failed = open_ & F.col("_check").isNull() & F.lit(config.llm != "none")
+    checked = gates.answerability(F.col("_check"), F.col("evidence_context"), F.col("max_confidence").isNotNull(), failed)
     rows = rows.withColumn("status", F.when(F.lit(config.use_answerability_check), checked.status).otherwise("SKIPPED"))
     refused = gates.answerability_gate(F.col("status"), config.use_answerability_check)
     asks = open_ & ~refused
@@ -150,12 +168,66 @@ def answer(store: Store, questions: DataFrame, top_k: int | None = None, memorie
     return rows.join(sources, "query_id", "left")
 
 
+def checked_prompt() -> Column:
+    """What a model is asked about ``evidence_context`` and ``question``."""
+    return F.concat_ws("\n\n", F.lit(fixed.ANSWERABILITY_RULES), "evidence_context", "question")
+
+
+def criticised(hits: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
+    """Hits that the critic leaves: a model's verdicts if there is a model, else the rule of least confidence."""
+    if config.llm == "none":
+        return gates.apply_critic(hits.withColumn("verdict", gates.heuristic_verdict(F.col("confidence"))))
+    return gates.apply_critic(stage_table(gates.model_verdicts(hits, questions, providers.chosen(providers.MODELS, config.llm)), "verdicts"))
+
+
+def answerability_rows(hits: DataFrame, questions: DataFrame, config: Config) -> DataFrame:
+    """query_id, status and expected of labelled questions (expect_answerability)."""
+    model = providers.chosen(providers.MODELS, config.llm)
+    rows = questions.join(context.bounded_context(hits).withColumnRenamed("context", "evidence_context"), "query_id", "left")
+    rows = stage_table(rows.withColumn("_check", model(F.when(F.col("evidence_context").isNotNull(), checked_prompt()))), "checked")
+    failed = F.col("evidence_context").isNotNull() & F.col("_check").isNull() & F.lit(config.llm != "none")
+    checked = gates.answerability(F.col("_check"), F.col("evidence_context"), F.col("evidence_context").isNotNull(), failed)
+    return rows.select("query_id", checked.status.alias("status"), F.col("expect_answerability").alias("expected"))
+
+
 def evaluate(store: Store, test_set: DataFrame, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows and summary of a labelled set (query_id, question, keywords, must_cite, expect_reject, negative_type)."""
     config = config or Config.load(store.spark)
-    hits = retrieve(store, test_set, 5, config)
+    hits = stage_table(retrieve(store, test_set, 5, config), "hits")
     if config.use_critic:
-        hits = gates.apply_critic(hits.withColumn("verdict", gates.heuristic_verdict(F.col("confidence"))))
+        hits = criticised(hits, test_set, config)
     texts = hits.select("query_id", "rank", "source", evaluation.metric_text(F.col("content"), F.col("parent_text")).alias("text"), "confidence")
     rows = stage_table(evaluation.question_rows(test_set, texts, config.confidence_threshold), "evaluation")
-    return rows, evaluation.summary(rows)
+    summary = evaluation.summary(rows)
+    if config.evaluate_answerability:
+        checked = evaluation.answerability_summary(answerability_rows(hits, test_set, config))
+        names = ("evaluated", "definitive", "coverage", "accuracy")
+        long = "stack({}, {}) as (metric, value)".format(len(names), ", ".join(f"'answerability_{n}', double({n})" for n in names))
+        summary = summary.unionByName(checked.selectExpr(long))
+    return rows, summary
+
+
+def faithfulness(results: DataFrame, config: Config) -> DataFrame:
+    """question, score and unsupported claims of saved results (question, answer, contexts, sources), as a model judges them."""
+    model = providers.chosen(providers.MODELS, config.llm)
+    passages = F.array_join(F.transform(probe.contexts_of(F.col("contexts"), F.col("sources")), lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c)), "\n\n")
+    replied = stage_table(results.withColumn("_reply", model(F.concat_ws("\n\n", F.lit(fixed.CLAIM_RULES), passages, "question", "answer"))), "claims")
+    return replied.select("question", probe.judged_claims(F.col("_reply")).alias("j")).select("question", "j.score", "j.unsupported")
+
+
+def diagnose(store: Store, questions: DataFrame, config: Config | None = None) -> DataFrame:
+    """check and passed: the store's size, each list, confidences, spread of rerank scores, and a small evaluation.
+
+    ``questions`` has query_id, question and must_cite; the small evaluation passes if every first hit is a wanted one.
+    """
+    config = config or Config.load(store.spark)
+    chunks, asked = store.chunks(), questions.select("query_id", "question")
+    index = store.index() or lexical.build_index(chunks, "chunk_id", "content")
+    embed = providers.chosen(providers.EMBEDDERS, config.embedder)(config.embedding_dim)
+    near = dense.search(chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"), asked.select("query_id", embed(F.col("question")).alias("query_vector")), 5)
+    hits = stage_table(retrieve(store, questions, 5, config), "hits")
+    checks = diagnostics.retrieval_checks(lexical.search(index, asked, 5, matched_only=True), near, hits)
+    size = diagnostics.collection_size(chunks).select(F.lit("collection").alias("check"), (F.col("verdict") == "ok").alias("passed"))
+    first = questions.join(hits.where("rank = 1").select("query_id", "source"), "query_id", "left")
+    mini = first.agg(F.coalesce(F.bool_and(F.coalesce(evaluation.cited(F.col("source"), F.col("must_cite")), F.lit(False))), F.lit(False)).alias("passed"))
+    return size.unionByName(checks).unionByName(mini.select(F.lit("mini_eval").alias("check"), "passed"))

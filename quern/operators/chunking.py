@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import fixed
+from ..functions.text import numbered_part
 from .indexing import chunk_id
 
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", " ", "")
@@ -100,6 +101,19 @@ def with_parents(hits: DataFrame, parent_rows: DataFrame) -> DataFrame:
     return both.withColumn("shown_text", F.coalesce(F.when(F.col("parent_text") != "", F.col("parent_text")), F.col("content")))
 
 
+def described(chunks: DataFrame, titles: DataFrame, model: Callable[[Column], Column], together: int = 5) -> DataFrame:
+    """``chunks`` with ``_described``, a model's sentence about each; ``together`` neighbours of a source are one call.
+
+    ``titles`` has source and title.
+    """
+    place = ["source", F.coalesce("parent_id", F.lit("")).alias("_parent"), F.floor(F.col("ordinal") / together).alias("_part")]
+    groups = chunks.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.substring("content", 1, 600).alias("text"), "chunk_id"))).alias("_rows")).join(titles, "source", "left")
+    lines = F.array_join(F.transform("_rows", lambda r, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]\n"), r.text)), "\n\n")
+    replied = groups.withColumn("_reply", model(F.concat(F.lit(fixed.CONTEXT_RULES + "\n\n"), F.coalesce("title", F.lit("")), F.lit("\n\n"), lines)))
+    each = replied.select("_reply", F.posexplode("_rows").alias("_at", "_row"))
+    return chunks.join(each.select(F.col("_row.chunk_id").alias("chunk_id"), numbered_part(F.col("_reply"), F.col("_at") + 1).alias("_described")), "chunk_id", "left")
+
+
 def contextualise(chunks: DataFrame, describe: Column) -> DataFrame:
     """Chunks with a model's description before their content, or a fixed mark where it gave none."""
     text = F.when(F.coalesce(F.trim(describe), F.lit("")) != "", describe).otherwise(F.lit(fixed.NO_CONTEXT))

@@ -76,10 +76,10 @@ def history(messages: DataFrame, turns: int = DEFAULT.history_turns) -> DataFram
 
 
 def prompt(question: Column, context: Column, memory: Column | None = None, past: Column | None = None) -> Column:
-    """The text of a model call: history, memories and context, then the question."""
+    """The text of a model call: the rules of an answer, history, memories and context, then the question."""
     known = context if memory is None else F.when(F.coalesce(memory, F.lit("")) != "", F.concat(memory, F.lit("\n\n"), context)).otherwise(context)
     before = F.coalesce(past, F.lit(fixed.NO_HISTORY)) if past is not None else F.lit(fixed.NO_HISTORY)
-    return F.concat(before, F.lit("\n\n"), known, F.lit("\n\n"), question)
+    return F.concat(F.lit(fixed.ANSWER_RULES + "\n\n"), before, F.lit("\n\n"), known, F.lit("\n\n"), question)
 
 
 def refusal(max_confidence: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions import fixed
+from .probe import zip_by_position
 
 
 def confidence_gate(hits: DataFrame, threshold: float = DEFAULT.confidence_threshold) -> DataFrame:
@@ -34,6 +38,17 @@ def critic_text(content: Column, parent_text: Column) -> Column:
     return F.translate(F.substring(F.coalesce(F.when(parent_text != "", parent_text), content), 1, 500), "\n", " ")
 
 
+def model_verdicts(hits: DataFrame, questions: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
+    """``hits`` with the ``verdict`` that a model gives each of them; a call for the few hits of a query, YES where it fails."""
+    shown = F.struct("rank", critic_text(F.col("content"), F.col("parent_text")).alias("text"))
+    asked = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(shown)).alias("_shown")).join(questions.select("query_id", "question"), "query_id")
+    lines = F.array_join(F.transform("_shown", lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(h.text, F.lit("")))), "\n")
+    replied = asked.withColumn("_reply", model(F.concat(F.lit(fixed.CRITIC_RULES + "\n\n"), "question", F.lit("\n\n"), lines)))
+    ranks = F.transform("_shown", lambda h: h.rank)
+    pairs = replied.select("query_id", F.explode(zip_by_position(ranks, parsed_verdicts(F.col("_reply"), F.size("_shown")))).alias("v"))
+    return hits.join(pairs.select("query_id", F.col("v.left").alias("rank"), F.col("v.right").alias("verdict")), ["query_id", "rank"])
+
+
 def apply_critic(hits: DataFrame, maybe_penalty: float = 1.0, no_penalty: float = 0.3) -> DataFrame:
     """Hits by their ``verdict``: NO goes, YES comes before MAYBE, MAYBE loses confidence.
 

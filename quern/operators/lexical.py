@@ -1,19 +1,20 @@
 """BM25 over a corpus, for many queries at once.
 
-An index is two tables, postings (token, doc_id, tf, n_tokens) and terms (token, df, idf), and two numbers.  Texts are
-tokenised once, when the postings are written; all statistics come from them.  Only postings of query tokens take part
-in a search; scores are summed before the shuffle, and the rank keeps a bounded number per query.
+An index is three tables under one path: postings (token, doc_id, tf, n_tokens) in the order of their tokens, terms
+(token, df, idf), and documents; with two numbers in a fourth one.  It is written once and read by every search.  Texts
+are tokenised once, when the postings are written; all statistics come from them.  Only postings of query tokens take
+part in a search; scores are summed before the shuffle, and the rank keeps a bounded number per query.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
-from ..storage import stage_table
+from ..storage import broadcast_if_small, stage_path
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -27,18 +28,39 @@ class LexicalIndex:
     avg_tokens: float
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
-    """Postings and statistics of ``docs``.  An idf below zero becomes EPSILON times the mean idf of all terms."""
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Postings and statistics of ``docs`` under ``path``.  An idf below zero becomes EPSILON times the mean idf of all terms."""
+    spark = docs.sparkSession
     tokens = docs.select(F.col(id_col).alias("doc_id"), search_tokens(text_col).alias("tokens"))
     exploded = tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.explode("tokens").alias("token"))
-    postings = stage_table(exploded.groupBy("token", "doc_id", "n_tokens").agg(F.count("*").alias("tf")), "postings")
-    n_docs = docs.count()
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    # Tokens and occurrences of one document lie in one row, so they are counted without a shuffle of occurrences.
+    postings = exploded.groupBy("token", "doc_id", "n_tokens").agg(F.count("*").alias("tf"))
+    postings.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.select(F.col(id_col).alias("doc_id")).write.mode("overwrite").parquet(f"{path}/documents")
+    held = spark.read.parquet(f"{path}/postings")
+    n_docs = spark.read.parquet(f"{path}/documents").count()
     raw_idf = F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    raw = stage_table(postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("raw_idf", raw_idf), "terms")
-    mean = raw.agg(F.coalesce(F.avg("raw_idf"), F.lit(0.0))).first()[0]
+    raw = held.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).withColumn("raw_idf", raw_idf)
+    raw.write.mode("overwrite").parquet(f"{path}/raw_terms")
+    raw = spark.read.parquet(f"{path}/raw_terms")
+    mean, total = raw.agg(F.coalesce(F.avg("raw_idf"), F.lit(0.0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     terms = raw.select("token", "df", F.when(F.col("raw_idf") < 0, EPSILON * mean).otherwise(F.col("raw_idf")).alias("idf"))
-    return LexicalIndex(postings, terms, docs.select(F.col(id_col).alias("doc_id")), n_docs, total / n_docs if n_docs else 0.0)
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    numbers = spark.createDataFrame([(n_docs, total / n_docs if n_docs else 0.0)], "n_docs long, avg_tokens double")
+    numbers.coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
+
+
+def read_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """An index as :func:`write_index` left it."""
+    postings, terms, documents, numbers = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "documents", "numbers"))
+    return LexicalIndex(postings, terms, documents, *numbers.first())
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
+    """An index for this session alone."""
+    path = stage_path(docs.sparkSession, "lexical")
+    write_index(docs, path, id_col, text_col)
+    return read_index(docs.sparkSession, path)
 
 
 def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only: bool = False, id_col: str = "query_id", text_col: str = "question") -> DataFrame:
@@ -48,7 +70,9 @@ def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only:
     list at score 0, smallest ids first; a query without tokens has no list.
     """
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(search_tokens(text_col)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.terms, "token")
+    # Where the queries' tokens are few, postings stay where they are; else both sides meet by token.
+    asked = broadcast_if_small(asked, "query-tokens")
+    weighted = broadcast_if_small(index.terms.join(asked, "token"), "query-terms")
     hits = index.postings.join(weighted, "token")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(index.avg_tokens)))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

@@ -82,9 +82,9 @@ def line_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markdown(spark, sf_dir).select("doc_id", lines_around("content", F.lit(2), 2).alias("around"))
 
 
-@R.query(f"WITH {MARKDOWN} SELECT count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS bytes FROM md")
+@R.query(f"WITH {MARKDOWN} SELECT count(*) AS files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM md")
 def outline_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.outline_totals(_markdown(spark, sf_dir).select(F.length("content").cast("long").alias("size")))
+    return diagnostics.outline_totals(_markdown(spark, sf_dir).select(F.octet_length("content").cast("long").alias("size")))
 
 
 @R.query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),

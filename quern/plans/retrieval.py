@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dot, search_tokens
 from ..operators import chunking, context, dense, fusion, gates, lexical, ranking
-from ..providers import overlap_reranker
+from ..providers import overlap_reranker, score_pairs
+from ..storage import stage_path, stage_table
 from .common import TOKENS, Registry, table
 
 R = Registry()
@@ -43,8 +44,23 @@ top5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_scor
 hits AS (SELECT *, 0.8::double * greatest(0, least(1, rerank_score)) + 0.2::double * rrf_score / max(rrf_score) OVER (PARTITION BY query_id) AS confidence FROM top5)"""
 
 
+_stored: dict[tuple, str] = {}
+
+
+def _stored_path(spark: SparkSession, sf_dir: str, label: str, write) -> str:
+    """Where a table or index of this session's documents lies; it is written once for each state of the files."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark", "embeddings")]
+    state = [p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p) for p in paths]
+    key = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, label, *((s.getLen(), s.getModificationTime()) for s in state)
+    if key not in _stored:
+        path = stage_path(spark, label)
+        write(path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.read_index(spark, _stored_path(spark, sf_dir, "bm25", lambda path: lexical.write_index(table(spark, sf_dir, "documents"), path)))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,20 +83,25 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    pairs = _fused(spark, sf_dir).join(_questions(spark, sf_dir), "query_id").join(texts, "doc_id")
-    return ranking.with_confidence(ranking.rerank(pairs, overlap_reranker(F.col("question"), F.col("text"))))
+    """Reranked hits with confidence, kept for the queries that begin with them."""
+
+    def write(path: str) -> None:
+        fused = stage_table(_fused(spark, sf_dir), "fused")
+        scored = score_pairs(fused, _questions(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), overlap_reranker)
+        ranking.with_confidence(ranking.rerank(scored, F.col("pair_score"))).write.parquet(path)
+
+    return spark.read.parquet(_stored_path(spark, sf_dir, "hits", write))
 
 
 @R.query(f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {DOC_TOKENS} AS t FROM documents)""")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = search_tokens("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"))
+    tokens = table(spark, sf_dir, "documents").select("doc_id", search_tokens("text").alias("t"))
+    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
 @R.query(f"WITH {BM25} SELECT token, df, round(idf, 6) AS idf FROM terms")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.build_index(table(spark, sf_dir, "documents")).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir).terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @R.query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm25")

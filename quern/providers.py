@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,20 @@ from .functions.text import search_tokens
 
 Transform = Callable[[DataFrame], DataFrame]
 EMBEDDERS: dict[str, Callable[[int], Callable[[Column], Column]]] = {}
-RERANKERS: dict[str, Callable[[Column, Column], Column]] = {}
+
+
+@dataclass(frozen=True)
+class Reranker:
+    """``prepare`` is worked out once for each distinct text, ``score`` for each pair of prepared texts."""
+
+    prepare: Callable[[Column], Column]
+    score: Callable[[Column, Column], Column]
+
+    def __call__(self, question: Column, content: Column) -> Column:
+        return self.score(self.prepare(question), self.prepare(content))
+
+
+RERANKERS: dict[str, Reranker] = {}
 MODELS: dict[str, Callable[[Column], Column]] = {}
 
 
@@ -36,11 +50,26 @@ def hashing_embedder(dim: int) -> Callable[[Column], Column]:
     return embed
 
 
-def overlap_reranker(question: Column, content: Column) -> Column:
-    """Jaccard similarity of the two texts' distinct tokens, in [0, 1]."""
-    a, b = F.array_distinct(search_tokens(question)), F.array_distinct(search_tokens(content))
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+def _jaccard(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
+
+
+#: Jaccard similarity of the two texts' distinct tokens, in [0, 1].
+overlap_reranker = Reranker(lambda text: F.array_distinct(search_tokens(text)), _jaccard)
+
+
+def score_pairs(pairs: DataFrame, questions: DataFrame, texts: DataFrame, reranker: Reranker, id_col: str = "doc_id") -> DataFrame:
+    """``pairs`` (query_id, id) with pair_score, from ``questions`` (query_id, question) and ``texts`` (id, content).
+
+    Only texts that occur in a pair are prepared, and each of them once.
+    """
+    met = texts.join(pairs.select(id_col).distinct(), id_col, "left_semi")
+    ready = met.select(id_col, reranker.prepare(F.col("content")).alias("_content"))
+    asked = questions.select("query_id", reranker.prepare(F.col("question")).alias("_question"))
+    both = pairs.join(ready, id_col).join(asked, "query_id")
+    return both.withColumn("pair_score", reranker.score(F.col("_question"), F.col("_content"))).drop("_question", "_content")
 
 
 def no_model(prompt: Column) -> Column:

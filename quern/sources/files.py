@@ -149,11 +149,14 @@ def parse_one(path: str, raw: bytes, parsers: dict[str, list[Callable[[bytes], l
     return [{"ordinal": 0, "error": error}] if error else []
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Documents (path, ordinal, content, ...) of files (path, content); failures have an ``error`` and no content."""
+def parse(files: DataFrame, preferred: str | None = None) -> DataFrame:
+    """Documents (path, ordinal, content, ...) of files (path, content); failures have an ``error`` and no content.
+
+    Of a format's parsers the one whose name is ``preferred`` is tried first.
+    """
     kinds = {"int": pa.int32(), "string": pa.string()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in DOCUMENT_SCHEMA.split(", "))])
-    parsers = {k: list(v) for k, v in PARSERS.items()}
+    parsers = {k: sorted(v, key=lambda p: p.__name__.strip("_") != preferred) for k, v in PARSERS.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +208,42 @@ def outlines(files: DataFrame) -> DataFrame:
     from ..functions.text import outline
 
     texts = files.where(F.lower("path").endswith(".md"))
-    return texts.select("path", F.length("content").cast("long").alias("size"), outline(F.decode("content", "UTF-8")).alias("outline"))
+    return texts.select("path", F.octet_length("content").cast("long").alias("size"), outline(F.decode("content", "UTF-8")).alias("outline"))
+
+
+IMAGE_SCHEMA = "source string, page int, ordinal int, width int, height int, image binary"
+
+
+def image_size(raw: bytes) -> tuple[int, int] | None:
+    """Width and height of a PNG or JPEG image."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
+        return int.from_bytes(raw[16:20]), int.from_bytes(raw[20:24])
+    at = 2 if raw[:2] == b"\xff\xd8" else len(raw)
+    while at + 9 < len(raw) and raw[at] == 0xFF:
+        if raw[at + 1] in (0xC0, 0xC1, 0xC2):
+            return int.from_bytes(raw[at + 7 : at + 9]), int.from_bytes(raw[at + 5 : at + 7])
+        at += 2 + int.from_bytes(raw[at + 2 : at + 4])
+    return None
+
+
+def images(files: DataFrame) -> DataFrame:
+    """The PNG and JPEG images that office documents (path, content) hold: source, page (0), ordinal, width, height, image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
+                        for name in sorted(n for n in z.namelist() if "/media/" in n):
+                            if size := image_size(raw := z.read(name)):
+                                rows.append({"source": path, "page": 0, "ordinal": len(rows), "width": size[0], "height": size[1], "image": raw})
+                except zipfile.BadZipFile:  # a broken file has its error row from parse
+                    continue
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.string()), *((n, pa.int32()) for n in ("page", "ordinal", "width", "height")), ("image", pa.binary())]))
+
+    return files.where(F.lower("path").rlike(r"\.(docx|pptx|xlsx)$")).select("path", "content").mapInArrow(run, IMAGE_SCHEMA)
 
 
 def image_captions(images: DataFrame, caption: F.Column, min_size: int = 100, most: int = 20) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import urllib.parse
+import urllib.request
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +66,40 @@ def markdown_files(pages: DataFrame) -> DataFrame:
     """path and content of pages (id, title, blocks); of those with one name the last by id stays."""
     rows = pages.select("id", F.concat(safe_filename(F.col("title")), F.lit(".md")).alias("path"), page_markdown(F.col("title"), F.col("blocks")).alias("content"))
     return rows.groupBy("path").agg(F.max_by("content", "id").alias("content"))
+
+
+def _pages(url: str, token: str, body: dict | None) -> Iterator[dict]:
+    """The results of a listing, page by page as its cursor says."""
+    cursor = None
+    while True:
+        more = {"page_size": 100} | ({"start_cursor": cursor} if cursor else {})
+        where = url if body is not None else f"{url}?{urllib.parse.urlencode(more)}"
+        headers = {"Authorization": f"Bearer {token}", "Content-Type": "application/json", "Notion-Version": "2022-06-28"}
+        with urllib.request.urlopen(urllib.request.Request(where, json.dumps(body | more).encode() if body is not None else None, headers), timeout=60) as answer:
+            found = json.load(answer)
+        yield from found.get("results", [])
+        cursor = found.get("next_cursor")
+        if not found.get("has_more") or not cursor:
+            return
+
+
+def fetch_dump(spark: SparkSession, database: str, token: str, path: str, url: str = "https://api.notion.com/v1", partitions: int = 8) -> None:
+    """Write the pages of a database of the note service as a dump for :func:`read_dump`.
+
+    A cursor can only be followed by one task, so one task lists the pages; their blocks are fetched by many.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.column("database").to_pylist():
+                rows = [json.dumps(p) for p in _pages(f"{url}/databases/{one}/query", token, {})]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["page"])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = [json.loads(p) for p in batch.column("page").to_pylist()]
+            rows = [json.dumps(p | {"_blocks": list(_pages(f"{url}/blocks/{p['id']}/children", token, None))}) for p in pages]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+
+    start = spark.createDataFrame([(database,)], "database string").mapInArrow(listed, "page string")
+    start.repartition(partitions, "page").mapInArrow(filled, "value string").write.mode("overwrite").text(path)

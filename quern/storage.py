@@ -1,12 +1,14 @@
 """Where intermediate tables live.
 
 Lineage is cut by writing a table to the folder that the cluster names in ``spark.checkpoint.dir``, which driver
-and executors share.  Only a session without that setting (a local test) gets a folder of its own.
+and executors share.  Only a local session without that setting (a test) gets a folder of its own; on a cluster it has
+to be set.  Each application writes in a folder of its own there, which is deleted when the process ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -14,28 +16,47 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_ROOT: dict[str, str] = {}
+_RUNS: dict[tuple[str, str], str] = {}
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+def _shared_root(spark: SparkSession) -> str:
+    """The shared folder that the session names; a local session without one gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOT:
-        folder = tempfile.mkdtemp(prefix="quern-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _OWN_ROOT[app] = f"file://{folder}"
-    return _OWN_ROOT[app]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="quern-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the application ends."""
+    key = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", "")
+    if key not in _RUNS:
+        _RUNS[key] = f"{_shared_root(spark)}/quern-{key[0]}-{uuid.uuid4().hex[:8]}"
+        sc = spark.sparkContext
+        atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), _RUNS[key])
+    return _RUNS[key]
+
+
+def _delete(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # at the end of the process the session's JVM may be gone already
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of what was written."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._staged_path = path
     return back
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT
-from ..operators.indexing import diff
-from ..sources.files import SUFFIXES
+from ..operators.indexing import diff, manifest_of
+from ..sources.files import SUFFIXES, scan
+from ..storage import drop_stage, stage_table
 
 EVENT_SCHEMA = "path string, op string, ts timestamp"
 
@@ -62,3 +63,25 @@ def start(events: DataFrame, reindex: Callable[[], None], gap_seconds: float = D
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of events from JSON lines that a notifier drops into a folder."""
     return spark.readStream.schema(EVENT_SCHEMA).json(folder)
+
+
+def poll(spark: SparkSession, docs_root: str, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """Compare ``docs_root`` with ``known`` (path, sha256), drop the changes as events into ``folder``, and return what is there now."""
+    now = stage_table(manifest_of(scan(spark, docs_root)), "polled")
+    events = now.limit(0) if known is None else snapshot_events(known, now)
+    if known is not None and not events.isEmpty():
+        events.coalesce(1).write.mode("append").json(folder)
+    return now
+
+
+def poll_events(spark: SparkSession, docs_root: str, folder: str, seconds: float = DEFAULT.debounce_seconds) -> StreamingQuery:
+    """A stream that looks at ``docs_root`` every ``seconds`` and drops what changed where :func:`read_events` finds it."""
+    held = {"known": poll(spark, docs_root, folder)}
+
+    def look(batch: DataFrame, _: int) -> None:
+        before = held["known"]
+        held["known"] = poll(spark, docs_root, folder, before)
+        drop_stage(before)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(look).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").start()
