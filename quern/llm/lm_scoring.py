@@ -8,8 +8,7 @@ word of an n-gram, and texts come to the shards instead of the trie to the texts
 1. Texts are written in slices of two megabytes.
 2. A slice asks every shard for its distinct n-grams of that shard, as one row: first words, the successors of each, and
    theirs, with the counts that training texts among them have.  These requests are the counts that a shard adds up.
-3. A shard builds its trie from them and answers each request in the order in which it came: counts of first words, and
-   codes of pairs and triples.
+3. A shard builds its trie from them and answers each request in the order in which it came.
 4. A slice with its answers has all that the probabilities of its tokens need.
 
 A level of a shard's trie is a monotone sequence in Elias-Fano code: the low bits of its values packed, the high bits in
@@ -31,6 +30,7 @@ import mmap
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ BEGIN, END, NONE = np.uint64(0), np.uint64(1), np.uint64(2)  # stand for what is
 CODE_FLOOR = -16.0
 CODE_STEP = 16.0 / 65534
 SLICE_BYTES = 1 << 21
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 SAMPLE, NUMBERED, HOT_MOST = 32, 65534, 1 << 14
 
 
@@ -196,12 +196,29 @@ def map_arrays(raw: bytes) -> dict[str, np.ndarray]:
 
 @dataclass
 class Layout:
-    """How n-grams are dealt out.  Words are known by 64-bit hashes; the arrays of hashes are sorted."""
+    """How n-grams are dealt out.  Words are known by 64-bit hashes."""
 
     shards: int
-    numbered: np.ndarray  # words with short numbers
-    hot_words: np.ndarray
-    hot_pairs: np.ndarray  # hashes of pairs that begin with a hot word
+    numbered: np.ndarray  # words with short numbers, the most frequent first
+    hot_words: np.ndarray  # sorted
+    hot_pairs: np.ndarray  # sorted; hashes of pairs that begin with a hot word
+
+    @cached_property
+    def listed(self) -> np.ndarray:
+        """The words with short numbers in the order of their numbers; the beginning always has one."""
+        return np.concatenate([[BEGIN], self.numbered])
+
+    @cached_property
+    def by_hash(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbered words in order, and their numbers."""
+        order = np.argsort(self.listed)
+        return self.listed[order], order.astype(np.uint16)
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """Short numbers of words, 65535 where there is none."""
+        hashes, numbers = self.by_hash
+        at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+        return np.where(hashes[at] == words, numbers[at], np.uint16(65535))
 
     def shard_of(self, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
         spread = K.mix(a)
@@ -283,41 +300,74 @@ def cut_grams(tokens: np.ndarray, ends: np.ndarray, training: np.ndarray, layout
     return Grams(words, shard, ra, rb, rt, n, pair_at, first_at, triple_of)
 
 
-def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """One binary value for the ``values`` between each two ``cuts``."""
-    offsets = (cuts * values.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _planes(values: np.ndarray) -> list[np.ndarray]:
+    """Low and high bytes of 16-bit values, which compress better apart."""
+    return [(values & 255).astype(np.uint8), (values >> 8).astype(np.uint8)]
 
 
-def _short(values: np.ndarray, small: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
-    """Two columns: short numbers, and in full the values whose short number is the largest there is."""
-    wide = small == np.iinfo(small.dtype).max
-    return [_binary(small, cuts), _binary(values[wide].astype(np.uint64), np.concatenate([[0], np.cumsum(wide)])[cuts])]
+def _short(values: np.ndarray, small: np.ndarray, size: int = 8) -> list[np.ndarray]:
+    """``small`` by bytes, and ``size`` bytes of the ``values`` whose small one is the largest there is."""
+    full = np.ascontiguousarray(values[small == np.iinfo(small.dtype).max], np.uint64)
+    return [*(_planes(small) if small.dtype == np.uint16 else [small]), full.view(np.uint8).reshape(-1, 8)[:, :size].ravel()]
 
 
-def _whole(batch: pa.RecordBatch, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Short numbers of all rows of a batch, and the full values in order."""
-    small = K.text_bytes(batch.column(name))[0].view(kind)
-    return small, K.text_bytes(batch.column(name + "_x"))[0].view(np.uint64)
+def _short_cuts(small: np.ndarray, cuts: np.ndarray, size: int = 8) -> list[np.ndarray]:
+    wide = size * np.concatenate([[0], np.cumsum(small == np.iinfo(small.dtype).max)])[cuts]
+    return [cuts, cuts, wide] if small.dtype == np.uint16 else [cuts, wide]
 
 
-def _counts(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    small, full = _whole(batch, name, np.uint8)
+def _full(raw: np.ndarray, size: int = 8) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = raw.reshape(-1, size)
+    return out.view(np.uint64).ravel()
+
+
+def write_rows(columns: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """One compressed value a row, of several arrays of bytes with the cuts between their rows."""
+    press = zstandard.ZstdCompressor(level=1, write_checksum=False)
+    raw = [np.ascontiguousarray(values).tobytes() for values, _ in columns]
+    cuts = np.array([c for _, c in columns], np.int64).T
+    sizes = np.diff(cuts, axis=0).astype(np.uint32)
+    rows = cuts.tolist()
+    return pa.array([press.compress(b"".join([size.tobytes(), *(x[i:j] for x, i, j in zip(raw, a, b, strict=True))])) for size, a, b in zip(sizes, rows, rows[1:], strict=False)], pa.binary())
+
+
+def read_rows(blobs: pa.Array, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ``n`` arrays of bytes of :func:`write_rows`, each over all rows, and the cuts between rows."""
+    expand = zstandard.ZstdDecompressor()
+    parts: list[list[bytes]] = [[] for _ in range(n)]
+    sizes = np.zeros((len(blobs) + 1, n), np.int64)
+    for i, blob in enumerate(blobs.to_pylist()):
+        raw = expand.decompress(blob)
+        sizes[i + 1] = np.frombuffer(raw, np.uint32, n)
+        at = 4 * n
+        for part, size in zip(parts, sizes[i + 1].tolist(), strict=True):
+            part.append(raw[at : at + size])
+            at += size
+    return [(np.frombuffer(b"".join(part), np.uint8), np.cumsum(sizes[:, k])) for k, part in enumerate(parts)]
+
+
+def _join(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint16) | (high.astype(np.uint16) << 8)
+
+
+def _whole(small: np.ndarray, full: np.ndarray) -> np.ndarray:
     out = small.astype(np.int64)
-    out[small == 255] = full
+    out[small == np.iinfo(small.dtype).max] = full
     return out
 
 
-FIELDS = ("a", "a_n", "b", "b_n", "b_count", "t", "t_count")
-REQUEST = "shard int, slice_id long, " + ", ".join(f"{n} binary, {n}_x binary" for n in FIELDS)
-ANSWER = "slice_id long, shard int, firsts binary, pairs binary, triples binary"
+REQUEST_PARTS, ANSWER_PARTS = 3 * 3 + 4 * 2, 3 + 2 * 2
+#: Bytes of the hash of a word without a number.  A shard counts first words by all of it; second and third words have to
+#: differ only from the other successors of their context, whose number a shard's size bounds.
+FIRST_BYTES, SUCCESSOR_BYTES = 8, 5
+REQUEST = "shard int, slice_id long, request binary"
+ANSWER = "slice_id long, shard int, own_words long, answer binary"
 
 
 def requests(g: Grams, slice_id: int, layout: Layout) -> pa.RecordBatch:
     """A slice's n-grams, one row for each shard that has some."""
-    at = np.minimum(np.searchsorted(layout.numbered, g.words), max(len(layout.numbered) - 1, 0))
-    known = layout.numbered[at] == g.words if len(layout.numbered) else np.zeros(len(g.words), bool)
-    number = np.where(known, at, 65535).astype(np.uint16)
+    number = layout.number(g.words)
     rows = np.flatnonzero(np.concatenate([[True], g.shard[1:] != g.shard[:-1]])[: len(g.shard)])
     edge = np.append(rows, len(g.shard))
     byte = lambda x: np.minimum(x, 255).astype(np.uint8)
@@ -329,11 +379,13 @@ def requests(g: Grams, slice_id: int, layout: Layout) -> pa.RecordBatch:
     a_n, b_n = np.diff(first_edge), np.diff(before[pair_edge])
     b_count = np.add.reduceat(g.n, g.pair_at) if len(g.pair_at) else g.n
     t_count = g.n[real]
-    columns = []
-    for values, small, cuts in ((g.words[a], number[a], by_first), (a_n, byte(a_n), by_first), (g.words[b], number[b], by_pair), (b_n, byte(b_n), by_pair), (b_count, byte(b_count), by_pair), (g.words[t], number[t], by_triple), (t_count, byte(t_count), by_triple)):
-        columns += _short(values, small, cuts)
-    names = ["shard", "slice_id", *(x for n in FIELDS for x in (n, n + "_x"))]
-    return pa.RecordBatch.from_arrays([pa.array(g.shard[rows].astype(np.int32)), pa.array(np.full(len(rows), slice_id)), *columns], names=names)
+    columns: list[tuple[np.ndarray, np.ndarray]] = []
+    for values, small, cuts, size in (
+        (g.words[a], number[a], by_first, FIRST_BYTES), (g.words[b], number[b], by_pair, SUCCESSOR_BYTES), (g.words[t], number[t], by_triple, SUCCESSOR_BYTES),
+        (a_n, byte(a_n), by_first, 8), (b_n, byte(b_n), by_pair, 8), (b_count, byte(b_count), by_pair, 8), (t_count, byte(t_count), by_triple, 8),
+    ):
+        columns += zip(_short(values, small, size), _short_cuts(small, cuts, size), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(g.shard[rows].astype(np.int32)), pa.array(np.full(len(rows), slice_id)), write_rows(columns)], names=["shard", "slice_id", "request"])
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +407,9 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Request:
     """The n-grams of many requests, one behind the other, words as numbers of the shard."""
 
-    names: np.ndarray  # the hash of each word number
+    numbered: np.ndarray
+    names: list[np.ndarray]  # of first, second and third words those that have a number of this shard
+    width: int
     a: np.ndarray
     b: np.ndarray
     t: np.ndarray
@@ -363,18 +417,31 @@ class Request:
     pair_of: np.ndarray  # of each triple
     b_count: np.ndarray
     t_count: np.ndarray
+    cuts: list[np.ndarray]  # of first words, pairs and triples, between requests
 
     @staticmethod
-    def of(batch: pa.RecordBatch, numbered: np.ndarray) -> Request:
-        raw = [_whole(batch, n, np.uint16) for n in ("a", "b", "t")]
-        rare = np.unique(np.concatenate([full for _, full in raw]))
-        words = []
-        for small, full in raw:
-            out = small.astype(np.int64)
-            out[small == 65535] = len(numbered) + np.searchsorted(rare, full)
-            words.append(out)
-        a_n, b_n = _counts(batch, "a_n"), _counts(batch, "b_n")
-        return Request(np.concatenate([numbered, rare]), *words, np.repeat(np.arange(len(a_n)), a_n), np.repeat(np.arange(len(b_n)), b_n), _counts(batch, "b_count"), _counts(batch, "t_count"))
+    def of(blobs: pa.Array, numbered: np.ndarray) -> Request:
+        read = read_rows(blobs, REQUEST_PARTS)
+        words, names = [], []
+        for k, size in ((0, FIRST_BYTES), (3, SUCCESSOR_BYTES), (6, SUCCESSOR_BYTES)):
+            full = _full(read[k + 2][0], size)
+            rare = np.unique(full)
+            words.append(_whole(_join(read[k][0], read[k + 1][0]), len(numbered) + np.searchsorted(rare, full)))
+            names.append(rare)
+        a_n, b_n, b_count, t_count = (_whole(read[k][0], _full(read[k + 1][0])) for k in (9, 11, 13, 15))
+        width = len(numbered) + max(map(len, names))
+        return Request(numbered, names, width, *words, np.repeat(np.arange(len(a_n)), a_n), np.repeat(np.arange(len(b_n)), b_n), b_count, t_count, [read[k][1] for k in (0, 3, 6)])
+
+    def first_hashes(self, a: np.ndarray) -> np.ndarray:
+        """Hashes of first words by their numbers."""
+        return np.concatenate([self.numbered, self.names[0]])[a]
+
+    def pair_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of pairs by the numbers of their words, that of no pair where the second word has no short number; a hot pair's has one."""
+        known = b < len(self.numbered)
+        out = np.full(len(b), pair_hashes(np.array([NONE]), np.array([NONE]))[0])
+        out[known] = pair_hashes(self.first_hashes(a[known]), self.numbered[b[known]])
+        return out
 
 
 class Trie:
@@ -391,7 +458,7 @@ class Trie:
 
     @staticmethod
     def build(r: Request, totals: dict[str, tuple[np.ndarray, np.ndarray]]) -> bytes:
-        width = np.uint64(len(r.names))
+        width = np.uint64(r.width)
         seen = r.b_count > 0
         pair_keys = (r.a[r.first_of].astype(np.uint64) << np.uint64(26)) | r.b.astype(np.uint64)
         keys, counts = _added(pair_keys[seen], r.b_count[seen])
@@ -399,8 +466,8 @@ class Trie:
         head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
         firsts = a[head]
         of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(a))))
-        first_counts = _shared(r.names[firsts], np.add.reduceat(counts, head) if len(head) else counts, totals["words"])
-        counts = _shared(pair_hashes(r.names[a], r.names[b]), counts, totals["pairs"])
+        first_counts = _shared(r.first_hashes(firsts), np.add.reduceat(counts, head) if len(head) else counts, totals["words"])
+        counts = _shared(r.pair_hashes(a, b), counts, totals["pairs"])
         pair_log = np.log10(np.maximum(counts, 1)) - np.log10(first_counts[of] + MU)
         pair_row = np.full(len(pair_keys), -1)
         pair_row[seen] = np.searchsorted(keys, pair_keys[seen])
@@ -432,14 +499,11 @@ class Trie:
         return out
 
     def answer(self, r: Request) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of the first words, codes of the pairs and of the triples of requests, 0 where there is none."""
+        """Counts of the first words, pairs and triples of requests, 0 where there is none: the codes' shares of their contexts."""
         rows = self.find(r.a, r.b, r.t, r.first_of, r.pair_of)
-        out = []
-        for row, name, kind in zip(rows, ("first_counts", "pair_codes", "triple_codes"), (np.int64, np.uint16, np.uint16), strict=True):
-            values = np.zeros(len(row), kind)
-            values[row >= 0] = self.parts[name][row[row >= 0]]
-            out.append(values)
-        return out[0], out[1], out[2]
+        first, pair, triple = (np.where(row >= 0, self.parts[name][row] if len(self.parts[name]) else 0, 0) for row, name in zip(rows, ("first_counts", "pair_codes", "triple_codes"), strict=True))
+        pairs = np.rint(shares(pair) * (first[r.first_of] + MU)).astype(np.int64)
+        return first, pairs, np.rint(shares(triple) * (pairs[r.pair_of] + MU)).astype(np.int64)
 
 
 def _shared(keys: np.ndarray, counts: np.ndarray, totals: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -466,8 +530,8 @@ def token_scores(g: Grams, firsts: np.ndarray, pairs: np.ndarray, triples: np.nd
     pair_of = np.searchsorted(g.pair_at, np.arange(len(g.t)), side="right") - 1
     words = np.where(g.words[g.a[g.first_at]] == BEGIN, totals.texts, firsts).astype(float)
     real = g.words[g.t] != NONE
-    triple_codes = np.zeros(len(g.t), np.uint16)
-    triple_codes[real] = triples
+    triple_counts = np.zeros(len(g.t), np.int64)
+    triple_counts[real] = triples
     texts = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     at = np.arange(len(texts)) + texts  # a token's entry; the entry of the pair that it ends comes next
     now, following = g.triple_of[at], g.triple_of[at + 1]
@@ -477,11 +541,10 @@ def token_scores(g: Grams, firsts: np.ndarray, pairs: np.ndarray, triples: np.nd
     mass = totals.tokens + 0.5 * (totals.distinct + 1)
     one = (count + 0.5) / mass
     before = words[first_of[following]]
-    two = shares(pairs)[pair_of[following]] + MU / (before + MU) * one
-    context = shares(pairs)[pair_of[now]] * (words[first_of[now]] + MU)  # back to the count of the two words before
-    start = ends[:-1]
-    context[start] = totals.texts
-    three = shares(triple_codes)[now] + MU / (np.round(context) + MU) * two
+    two = (pairs[pair_of[following]] + MU * one) / (before + MU)
+    context = pairs[pair_of[now]].astype(float)
+    context[ends[:-1]] = totals.texts
+    three = (triple_counts[now] + MU * two) / (context + MU)
     return count, np.log10(one), np.log10(three)
 
 
@@ -518,7 +581,7 @@ def look(docs: DataFrame) -> Layout:
     total = counts.where("not pair").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(default_partitions(docs.sparkSession), -(-total * SAMPLE // SHARD_TOKENS))
     least = max(16.0, total / (4.0 * shards))
-    take = lambda rows, most: np.sort(rows.orderBy(F.desc("n")).limit(most).select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
+    take = lambda rows, most: rows.orderBy(F.desc("n")).limit(most).select("gram").toArrow().column("gram").to_numpy().view(np.uint64)
     words, often = counts.where("not pair"), F.col("n") >= least
     hot_words = np.union1d(take(words.where(often), HOT_MOST), [BEGIN])
     hot_pairs = np.union1d(take(counts.where("pair").where(often), HOT_MOST), pair_hashes(np.array([BEGIN]), np.array([BEGIN])))
@@ -527,11 +590,11 @@ def look(docs: DataFrame) -> Layout:
     return layout
 
 
-SLICE = "slice_id long, doc_ids array<long>, training array<boolean>, ends binary, texts binary, n_tokens long, n_texts long, hot binary, numbered binary, rare binary"
+SLICE = "slice_id long, doc_ids array<long>, training array<boolean>, ends binary, texts binary, n_tokens long, n_texts long, hot binary"
 
 
 def write_slices(rows: DataFrame, layout: Layout) -> DataFrame:
-    """``rows`` (doc_id, training, text) in slices, with counts of their training texts: tokens, texts, hot words and pairs, and which words there are."""
+    """``rows`` (doc_id, training, text) in slices, with counts of their training texts: tokens, texts, hot words and pairs."""
     shared = rows.sparkSession.sparkContext.broadcast(layout)
     hot_size = len(layout.hot_words) + len(layout.hot_pairs)
 
@@ -546,14 +609,10 @@ def write_slices(rows: DataFrame, layout: Layout) -> DataFrame:
                 training = part.column("training").to_numpy(zero_copy_only=False).astype(bool)
                 text = np.repeat(np.arange(part.num_rows), np.diff(ends))
                 mine = training[text]
-                words = np.unique(tokens[mine])
                 led = np.flatnonzero(held(plan.hot_words, tokens[:-1]) & mine[:-1] & (text[1:] == text[:-1]))
                 places = np.concatenate([index.find(tokens[mine]), index.find(pair_hashes(tokens[led], tokens[led + 1]))])
                 hot = np.bincount(places[places >= 0], minlength=hot_size).astype(np.uint32)
-                known = held(plan.numbered, words)
-                marks = np.zeros(-(-len(plan.numbered) // 8) * 8, bool)
-                marks[np.searchsorted(plan.numbered, words[known])] = True
-                blobs = [(offsets[1:].astype(np.int64)).tobytes(), press.compress(data.tobytes()), hot.tobytes(), np.packbits(marks).tobytes(), words[~known].tobytes()]
+                blobs = [(offsets[1:].astype(np.int64)).tobytes(), press.compress(data.tobytes()), hot.tobytes()]
                 columns = [pa.array([slice_id]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([training.tolist()], pa.list_(pa.bool_())), *(pa.array([b], pa.binary()) for b in blobs[:2])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([int(mine.sum())]), pa.array([int(training.sum())]), *(pa.array([b], pa.binary()) for b in blobs[2:])], names=[c.split()[0] for c in SLICE.split(", ")])
                 slice_id += 1
@@ -561,37 +620,28 @@ def write_slices(rows: DataFrame, layout: Layout) -> DataFrame:
     return stage_table(rows.mapInArrow(run, SLICE), "lm-slices")
 
 
-def gather_totals(slices: DataFrame, layout: Layout) -> tuple[Totals, dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """Numbers over all training texts, and the counts of hot words and pairs."""
+def gather_totals(slices: DataFrame, layout: Layout) -> tuple[int, int, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Tokens and texts of training, and the counts of hot words and pairs."""
     size = len(layout.hot_words) + len(layout.hot_pairs)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, marks = np.zeros(size, np.int64), None
+        hot = np.zeros(size, np.int64)
         for batch in batches:
-            for raw, seen in zip(batch.column("hot"), batch.column("numbered"), strict=True):
+            for raw in batch.column("hot"):
                 hot += np.frombuffer(raw.as_py(), np.uint32)
-                bits = np.frombuffer(seen.as_py(), np.uint8)
-                marks = bits if marks is None else marks | bits
         here = np.flatnonzero(hot)
-        words = np.flatnonzero(np.unpackbits(marks)) if marks is not None else here[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([True, False], [len(here), len(words)])), pa.array(np.concatenate([here, words])), pa.array(np.concatenate([hot[here], np.zeros(len(words), np.int64)]))], names=["hot", "row", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(hot[here])], names=["row", "n"])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.unique(K.text_bytes(batch.column("rare"))[0].view(np.uint64))))], names=["word"])
-
-    found = slices.select("hot", "numbered").mapInArrow(added, "hot boolean, row long, n long").groupBy("hot", "row").agg(F.sum("n").alias("n")).toArrow()
-    is_hot, row, n = (found.column(c).to_numpy() for c in ("hot", "row", "n"))
+    found = slices.select("hot").mapInArrow(added, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
-    counts[row[is_hot]] = n[is_hot]
-    rare = slices.select("rare").mapInArrow(words, "word long").distinct().count()
-    sums = slices.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_texts"), F.lit(0))).first()
-    words_, pairs = np.split(counts, [len(layout.hot_words)])
+    counts[found.column("row").to_numpy()] = found.column("n").to_numpy()
+    tokens, texts = slices.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_texts"), F.lit(0))).first()
+    words, pairs = np.split(counts, [len(layout.hot_words)])
     # The beginning stands before every text once, and as a pair too.
-    words_[layout.hot_words == BEGIN] = sums[1]
-    pairs[layout.hot_pairs == pair_hashes(np.array([BEGIN]), np.array([BEGIN]))] = sums[1]
-    met = [(keys[n > 0], n[n > 0]) for keys, n in ((layout.hot_words, words_), (layout.hot_pairs, pairs))]
-    return Totals(sums[0], rare + int((~is_hot).sum()), sums[1]), {"words": met[0], "pairs": met[1]}
+    words[layout.hot_words == BEGIN] = texts
+    pairs[layout.hot_pairs == pair_hashes(np.array([BEGIN]), np.array([BEGIN]))] = texts
+    met = [(keys[n > 0], n[n > 0]) for keys, n in ((layout.hot_words, words), (layout.hot_pairs, pairs))]
+    return tokens, texts, {"words": met[0], "pairs": met[1]}
 
 
 def _slice_grams(batch: pa.RecordBatch, i: int, layout: Layout, places: bool) -> tuple[Grams, np.ndarray]:
@@ -617,21 +667,27 @@ def ask(slices: DataFrame, layout: Layout) -> DataFrame:
 
 
 def answer(asked: DataFrame, layout: Layout, totals: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Each shard's trie, asked by every slice."""
-    shared = asked.sparkSession.sparkContext.broadcast((layout.numbered, totals))
+    """Each shard's trie, asked by every slice.  own_words is the number of words that the shard alone counts, in its first row."""
+    shared = asked.sparkSession.sparkContext.broadcast((layout.listed, totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_: list[pa.RecordBatch] = []
 
         def answers() -> Iterator[pa.RecordBatch]:
             numbered, sums = shared.value
-            table = pa.Table.from_batches(held_).combine_chunks()
+            batch = pa.Table.from_batches(held_).combine_chunks().to_batches()[0]
             held_.clear()
-            batch = table.to_batches()[0]
-            r = Request.of(batch, numbered)
-            firsts, pairs, triples = Trie(Trie.build(r, sums)).answer(r)
-            cuts = [np.concatenate([[0], K.text_bytes(batch.column(n))[1][1:] // 2]) for n in ("a", "b", "t")]
-            yield pa.RecordBatch.from_arrays([batch.column("slice_id"), batch.column("shard"), *(_binary(v, c) for v, c in zip((firsts, pairs, triples), cuts, strict=True))], names=[c.split()[0] for c in ANSWER.split(", ")])
+            r = Request.of(batch.column("request"), numbered)
+            trie = Trie(Trie.build(r, sums))
+            firsts, pairs, triples = trie.answer(r)
+            own = r.first_hashes(trie.firsts.get(np.arange(trie.firsts.n)).astype(np.int64)) if trie.firsts.n else np.zeros(0, np.uint64)
+            own_words = np.zeros(batch.num_rows, np.int64)
+            own_words[0] = int((~held(sums["words"][0], own)).sum())
+            columns = []
+            for values, cuts, most, kind in ((firsts, r.cuts[0], 65535, np.uint16), (pairs, r.cuts[1], 255, np.uint8), (triples, r.cuts[2], 255, np.uint8)):
+                small = np.minimum(values, most).astype(kind)
+                columns += zip(_short(values, small), _short_cuts(small, cuts), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("slice_id"), batch.column("shard"), pa.array(own_words), write_rows(columns)], names=[c.split()[0] for c in ANSWER.split(", ")])
 
         for batch in batches:
             shard = batch.column("shard").to_numpy()
@@ -660,8 +716,11 @@ def score_texts(docs: DataFrame, is_training: Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("training"), F.col("text").cast("string").alias("text"))
     layout = look(rows.where("training"))
     slices = write_slices(rows, layout)
-    totals, hot = gather_totals(slices, layout)
-    answers = answer(ask(slices, layout), layout, hot)
+    tokens, words_in, hot = gather_totals(slices, layout)
+    answers = stage_table(answer(ask(slices, layout), layout, hot), "lm-answers")
+    shared_words = int(np.isin(hot["words"][0], [BEGIN, END], invert=True).sum())
+    totals = Totals(tokens, (answers.agg(F.sum("own_words")).first()[0] or 0) + shared_words + (words_in > 0), words_in)
+    answers = answers.drop("own_words")
     texts = slices.select("slice_id", F.lit(-1).alias("shard"), "doc_ids", "training", "ends", "texts")
     met = texts.unionByName(answers, allowMissingColumns=True)
     parts = default_partitions(spark)
@@ -676,8 +735,9 @@ def score_texts(docs: DataFrame, is_training: Column) -> DataFrame:
             batch = pa.Table.from_batches(held_).combine_chunks().to_batches()[0]
             held_.clear()
             g, ends = _slice_grams(batch, 0, plan, True)
-            codes = [K.text_bytes(batch.column(n))[0].view(kind) for n, kind in (("firsts", np.int64), ("pairs", np.uint16), ("triples", np.uint16))]
-            count, base, model = token_scores(g, *codes, ends, sums)
+            low, high, first, pair, pair_full, triple, triple_full = (x for x, _ in read_rows(batch.column("answer").slice(1), ANSWER_PARTS))
+            counts = _whole(_join(low, high), _full(first)), _whole(pair, _full(pair_full)), _whole(triple, _full(triple_full))
+            count, base, model = token_scores(g, *counts, ends, sums)
             add = lambda x: np.add.reduceat(x, ends[:-1])
             columns = [pa.array(batch.column("doc_ids")[0].as_py(), pa.int64()), pa.array(batch.column("training")[0].as_py(), pa.bool_()), np.diff(ends), add((count > 0).astype(np.int64)), add(base), add(model)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)

@@ -381,7 +381,7 @@ def test_trie_finds_successors_within_their_context():
     layout = lm_scoring.Layout(1, np.sort(np.unique(tokens))[:2], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     g = lm_scoring.cut_grams(tokens, ends, np.arange(30) % 2 == 0, layout, False)
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    r = lm_scoring.Request.of(lm_scoring.requests(g, 0, layout), layout.numbered)
+    r = lm_scoring.Request.of(lm_scoring.requests(g, 0, layout).column("request"), layout.listed)
     trie = lm_scoring.Trie(lm_scoring.Trie.build(r, {"words": none, "pairs": none}))
     first, pair, triple = trie.find(r.a, r.b, r.t, r.first_of, r.pair_of)
     assert ((pair >= 0) == (r.b_count > 0)).all() and ((triple >= 0) == (r.t_count > 0)).all()
