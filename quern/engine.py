@@ -83,6 +83,8 @@ def reindex(store: Store, docs_root: str, force: bool = False, config: Config |
     else:
         parents = spark.createDataFrame([], PARENT_SCHEMA)
         chunks = chunking.chunk(texts, config).withColumns({"parent_id": F.lit(None).cast("string"), "chunk_role": F.lit(None).cast("string")})
+    # Equal parts of one file, such as slides that say the same, have one id and are one chunk.
+    chunks = chunks.dropDuplicates(["chunk_id"])
     if config.use_contextual:
         titles = documents.where("content is not null").groupBy(F.col("path").alias("source")).agg(infer_title(F.min_by("content", "ordinal")).alias("title"))
         told = stage_table(chunking.described(chunks, titles, providers.chosen(providers.MODELS, config.llm)), "described")

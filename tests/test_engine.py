@@ -159,3 +159,124 @@ def test_snapshot_events(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1")], "path string, sha256 string")
     new = spark.createDataFrame([("a", "2"), ("c", "1")], "path string, sha256 string")
     assert {r.path: r.op for r in watch.snapshot_events(old, new).collect()} == {"a": "modified", "b": "deleted", "c": "created"}
+
+
+def test_models_rewrite_judge_describe_and_check(spark, folder, tmp_path):
+    """Every step that asks a model, with one that answers by the rules of its prompt; failed calls are errors."""
+    from quern.functions import fixed
+
+    def scripted(prompt):
+        starts = lambda rules: prompt.startswith(rules)
+        return (
+            F.when(starts(fixed.REWRITE_RULES), "1. total amount due in May\n- total price")
+            .when(starts(fixed.CRITIC_RULES), F.when(F.contains(prompt, F.lit("3000")), "YES\nNO\nNO\nNO\nNO").otherwise("NO"))
+            .when(starts(fixed.CONTEXT_RULES), "--- 第1段 ---\nAbout a contract.")
+            .when(starts(fixed.CLAIM_RULES), '```json\n{"claims": [{"text": "a", "supported": true}, {"text": "b", "supported": false}]}\n```')
+            .when(starts(fixed.ANSWERABILITY_RULES), F.when(F.contains(prompt, F.lit("broken")), F.lit(None)).otherwise('{"verdict": "ANSWERABLE", "evidence": "3000 euro"}'))
+            .when(starts(fixed.ANSWER_RULES), "3000 euro [1]")
+        )
+
+    providers.MODELS["scripted"] = scripted
+    config = Config(embedding_dim=32, llm="scripted", use_contextual=True, use_critic=True, use_query_rewrite=True, evaluate_answerability=True, confidence_threshold=0.0)
+    store = engine.Store(spark, f"file://{tmp_path}/store")
+    engine.reindex(store, f"file://{folder}", config=config)
+    contents = {r.source: r.content for r in store.chunks().collect()}
+    assert contents["a.md"].startswith(f"{fixed.CONTEXT_OPEN}About a contract.{fixed.CONTEXT_CLOSE}# Contract") and "description" not in store.chunks().columns
+    assert {r.token for r in store.index().terms.where("df = 1").collect()} >= {"3000", "may"}
+    asked = spark.createDataFrame([(1, "how much is it"), (2, "broken total amount")], "query_id int, question string")
+    found = {r.query_id: r for r in engine.answer(store, asked, config=config).collect()}
+    assert found[1].status == "ANSWERABLE" and found[1].answer == "3000 euro [1]" and [s.source for s in found[1].sources] == ["a.md"]
+    assert found[2].status == "ERROR" and not found[2].delivered
+    questions = asked.select("query_id", "question", F.array(F.lit("3000")).alias("keywords"), F.array(F.lit("a.md")).alias("must_cite"), F.lit(False).alias("expect_reject"), F.lit(None).cast("string").alias("negative_type"), F.lit("ANSWERABLE").alias("expect_answerability"))
+    values = {r.metric: r.value for r in engine.evaluate(store, questions, config)[1].collect()}
+    assert values["answerability_evaluated"] == 2 and values["answerability_coverage"] == 0.5 and values["answerability_accuracy"] == 1.0
+    checks = {r.check: r.passed for r in engine.diagnose(store, questions, config).collect()}
+    assert set(checks) == {"collection", "lexical", "dense", "confidence", "rerank_spread", "mini_eval"} and checks["mini_eval"] and not checks["collection"]
+    results = spark.createDataFrame([("q", "a and b", ["x"], None)], "question string, answer string, contexts array<string>, sources array<struct<snippet:string,context:string>>")
+    judged = engine.faithfulness(results, config).first()
+    assert judged.score == 0.5 and judged.unsupported == ["b"]
+
+
+def test_preferred_parser():
+    def plain(raw):
+        return [{"content": "plain"}]
+
+    def layout(raw):
+        return [{"content": "layout"}]
+
+    files.register_parser("pdfx", plain)
+    files.register_parser("pdfx", layout)
+    try:
+        for wanted in ("plain", "layout"):
+            order = sorted(files.PARSERS["pdfx"], key=lambda p: p.__name__ != wanted)
+            assert files.parse_one("a.pdfx", b"", {"pdfx": order})[0]["content"] == wanted
+    finally:
+        del files.PARSERS["pdfx"]
+
+
+def test_images_of_office_files(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (300).to_bytes(4, "big") + (120).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x0b\x08" + (50).to_bytes(2, "big") + (60).to_bytes(2, "big") + b"\0" * 8
+    rows = [("a.docx", packed({"word/media/b.png": png, "word/media/c.jpeg": jpeg, "word/media/d.emf": b"x", "word/document.xml": "<a/>"})), ("b.pptx", b"broken"), ("c.txt", b"x")]
+    found = files.images(spark.createDataFrame(rows, "path string, content binary")).orderBy("ordinal").collect()
+    assert [(r.source, r.ordinal, r.width, r.height) for r in found] == [("a.docx", 0, 300, 120), ("a.docx", 1, 60, 50)]
+
+
+def test_paged_notes(spark, tmp_path):
+    """Pages and blocks are listed to the end, however many pages of results there are."""
+    import http.server
+    import threading
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def reply(self, cursor, rows):
+            at = int(cursor or 0)
+            body = json.dumps({"results": rows[at : at + 2], "has_more": at + 2 < len(rows), "next_cursor": str(at + 2)}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.reply(asked.get("start_cursor"), [{"id": f"p{i}", "properties": {"n": {"type": "title", "title": [{"plain_text": f"Page {i}"}]}}} for i in range(5)])
+
+        def do_GET(self):
+            page, _, query = self.path.partition("?")
+            cursor = dict(p.split("=") for p in query.split("&")).get("start_cursor")
+            self.reply(cursor, [{"type": "paragraph", "paragraph": {"rich_text": [{"plain_text": f"{page.split('/')[-2]} line {i}"}]}} for i in range(3)])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        notion.fetch_dump(spark, "db", "token", f"file://{tmp_path}/dump", f"http://127.0.0.1:{server.server_port}", 2)
+    finally:
+        server.shutdown()
+    found = {r.path: r.content for r in notion.markdown_files(notion.read_dump(spark, f"file://{tmp_path}/dump")).collect()}
+    assert len(found) == 5 and found["Page 3.md"] == "# Page 3\n\np3 line 0\n\np3 line 1\n\np3 line 2\n"
+
+
+def test_polled_folder(spark, folder, tmp_path):
+    events = tmp_path / "events"
+    events.mkdir()
+    known = watch.poll(spark, f"file://{folder}", str(events))
+    assert watch.poll(spark, f"file://{folder}", str(events), known).count() == known.count() and not list(events.glob("*.json"))
+    (folder / "a.md").write_text("changed")
+    (folder / "d.csv").unlink()
+    watch.poll(spark, f"file://{folder}", str(events), known)
+    assert {(r.path, r.op) for r in spark.read.schema(watch.EVENT_SCHEMA).json(str(events)).collect()} == {("a.md", "modified"), ("d.csv", "deleted")}
+
+
+def test_storage_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from quern import storage
+
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "elsewhere"
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            storage.shared_root(Elsewhere)
