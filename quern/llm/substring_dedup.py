@@ -9,14 +9,19 @@ passage that a third of all rows share reaches a block once per slice.  Anchors
 different ways, like the edges of such a passage, are found by a look at a few documents; there every window is an
 entry of its own, under its own key.
 
-A block answers with factors: runs of windows of a document that stand in the same order at an earlier place.  A
-document's factors are put in order and joined where one goes on in the next one's source; where a factor ends, the
-windows that begin there have been looked up like all others, so borders between factors hide nothing.  Factors are at
-least ``window`` words long, and what they cover is duplicate.
+A block answers with runs of windows of a document whose first occurrences stand in a row.  The text that holds first
+occurrences is the reference, and the first occurrence of a window is its name: two windows are equal if their names
+are.  A document is then parsed from left to right against the documents that its runs point to, whose own runs name
+their windows: at a place, the source is followed as far as the names agree.  At the border where that ends, the source of
+the run behind it is checked: if it holds the text from the place on too, it is followed instead, over the border, and so
+on.  The longest match becomes a factor, and the parse goes on behind it.  The windows that begin there have been looked
+up like all others, so borders hide nothing.  (Copies within a slice are named by the first of the slice, which may have
+an earlier name of its own; a factor may then end before it has to, and the next one begins there.)  Factors are at least ``window`` words long, and what they cover is duplicate.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import default_partitions
+from ..storage import default_partitions, stage_table
 from . import kernels as K
 
 WINDOW_WORDS = 20
@@ -223,27 +228,117 @@ def covered(n_words: int, factors: list[tuple[int, int]], window: int) -> np.nda
     return np.cumsum(step)[:-1] > 0
 
 
-def parse(factors: list[dict]) -> list[tuple[int, int, int, int]]:
-    """Factors in order (start, windows, source document, source start), joined where one goes on in the next."""
-    out: list[tuple[int, int, int, int]] = []
-    for f in sorted(factors, key=lambda f: (f["start"], -f["n"])):
+Run = tuple[int, int, int, int]  # first window, number of windows, source document, first window there
+
+
+def merged_runs(found: list[dict]) -> list[Run]:
+    """Runs in order, joined where one goes on in the next."""
+    out: list[Run] = []
+    for f in sorted(found, key=lambda f: f["start"]):
         start, n, source, at = f["start"], f["n"], f["source_id"], f["source_start"]
-        if out:
-            last = out[-1]
-            if start == last[0] + last[1] and source == last[2] and at == last[3] + last[1]:
-                out[-1] = (last[0], last[1] + n, source, last[3])
-                continue
-        out.append((start, n, source, at))
+        if out and start == out[-1][0] + out[-1][1] and source == out[-1][2] and at == out[-1][3] + out[-1][1]:
+            out[-1] = (out[-1][0], out[-1][1] + n, source, out[-1][3])
+        else:
+            out.append((start, n, source, at))
     return out
 
 
+def touching_sources(own: int, runs: list[Run]) -> list[int]:
+    """Sources of runs that touch another one: those whose own runs a parse asks for."""
+    out = set()
+    for a, b in zip(runs, runs[1:], strict=False):
+        if a[0] + a[1] == b[0]:
+            out |= {a[2], b[2]}
+    return sorted(out - {own})
+
+
+class Names:
+    """The names of a document's windows: where each first occurs."""
+
+    def __init__(self, document: int, runs: list[Run]):
+        self.document, self.runs, self.starts = document, runs, [r[0] for r in runs]
+
+    def at(self, window: int) -> tuple[int, int, int, bool]:
+        """Document and place of a window's first occurrence, how many windows from here on go on there, and whether it is earlier."""
+        i = bisect.bisect_right(self.starts, window) - 1
+        if i >= 0 and window < self.runs[i][0] + self.runs[i][1]:
+            start, n, source, at = self.runs[i]
+            return source, at + window - start, start + n - window, True
+        room = self.starts[i + 1] - window if i + 1 < len(self.starts) else 1 << 62
+        return self.document, window, room, False
+
+
+def parse(document: int, runs: list[Run], sources: dict[int, list[Run]]) -> list[Run]:
+    """Factors of a document: at each place the longest match over the borders of runs, then on from its end.
+
+    ``sources`` has the runs of other documents; one that it lacks has none.
+    """
+    own = Names(document, runs)
+    others = {i: Names(i, their) for i, their in sources.items()} | {document: own}
+
+    def reach(source: int, ahead: int, window: int) -> int:
+        """Up to which window the text goes on as in ``source``, ``ahead`` windows on from the place here."""
+        their = others.get(source) or Names(source, [])
+        while window + ahead >= 0:
+            name, place, room, earlier = own.at(window)
+            other, there, width, _ = their.at(window + ahead)
+            if not earlier or (name, place) != (other, there):
+                break
+            window += min(room, width)
+        return window
+
+    out: list[Run] = []
+    i, window = 0, -1
+    while i < len(runs):
+        window = max(window, runs[i][0])
+        best = runs[i]
+        end = max(best[0] + best[1], reach(best[2], best[3] - best[0], window))
+        while True:  # the run at the border, if its source holds what lies before it
+            while i < len(runs) and runs[i][0] + runs[i][1] <= end:
+                i += 1
+            if i == len(runs) or runs[i][0] > end:
+                break
+            to = reach(runs[i][2], runs[i][3] - runs[i][0], window)
+            if to <= end:
+                break
+            best, end = runs[i], to
+        out.append((window, end - window, best[2], best[3] - best[0] + window))
+        window = end
+    return out
+
+
+RUNS = "array<struct<start:int,n:int,source_id:bigint,source_start:int>>"
+
+
+def _with_sources(per_doc: DataFrame, repeated: bool) -> DataFrame:
+    """doc_id, tie and runs of documents with runs (doc_id, tie, found), and the runs of the sources whose runs touch.
+
+    Where ids are ``repeated``, a source's id doesn't tell which row it is, and no source is asked.
+    """
+    run_type = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            runs = [merged_runs(f) for f in batch.column("found").to_pylist()]
+            wanted = [[] if repeated else touching_sources(i, r) for i, r in zip(ids, runs, strict=True)]
+            rows = [[dict(zip(("start", "n", "source_id", "source_start"), x, strict=True)) for x in r] for r in runs]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(rows, run_type), pa.array(wanted, pa.list_(pa.int64()))], names=["doc_id", "tie", "runs", "wanted"])
+
+    merged = stage_table(per_doc.mapInArrow(work, f"doc_id long, tie long, runs {RUNS}, wanted array<long>"), "runs")
+    asked = merged.select("doc_id", F.explode("wanted").alias("source_id"))
+    theirs = merged.select(F.col("doc_id").alias("source_id"), F.col("runs").alias("source_runs"))
+    got = asked.join(theirs, "source_id").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("source_id").alias("doc_id"), F.col("source_runs").alias("runs"))).alias("sources"))
+    return merged.drop("wanted").join(got, "doc_id", "left")
+
+
 def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default doc_id) of every row, and n_words, n_removed, kept_sha256, n_factors, kept_text and factors.
 
     A word goes if a window of ``window`` words over it also starts earlier: in a row of smaller doc_id, or before in
     the same text.  Windows are those of the input.  kept_text is the text without these words and the white space
     behind them, and null where the text is; kept_sha256 digests the kept words with one space between.  Null or empty
-    text: no words, nothing removed.  A row without doc_id counts as later than all with one.  Rows that share a doc_id are in the order of a
+    text: no words, nothing removed.  A text of any length is parsed whole.  No rows: no result.  A row without doc_id counts as later than all with one.  Rows that share a doc_id are in the order of a
     hash of their texts; rows equal in both are one place in the order, so none is removed for the other's sake.
     """
     keep = keep or ["doc_id"]
@@ -254,7 +349,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
     order = F.xxhash64(F.col("text").cast("string")) if repeated else F.lit(0).cast("long")
     rows = docs.select(*keep, ids.alias(key), order.alias(tie), F.col("text").cast("string").alias(text))
     factors = find_factors(rows.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text")), window, repeated)
-    per_doc = factors.groupBy(F.col("doc_id").alias(key), F.col("tie").alias(tie)).agg(F.collect_list(F.struct("start", "n", "source_id", "source_start")).alias(found))
+    per_doc = _with_sources(factors.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "n", "source_id", "source_start")).alias("found")), repeated)
+    per_doc = per_doc.select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.struct("runs", "sources").alias(found))
     stored = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     columns = [*keep, key, tie]
 
@@ -265,7 +361,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
         return pa.RecordBatch.from_arrays([*(part.column(n) for n in columns), pa.array(blobs, pa.binary())], names=[*columns, text])
 
     small = K.map_texts(rows, shrink, ", ".join([*stored, f"`{key}` long", f"`{tie}` long", f"`{text}` binary"]), text=text)
-    joined = small.join(per_doc, [key, tie], "left").select(*keep, text, found)
+    joined = small.join(per_doc, [key, tie], "left").select(*keep, key, text, found)
     names = [K.free_name(n, keep) for n in ("n_words", "n_removed", "kept_sha256", "kept_text", "factors")]
     kinds = ["long", "long", "string", "string", "array<struct<start:int,length:int,source_id:bigint,source_start:int>>"]
     fields = [*stored, *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))]
@@ -278,7 +374,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
         data, offsets = np.frombuffer(b"".join(whole), np.uint8), np.cumsum([0, *map(len, whole)])
         words = K.find_words(data, offsets, K.SPACED)
         removed, digests, texts, parsed = [], [], [], []
-        for d, own in enumerate(part.column(found).to_pylist()):
+        for d, (own_id, own) in enumerate(zip(part.column(key).to_pylist(), part.column(found).to_pylist(), strict=True)):
             a, b = int(words.first[d]), int(words.first[d + 1])
             begin, end = words.start[a:b], words.end[a:b]
             raw = whole[d]
@@ -288,7 +384,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
                 parsed.append([])
                 digests.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
                 continue
-            factors_ = parse(own)
+            as_runs = lambda rows: [tuple(x.values()) for x in rows]
+            factors_ = parse(own_id, as_runs(own["runs"]), {x["doc_id"]: as_runs(x["runs"]) for x in own["sources"] or ()})
             gone = covered(b - a, [f[:2] for f in factors_], window)
             base = int(offsets[d])
             split = [raw[x - base : y - base] for x, y, g in zip(begin.tolist(), end.tolist(), gone.tolist(), strict=True) if not g]

@@ -60,6 +60,56 @@ def test_substring_dedup_small_alphabet(spark, seed, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()} == brute.substring_dedup(rows, 6)
 
 
+def test_factors_are_maximal(spark):
+    """A factor can't go on in its source; one over the borders of many runs is found whole."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(30)}"
+    texts = [[word() for _ in range(rng.randint(30, 120))] for _ in range(6)]
+    for _ in range(30):  # pieces of earlier texts, one behind the other, some with new words between
+        new = []
+        for _ in range(rng.randint(1, 6)):
+            source = rng.choice(texts)
+            a = rng.randrange(len(source))
+            new += source[a : a + rng.randint(5, 60)] + [word() for _ in range(rng.choice([0, 0, 1, 4]))]
+        texts.append(new)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = substring_dedup.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), window=6).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == brute.substring_dedup(rows, 6)
+
+    def match(doc, start, source, at):
+        n = 0
+        while start + n < len(texts[doc]) and at + n < len(texts[source]) and texts[doc][start + n] == texts[source][at + n]:
+            n += 1
+        return n
+
+    longer = 0
+    for r in found:
+        factors = [(f.start, f.length, f.source_id, f.source_start) for f in r.factors]
+        assert factors == sorted(factors) and len({f[0] for f in factors}) == len(factors)
+        for start, n, source, at in factors:
+            assert (source, at) < (r.doc_id, start) and match(r.doc_id, start, source, at) == n >= 6
+            longer += n > 40
+    assert longer > 5
+
+
+def test_parse_of_a_long_repetition_is_quick():
+    """A hundred thousand windows with one name are a few factors, not a search of all with all."""
+    n = 100_000
+    runs = [(i, 1, 3, 0) for i in range(n)]
+    assert substring_dedup.parse(7, runs, {3: [(i, 1, 3, 0) for i in range(1, 1000)]})[:2] == [(0, 1000, 3, 0), (1000, 1000, 3, 0)]
+    assert substring_dedup.parse(3, runs[1:], {}) == [(1, n - 1, 3, 0)]
+    assert substring_dedup.parse(7, [(0, 5, 3, 0), (5, 5, 3, 0)], {3: [(0, 9, 1, 4)]}) == [(0, 5, 3, 0), (5, 5, 3, 0)]
+
+
+def test_parse_follows_the_longest_source():
+    """Windows 0 to 9 first occur in document 1 and 10 to 29 in document 2, which repeats the first ten before them."""
+    runs = [(0, 10, 1, 100), (10, 20, 2, 60)]
+    assert substring_dedup.parse(7, runs, {2: [(50, 10, 1, 100)]}) == [(0, 30, 2, 50)]
+    assert substring_dedup.parse(7, runs, {2: [(50, 10, 1, 101)]}) == [(0, 10, 1, 100), (10, 20, 2, 60)]
+    assert substring_dedup.parse(7, runs, {1: [(110, 5, 2, 60)]}) == [(0, 15, 1, 100), (15, 15, 2, 65)]
+    assert substring_dedup.touching_sources(7, runs) == [1, 2] and substring_dedup.touching_sources(7, [(0, 9, 1, 5), (10, 3, 2, 0)]) == []
+
+
 def test_token_digest(docs, rows):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_output.token_digest(docs, BYTE).collect()}
     assert got == brute.token_digest(pairs(rows), plain(BYTE))
