@@ -130,16 +130,18 @@ def positional_postings(docs: DataFrame, terms: np.ndarray, anchors: np.ndarray,
     return K.map_texts(keyed, work, "doc_key long, doc_id long, n_words long, terms array<int>, positions array<int>")
 
 
-def intersect(spark: SparkSession, postings: DataFrame, windows: Windows, rarest: np.ndarray, slop: int = 0, min_terms: float = 1.0) -> DataFrame:
+def intersect(spark: SparkSession, postings: DataFrame, windows: Windows, rarest: np.ndarray, slop: int = 0, min_terms: float = 1.0, used: np.ndarray | None = None) -> DataFrame:
     """Places of windows: doc_key, item, start and length.  ``postings`` has doc_key, term and position.
 
-    A place counts if at least ``min_terms`` of the window's terms stand within ``slop`` words of their offset.
+    A place counts if at least ``min_terms`` of the window's terms stand within ``slop`` words of their offset.  Candidates
+    are the places of the terms at the offsets ``rarest``, of the windows ``used`` (default all).
     """
     lengths = windows.lengths
+    rows = np.arange(len(lengths)) if used is None else np.flatnonzero(used)
     held = pa.table({
-        "window": pa.array(np.arange(len(lengths)), pa.int32()), "item": pa.array([windows.items[i] for i in windows.item.tolist()]), "length": pa.array(lengths, pa.int32()),
-        "term": pa.array(windows.members[np.arange(len(lengths)), rarest], pa.int32()), "offset": pa.array(rarest, pa.int32()),
-        "members": pa.array([m[:n].tolist() for m, n in zip(windows.members, lengths.tolist(), strict=True)], pa.list_(pa.int32())),
+        "window": pa.array(rows, pa.int32()), "item": pa.array([windows.items[i] for i in windows.item[rows].tolist()], pa.string()), "length": pa.array(lengths[rows], pa.int32()),
+        "term": pa.array(windows.members[rows, rarest[rows]], pa.int32()), "offset": pa.array(rarest[rows], pa.int32()),
+        "members": pa.array([m[:n].tolist() for m, n in zip(windows.members[rows], lengths[rows].tolist(), strict=True)], pa.list_(pa.int32())),
     })
     plan = F.broadcast(spark.createDataFrame(held))  # bounded by ROUND_WORDS
     candidates = postings.join(plan, "term").withColumn("start", F.col("position") - F.col("offset")).where("start >= 0")
@@ -159,7 +161,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window_words: int
 
     Null texts have no words, so they are neither hit nor hit others.  Rows that share a doc_id are rows of their own;
     rows equal in id and text get the same result.  An item with a null id is called ``null``; items that share an id
-    are one item.  Without items nothing is hit.
+    are one item.  Without items nothing is hit.  A text of any length is looked at whole.  No rows: no result.
     """
     spark = docs.sparkSession
     rows = K.documents_of(docs)
@@ -190,12 +192,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window_words: int
         index = stage_table(positional_postings(rows, windows.terms, anchors, window_words - 1 + slop, beside), "postings")
         base = index.select("doc_key", "doc_id", "n_words") if base is None else base
         flat = index.select("doc_key", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("doc_key", F.col("p.terms").alias("term"), F.col("p.positions").alias("position"))
-        places.append(intersect(spark, flat, windows, rarest, slop, min_terms))
+        if min_terms == 1.0:
+            places.append(intersect(spark, flat, windows, rarest, slop))
+            continue
+        # Of any floor(n * (1 - min_terms)) + 1 terms one stands in a place that counts, so those that occur and are rarest do.
+        occurs = np.where((windows.members >= 0) & (frequency[np.maximum(windows.members, 0)] > 0), frequency[np.maximum(windows.members, 0)], np.iinfo(np.int64).max)
+        order = np.argsort(occurs, axis=1, kind="stable")
+        needed = np.floor(windows.lengths * (1 - min_terms) + 1e-9).astype(int) + 1
+        for k in range(int(needed.max())):
+            used = alive & (k < needed) & (occurs[np.arange(len(order)), order[:, k]] < np.iinfo(np.int64).max)
+            if used.any():
+                places.append(intersect(spark, flat, windows, order[:, k], slop, min_terms, used))
     if base is None:
         count = lambda part: K.with_columns(part, n_words=K.batch_words(part, K.ALNUM, lower=True).counts)
         base = K.map_texts(rows.select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "text"), count, "doc_key long, doc_id long, n_words long")
         return base.select("doc_id", "doc_key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    found = reduce(DataFrame.unionByName, places)
+    found = reduce(DataFrame.unionByName, places).distinct() if places else spark.createDataFrame([], "doc_key long, item string, start int, length int")
     hit = found.select("doc_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("word")).distinct().groupBy("doc_key").agg(F.count("*").alias("n_hit"))
     named = found.groupBy("doc_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = base.join(hit, "doc_key", "left").join(named, "doc_key", "left")

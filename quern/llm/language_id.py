@@ -133,7 +133,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     lang_pred is ``und`` if the text is null or has no letter, or if no language was learned; then score is 0 and the
     row is not accepted.  Equal sizes go to the first language by name.  margin is the share of bytes by which the best
-    size is below the next, 1 where there is one language.  A row is accepted if its margin reaches ``min_margin``.
+    size is below the next, 1 where there is one language.  A row is accepted if its margin reaches ``min_margin``.  A text
+    of any length is compressed whole, in blocks; rows that are repeated or share a doc_id are judged each on their own.  No
+    rows: no result.
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)

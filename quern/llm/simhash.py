@@ -338,7 +338,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
     """doc_id, fp and component_id (the smallest doc_id that links within ``radius`` bits lead to) of every row.
 
     Rows without words link like any other row, by fingerprint 0.  A row without a doc_id never names a component
-    unless no row of its component has one.  Rows that share a doc_id are rows of their own.
+    unless no row of its component has one.  Rows that share a doc_id, and repeated rows, are rows of their own.  A text
+    of any length is fingerprinted whole.  No rows: no result.  Other columns are not looked at.
     """
     prints = stage_table(fingerprints(docs, shingle_words).withColumn("node", F.col("fp")), "fingerprints")
     return _components(prints, linked_pairs(prints.select("fp").distinct(), radius))
@@ -480,7 +481,8 @@ def similar_documents(docs: DataFrame, radius: int = WIDE_RADIUS, shingle_words:
 
     Texts with the same shingles are one node.  Fingerprints only find candidates: at a share of 0.8 those of 256 bits
     differ in 39 on average, of the shortest texts (four shingles of five) in 48, so nothing but a few pairs in a million
-    is beyond the radius; the candidates' shingles are then compared.  Rows without words are one group.
+    is beyond the radius; the candidates' shingles are then compared.  Rows without words are one group.  A text of any
+    length is compared whole.  No rows: no result.
 
     With ``key``, a column of longs that tells apart rows of one doc_id, there is a column row_key with it, and
     component_id is the (doc_id, row_key) that is smallest among rows with a doc_id, null if there are none.

@@ -477,6 +477,16 @@ def test_proximity(spark):
     assert exact == {0: True, 1: False, 2: False} and near == {0: True, 1: True, 2: False}
 
 
+def test_proximity_without_the_rarest_term(spark):
+    """A place with nine of ten terms counts whichever term is missing, the rarest one or one that no text has too."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(i, " ".join(["x", *item[:i], "edited", *item[i + 1 :], "y"])) for i in range(10)] + [(10, " ".join(["edited", "edited", *item[2:]])), (11, "kappa " * 9)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for kept in (rows, rows[1:]):  # without the first row nothing but row 11 lacks only kappa
+        found = {r.doc_id: r.n_hit > 0 for r in decontaminate.find_contamination(docs.where(F.col("doc_id").isin([r[0] for r in kept])), bench, min_terms=0.9).collect()}
+        assert found == {r[0]: r[0] < 10 for r in kept}
+
+
 def test_packing(docs, rows):
     tokenizer, by_id, pieces, sequences = plain(WORD), dict(pairs(rows)), {}, {}
     for r in packing.pack_documents(docs, WORD).collect():
@@ -569,6 +579,26 @@ def test_long_texts_keep_their_margin(docs, spark):
     assert all(max(m) < 2 * min(m) for m in margins.values()), margins
 
 
+def test_two_languages_in_either_order(docs, spark):
+    """The answer does not depend on what comes first."""
+    dictionaries, rng = language_id.fit_dictionaries(docs), random.Random(13)
+    french, english = prose(rng, "fr", 40_000), prose(rng, "en", 160_000)
+    rows = [("a", f"{french} {english}"), ("b", f"{english} {french}")]
+    found = language_id.identify(spark.createDataFrame(rows, "name string, text string"), dictionaries, keep=["name"]).collect()
+    assert len({r.lang_pred for r in found}) == 1 and abs(found[0].margin - found[1].margin) < 0.002
+
+
+def test_compressed_sizes_by_brute_force(docs):
+    """The sizes of a long text are the sums of its blocks' sizes, each behind the dictionary; equal sizes go to the first name."""
+    dictionaries = language_id.fit_dictionaries(docs)
+    model, text = language_id.Compressors(dictionaries), prose(random.Random(3), "de", 20_000).encode()
+    n = -(-len(text) // language_id.BLOCK_BYTES)
+    blocks = [text[len(text) * i // n : len(text) * (i + 1) // n] for i in range(n)]
+    assert b"".join(blocks) == text and n > 3
+    assert model.sizes(text) == [sum(len(c.compress(b)) for b in blocks) for c in model.fast]
+    assert model._decide([5.0, 3.0, 3.0])[0] == model.languages[1] and model._decide([5.0, 3.0, 3.0])[2] == 0.0
+
+
 def test_language_without_labels(docs):
     found = language_id.identify(docs, language_id.fit_dictionaries(docs.where("lang = 'xx'")))
     assert {(r.lang_pred, r.accepted) for r in found.collect()} == {("und", False)}

@@ -1,8 +1,11 @@
 """Empty tables, repeated rows, shared and missing ids, and columns whose names operators use themselves."""
 
+import random
+
 import corpus_pipeline
 import public_tokenizers
 import pytest
+from conftest import SCHEMA, prose
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, kernels, language_id, license_scan, lm_scoring, packing, quality, simhash, substring_dedup, token_output
@@ -46,6 +49,35 @@ def test_components_without_ids(odd_docs):
     assert (1, 1) in found and (2, 1) in found and (None, 1) in found and (7, 7) in found and (None, 7) in found
 
 
+@pytest.fixture(scope="module")
+def long_rows():
+    """A text longer than a slice, a copy of it, and short ones before and behind."""
+    text = prose(random.Random(17), "en", 220_000)
+    return [(0, "short text first"), (1, text), (2, text), (3, "the mit license and more words"), (4, None)]
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_text_beyond_a_slice(name, spark, long_rows, benchmark):
+    import brute
+
+    assert len(long_rows[1][1]) > kernels.SLICE_BYTES
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in long_rows], SCHEMA).coalesce(1)
+    found = {r.doc_id: r for r in OPERATORS[name](docs, benchmark).collect()}
+    assert set(found) == {0, 1, 2, 3, 4}
+    if name == "substring_dedup":
+        assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in found.items()} == brute.substring_dedup(long_rows)
+    elif name == "license_scan":
+        assert {i: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for i, r in found.items()} == brute.license_base(long_rows)
+    elif name == "lm_scoring":
+        base, model = brute.language_model_base(long_rows), brute.language_model(long_rows, lm_scoring.MU)
+        assert all(r.n_tokens == base[i][0] and r.base_score == pytest.approx(base[i][3], rel=1e-9) for i, r in found.items())
+        assert all(abs(r.score - model[i]) / r.n_tokens < lm_scoring.CODE_STEP for i, r in found.items())
+    elif name == "simhash":
+        assert found[1].component_id == found[2].component_id == 1 and found[1].fp == found[2].fp
+    elif name == "language_id":
+        assert found[1].lang_pred == "en" == found[2].lang_pred
+
+
 def test_no_items(docs, benchmark, rows):
     found = decontaminate.contamination_digest(docs, benchmark.limit(0)).collect()
     assert len(found) == len(rows) and not any(r.contaminated for r in found)
