@@ -13,14 +13,21 @@ from quern.storage import broadcast_if_small, stage_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without letters or with a narrow margin go.  The other columns stay as they are."""
+    """Documents with a language; those without letters or with a narrow margin go.  The other columns stay as they are.
+
+    Null and empty texts have no letters.  Repeated rows, and rows that share a doc_id or have none, are judged each on
+    their own.  Labels in ``lang`` are learned from where there are some; without any, no row has a language.
+    """
     names = [kernels.free_name(n, docs.columns) for n in ("lang_pred", "score", "margin", "accepted")]
     found = language_id.identify(docs, language_id.fit_dictionaries(docs), keep=docs.columns)
     return found.where(F.col(names[-1])).drop(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that of smallest doc_id, and of those with that doc_id the one of smallest hash.  Rows without a doc_id all stay."""
+    """One row of each group: that of smallest doc_id, and of those with that doc_id the one of smallest hash.
+
+    Rows without a doc_id all stay.  Rows without words (null texts too) are one group.  Rows equal in all columns are one.
+    """
     key = kernels.free_name("_row_key", docs.columns)
     keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
     found = stage_table(simhash.similar_documents(keyed, key=key).where("doc_id is not null"), "similar")
@@ -33,7 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand earlier; a document of which no word is left goes."""
+    """Documents without the passages that stand earlier; a document of which no word is left goes.
+
+    A null or empty text stays as it is.  Rows that share a doc_id come in the order of their texts' hashes; rows without
+    one come last; repeated rows lose nothing to each other.
+    """
     names = [kernels.free_name(n, docs.columns) for n in ("n_words", "n_removed", "kept_sha256", "kept_text", "factors")]
     words, removed, _, text, _ = (F.col(n) for n in names)
     found = substring_dedup.remove_duplicates(docs, keep=[c for c in docs.columns if c != "text"]).where((removed == 0) | (removed < words))
@@ -44,7 +55,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item stands."""
+    """Documents in which no window of a benchmark item stands.
+
+    Null and empty texts have no words and stay.  Rows are judged by doc_id and text, so repeated rows stay or go together.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs, benchmark).where("n_hit > 0").select("doc_key").distinct()
     found = broadcast_if_small(found, "contaminated")
@@ -54,7 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences of all documents that are left."""
+    """The sequences of all documents that are left; a null text is empty, and every row is a document of its own."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048)
 
 
