@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import LEADING_REFUSAL, REFUSAL_MARKERS
 from ..operators import context, diagnostics, evaluation, memory, probe
 from .common import MEMORY_TOKENS, Registry, table
 from .retrieval import BM25, _lexical
@@ -78,9 +79,9 @@ def answerability_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Assistant turns are answers; some get a refusal before them, a confidence and a polarity come from their place.
 PROBES = r"""
 answers AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN '未找到相关内容。' || substr(text, 1, 40) WHEN 1 THEN '无法回答。' ELSE text END AS answer, (conv_id * 7 + turn) % 10 / 10.0::double AS confidence, conv_id % 3 = 0 AS expect_reject, 'the' AS keyword FROM conversations WHERE role = 'assistant'),
-parts AS (SELECT *, list_bool_or([contains(answer, m) FOR m IN ['未找到', '没有找到', '资料中未', '无法回答', 'not found', 'No relevant', '无法从']]) AS refused, regexp_replace(answer, '(?i)^\s*(资料中未找到[^。]*。|未找到[^。]*。|没有找到[^。]*。|无法回答[^。]*。|无法从[^。]*。|not found[^.]*\.)', '') AS residual FROM answers),
+parts AS (SELECT *, list_bool_or([contains(answer, m) FOR m IN [REFUSAL_MARKERS]]) AS refused, regexp_replace(answer, 'LEADING_REFUSAL', '') AS residual FROM answers),
 states AS (SELECT conv_id, turn, confidence, expect_reject, refused, CASE WHEN confidence < 0.30::double THEN 'SYSTEM_REFUSE' WHEN trim(answer, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'REFUSED' WHEN NOT expect_reject AND contains(lower(answer), keyword) THEN 'DELIVERED' WHEN expect_reject AND NOT refused THEN 'DELIVERED'
-  WHEN length(regexp_replace(residual, '[*_`#>\[\]()\-•·\s]+', '', 'g')) >= 12 THEN 'REDIRECTED' ELSE 'REFUSED' END AS state FROM parts)"""
+  WHEN length(regexp_replace(residual, '[*_`#>\[\]()\-•·\s]+', '', 'g')) >= 12 THEN 'REDIRECTED' ELSE 'REFUSED' END AS state FROM parts)""".replace("REFUSAL_MARKERS", ", ".join(f"'{m}'" for m in REFUSAL_MARKERS)).replace("LEADING_REFUSAL", LEADING_REFUSAL)
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +143,7 @@ def role_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.role_counts(table(spark, sf_dir, "conversations").select(F.col("role").alias("chunk_role")))
 
 
-@R.query("SELECT count(*) AS n, 'duplicated' AS verdict FROM documents")
+@R.query("SELECT count(*) AS n, CASE WHEN count(*) > 90 THEN 'duplicated' WHEN count(*) NOT BETWEEN 30 AND 60 THEN 'unexpected' ELSE 'ok' END AS verdict FROM documents")
 def collection_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.collection_size(table(spark, sf_dir, "documents"))
 

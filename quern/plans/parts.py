@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import clean_page_text, numbered_part, rewritten_variants, search_tokens
+from ..functions.text import EXPANSIONS, clean_page_text, expanded_variants, numbered_part, rewritten_variants, search_tokens
 from ..operators import chunking, context, evaluation, gates, indexing, memory, probe
 from ..sources import files, labelled
 from ..streaming.watch import relevant
@@ -163,6 +163,25 @@ def rewritten_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").withColumn("text", F.translate("text", "\n", " ")).select("item_id", F.array_join(rewritten_variants(reply, F.col("text")), "|").alias("variants"))
 
 
+def _expansion_sql() -> str:
+    """The variants of q, a common table for each vague word: of those met while there are fewer than three, two terms each."""
+    steps, last = [], "s0"
+    for i, (word, terms) in enumerate((w, t[:2]) for w, t in EXPANSIONS.items() if t):
+        place = f"strpos(q, '{word}')"
+        new = ", ".join(f"substr(q, 1, {place} - 1) || '{t}' || substr(q, {place} + {len(word)})" for t in terms)
+        steps.append(f"s{i + 1} AS (SELECT item_id, q, CASE WHEN len(v) < 3 AND contains(lower(q), '{word.lower()}') AND {place} > 0 THEN v || list_filter([{new}], lambda x: x <> q) ELSE v END AS v FROM {last})")
+        last = f"s{i + 1}"
+    return f"WITH s0 AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'What amount is due? ' WHEN 1 THEN '合同金额? ' ELSE '' END || text AS q, CAST([] AS VARCHAR[]) AS v FROM benchmark), {', '.join(steps)} SELECT item_id, array_to_string([q] || v[1:3], '|') AS variants FROM {last}"
+
+
+@R.query(_expansion_sql())
+def question_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item behind a vague question, two of them, or none."""
+    k = F.col("item_id") % 3
+    question = F.concat(F.when(k == 0, "What amount is due? ").when(k == 1, "合同金额? ").otherwise(""), "text")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(expanded_variants(question), "|").alias("variants"))
+
+
 @R.query(f"""SELECT doc_id, '【' || CASE doc_id % 3 WHEN 0 THEN 'about ' || source WHEN 1 THEN 'last' ELSE '{fixed.NO_CONTEXT}' END || '】' || chr(10) || chr(10) || source AS content FROM documents""")
 def contextual_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a reply by their number; the third part is missing."""
