@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1024
 U64 = np.uint64
 
 # Word alphabets as tables over byte values.
@@ -157,6 +158,17 @@ def batch_words(batch: pa.RecordBatch, alphabet: np.ndarray, lower: bool, column
     return find_words(LOWER[data] if lower else data, offsets, alphabet)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; and from now on the session's Arrow batches have BATCH_ROWS rows, unless its owner has set another number.
+
+    Rows here are whole texts, and Spark's ten thousand of them at once would be held by JVM and worker on both ways.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, *, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Run ``work`` on every slice of every batch of ``df``."""
 
@@ -167,7 +179,7 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def with_columns(part: pa.RecordBatch, **columns: pa.Array | np.ndarray) -> pa.RecordBatch:
@@ -179,7 +191,7 @@ def with_columns(part: pa.RecordBatch, **columns: pa.Array | np.ndarray) -> pa.R
 
 def documents_of(docs: DataFrame) -> DataFrame:
     """doc_id and text of a table of documents, whatever else it has."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def remainder(column: str = "doc_id") -> F.Column:

@@ -37,7 +37,7 @@ SALTS = 32
 WIDE_WORDS, WIDE_RADIUS, WIDE_SHINGLE_WORDS, WIDE_SHARD_LIMIT = 4, 76, 5, 1024
 KEYS = 8
 LEAST_SHARE = 0.8
-EXACT_BYTES = 1 << 24  # shingle hashes of a chunk
+EXACT_BYTES = 1 << 23  # shingle hashes of a chunk
 
 
 def fingerprint_batch(part: pa.RecordBatch, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:

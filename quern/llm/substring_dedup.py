@@ -318,7 +318,7 @@ def _with_sources(per_doc: DataFrame, repeated: bool) -> DataFrame:
     run_type = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids = batch.column("doc_id").to_pylist()
             runs = [merged_runs(f) for f in batch.column("found").to_pylist()]
             wanted = [[] if repeated else touching_sources(i, r) for i, r in zip(ids, runs, strict=True)]
@@ -374,7 +374,8 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
         data, offsets = np.frombuffer(b"".join(whole), np.uint8), np.cumsum([0, *map(len, whole)])
         words = K.find_words(data, offsets, K.SPACED)
         removed, digests, texts, parsed = [], [], [], []
-        for d, (own_id, own) in enumerate(zip(part.column(key).to_pylist(), part.column(found).to_pylist(), strict=True)):
+        for d, own_id in enumerate(part.column(key).to_pylist()):
+            own = part.column(found)[d].as_py()
             a, b = int(words.first[d]), int(words.first[d + 1])
             begin, end = words.start[a:b], words.end[a:b]
             raw = whole[d]
