@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kernels, language_id, license_scan, lm_scoring, oracles, packing, quality, simhash, substring_dedup, token_output, topk_search
+from . import decontaminate, kernels, language_id, license_scan, lm_scoring, oracles, packing, quality, simhash, substring_dedup, token_alignment, token_output, topk_search, whitening
 
 
 def held_out(remainder: int = 0) -> Column:
@@ -16,7 +16,6 @@ def held_out(remainder: int = 0) -> Column:
     return kernels.remainder() == remainder
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,8 +64,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out())
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op7_lm_scoring, op8_decontamination, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op7_lm_scoring, op8_decontamination, op9_packing, op10_quality, op12_token_alignment, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
