@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1024
 U64 = np.uint64
+FULL = (1 << 64) - 1
 
 # Word alphabets as tables over byte values.
 _ALL = np.arange(256)
@@ -106,11 +107,7 @@ class Words:
         """A 64-bit hash of each word's bytes: a polynomial over random byte codes, then mixed."""
         if not len(self.start):
             return np.zeros(0, U64)
-        up, down = _power_tables(len(self.data) + 1)
-        terms = np.zeros(len(self.data) + 1, U64)
-        np.multiply(_BYTE[self.data], up[:-1], out=terms[1:])
-        np.add.accumulate(terms, out=terms)
-        return mix((terms[self.end] - terms[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        return ByteHashes(self.data).of(self.start, self.end - self.start)
 
     def ngram_hashes(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each word that has ``k - 1`` more behind it in its text: its index, and the hash of those ``k`` words."""
@@ -125,6 +122,19 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+class ByteHashes:
+    """64-bit hashes of any byte ranges of an array, from one pass over it."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _power_tables(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, U64)
+        np.multiply(_BYTE[data], up[:-1], out=self.sums[1:])
+        np.add.accumulate(self.sums, out=self.sums)
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mix((self.sums[start + length] - self.sums[start]) * self.down[start] + np.asarray(length).astype(U64))
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all ``k`` consecutive values, over text ends too."""
     n = len(hashes) - k + 1
@@ -179,7 +189,20 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 if out is not None:
                     yield out
 
-    return small_batches(df).mapInArrow(run, schema)
+    return map_batches(small_batches(df), run, schema)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow``, which by itself cannot take columns whose names have a dot."""
+    names = df.columns
+    if not any("." in n or "`" in n for n in names):
+        return df.mapInArrow(run, schema)
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
+def columns(names: list[str]) -> list[F.Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def with_columns(part: pa.RecordBatch, **columns: pa.Array | np.ndarray) -> pa.RecordBatch:

@@ -71,3 +71,26 @@ FROM d LEFT JOIN named n ON n.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id =
 
 
 LICENSE_SCAN = _license_scan()
+
+#: Hexadecimal digits stand for bytes; equal strings are told by their digests.
+SUFFIX_DEDUP = """WITH texts AS (
+    SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS hexed FROM documents),
+starts AS (
+    SELECT row_no, place, substr(hexed, 1 + 2 * place, 800) AS string
+    FROM (SELECT row_no, hexed, unnest(range(0, length(hexed) // 2 - 399)) AS place FROM texts)),
+repeated AS (SELECT row_no, place FROM (SELECT row_no, place, count(*) OVER (PARTITION BY md5_number(string)) AS times FROM starts) WHERE times > 1),
+numbered AS (
+    SELECT row_no, place, sum(CASE WHEN place <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY row_no ORDER BY place) AS span
+    FROM (SELECT row_no, place, coalesce(lag(place) OVER (PARTITION BY row_no ORDER BY place), -401) AS before FROM repeated)),
+spans AS (SELECT row_no, span, min(place) AS a, max(place) + 400 AS b FROM numbered GROUP BY row_no, span),
+pieces AS (
+    SELECT row_no, a, coalesce(lag(b) OVER (PARTITION BY row_no ORDER BY a), 0) AS kept_from, b FROM spans),
+gone AS (
+    SELECT p.row_no, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+        string_agg(substr(hexed, 1 + 2 * kept_from, 2 * (a - kept_from)), '' ORDER BY a) AS before_last
+    FROM pieces p JOIN texts t ON p.row_no = t.row_no GROUP BY p.row_no)
+SELECT doc_id, CAST(length(hexed) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(coalesce(before_last || substr(hexed, 1 + 2 * last), hexed))) AS kept_sha256
+FROM texts LEFT JOIN gone ON texts.row_no = gone.row_no
+"""

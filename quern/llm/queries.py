@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kernels, language_id, license_scan, lm_scoring, oracles, packing, quality, simhash, substring_dedup, token_alignment, token_output, topk_search, whitening
+from . import decontaminate, kernels, language_id, license_scan, lm_scoring, oracles, packing, quality, simhash, substring_dedup, suffix_dedup, token_alignment, token_output, topk_search, whitening
 
 
 def held_out(remainder: int = 0) -> Column:
@@ -64,6 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out())
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -74,8 +78,8 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op7_lm_scoring, op8_decontamination, op9_packing, op10_quality, op12_token_alignment, op13_embedding_whitening)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_token_output, op4_license_scan, op5_simhash, op6_topk_search, op7_lm_scoring, op8_decontamination, op9_packing, op10_quality, op11_suffix_dedup, op12_token_alignment, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_license_scan": oracles.LICENSE_SCAN, "op6_topk_search": oracles.TOP_K, "op8_decontamination": oracles.DECONTAMINATION}
+    return {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op4_license_scan": oracles.LICENSE_SCAN, "op6_topk_search": oracles.TOP_K, "op8_decontamination": oracles.DECONTAMINATION, "op11_suffix_dedup": oracles.SUFFIX_DEDUP}

@@ -291,7 +291,7 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
 
 def _slices(rows: DataFrame, text: str, keep: list[str], byte_path: str, piece_path: str) -> DataFrame:
     """One row for each slice: its documents, the pairs they hold and in how many documents, and who holds which."""
-    fields = [f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.select(*(f"`{k}`" for k in keep)).schema]
+    fields = [f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.select(*K.columns(keep)).schema]
     inner = ", ".join([f"key{i}: {f.split('`: ', 1)[1]}" for i, f in enumerate(fields)] + [f"{c}: {t}" for c, t in DIGEST.items()] + ["n_pairs: int"])
     schema = f"slice_id long, docs array<struct<{inner}>>, pairs array<bigint>, held array<int>, local binary, times binary"
 
@@ -309,7 +309,7 @@ def _slices(rows: DataFrame, text: str, keep: list[str], byte_path: str, piece_p
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(docs), one(pa.array(pairs)), one(held), *blobs], names=["slice_id", "docs", "pairs", "held", "local", "times"])
                 number += 1
 
-    return K.small_batches(rows).mapInArrow(run, schema)
+    return K.map_batches(K.small_batches(rows), run, schema)
 
 
 def pair_counts(slices: DataFrame) -> DataFrame:
@@ -335,13 +335,13 @@ def align_tokens(docs: DataFrame, byte_path: str, piece_path: str, keep: list[st
     """
     keep = keep or ["doc_id"]
     text = K.free_name("_text", docs.columns)
-    rows = docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").cast("string").alias(text))
+    rows = docs.select(*K.columns(keep), F.col("text").cast("string").alias(text))
     slices = stage_table(_slices(rows, text, keep, byte_path, piece_path), "aligned")
     asked = slices.select("slice_id", F.posexplode("pairs").alias("place", "pair"))
     told = asked.join(pair_counts(slices), "pair").groupBy("slice_id").agg(F.collect_list(F.struct("place", "n", "best")).alias("told"))
     joined = slices.select("slice_id", "docs", "local", "times").join(told, "slice_id", "left").drop("slice_id")
     names = [K.free_name(n, keep) for n in (*DIGEST, "n_best", "count_sum")]
-    stored = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*(f"`{k}`" for k in keep)).schema]
+    stored = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*K.columns(keep)).schema]
     fields = [*stored, *(f"`{n}` {t}" for n, t in zip(names, [*DIGEST.values(), "long", "long"], strict=True))]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,4 +360,4 @@ def align_tokens(docs: DataFrame, byte_path: str, piece_path: str, keep: list[st
                 sums = [np.diff(np.concatenate([[0], np.cumsum(times * x[local])])[cut]) for x in (best_of, n_of)]
                 yield pa.RecordBatch.from_arrays([*columns[:-1], *map(pa.array, sums)], names=[*keep, *names])
 
-    return joined.mapInArrow(add_up, ", ".join(fields))
+    return K.map_batches(joined, add_up, ", ".join(fields))

@@ -62,7 +62,7 @@ def whole(c: np.ndarray) -> np.ndarray:
 def usable(vectors: DataFrame, keep: list[str], vector: str) -> DataFrame:
     """``keep`` and the vectors, as doubles, of the rows whose vector is not null, not empty and has only finite numbers."""
     doubles = F.col("embedding").cast("array<double>")
-    rows = vectors.select(*(F.col(f"`{k}`") for k in keep), doubles.alias(vector))
+    rows = vectors.select(*K.columns(keep), doubles.alias(vector))
     held = F.col(vector)
     return rows.where(held.isNotNull() & (F.size(held) > 0) & F.forall(held, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
 
@@ -181,7 +181,7 @@ def whiten(vectors: DataFrame, keep: list[str] | None = None, components: int =
     keep = keep or ["vec_id"]
     vector = K.free_name("_vector", keep)
     rows = usable(vectors, keep, vector)
-    stored = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*(f"`{k}`" for k in keep)).schema]
+    stored = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*K.columns(keep)).schema]
     names = [K.free_name(c, keep) for c in ("component", "n", "deviation", "whitened", "explained", "identity_error")]
     fields = [*stored, *(f"`{c}` {t}" for c, t in zip(names, ["int", "long", "long", "double", "double", "double"], strict=True))]
     shape = shape_of(rows, vector)
@@ -237,4 +237,4 @@ def whiten(vectors: DataFrame, keep: list[str] | None = None, components: int =
             made = [np.tile(np.arange(1, k + 1, dtype=np.int32), m), np.full(m * k, n, np.int64), np.repeat(deviations(c), k), project(c).ravel(), np.tile(explained, m), np.full(m * k, error)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f).take(which) for f in keep), *map(pa.array, made)], names=[*keep, *names])
 
-    return rows.mapInArrow(give, ", ".join(fields))
+    return K.map_batches(rows, give, ", ".join(fields))
