@@ -3,11 +3,12 @@
 For every language a raw-content zstandard dictionary is filled with labelled texts.  A text, in lower case, belongs to the
 language whose dictionary lets it compress to the fewest bytes.  Where the runner-up is almost as small, the text is rejected.
 A longer text is compressed in blocks, each from the dictionary afresh: a text soon becomes its own best source, and then
-the dictionaries' differences would vanish in its size.
+the dictionaries' differences would vanish in its size.  A block is so short that nearly all of what it can refer to stands in
+the dictionary, however small that is, so the margin of a long text is that of a kilobyte of it.
 
-Learning is bounded: at most ``rows_per_language`` labelled rows of each language give at most ``piece_chars``
-characters each.  The rows are those with the smallest hash of doc_id, found in two steps: a count of rows by language,
-then only rows below a hash limit that keeps about four times the wanted number are ranked.
+Learning is bounded: at most ``rows_per_language`` labelled rows of each language, with whole texts, as many as fit into
+``dictionary_bytes`` (one at least).  The rows are those with the smallest hash of doc_id, found in two steps: a count of
+rows by language, then only rows below a hash limit that keeps about four times the wanted number are ranked.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 UNDECIDED = "und"
-SHORT_BYTES = 300  # up to here a slower search with three-byte matches decides
+SHORT_BYTES = 300  # up to here a text has too few matches to compress alone, and is compressed behind leads instead
 LETTER = r"\p{L}"
 _OTHER = re.compile(r"[\W\d_]+")
-BLOCK_BYTES = 1 << 14
+BLOCK_BYTES = 1 << 10
 LEADS, LEAD_BYTES = 3, 1024
-SECOND_LOOK = 0.02  # a margin below this calls for a look at the distinct words
-NATS_PER_BYTE = 0.3
+NATS_PER_SHARE = 150.0  # what a share of the size tells of the odds: half a percent is 0.75, two are 3
 
 
 def letters_only(text: str) -> str:
@@ -47,19 +47,20 @@ def sample_by_label(rows: DataFrame, label: str, key: Column, limit: int) -> Dat
     return ranked.where(F.col("_rank") <= limit).drop("count", "_hash", "_rank")
 
 
-def fit_dictionaries(docs: DataFrame, training: Column | None = None, rows_per_language: int = 64, piece_chars: int = 4096, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
+def fit_dictionaries(docs: DataFrame, training: Column | None = None, rows_per_language: int = 64, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
     """A raw-content dictionary for each language of the labelled rows; only ``text`` and ``lang`` are learned from.
 
-    Rows without text, letters or language teach nothing.  A longer text gives its middle.  No labelled row: no language.
+    Rows without text, letters or language teach nothing.  No labelled row: no language.
     """
     rows = docs if training is None else docs.where(training)
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "lang", "text")
-    begin = F.greatest(F.lit(1), ((F.length("text") - piece_chars) / 2).cast("int") + 1)
-    picked = sample_by_label(rows, "lang", F.col("doc_id"), rows_per_language).select("lang", "doc_id", F.substring(F.col("text"), begin, F.lit(piece_chars)).alias("piece"))
-    pieces: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.collect():
-        pieces.setdefault(r["lang"], []).append((r["doc_id"] if r["doc_id"] is not None else -1, r["piece"]))
-    return {lang: " ".join(letters_only(p) for _, p in sorted(found)).encode()[-dictionary_bytes:] for lang, found in sorted(pieces.items())}
+    picked = sample_by_label(rows, "lang", F.col("doc_id"), rows_per_language).withColumn("_size", F.octet_length("text"))
+    before = F.sum("_size").over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "_size", "text")) - F.col("_size")
+    picked = picked.withColumn("_before", before).where((F.col("_before") == 0) | (F.col("_before") + F.col("_size") <= dictionary_bytes))
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for r in picked.select("lang", "doc_id", "text").collect():
+        texts.setdefault(r["lang"], []).append((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]))
+    return {lang: " ".join(letters_only(t) for _, t in sorted(found)).encode() for lang, found in sorted(texts.items())}
 
 
 class Compressors:
@@ -75,8 +76,9 @@ class Compressors:
         import zstandard as z
 
         self.languages = sorted(dictionaries)
-        fast = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 2, "min_match": 4, "target_length": 4, "strategy": z.STRATEGY_GREEDY}
-        fine = {"window_log": 18, "hash_log": 16, "chain_log": 17, "search_log": 4, "min_match": 3, "target_length": 32, "strategy": z.STRATEGY_BTOPT}
+        window = max(18, max(map(len, dictionaries.values()), default=0).bit_length() + 1)
+        fast = {"window_log": window, "hash_log": 16, "chain_log": 16, "search_log": 2, "min_match": 4, "target_length": 4, "strategy": z.STRATEGY_GREEDY}
+        fine = {"window_log": window, "hash_log": 16, "chain_log": 17, "search_log": 4, "min_match": 3, "target_length": 32, "strategy": z.STRATEGY_BTOPT}
         self.fast, self.fine, self.leads = [], [], []
         for lang in self.languages:
             raw = dictionaries[lang]
@@ -99,21 +101,13 @@ class Compressors:
         return [max(0.5, sum(len(c.compress(lead + b" " + text)) - n for lead, n in leads) / LEADS) for c, leads in zip(self.fine, self.leads, strict=True)]
 
     def judge(self, raw: bytes) -> tuple[str, float, float]:
-        """Language, score and margin of a text; where repetition hides the difference, of its distinct words."""
-        text = letters_only(raw.decode()).encode()
-        lang, score, margin = self._decide(self.sizes(text))
-        if margin < SECOND_LOOK:
-            words = b" ".join(dict.fromkeys(text.split()))
-            if len(words) < len(text):
-                again = self._decide(self.sizes(words))
-                if again[2] > margin:
-                    return again
-        return lang, score, margin
+        """Language, score and margin of a text."""
+        return self._decide(self.sizes(letters_only(raw.decode()).encode()))
 
     def _decide(self, sizes: list[float]) -> tuple[str, float, float]:
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = sizes[:best] + sizes[best + 1 :]
-        odds = sum(math.exp(-min(700.0, (s - sizes[best]) * NATS_PER_BYTE)) for s in rest)
+        odds = sum(math.exp(-min(700.0, (s / sizes[best] - 1.0) * NATS_PER_SHARE)) for s in rest)
         return self.languages[best], 1.0 / (1.0 + odds), (min(rest) - sizes[best]) / min(rest) if rest else 1.0
 
 
@@ -134,15 +128,16 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     lang_pred is ``und`` if the text is null or has no letter, or if no language was learned; then score is 0 and the
     row is not accepted.  Equal sizes go to the first language by name.  margin is the share of bytes by which the best
     size is below the next, 1 where there is one language.  A row is accepted if its margin reaches ``min_margin``.  A text
-    of any length is compressed whole, in blocks; rows that are repeated or share a doc_id are judged each on their own.  No
+    of any length is compressed whole, in blocks.  score grows with the margins to the other languages, as shares of the
+    size, and not with the length.  Rows that are repeated or share a doc_id are judged each on their own.  No
     rows: no result.
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     flag, text = K.free_name("_letters", docs.columns), K.free_name("_text", docs.columns)
     names = [K.free_name(n, keep) for n in ("lang_pred", "score", "margin", "accepted")]
-    rows = docs.select(*keep, F.col("text").cast("string").alias(text), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias(flag))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), f"`{names[0]}` string", f"`{names[1]}` double", f"`{names[2]}` double", f"`{names[3]}` boolean"])
+    rows = docs.select(*K.columns(keep), F.col("text").cast("string").alias(text), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias(flag))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*K.columns(keep)).schema), f"`{names[0]}` string", f"`{names[1]}` double", f"`{names[2]}` double", f"`{names[3]}` boolean"])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         model = _compressors(shared.value)

@@ -571,8 +571,8 @@ def test_language_id(docs, rows):
 def test_long_texts_keep_their_margin(docs, spark):
     """A clean text of megabytes is as sure as a short one of its kind."""
     dictionaries, rng = language_id.fit_dictionaries(docs), random.Random(12)
-    rows = [(lang, prose(rng, lang, n)) for lang in sorted(HEADS) for n in (2_000, 300_000)]
-    assert all(len(t) > 1_000_000 for _, t in rows[1::2])
+    rows = [(lang, prose(rng, lang, n)) for lang in sorted(HEADS) for n in (200, 2_000, 20_000, 300_000)]
+    assert all(len(t) > 1_000_000 for _, t in rows[3::4])
     found = language_id.identify(spark.createDataFrame(rows, "lang string, text string"), dictionaries, keep=["lang"]).collect()
     assert all(r.lang_pred == r.lang and r.accepted for r in found)
     margins = {lang: [r.margin for r in found if r.lang == lang] for lang in HEADS}
