@@ -2,8 +2,10 @@
 
 Word k-grams of documents are joined in Spark to their positions in license templates.  A document position minus a
 template position is a diagonal: the k-grams of one quotation share it, and an inserted or lost word moves it by one.
-Votes are counted for each document, template and diagonal, neighbouring diagonals are merged, and a span is accepted
-if enough of the template's words stand on it.  Beside this, fixed phrases are counted wherever they stand.
+Votes are counted for each document, template and diagonal, neighbouring diagonals are merged, and spans are verified: a
+long text needs most of its words, among them those that tell it from its relatives, a short statement all of its words.
+Spans over the same words compete; the best covered one, then the longest, is kept.  Beside this, fixed phrases are
+counted wherever they stand.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ GRAM = 3
 DIAGONAL_GAP = 2
 SPAN_BREAK = 32  # words without a vote after which a span ends
 MIN_COVERAGE = 0.6
+SHORT_WORDS = 16  # statements of up to so many words stand whole or not at all
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -76,6 +79,11 @@ NAMES = {
     "mpl-2.0": "Mozilla Public License, version 2.0", "bsd-2-clause": "BSD 2-Clause License", "bsd-3-clause": "BSD 3-Clause License", "isc": "ISC License", "zlib": "zlib License",
     "epl-2.0": "Eclipse Public License, version 2.0", "bsl-1.0": "Boost Software License, Version 1.0", "ofl-1.1": "SIL Open Font License, Version 1.1",
 }
+# The words by which a notice is told from those of other licenses or versions.
+MARKS = {
+    "apache-2.0": "Apache License", "gpl-2.0": "version 2", "gpl-3.0": "version 3", "lgpl-2.1": "Lesser", "lgpl-3.0": "Lesser", "lgpl": "Lesser", "agpl-3.0": "Affero",
+    "gfdl-1.3": "Documentation License", "mpl-2.0": "Mozilla Public License", "epl-2.0": "Eclipse Public License", "cc0-1.0": "neighboring rights", "ofl-1.1": "Open Font License",
+}
 VERBS = ("licensed", "released", "distributed", "available")
 CONDITIONS = {"by": "Attribution", "sa": "ShareAlike", "nc": "NonCommercial", "nd": "NoDerivatives"}
 
@@ -100,6 +108,14 @@ def _words_of(texts: list[str]) -> K.Words:
     return K.batch_words(batch, K.ALNUM, lower=True)
 
 
+def _marked(label: str, text: str) -> list[int]:
+    """Places of the template's words that a span has to hold."""
+    found, mark = _words_of([text, MARKS.get(label, "")]).hashes(), len(MARKS.get(label, "").split())
+    words, wanted = found[: len(found) - mark].tolist(), found[len(found) - mark :].tolist()
+    at = next((i for i in range(len(words)) if wanted and words[i : i + mark] == wanted), None)
+    return [] if at is None else list(range(at, at + mark))
+
+
 def scan_words(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, gram: int = GRAM) -> DataFrame:
     """One row per document: its id, word count, phrase places, and the k-grams that occur in some template."""
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
@@ -158,7 +174,8 @@ def license_spans(scanned: DataFrame, templates: list[tuple[str, str]] | None =
     rows = list(zip(K.signed(hashes).tolist(), template_of.tolist(), (at - words.first[template_of]).tolist(), strict=True))
     spark = scanned.sparkSession
     positions = F.broadcast(spark.createDataFrame(rows, "gram long, template int, template_at int"))  # as large as the templates
-    about = F.broadcast(spark.createDataFrame([(i, label, int(n)) for i, ((label, _), n) in enumerate(zip(templates, words.counts, strict=True))], "template int, label string, template_words int"))
+    facts = [(i, label, int(n), _marked(label, text)) for i, ((label, text), n) in enumerate(zip(templates, words.counts, strict=True))]
+    about = F.broadcast(spark.createDataFrame(facts, "template int, label string, template_words int, marked array<int>"))
     votes = scanned.select("row_key", F.explode(F.arrays_zip("places", "grams")).alias("v")).select("row_key", F.col("v.places").alias("at"), F.col("v.grams").alias("gram"))
     votes = votes.join(positions, "gram").withColumn("diagonal", F.col("at") - F.col("template_at"))
     by_diagonal = Window.partitionBy("row_key", "template").orderBy("diagonal", "at")
@@ -168,20 +185,40 @@ def license_spans(scanned: DataFrame, templates: list[tuple[str, str]] | None =
     far = F.when(F.col("at") - F.lag("at").over(by_place) <= SPAN_BREAK, 0).otherwise(1)
     votes = votes.withColumn("far", far).withColumn("part", F.sum("far").over(by_place))
     spans = votes.groupBy("row_key", "template", "band", "part").agg(F.collect_set("template_at").alias("hit"), F.min("at").alias("first_word"), (F.max("at") + gram).alias("end_word"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x, x + gram - 1)))))
-    spans = spans.join(about, "template").withColumn("coverage", covered / F.col("template_words"))
-    return spans.where(F.col("coverage") >= min_coverage).select("row_key", "template", "label", "first_word", "end_word", "coverage")
+    covered = F.array_distinct(F.flatten(F.transform("hit", lambda x: F.sequence(x, x + gram - 1))))
+    spans = spans.join(about, "template").withColumn("covered", covered).withColumn("coverage", F.size("covered") / F.col("template_words"))
+    whole = F.when(F.col("template_words") <= SHORT_WORDS, F.col("coverage") == 1.0).otherwise(F.col("coverage") >= min_coverage)
+    return spans.where(whole & (F.size(F.array_except("marked", "covered")) == 0)).select("row_key", "template", "label", "first_word", "end_word", "coverage", F.size("covered").alias("words"))
+
+
+def best_spans(spans: DataFrame) -> DataFrame:
+    """Of the spans of a row that share words, the best covered, then the longest, then the first label's; then the best of the rest.
+
+    Spans that hang together by shared words are settled together; there are at most a few for each template.
+    """
+    in_order = Window.partitionBy("row_key").orderBy("first_word", "end_word", "template")
+    reach = F.max("end_word").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = spans.withColumn("new", F.when(F.col("first_word") < reach, 0).otherwise(1)).withColumn("heap", F.sum("new").over(in_order))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("coverage")).alias("a"), (-F.col("words")).alias("b"), "label", "first_word", "end_word", "coverage")))
+    apart = lambda kept, x: ~F.exists(kept, lambda k: (k["first_word"] < x["end_word"]) & (x["first_word"] < k["end_word"]))
+    heaps = joined.groupBy("row_key", "heap").agg(ranked.alias("x"))
+    none = F.filter("x", lambda x: F.lit(False))
+    kept = F.aggregate("x", none, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return heaps.select("row_key", F.explode(kept).alias("x")).select("row_key", "x.label", "x.first_word", "x.end_word", "x.coverage")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Licenses of each document: counts and places of the fixed phrases, labels of both ways, and a score.
 
-    The score is 1 where a phrase stands, else the best coverage of a verified span, else 0.  Null or empty text: no
+    A label of a family (gpl, bsd) is not added where one of its licenses is found.  The score is 1 where a phrase
+    stands, else the best coverage of a span, else 0.  Null or empty text: no
     words, no labels.  Rows that share a doc_id, or have none, and repeated rows are judged each on their own.  A text of
     any length is looked at whole.  No rows: no result.  Other columns are not looked at.
     """
     scanned = stage_table(scan_words(docs).withColumn("row_key", F.monotonically_increasing_id()), "license-words")
-    found = license_spans(scanned).groupBy("row_key").agg(F.collect_set("label").alias("found"), F.max("coverage").alias("coverage"))
+    found = best_spans(license_spans(scanned)).groupBy("row_key").agg(F.collect_set("label").alias("all"), F.max("coverage").alias("coverage"))
+    family = lambda x: F.exists("all", lambda y: y.startswith(F.concat(x, F.lit("-"))))
+    found = found.select("row_key", "coverage", F.filter("all", lambda x: ~family(x)).alias("found"))
     both = scanned.drop("places", "grams").join(found, "row_key", "left")
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("found", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.coalesce("coverage", F.lit(0.0)), F.lit(1.0)))

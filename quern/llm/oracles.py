@@ -1,9 +1,5 @@
 """SQL for DuckDB that states the results of those training-data queries that SQL can express."""
 
-import re
-
-from . import license_scan
-
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,38 +36,32 @@ FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.
 """
 
 
-def _license_scan() -> str:
-    """Votes of word triples for places of the catalogue's texts, bands of diagonals, spans and their coverage."""
-    words = [re.findall(r"[0-9a-z]+", text.lower()) for _, text in license_scan.TEMPLATES]
-    gram = license_scan.GRAM
-    known = ", ".join(f"('{' '.join(w[i : i + gram])}', {t}, {i})" for t, w in enumerate(words) for i in range(len(w) - gram + 1))
-    about = ", ".join(f"({t}, '{label}', {len(w)})" for t, ((label, _), w) in enumerate(zip(license_scan.TEMPLATES, words, strict=True)))
-    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license_scan.PHRASES.items())
-    return f"""
+#: What a work says when it is under a license: the names of licenses behind a verb, or their identifiers, as whole words.
+#: The texts of licenses themselves are in none of the tables.
+LICENSE_SCAN = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS words FROM documents),
-known(gram, template, template_at) AS (VALUES {known}),
-about(template, label, template_words) AS (VALUES {about}),
-phrases(phrase, label, n) AS (VALUES {phrases}),
+told AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS said FROM d),
+gnu(label, name) AS (VALUES ('gpl-2.0', 'gnu general public license version 2'), ('gpl-3.0', 'gnu general public license version 3'), ('lgpl-2.1', 'gnu lesser general public license version 2 1'),
+    ('lgpl-3.0', 'gnu lesser general public license version 3'), ('agpl-3.0', 'gnu affero general public license version 3')),
+other(label, name) AS (VALUES ('mit', 'mit license'), ('apache-2.0', 'apache license version 2 0'), ('mpl-2.0', 'mozilla public license version 2 0'), ('bsd-2-clause', 'bsd 2 clause license'), ('bsd-3-clause', 'bsd 3 clause license'),
+    ('isc', 'isc license'), ('zlib', 'zlib license'), ('epl-2.0', 'eclipse public license version 2 0'), ('bsl-1.0', 'boost software license version 1 0'), ('ofl-1.1', 'sil open font license version 1 1')),
+named AS (SELECT * FROM gnu UNION ALL SELECT * FROM other),
+by_name AS (SELECT label, ' ' || verb || ' under the ' || name || ' ' AS phrase FROM named, (SELECT unnest(['licensed', 'released', 'distributed', 'available']) AS verb)),
+by_mark AS (SELECT label, ' spdx license identifier ' || replace(replace(label, '-', ' '), '.', ' ') || ' ' AS phrase FROM named),
+kinds(kind, conditions) AS (VALUES ('by', 'attribution'), ('by-sa', 'attribution sharealike'), ('by-nc', 'attribution noncommercial'), ('by-nc-sa', 'attribution noncommercial sharealike'), ('by-nd', 'attribution noderivatives'), ('by-nc-nd', 'attribution noncommercial noderivatives')),
+versions(version, suffix) AS (VALUES ('3.0', 'unported'), ('4.0', 'international')),
+commons AS (SELECT 'cc-' || kind || '-' || version AS label, unnest([' licensed under cc ' || replace(kind, '-', ' ') || ' ' || replace(version, '.', ' ') || ' ', ' licensed under a creative commons ' || conditions || ' ' || replace(version, '.', ' ') || ' ' || suffix || ' license ']) AS phrase FROM kinds, versions),
+statements AS (SELECT * FROM by_name UNION ALL SELECT * FROM by_mark UNION ALL SELECT * FROM commons),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels FROM told JOIN statements ON contains(said, phrase) GROUP BY doc_id),
+phrases(phrase, label) AS (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
 spots AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM d),
-base AS (SELECT s.doc_id, s.pos - 1 AS start, p.label FROM spots s JOIN phrases p ON array_to_string(list_slice(s.words, s.pos, s.pos + p.n - 1), ' ') = p.phrase),
-named AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id),
-votes AS (SELECT s.doc_id, k.template, s.pos - 1 AS place, k.template_at, s.pos - 1 - k.template_at AS diagonal FROM (SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + {gram - 1}), ' ') AS gram FROM spots WHERE pos + {gram - 1} <= len(words)) s JOIN known k ON k.gram = s.gram),
-apart AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= {license_scan.DIAGONAL_GAP} THEN 0 ELSE 1 END AS apart FROM votes WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal, place)),
-banded AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal, place) AS band FROM apart),
-far AS (SELECT *, CASE WHEN place - lag(place) OVER w <= {license_scan.SPAN_BREAK} THEN 0 ELSE 1 END AS far FROM banded WINDOW w AS (PARTITION BY doc_id, template, band ORDER BY place, template_at)),
-parted AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template, band ORDER BY place, template_at) AS part FROM far),
-covered AS (SELECT doc_id, template, band, part, count(DISTINCT word) AS n FROM (SELECT doc_id, template, band, part, unnest(range(template_at, template_at + {gram})) AS word FROM parted) GROUP BY ALL),
-spans AS (SELECT c.doc_id, a.label, c.n / a.template_words AS coverage FROM covered c JOIN about a USING (template) WHERE c.n / a.template_words >= {license_scan.MIN_COVERAGE}::double),
-found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(coverage) AS coverage FROM spans GROUP BY doc_id)
+base AS (SELECT s.doc_id, s.pos - 1 AS start, p.label FROM spots s JOIN phrases p ON list_slice(s.words, s.pos, s.pos + len(p.phrase) - 1) = p.phrase),
+counted AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(n.n_base, 0) AS n_base, n.first_word, n.last_word, coalesce(array_to_string(n.labels, ','), '') AS base_labels,
-array_to_string(list_sort(list_distinct(list_concat(coalesce(n.labels, []), coalesce(f.labels, [])))), ',') AS labels,
-CASE WHEN n.n_base > 0 THEN 1.0::double ELSE least(coalesce(f.coverage, 0.0::double), 1.0::double) END AS score
-FROM d LEFT JOIN named n ON n.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(n.labels, []), coalesce(f.labels, [])))), ',') AS labels, CASE WHEN n.n_base > 0 OR len(f.labels) > 0 THEN 1.0::double ELSE 0.0::double END AS score
+FROM d LEFT JOIN counted n ON n.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
 """
 
-
-LICENSE_SCAN = _license_scan()
-
 #: Hexadecimal digits stand for bytes; equal strings are told by their digests.
 SUFFIX_DEDUP = """WITH texts AS (
     SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS hexed FROM documents),

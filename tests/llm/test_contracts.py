@@ -628,3 +628,47 @@ def test_temperature_corrects_overconfidence():
     y = (rng.random(600) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
     net = quality.fit_network(x, y, np.arange(600) % 3 == 0)
     assert 0.25 <= net.temperature <= 16 and abs(net.probabilities(x).mean() - y.mean()) < 0.1
+
+
+def own_labels(r):
+    """What the method adds to the base labels."""
+    return sorted(set(r.labels.split(",")) - set(r.base_labels.split(",")) - {""})
+
+
+def test_each_license_has_its_own_label(spark):
+    """The notices of a license, whole and edited, and every statement give that license and no other."""
+    rng, cases = random.Random(21), []
+    whole = {}
+    for label, text in license_scan.NOTICES:
+        whole.setdefault(label, []).append(text)
+    for label, texts in whole.items():
+        cases.append((label, f"{prose(rng, 'en', 30)}. " + " ".join(texts) + f" {prose(rng, 'en', 30)}"))
+    for label, text in license_scan.NOTICES:
+        words = text.split()
+        told_by = license_scan.MARKS.get(label, "").lower().split()
+        for k in range(10, len(words) - 8, 25):
+            if words[k].strip(",.;").lower() not in told_by:
+                words[k] = "edited"
+        cases.append((label, "Notice: " + " ".join(words)))
+    cases += [(label, f"x {text} y") for label, text in license_scan.TEMPLATES[len(license_scan.NOTICES) :]]
+    cases.append(("bsd-3-clause", " ".join(t for label, t in license_scan.NOTICES if label in ("bsd", "bsd-3-clause"))))
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    for i, (label, text) in enumerate(cases):
+        labels = set(own_labels(found[i])) | (set(found[i].base_labels.split(",")) & {label})
+        assert labels == {label}, (label, text[:80], found[i])
+
+
+def test_words_in_common_are_no_license(spark):
+    texts = [
+        "We were licensed under the ministry of the arts.", "SPDX-License-Identifier: Foo", "released under the moon", "licensed under CC XY 4.0", "This software is provided by our shop",
+        "the GNU General Public Library, version 3", "Permission is hereby granted to enter the garden", "redistribute it and modify it under the terms of your contract",
+    ]
+    found = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.labels == "" and r.score == 0.0 for r in found)
+
+
+def test_two_licenses_are_both_found(spark):
+    text = "Released under the MIT License. Parts are licensed under CC BY-SA 4.0, others are distributed under the GNU General Public License, version 2. SPDX-License-Identifier: Apache-2.0 " * 3
+    (r,) = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.labels == "apache-2.0,cc-by-sa-4.0,gpl,gpl-2.0,mit"
