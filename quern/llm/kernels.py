@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
-BATCH_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 U64 = np.uint64
 FULL = (1 << 64) - 1
 
@@ -169,13 +169,15 @@ def batch_words(batch: pa.RecordBatch, alphabet: np.ndarray, lower: bool, column
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; and from now on the session's Arrow batches have BATCH_ROWS rows, unless its owner has set another number.
+    """``df``; and from now on the session's Arrow batches have at most BATCH_ROWS rows and BATCH_BYTES bytes.
 
-    Rows here are whole texts, and Spark's ten thousand of them at once would be held by JVM and worker on both ways.
+    Rows here are whole texts, and Spark's ten thousand of them, or 64 MB, at once would be held by JVM and worker on both
+    ways.  The two settings are the session's and stay as they are if its owner has set other than Spark's own values.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    for name, spark_has, wanted in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", f"{64 << 20}b", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{name}") == spark_has:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(wanted))
     return df
 
 

@@ -347,11 +347,11 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     order = F.xxhash64(F.col("text").cast("string")) if repeated else F.lit(0).cast("long")
-    rows = docs.select(*keep, ids.alias(key), order.alias(tie), F.col("text").cast("string").alias(text))
+    rows = docs.select(*K.columns(keep), ids.alias(key), order.alias(tie), F.col("text").cast("string").alias(text))
     factors = find_factors(rows.select(F.col(key).alias("doc_id"), F.col(tie).alias("tie"), F.col(text).alias("text")), window, repeated)
     per_doc = _with_sources(factors.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "n", "source_id", "source_start")).alias("found")), repeated)
     per_doc = per_doc.select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.struct("runs", "sources").alias(found))
-    stored = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    stored = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*K.columns(keep)).schema]
     columns = [*keep, key, tie]
 
     def shrink(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -361,7 +361,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW_WORDS, keep: list[st
         return pa.RecordBatch.from_arrays([*(part.column(n) for n in columns), pa.array(blobs, pa.binary())], names=[*columns, text])
 
     small = K.map_texts(rows, shrink, ", ".join([*stored, f"`{key}` long", f"`{tie}` long", f"`{text}` binary"]), text=text)
-    joined = small.join(per_doc, [key, tie], "left").select(*keep, key, text, found)
+    joined = small.join(per_doc, [key, tie], "left").select(*K.columns(keep), key, text, found)
     names = [K.free_name(n, keep) for n in ("n_words", "n_removed", "kept_sha256", "kept_text", "factors")]
     kinds = ["long", "long", "string", "string", "array<struct<start:int,length:int,source_id:bigint,source_start:int>>"]
     fields = [*stored, *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))]
