@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import decontaminate, kernels, language_id, packing, simhash, substring_dedup
 from quern.storage import broadcast_if_small, stage_table
@@ -26,17 +27,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: that of smallest doc_id, and of those with that doc_id the one of smallest hash.
 
-    Rows without a doc_id all stay.  Rows without words (null texts too) are one group.  Rows equal in all columns are one.
+    Rows are told apart by a hash of all columns and of which of them are null; columns of any type take part.  Rows
+    without a doc_id all stay.  Rows without words (null texts too) are one group.  Rows equal in all columns are one.
     """
     key = kernels.free_name("_row_key", docs.columns)
-    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    fields = kernels.columns(docs.columns)
+    values = [F.to_json(F.struct(c)) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) else c for c, f in zip(fields, docs.schema, strict=True)]
+    keyed = docs.withColumn(key, F.xxhash64(F.array(*(c.isNull() for c in fields)), *values))
     found = stage_table(simhash.similar_documents(keyed, key=key).where("doc_id is not null"), "similar")
     gone = found.where(F.struct("doc_id", "row_key") != F.col("component_id")).select(F.col("row_key").alias(key)).distinct()
     gone = broadcast_if_small(gone, "near-copies")
     kept = keyed.join(gone, key, "left_anti")
     if found.groupBy("row_key").count().where("count > 1").limit(1).count():  # rows equal in all columns
         kept = kept.where("doc_id is not null").dropDuplicates([key]).unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    return kept.select(*kernels.columns(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = {"text": text}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(removed > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumns(out).select(*docs.columns)
+    return found.withColumns(out).select(*kernels.columns(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = broadcast_if_small(found, "contaminated")
     key = kernels.free_name("_doc_key", docs.columns)
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(found.withColumnRenamed("doc_key", key), key, "left_anti").select(*docs.columns)
+    return keyed.join(found.withColumnRenamed("doc_key", key), key, "left_anti").select(*kernels.columns(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
