@@ -6,7 +6,7 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..storage import stage_table
 
 SUFFIXES = ("md", "txt", "pdf", "docx", "pptx", "doc", "xlsx", "csv")
 DOCUMENT_SCHEMA = "path string, ordinal int, content string, sheet string, slide int, page int, total_pages int, layout string, parser string, chunk_role string, error string"
@@ -126,8 +127,8 @@ def _unsupported(raw: bytes) -> list[dict]:
     raise NotImplementedError("no parser is registered for this format")
 
 
-#: Parsers by suffix, each a list that is tried in order until one gives documents.
-PARSERS: dict[str, list[Callable[[bytes], list[dict]]]] = {"md": [_plain], "txt": [_plain], "docx": [_docx], "pptx": [_pptx], "xlsx": [_xlsx], "csv": [_csv], "pdf": [_unsupported], "doc": [_unsupported]}
+#: Parsers by suffix, each a list that is tried in order until one gives documents.  Behind those of PDF comes :mod:`quern.sources.pdf`.
+PARSERS: dict[str, list[Callable[[bytes], list[dict]]]] = {"md": [_plain], "txt": [_plain], "docx": [_docx], "pptx": [_pptx], "xlsx": [_xlsx], "csv": [_csv], "pdf": [], "doc": [_unsupported]}
 
 
 def register_parser(suffix: str, parser: Callable[[bytes], list[dict]]) -> None:
@@ -152,8 +153,11 @@ def parse_one(path: str, raw: bytes, parsers: dict[str, list[Callable[[bytes], l
 def parse(files: DataFrame, preferred: str | None = None) -> DataFrame:
     """Documents (path, ordinal, content, ...) of files (path, content); failures have an ``error`` and no content.
 
-    Of a format's parsers the one whose name is ``preferred`` is tried first.
+    Of a format's parsers the one whose name is ``preferred`` is tried first.  PDF files for which no registered parser
+    gives documents, or all if ``pdf`` is preferred, are read by this library.
     """
+    from . import pdf
+
     kinds = {"int": pa.int32(), "string": pa.string()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in DOCUMENT_SCHEMA.split(", "))])
     parsers = {k: sorted(v, key=lambda p: p.__name__.strip("_") != preferred) for k, v in PARSERS.items()}
@@ -164,7 +168,13 @@ def parse(files: DataFrame, preferred: str | None = None) -> DataFrame:
                 if found := parse_one(path, raw.as_py() or b"", parsers):
                     yield pa.RecordBatch.from_pylist([{"path": path} | d for d in found], schema=schema)
 
-    return files.select("path", "content").mapInArrow(run, DOCUMENT_SCHEMA)
+    is_pdf = F.lower("path").endswith(".pdf")
+    named = files.select("path", "content")
+    if not parsers.get("pdf") or preferred == "pdf":
+        return named.where(~is_pdf).mapInArrow(run, DOCUMENT_SCHEMA).unionByName(pdf.documents(named.where(is_pdf)))
+    found = stage_table(named.mapInArrow(run, DOCUMENT_SCHEMA), "parsed")
+    left = named.where(is_pdf).join(found.where("content is not null").select("path").distinct(), "path", "left_anti")
+    return found.where(~is_pdf | F.col("content").isNotNull()).unionByName(pdf.documents(left))
 
 
 def text_documents(files: DataFrame) -> DataFrame:
@@ -172,12 +182,12 @@ def text_documents(files: DataFrame) -> DataFrame:
     return files.where(F.lower("path").rlike(r"\.(md|txt)$")).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
-def two_column_pages(words: DataFrame, gutter: float = 20.0) -> DataFrame:
-    """page and two_column from the words (page, page_width, x0) of pages."""
+def two_column_pages(words: DataFrame, gutter: float = 20.0, by: Sequence[str] = ("page",)) -> DataFrame:
+    """The columns of ``by`` that tell pages apart, and two_column, from the words (page_width, x0) of pages."""
     middle = F.col("page_width") / 2
-    sides = words.groupBy("page").agg(F.count("*").alias("n"), F.count_if(F.col("x0") < middle - gutter).alias("left"), F.count_if(F.col("x0") > middle + gutter).alias("right"))
+    sides = words.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("x0") < middle - gutter).alias("left"), F.count_if(F.col("x0") > middle + gutter).alias("right"))
     even = F.abs(F.col("left") - F.col("right")) / F.greatest("left", "right") < 0.6
-    return sides.select("page", F.coalesce((F.col("n") >= 30) & (F.col("left") > 15) & (F.col("right") > 15) & even, F.lit(False)).alias("two_column"))
+    return sides.select(*by, F.coalesce((F.col("n") >= 30) & (F.col("left") > 15) & (F.col("right") > 15) & even, F.lit(False)).alias("two_column"))
 
 
 def reading_order(words: DataFrame, header_share: float = 0.18, gutter: float = 10.0) -> DataFrame:
@@ -227,7 +237,8 @@ def image_size(raw: bytes) -> tuple[int, int] | None:
 
 
 def images(files: DataFrame) -> DataFrame:
-    """The PNG and JPEG images that office documents (path, content) hold: source, page (0), ordinal, width, height, image."""
+    """The images that office documents (page 0) and PDF files (path, content) hold: source, page, ordinal, width, height, image."""
+    from . import pdf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +254,7 @@ def images(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.string()), *((n, pa.int32()) for n in ("page", "ordinal", "width", "height")), ("image", pa.binary())]))
 
-    return files.where(F.lower("path").rlike(r"\.(docx|pptx|xlsx)$")).select("path", "content").mapInArrow(run, IMAGE_SCHEMA)
+    return files.where(F.lower("path").rlike(r"\.(docx|pptx|xlsx)$")).select("path", "content").mapInArrow(run, IMAGE_SCHEMA).unionByName(pdf.images(files))
 
 
 def image_captions(images: DataFrame, caption: F.Column, min_size: int = 100, most: int = 20) -> DataFrame:
