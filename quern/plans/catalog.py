@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, corpus, parts, retrieval
+from . import analysis, corpus, parts, pdfs, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return retrieval.QUERIES | corpus.QUERIES | analysis.QUERIES | parts.QUERIES
+    return retrieval.QUERIES | corpus.QUERIES | analysis.QUERIES | parts.QUERIES | pdfs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.SQL | corpus.SQL | analysis.SQL | parts.SQL
+    return retrieval.SQL | corpus.SQL | analysis.SQL | parts.SQL | pdfs.SQL
