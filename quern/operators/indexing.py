@@ -31,6 +31,12 @@ def diff(current: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"))
 
 
+def listing_changes(current: DataFrame, known: DataFrame) -> DataFrame:
+    """path and status, as :func:`diff`, of two listings (path, length, modified)."""
+    mark = lambda t: t.select("path", F.concat_ws(" ", F.col("length").cast("string"), F.unix_micros("modified").cast("string")).alias("sha256"))
+    return diff(mark(current), mark(known))
+
+
 def chunk_id(source: Column, ordinal: Column, content: Column) -> Column:
     """An id that a chunk gets in every pass, so a repeated write adds nothing."""
     return F.sha2(F.concat_ws("\u0001", source, ordinal.cast("string"), content), 256)

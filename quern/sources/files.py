@@ -32,6 +32,11 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -
     return files.select(F.replace(below, F.lit("\\"), F.lit("/")).alias("path"), "content", "length", "modificationTime")
 
 
+def listing(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """path, length and modified of the files of a folder and those below it; no file is read."""
+    return scan(spark, root, suffixes).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def _docx(raw: bytes) -> list[dict]:
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
     lines = []

@@ -1,19 +1,27 @@
-"""Re-indexing when files change: change events are grouped into bursts, and each burst starts one pass."""
+"""Re-indexing when files change: change events are grouped into bursts, and each burst starts one pass.
+
+On a table of events a burst is a session window.  On a stream a session would stay open until a later event moves the
+watermark; there a timer in processing time, set anew by every event, ends a burst when nothing came for the gap.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT
-from ..operators.indexing import diff, manifest_of
-from ..sources.files import SUFFIXES, scan
+from ..operators.indexing import listing_changes
+from ..sources.files import SUFFIXES, listing
 from ..storage import drop_stage, stage_table
 
 EVENT_SCHEMA = "path string, op string, ts timestamp"
+BURST_SCHEMA = "first timestamp, last timestamp, n long"
 
 
 def relevant(path: F.Column) -> F.Column:
@@ -22,28 +30,57 @@ def relevant(path: F.Column) -> F.Column:
 
 
 def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Change events (path, op, ts) between two manifests (path, sha256): a source of events that sees deletions too."""
+    """Change events (path, op, ts) between two listings (path, length, modified): a source of events that sees deletions too."""
     op = F.when(F.col("status") == "new", "created").when(F.col("status") == "changed", "modified").otherwise("deleted")
-    return diff(after, before).where("status <> 'unchanged'").select("path", op.alias("op"), F.current_timestamp().alias("ts"))
-
+    return listing_changes(after, before).where("status <> 'unchanged'").select("path", op.alias("op"), F.current_timestamp().alias("ts"))
 
-def bursts(events: DataFrame, gap_seconds: float = DEFAULT.debounce_seconds, key: str | None = None, late: str | None = None) -> DataFrame:
-    """Runs of events with at most ``gap_seconds`` between neighbours: first, last, n (and the key).
 
-    On a stream a watermark of ``late`` closes a burst; a burst ends once the gap has passed behind its last event.
-    """
-    rows = events.withWatermark("ts", late) if late else events
+def bursts(events: DataFrame, gap_seconds: float = DEFAULT.debounce_seconds, key: str | None = None) -> DataFrame:
+    """Runs of a table's events with at most ``gap_seconds`` between neighbours: first, last, n (and the key)."""
     window = F.session_window("ts", f"{int(gap_seconds * 1000)} milliseconds")
-    # Sessions on a stream need a key beside the window; without one all events share a value.
-    keys = [window, F.col(key) if key else F.col("ts").isNull().alias("_all")]
-    grouped = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    grouped = events.groupBy(window, *([key] if key else [])).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return grouped.select(*([key] if key else []), "first", "last", "n")
 
 
+def settled(events: DataFrame, gap_seconds: float = DEFAULT.debounce_seconds) -> DataFrame:
+    """Bursts of a stream's events (first, last, n), each given out once nothing came for ``gap_seconds``.
+
+    There is one timer, as one pass serves all changes.  Its state is three values, and a task first makes one row of the
+    events it has, so a burst of any size is small where it meets.
+    """
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, first, last = 0, None, None
+        for batch in batches:
+            times = [t for t in batch.column("ts").to_pylist() if t is not None]
+            n += batch.num_rows
+            first, last = min([*times, *([first] if first else [])], default=None), max([*times, *([last] if last else [])], default=None)
+        if n:
+            zoned = pa.timestamp("us", "UTC")
+            yield pa.RecordBatch.from_pydict({"first": pa.array([first], zoned), "last": pa.array([last], zoned), "n": [n]})
+
+    def wait(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (None, None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"first": pd.to_datetime([held[0]]), "last": pd.to_datetime([held[1]]), "n": [held[2]]})
+            return
+        for frame in frames:
+            first, last = frame["first"].dropna(), frame["last"].dropna()
+            low, high = [x for x in (held[0], *first) if x is not None], [x for x in (held[1], *last) if x is not None]
+            held = (min(low, default=None), max(high, default=None), held[2] + int(frame["n"].sum()))
+        state.update(held)
+        state.setTimeoutDuration(max(1, int(gap_seconds * 1000)))
+
+    rows = events.select("ts").mapInArrow(combine, BURST_SCHEMA).withColumn("timer", F.lit(0))
+    return rows.groupBy("timer").applyInPandasWithState(wait, BURST_SCHEMA, BURST_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def start(events: DataFrame, reindex: Callable[[], None], gap_seconds: float = DEFAULT.debounce_seconds, checkpoint: str | None = None, once: bool = False, on_error: Callable[[Exception], None] | None = None) -> StreamingQuery:
-    """Run ``reindex`` at the beginning and then once for every micro-batch of bursts.
+    """Run ``reindex`` at the beginning and then once for every burst of relevant events.
 
-    A failing pass is reported and does not end the stream.  With ``once`` the stream ends when it has caught up.
+    A failing pass is reported and does not end the stream.  With ``once`` what is there already counts as one burst for
+    each micro-batch, no timer is waited for, and the stream ends when it has caught up.
     """
 
     def safely() -> None:
@@ -53,11 +90,16 @@ def start(events: DataFrame, reindex: Callable[[], None], gap_seconds: float = D
             (on_error or (lambda x: print(f"re-indexing failed: {x}")))(e)
 
     safely()
-    grouped = bursts(events.where(relevant(F.col("path"))), gap_seconds, late=f"{int(gap_seconds * 1000)} milliseconds")
-    writer = grouped.writeStream.outputMode("append").foreachBatch(lambda batch, _: None if batch.isEmpty() else safely())
+    def serve(batch: DataFrame, _: int) -> None:
+        if batch.count():  # all of it is run, as each partition's state has to be written for the next batch
+            safely()
+
+    wanted = events.where(relevant(F.col("path")))
+    grouped = wanted if once else settled(wanted, gap_seconds)
+    writer = grouped.writeStream.outputMode("append").foreachBatch(serve)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(50, int(gap_seconds * 250))} milliseconds")).start()
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,8 +108,11 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def poll(spark: SparkSession, docs_root: str, folder: str, known: DataFrame | None = None) -> DataFrame:
-    """Compare ``docs_root`` with ``known`` (path, sha256), drop the changes as events into ``folder``, and return what is there now."""
-    now = stage_table(manifest_of(scan(spark, docs_root)), "polled")
+    """Compare ``docs_root`` with ``known`` (a listing), drop the changes as events into ``folder``, and return what is there now.
+
+    Names, lengths and times of change are compared; no file is read.
+    """
+    now = stage_table(listing(spark, docs_root), "polled")
     events = now.limit(0) if known is None else snapshot_events(known, now)
     if known is not None and not events.isEmpty():
         events.coalesce(1).write.mode("append").json(folder)

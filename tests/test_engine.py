@@ -1,5 +1,7 @@
 import io
+import datetime
 import json
+import time
 import zipfile
 
 import pytest
@@ -155,10 +157,46 @@ def test_watch_stream(spark, tmp_path):
     assert len(runs) >= 2 and len(errors) == 1
 
 
+def wait_for(condition, seconds=60.0):
+    end = time.time() + seconds
+    while not condition() and time.time() < end:
+        time.sleep(0.05)
+    return condition()
+
+
+def test_a_lone_burst_causes_one_pass(spark, tmp_path):
+    """One event alone, and two in quick succession, cause one pass each; no later event is needed."""
+    events = tmp_path / "events"
+    events.mkdir()
+    runs = []
+    query = watch.start(watch.read_events(spark, str(events)), lambda: runs.append(time.time()), gap_seconds=1.0, checkpoint=f"{tmp_path}/ck")
+
+    def drop(name, path="a.md"):
+        (tmp_path / name).write_text(json.dumps({"path": path, "op": "modified", "ts": "2024-01-01T00:00:00Z"}))
+        (tmp_path / name).rename(events / name)
+
+    try:
+        assert len(runs) == 1
+        drop("other.json", "a.py")
+        drop("1.json")
+        dropped = time.time()
+        assert wait_for(lambda: len(runs) > 1) and runs[1] - dropped >= 1.0
+        drop("2.json")
+        time.sleep(0.1)
+        drop("3.json")
+        assert wait_for(lambda: len(runs) > 2)
+        time.sleep(4.0)
+        assert len(runs) == 3 and query.isActive
+    finally:
+        query.stop()
+
+
 def test_snapshot_events(spark):
-    old = spark.createDataFrame([("a", "1"), ("b", "1")], "path string, sha256 string")
-    new = spark.createDataFrame([("a", "2"), ("c", "1")], "path string, sha256 string")
-    assert {r.path: r.op for r in watch.snapshot_events(old, new).collect()} == {"a": "modified", "b": "deleted", "c": "created"}
+    schema = "path string, length long, modified timestamp"
+    t = [datetime.datetime(2024, 1, 1, 0, 0, k) for k in range(3)]
+    old = spark.createDataFrame([("a", 1, t[0]), ("b", 1, t[0]), ("d", 1, t[0]), ("e", 1, t[0])], schema)
+    new = spark.createDataFrame([("a", 2, t[0]), ("c", 1, t[0]), ("d", 1, t[0]), ("e", 1, t[1])], schema)
+    assert {r.path: r.op for r in watch.snapshot_events(old, new).collect()} == {"a": "modified", "b": "deleted", "c": "created", "e": "modified"}
 
 
 def test_models_rewrite_judge_describe_and_check(spark, folder, tmp_path):
