@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import providers
@@ -14,68 +12,45 @@ from .functions.text import expanded_variants, infer_title, rewritten_variants
 from .operators import chunking, context, dense, diagnostics, evaluation, fusion, gates, indexing, lexical, probe, ranking
 from .sources import files as file_source
 from .storage import stage_table
+from .store import MANIFEST_SCHEMA, PARENT_SCHEMA, Store
 
-CHUNK_SCHEMA = "chunk_id string, source string, parent_id string, ordinal int, content string, chunk_role string, embedding array<float>"
-PARENT_SCHEMA = "parent_id string, source string, parent_ordinal int, parent_text string, is_metadata boolean"
-
-
-@dataclass
-class Store:
-    """Paths of the tables of a collection; each pass writes a new version beside the old one."""
-
-    spark: SparkSession
-    root: str
-
-    def _path(self, name: str, version: int) -> str:
-        return f"{self.root}/v{version}/{name}"
-
-    def version(self) -> int:
-        """The latest version whose manifest was written; the manifest is written last.  0 if there is none."""
-        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v*/manifest/_SUCCESS"))
-        return max((int(s.getPath().getParent().getParent().getName()[1:]) for s in found or []), default=0)
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        now = self.version()
-        return self.spark.read.schema(schema).parquet(self._path(name, now)) if now else self.spark.createDataFrame([], schema)
-
-    def index(self) -> lexical.LexicalIndex | None:
-        """The lexical index of the latest version, None in an empty store."""
-        now = self.version()
-        return lexical.read_index(self.spark, self._path("lexical", now)) if now else None
-
-    def chunks(self) -> DataFrame:
-        return self.read("chunks", CHUNK_SCHEMA)
-
-    def parents(self) -> DataFrame:
-        return self.read("parents", PARENT_SCHEMA)
-
-    def manifest(self) -> DataFrame:
-        return self.read("manifest", "path string, sha256 string")
-
-    def write(self, chunks: DataFrame, parents: DataFrame, manifest: DataFrame) -> None:
-        """A new version: chunks and parents, the lexical index of the chunks, and at last the manifest, which makes it valid."""
-        to = self.version() + 1
-        chunks.write.mode("overwrite").parquet(self._path("chunks", to))
-        parents.write.mode("overwrite").parquet(self._path("parents", to))
-        lexical.write_index(self.spark.read.schema(CHUNK_SCHEMA).parquet(self._path("chunks", to)), self._path("lexical", to), "chunk_id", "content")
-        manifest.write.mode("overwrite").parquet(self._path("manifest", to))
+READ_BY_PATH = 10_000  # up to so many changed files are read by their paths, more by a scan of the folder
 
 
 def reindex(store: Store, docs_root: str, force: bool = False, config: Config | None = None) -> DataFrame:
     """Bring a store up to date with a folder; one row that says what was done.
 
-    Only new and changed files are parsed.  Their old chunks go once the new ones exist, so a file that fails to parse
-    keeps what it had and is tried again in the next pass.
+    Files whose length and time of change are as noted are not read.  Of the others, those whose digest changed are
+    parsed.  Old chunks go once a file was parsed, also if nothing was in it; a file that fails to parse keeps what it
+    had and is tried again in the next pass.  A pass that finds nothing to do writes nothing.  ``force`` begins anew.
     """
     spark = store.spark
     config = config or Config.load(spark)
-    found = file_source.scan(spark, docs_root)
-    current = stage_table(indexing.manifest_of(found), "manifest")
-    known = spark.createDataFrame([], "path string, sha256 string") if force else store.manifest()
-    changed, deleted = indexing.changed_files(current, known), indexing.deleted_files(current, known)
+    now = stage_table(file_source.listing(spark, docs_root), "listing")
+    known = spark.createDataFrame([], MANIFEST_SCHEMA) if force else stage_table(store.manifest(), "manifest")
+    suspects = stage_table(now.join(indexing.listing_changes(now, known).where("status in ('new', 'changed')"), "path", "left_semi"), "suspects")
+    paths = [r.path for r in suspects.select("path").limit(READ_BY_PATH + 1).collect()]
+    found = file_source.scan(spark, docs_root, only=paths if len(paths) <= READ_BY_PATH else None)
+    hashed = stage_table(suspects.join(indexing.manifest_of(found.join(suspects.select("path"), "path", "left_semi")), "path"), "hashed")
+    changed, deleted = stage_table(indexing.changed_files(hashed, known), "changed"), stage_table(indexing.deleted_files(now, known), "deleted")
     documents = stage_table(file_source.parse(found.join(changed.select("path"), "path", "left_semi"), config.pdf_parser), "documents")
+    failed = documents.groupBy("path").agg(F.max(F.col("content").isNotNull()).alias("some"), F.max(F.col("error").isNotNull()).alias("bad")).where("bad and not some")
+    noted = stage_table(hashed.join(failed.select("path"), "path", "left_anti"), "noted")  # parsed, or touched only
+    counted = Observation("pass")
+    chunks, parents = made_chunks(documents, config)
+    chunks = stage_table(chunks.observe(counted, F.count("*").alias("chunks")), "chunks")
+    statuses = now.select("path").join(changed.select("path", F.lit("changed").alias("status")), "path", "left").select("path", F.coalesce("status", F.lit("unchanged")).alias("status"))
+    summary = indexing.file_counts(statuses.unionByName(deleted.select("path", F.lit("deleted").alias("status")))).withColumn("chunks_added", F.lit(counted.get["chunks"]).cast("long"))
+    if force or not noted.isEmpty() or not deleted.isEmpty():
+        gone = changed.select("path").join(noted.select("path"), "path", "left_semi").unionByName(deleted.select("path")).withColumnRenamed("path", "source")
+        lost = deleted.select("path", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in MANIFEST_SCHEMA.split(", ")[1:])))
+        store.write(chunks, parents, noted.select(*lost.columns).unionByName(lost), gone, replace=force)
+    return summary
+
+
+def made_chunks(documents: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """Chunks with embeddings, and parents, of parsed documents."""
+    spark = documents.sparkSession
     texts = documents.where("content is not null").select(F.col("path").alias("source"), "content", "chunk_role")
     if config.use_parent_child:
         parents = chunking.parents(texts, config)
@@ -90,12 +65,7 @@ def reindex(store: Store, docs_root: str, force: bool = False, config: Config |
         told = stage_table(chunking.described(chunks, titles, providers.chosen(providers.MODELS, config.llm)), "described")
         chunks = chunking.contextualise(told, F.col("_described")).drop("_described", "context")
     embed = providers.chosen(providers.EMBEDDERS, config.embedder)(config.embedding_dim)
-    chunks = stage_table(chunks.withColumn("embedding", embed(F.col("content"))).select("chunk_id", "source", "parent_id", "ordinal", "content", "chunk_role", "embedding"), "chunks")
-    old_chunks, old_parents = (spark.createDataFrame([], s) if force else t for s, t in ((CHUNK_SCHEMA, store.chunks()), (PARENT_SCHEMA, store.parents())))
-    parsed = documents.where("error is null").select("path").distinct()
-    all_parents = indexing.without_sources(old_parents, deleted.select("path").unionByName(parsed)).unionByName(parents)
-    store.write(indexing.apply_changes(old_chunks, chunks, deleted), all_parents, indexing.next_manifest(known, current, parsed, deleted))
-    return indexing.index_summary(indexing.diff(current, known), chunks)
+    return chunks.withColumn("embedding", embed(F.col("content"))).select("chunk_id", "source", "parent_id", "ordinal", "content", "chunk_role", "embedding"), parents
 
 
 def retrieve(store: Store, questions: DataFrame, top_k: int | None = None, config: Config | None = None) -> DataFrame:

@@ -64,8 +64,13 @@ def next_manifest(manifest: DataFrame, current: DataFrame, parsed: DataFrame, de
     return old.unionByName(fresh)
 
 
+def file_counts(changes: DataFrame) -> DataFrame:
+    """total_files, new_or_changed and deleted of files (path, status) in one row."""
+    status = F.col("status")
+    return changes.agg(F.count_if(status != "deleted").alias("total_files"), F.count_if(status.isin("new", "changed")).alias("new_or_changed"), F.count_if(status == "deleted").alias("deleted"))
+
+
 def index_summary(changes: DataFrame, new_chunks: DataFrame) -> DataFrame:
     """total_files, new_or_changed, deleted and chunks_added in one row."""
-    status = F.col("status")
-    files = changes.agg(F.count_if(status != "deleted").alias("total_files"), F.count_if(status.isin("new", "changed")).alias("new_or_changed"), F.count_if(status == "deleted").alias("deleted"))
+    files = file_counts(changes)
     return files.crossJoin(new_chunks.agg(F.count("*").alias("chunks_added")))  # two single rows

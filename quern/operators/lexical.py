@@ -1,59 +1,124 @@
-"""BM25 over a corpus, for many queries at once.
+"""BM25 over a corpus, for many queries at once, from an index of segments.
 
-An index is three tables under one path: postings (token, doc_id, tf, n_tokens) in the order of their tokens, terms
-(token, df, idf), and documents; with two numbers in a fourth one.  It is written once and read by every search.  Texts
-are tokenised once, when the postings are written; all statistics come from them.  Only postings of query tokens take
-part in a search; scores are summed before the shuffle, and the rank keeps a bounded number per query.
+A segment is what one pass adds, and is written once: blocks of postings, ids of its documents, and its share of the
+statistics.  A later segment may say which earlier documents are gone, and takes their share of the statistics off, so
+sums over all segments are those of the documents that are left.
+
+The postings of a token are cut into blocks in the order of what they can add to a score, and a block's head says the
+largest term frequency and the smallest text in it.  A search looks at heads first: some of the best blocks of each query
+give a score that ``top`` documents reach, and blocks whose bound, with the best that the query's other tokens can add,
+stays below it are not read.  No document of the result loses a posting by that.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
-from ..storage import broadcast_if_small, stage_path
+from ..storage import broadcast_if_small, stage_path, stage_table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+BLOCK = 128  # postings of a block
+GROUP = 1 << 17  # documents whose postings of a token are ordered together
+FIRST_BLOCKS = 2  # blocks of each token that give a query its first bound
+PUSHED_TOKENS = 2000  # so many tokens are looked for in the files' own statistics
+HEAD = ["token", "part", "block", "n", "top_tf", "low_tokens", "seq"]
 
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame
+    """blocks (HEAD, postings), terms (token, df, idf), documents (doc_id), and gone (doc_id, before: the segments it was in), if any."""
+
+    blocks: DataFrame
     terms: DataFrame
     documents: DataFrame
     n_docs: int
     avg_tokens: float
+    gone: DataFrame | None = None
 
 
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Postings and statistics of ``docs`` under ``path``.  An idf below zero becomes EPSILON times the mean idf of all terms."""
-    spark = docs.sparkSession
-    tokens = docs.select(F.col(id_col).alias("doc_id"), search_tokens(text_col).alias("tokens"))
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_tokens, token and tf.  A document's tokens are counted where its text is, without moving occurrences."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).repartition("doc_id")
+    tokens = texts.select("doc_id", search_tokens("_text").alias("tokens"))
     exploded = tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.explode("tokens").alias("token"))
-    # Tokens and occurrences of one document lie in one row, so they are counted without a shuffle of occurrences.
-    postings = exploded.groupBy("token", "doc_id", "n_tokens").agg(F.count("*").alias("tf"))
-    postings.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    return exploded.groupBy("doc_id", "token", "n_tokens").agg(F.count("*").alias("tf"))
+
+
+def write_segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", gone: DataFrame | None = None, like: list[str] | None = None) -> None:
+    """A segment of ``docs`` under ``path``; ``gone`` has documents (the same columns) of earlier segments that no longer count.
+
+    A segment that takes the place of those at ``like`` has the sum of their statistics.
+    """
+    spark = docs.sparkSession
     docs.select(F.col(id_col).alias("doc_id")).write.mode("overwrite").parquet(f"{path}/documents")
-    held = spark.read.parquet(f"{path}/postings")
     n_docs = spark.read.parquet(f"{path}/documents").count()
+    parts = max(1, -(-n_docs // GROUP))
+    postings = _counted(docs, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    # What a posting adds rises with tf and falls with the text's length, in an order that no average length changes much.
+    promise = F.col("tf") / (F.col("tf") + K1 * (1 - B) + F.col("n_tokens") / 256.0)
+    in_order = Window.partitionBy("token", "part").orderBy(F.desc(promise), "doc_id")
+    blocked = postings.withColumn("block", F.floor((F.row_number().over(in_order) - 1) / BLOCK).cast("int"))
+    held = F.collect_list(F.struct("doc_id", "tf", "n_tokens"))
+    blocks = blocked.groupBy("token", "part", "block").agg(F.count("*").alias("n"), F.sum("tf").alias("total"), F.max("tf").alias("top_tf"), F.min("n_tokens").alias("low_tokens"), held.alias("postings"))
+    blocks.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/blocks")
+    if like:
+        spark.read.parquet(*(f"{p}/terms" for p in like)).groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).write.mode("overwrite").parquet(f"{path}/terms")
+        spark.read.parquet(*(f"{p}/numbers" for p in like)).agg(F.sum("n_docs").alias("n_docs")).write.mode("overwrite").parquet(f"{path}/numbers")
+        return
+    heads = spark.read.parquet(f"{path}/blocks").groupBy("token").agg(F.sum("n").alias("df"), F.sum("total").alias("total"))
+    change = F.lit(n_docs).cast("long")
+    if gone is not None:
+        lost = stage_table(_counted(gone, id_col, text_col), "lost")
+        heads = heads.unionByName(lost.groupBy("token").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("total")))
+        heads = heads.groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+        change = change - gone.count()
+    heads.write.mode("overwrite").parquet(f"{path}/terms")
+    spark.range(1).select(change.alias("n_docs")).write.mode("overwrite").parquet(f"{path}/numbers")
+
+
+def read_segments(spark: SparkSession, paths: dict[int, str], gone: DataFrame | None = None) -> LexicalIndex:
+    """The index of the segments at ``paths``, by their order; ``gone`` (doc_id, before) names documents of segments below ``before``.
+
+    An idf below zero becomes EPSILON times the mean idf of all terms.
+    """
+
+    def read(table: str) -> DataFrame:
+        found = None
+        for seq, path in sorted(paths.items()):
+            one = spark.read.parquet(f"{path}/{table}").withColumn("seq", F.lit(seq))
+            found = one if found is None else found.unionByName(one)
+        return found
+
+    terms = read("terms").groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where("df > 0")
+    n_docs = read("numbers").agg(F.sum("n_docs")).first()[0]
     raw_idf = F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    raw = held.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).withColumn("raw_idf", raw_idf)
-    raw.write.mode("overwrite").parquet(f"{path}/raw_terms")
-    raw = spark.read.parquet(f"{path}/raw_terms")
-    mean, total = raw.agg(F.coalesce(F.avg("raw_idf"), F.lit(0.0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    terms = raw.select("token", "df", F.when(F.col("raw_idf") < 0, EPSILON * mean).otherwise(F.col("raw_idf")).alias("idf"))
-    terms.write.mode("overwrite").parquet(f"{path}/terms")
-    numbers = spark.createDataFrame([(n_docs, total / n_docs if n_docs else 0.0)], "n_docs long, avg_tokens double")
-    numbers.coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
+    terms = terms.withColumn("raw_idf", raw_idf)
+    mean, total = terms.agg(F.coalesce(F.avg("raw_idf"), F.lit(0.0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    terms = terms.select("token", "df", F.when(F.col("raw_idf") < 0, EPSILON * mean).otherwise(F.col("raw_idf")).alias("idf"))
+    documents = read("documents")
+    if gone is not None:
+        documents = _left(documents, gone)
+    return LexicalIndex(read("blocks"), terms, documents.select("doc_id"), n_docs, total / n_docs if n_docs else 0.0, gone)
+
+
+def _left(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (doc_id, seq) whose document was not gone later."""
+    later = gone.select(F.col("doc_id").alias("_gone"), "before")
+    return rows.join(later, (F.col("doc_id") == F.col("_gone")) & (F.col("seq") < F.col("before")), "left_anti")
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """An index of one segment."""
+    write_segment(docs, path, id_col, text_col)
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
     """An index as :func:`write_index` left it."""
-    postings, terms, documents, numbers = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "documents", "numbers"))
-    return LexicalIndex(postings, terms, documents, *numbers.first())
+    return read_segments(spark, {0: path})
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
@@ -63,19 +128,56 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return read_index(docs.sparkSession, path)
 
 
+def _part_score(index: LexicalIndex, tf: Column, n_tokens: Column) -> Column:
+    return F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / F.lit(index.avg_tokens)))
+
+
+def _postings(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
+    """query_id, doc_id and added of the postings of wanted blocks (HEAD, query_id, times, idf); those of lost documents are left out."""
+    rows = index.blocks.join(wanted.select("token", "part", "block", "seq", "query_id", "times", "idf"), ["token", "part", "block", "seq"])
+    rows = rows.select("query_id", "seq", "times", "idf", F.explode("postings").alias("p")).select("query_id", "seq", "times", "idf", "p.doc_id", "p.tf", "p.n_tokens")
+    if index.gone is not None:
+        rows = _left(rows, index.gone)
+    return rows.select("query_id", "doc_id", _part_score(index, F.col("tf"), F.col("n_tokens")).alias("added"))
+
+
+def choose_blocks(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
+    """Blocks that can take part in a query's result, from the tokens asked for (query_id, token, times): HEAD, query_id, times, idf, bound, needed.
+
+    ``needed`` says whether the block is read.
+    """
+    weighted = broadcast_if_small(index.terms.join(asked, "token"), "query-terms")
+    blocks = index.blocks
+    tokens = weighted.select("token").distinct().limit(PUSHED_TOKENS + 1).collect()
+    if len(tokens) <= PUSHED_TOKENS:  # then row groups without any of them are not read
+        index.blocks = blocks = blocks.where(F.col("token").isin([r.token for r in tokens]))
+    heads = blocks.select(*HEAD).join(weighted, "token").withColumn("bound", F.greatest(F.lit(0.0), _part_score(index, F.col("top_tf"), F.col("low_tokens"))))
+    heads = stage_table(heads, "block-heads")
+    best = heads.groupBy("query_id", "token").agg(F.max("bound").alias("best"))
+    others = best.withColumn("others", F.sum("best").over(Window.partitionBy("query_id")) - F.col("best")).drop("best")
+    ranked = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id", "token").orderBy(F.desc("bound"), "seq", "part", "block")))
+    sums = _postings(index, ranked.where(F.col("_rank") <= FIRST_BLOCKS)).groupBy("query_id", "doc_id").agg(F.sum("added").alias("sum"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum"), "doc_id"))
+    reached = sums.withColumn("_place", place).where(F.col("_place") == top).select("query_id", F.col("sum").alias("reached"))
+    told = heads.join(others, ["query_id", "token"]).join(reached, "query_id", "left")
+    # Scores are compared to six digits; a weight below zero bounds nothing.
+    open_ = F.col("reached").isNull() | (F.col("bound") + F.col("others") >= F.col("reached") - 2e-6)
+    negative = F.min("idf").over(Window.partitionBy("query_id")) < 0
+    return told.withColumn("needed", open_ | negative).drop("others", "reached")
+
+
 def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only: bool = False, id_col: str = "query_id", text_col: str = "question") -> DataFrame:
     """query_id, doc_id, score and rank of the best ``top`` documents of each query, equal scores (to 6 digits) by id.
 
     A query's repeated tokens count each time.  Unless ``matched_only``, documents without any query token fill up the
     list at score 0, smallest ids first; a query without tokens has no list.
     """
+    index = LexicalIndex(**vars(index))
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(search_tokens(text_col)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    # Where the queries' tokens are few, postings stay where they are; else both sides meet by token.
     asked = broadcast_if_small(asked, "query-tokens")
-    weighted = broadcast_if_small(index.terms.join(asked, "token"), "query-terms")
-    hits = index.postings.join(weighted, "token")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.lit(index.avg_tokens)))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    # Where the wanted blocks are few, postings stay where they are; else both sides meet by token and block.
+    wanted = broadcast_if_small(choose_blocks(index, asked, top).where("needed"), "query-blocks")
+    scored = _postings(index, wanted).groupBy("query_id", "doc_id").agg(F.round(F.sum("added"), 6).alias("score"))
     if not matched_only:
         # A list that is short of ``top`` matches finds its fill among the first 2 * top ids.
         fill = index.documents.orderBy("doc_id").limit(2 * top)

@@ -24,9 +24,17 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """path (below ``root``, with /), content, length and modificationTime of the files of a folder and those below it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
+def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES, only: list[str] | None = None) -> DataFrame:
+    """path (below ``root``, with /), content, length and modificationTime of the files of a folder and those below it.
+
+    With ``only``, those of these paths alone.
+    """
+    reader = spark.read.format("binaryFile")
+    if only is None:
+        files = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
+    else:  # names are no patterns
+        paths = [f"{root.rstrip('/')}/" + re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in only]
+        files = reader.load(paths) if paths else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     base = re.sub(r"^[a-z]+:/*", "/", root).rstrip("/") + "/"
     below = F.regexp_replace(F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/"), "^" + re.escape(base), "")
     return files.select(F.replace(below, F.lit("\\"), F.lit("/")).alias("path"), "content", "length", "modificationTime")
