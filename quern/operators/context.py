@@ -85,3 +85,25 @@ def prompt(question: Column, context: Column, memory: Column | None = None, past
 def refusal(max_confidence: Column) -> Column:
     """The fixed text that stands for an answer below the confidence gate."""
     return F.concat(F.lit(fixed.NOT_FOUND_HEAD), F.format_string("%.2f", max_confidence), F.lit(fixed.NOT_FOUND_TAIL))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, width: float) -> DataFrame:
+    """Rows of ``left`` with ``value`` of the right row that has the same keys and the largest ``at`` not above theirs, else null.
+
+    Of right rows at the same place that with the largest value counts.  Both sides have ``keys`` and a number ``at``.
+    Places are cut into stretches of ``width``, and a key's rows are ordered within a stretch only: a key of any size is
+    spread over tasks, and what a stretch begins with comes from the last value of the stretches before it.
+    """
+    stretch = F.floor(F.col(at) / F.lit(width)).cast("long")
+    marks = right.groupBy(*keys, at).agg(F.max(value).alias("_value")).withColumn("_stretch", stretch)
+    lasts = marks.groupBy(*keys, "_stretch").agg(F.max_by("_value", at).alias("_last"))
+    rows = left.withColumn("_stretch", stretch).withColumn("_left", F.lit(True))
+    # Stretches of a key are few; those with left rows only take part to be told what came before.
+    held = rows.select(*keys, "_stretch").distinct().join(lasts, [*keys, "_stretch"], "full_outer")
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    carried = held.withColumn("_before", before).where("_before is not null").select(*keys, "_stretch", "_before")
+    both = rows.unionByName(marks.select(*keys, at, "_stretch", "_value"), allowMissingColumns=True)
+    in_order = Window.partitionBy(*keys, "_stretch").orderBy(F.col(at), F.col("_left").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_value", ignorenulls=True).over(in_order)).where("_left").drop("_left", "_value")
+    joined = seen.join(carried, [*keys, "_stretch"], "left")
+    return joined.select(*left.columns, F.coalesce("_seen", "_before").alias(value))

@@ -4,10 +4,10 @@ A segment is what one pass adds, and is written once: blocks of postings, ids of
 statistics.  A later segment may say which earlier documents are gone, and takes their share of the statistics off, so
 sums over all segments are those of the documents that are left.
 
-The postings of a token are cut into blocks in the order of what they can add to a score, and a block's head says the
-largest term frequency and the smallest text in it.  A search looks at heads first: some of the best blocks of each query
-give a score that ``top`` documents reach, and blocks whose bound, with the best that the query's other tokens can add,
-stays below it are not read.  No document of the result loses a posting by that.
+Documents of similar length are dealt into ranges, and a block has the postings of one token in one range; its head says
+the largest term frequency and the smallest text in it, and so what the token can add to a score there.  A search looks at
+heads first: the ranges with the largest sums over a query's tokens are scored, which gives a score that ``top`` documents
+reach, and ranges whose sum stays below it are not read.  No document of the result is in one of them.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from ..functions.text import search_tokens
 from ..storage import broadcast_if_small, stage_path, stage_table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-BLOCK = 128  # postings of a block
-GROUP = 1 << 17  # documents whose postings of a token are ordered together
-FIRST_BLOCKS = 2  # blocks of each token that give a query its first bound
+RANGE = 256  # documents of a range, about
+LENGTHS = 16  # classes of length that most documents fall into
+FIRST_RANGES = 4  # ranges that give a query its first bound
 PUSHED_TOKENS = 2000  # so many tokens are looked for in the files' own statistics
-HEAD = ["token", "part", "block", "n", "top_tf", "low_tokens", "seq"]
+HEAD = ["token", "part", "n", "top_tf", "low_tokens", "seq"]
 
 
 @dataclass
@@ -56,14 +56,11 @@ def write_segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     docs.select(F.col(id_col).alias("doc_id")).write.mode("overwrite").parquet(f"{path}/documents")
     n_docs = spark.read.parquet(f"{path}/documents").count()
-    parts = max(1, -(-n_docs // GROUP))
-    postings = _counted(docs, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    # What a posting adds rises with tf and falls with the text's length, in an order that no average length changes much.
-    promise = F.col("tf") / (F.col("tf") + K1 * (1 - B) + F.col("n_tokens") / 256.0)
-    in_order = Window.partitionBy("token", "part").orderBy(F.desc(promise), "doc_id")
-    blocked = postings.withColumn("block", F.floor((F.row_number().over(in_order) - 1) / BLOCK).cast("int"))
+    among = max(1, -(-n_docs // (RANGE * LENGTHS)))
+    length = F.floor(4 * F.log2(F.col("n_tokens") + 1.0)).cast("int")
+    postings = _counted(docs, id_col, text_col).withColumn("part", length * among + F.pmod(F.xxhash64("doc_id"), F.lit(among)).cast("int"))
     held = F.collect_list(F.struct("doc_id", "tf", "n_tokens"))
-    blocks = blocked.groupBy("token", "part", "block").agg(F.count("*").alias("n"), F.sum("tf").alias("total"), F.max("tf").alias("top_tf"), F.min("n_tokens").alias("low_tokens"), held.alias("postings"))
+    blocks = postings.groupBy("token", "part").agg(F.count("*").alias("n"), F.sum("tf").alias("total"), F.max("tf").alias("top_tf"), F.min("n_tokens").alias("low_tokens"), held.alias("postings"))
     blocks.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/blocks")
     if like:
         spark.read.parquet(*(f"{p}/terms" for p in like)).groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).write.mode("overwrite").parquet(f"{path}/terms")
@@ -134,7 +131,7 @@ def _part_score(index: LexicalIndex, tf: Column, n_tokens: Column) -> Column:
 
 def _postings(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
     """query_id, doc_id and added of the postings of wanted blocks (HEAD, query_id, times, idf); those of lost documents are left out."""
-    rows = index.blocks.join(wanted.select("token", "part", "block", "seq", "query_id", "times", "idf"), ["token", "part", "block", "seq"])
+    rows = index.blocks.join(wanted.select("token", "part", "seq", "query_id", "times", "idf"), ["token", "part", "seq"])
     rows = rows.select("query_id", "seq", "times", "idf", F.explode("postings").alias("p")).select("query_id", "seq", "times", "idf", "p.doc_id", "p.tf", "p.n_tokens")
     if index.gone is not None:
         rows = _left(rows, index.gone)
@@ -144,7 +141,7 @@ def _postings(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
 def choose_blocks(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
     """Blocks that can take part in a query's result, from the tokens asked for (query_id, token, times): HEAD, query_id, times, idf, bound, needed.
 
-    ``needed`` says whether the block is read.
+    ``needed`` says whether the block is read, which goes by its range.
     """
     weighted = broadcast_if_small(index.terms.join(asked, "token"), "query-terms")
     blocks = index.blocks
@@ -153,17 +150,18 @@ def choose_blocks(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
         index.blocks = blocks = blocks.where(F.col("token").isin([r.token for r in tokens]))
     heads = blocks.select(*HEAD).join(weighted, "token").withColumn("bound", F.greatest(F.lit(0.0), _part_score(index, F.col("top_tf"), F.col("low_tokens"))))
     heads = stage_table(heads, "block-heads")
-    best = heads.groupBy("query_id", "token").agg(F.max("bound").alias("best"))
-    others = best.withColumn("others", F.sum("best").over(Window.partitionBy("query_id")) - F.col("best")).drop("best")
-    ranked = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("query_id", "token").orderBy(F.desc("bound"), "seq", "part", "block")))
-    sums = _postings(index, ranked.where(F.col("_rank") <= FIRST_BLOCKS)).groupBy("query_id", "doc_id").agg(F.sum("added").alias("sum"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum"), "doc_id"))
-    reached = sums.withColumn("_place", place).where(F.col("_place") == top).select("query_id", F.col("sum").alias("reached"))
-    told = heads.join(others, ["query_id", "token"]).join(reached, "query_id", "left")
+    sums = heads.groupBy("query_id", "seq", "part").agg(F.sum("bound").alias("most"), F.min("idf").alias("least"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "seq", "part")
+    sums = stage_table(sums.withColumn("place", F.row_number().over(order)), "range-bounds")
+    first = heads.join(sums.where(F.col("place") <= FIRST_RANGES), ["query_id", "seq", "part"])
+    scores = _postings(index, first).groupBy("query_id", "doc_id").agg(F.sum("added").alias("sum"))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("sum"), "doc_id")
+    reached = scores.withColumn("_place", F.row_number().over(by_score)).where(F.col("_place") == top).select("query_id", F.col("sum").alias("reached"))
     # Scores are compared to six digits; a weight below zero bounds nothing.
-    open_ = F.col("reached").isNull() | (F.col("bound") + F.col("others") >= F.col("reached") - 2e-6)
-    negative = F.min("idf").over(Window.partitionBy("query_id")) < 0
-    return told.withColumn("needed", open_ | negative).drop("others", "reached")
+    negative = F.min("least").over(Window.partitionBy("query_id")) < 0
+    open_ = F.col("reached").isNull() | (F.col("most") >= F.col("reached") - 2e-6) | negative
+    told = sums.join(broadcast_if_small(reached, "reached"), "query_id", "left").select("query_id", "seq", "part", open_.alias("needed"))
+    return heads.join(told, ["query_id", "seq", "part"])
 
 
 def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only: bool = False, id_col: str = "query_id", text_col: str = "question") -> DataFrame:

@@ -126,16 +126,9 @@ def cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", clean_page_text("text").alias("content"))
 
 
-@R.query("""SELECT item_id, 'What amount is due? ' || text AS question, 1 + CASE WHEN TRUE THEN 2 END AS n_variants, 'What total is due? ' || text AS second FROM benchmark WHERE NOT contains(lower(text), 'equipment') AND NOT contains(lower(text), 'contract') AND NOT contains(lower(text), 'launch') AND NOT contains(lower(text), 'api')""")
-def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("What amount is due? "), "text").alias("question"), expanded_variants(F.concat(F.lit("What amount is due? "), "text")).alias("v"))
-    plain = rows.where(~F.lower("question").rlike("equipment|contract|launch|api"))
-    return plain.select("item_id", "question", F.size("v").alias("n_variants"), F.element_at("v", 2).alias("second"))
-
-
 @R.query()
 def query_variants_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The variants of every benchmark item; query_variants has those items whose variants are constants of its SQL."""
+    """All variants of every benchmark item behind a vague question, as a list."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("What amount is due? "), "text").alias("question"))
     return rows.withColumn("variants", expanded_variants(F.col("question")))
 

@@ -163,18 +163,26 @@ def rewritten_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").withColumn("text", F.translate("text", "\n", " ")).select("item_id", F.array_join(rewritten_variants(reply, F.col("text")), "|").alias("variants"))
 
 
-def _expansion_sql() -> str:
-    """The variants of q, a common table for each vague word: of those met while there are fewer than three, two terms each."""
+def _expansion_sql(question: str, columns: str) -> str:
+    """Columns of the variants v of a question q, a common table for each vague word: of those met while there are fewer than three, two terms each."""
     steps, last = [], "s0"
     for i, (word, terms) in enumerate((w, t[:2]) for w, t in EXPANSIONS.items() if t):
         place = f"strpos(q, '{word}')"
         new = ", ".join(f"substr(q, 1, {place} - 1) || '{t}' || substr(q, {place} + {len(word)})" for t in terms)
         steps.append(f"s{i + 1} AS (SELECT item_id, q, CASE WHEN len(v) < 3 AND contains(lower(q), '{word.lower()}') AND {place} > 0 THEN v || list_filter([{new}], lambda x: x <> q) ELSE v END AS v FROM {last})")
         last = f"s{i + 1}"
-    return f"WITH s0 AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'What amount is due? ' WHEN 1 THEN '合同金额? ' ELSE '' END || text AS q, CAST([] AS VARCHAR[]) AS v FROM benchmark), {', '.join(steps)} SELECT item_id, array_to_string([q] || v[1:3], '|') AS variants FROM {last}"
+    return f"WITH s0 AS (SELECT item_id, {question} AS q, CAST([] AS VARCHAR[]) AS v FROM benchmark), {', '.join(steps)} SELECT {columns} FROM {last}"
 
 
-@R.query(_expansion_sql())
+@R.query(_expansion_sql("'What amount is due? ' || text", "item_id, q AS question, CAST(1 + least(len(v), 3) AS INTEGER) AS n_variants, v[1] AS second"))
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of variants and the second one of every benchmark item behind a vague question."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("What amount is due? "), "text").alias("question"))
+    variants = rows.withColumn("v", expanded_variants(F.col("question")))
+    return variants.select("item_id", "question", F.size("v").alias("n_variants"), F.get("v", F.lit(1)).alias("second"))
+
+
+@R.query(_expansion_sql("CASE item_id % 3 WHEN 0 THEN 'What amount is due? ' WHEN 1 THEN '合同金额? ' ELSE '' END || text", "item_id, array_to_string([q] || v[1:3], '|') AS variants"))
 def question_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item behind a vague question, two of them, or none."""
     k = F.col("item_id") % 3
@@ -227,4 +235,14 @@ def refused_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.col("index").cast("long").alias("index"), "source", F.round("confidence", 4).alias("confidence"), "snippet")
 
 
+@R.query("""WITH v AS (SELECT user_id, ts, max(event_id) AS viewed FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT p.event_id, p.user_id, v.viewed FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def last_view_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last thing each user viewed up to a purchase, as a hit finds the last heading above it."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    viewed = events.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("viewed"))
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "at")
+    return context.as_of(bought, viewed, ["user_id"], "at", "viewed", 7 * 86400e6).select("event_id", "user_id", "viewed")
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -251,3 +252,18 @@ def test_notify(monkeypatch):
 def test_unknown_plugin():
     with pytest.raises(KeyError):
         providers.chosen(providers.EMBEDDERS, "missing")
+
+
+def test_as_of_over_stretches(spark):
+    """The last heading above each hit, also where a stretch of lines has none of its own, whatever the stretch's width."""
+    rng = random.Random(2)
+    heads = [(p, rng.randint(0, 400), f"h{i:03d}") for i in range(60) for p in ("a", "b")] + [("a", 7, "h900"), ("only", 3, "h1")]
+    hits = [(p, rng.randint(0, 500), i) for i in range(150) for p in ("a", "b", "c")] + [("only", 2, 1), ("only", 3, 2), ("only", 4000, 3)]
+    want = {}
+    for p, line, i in hits:
+        above = [(at, h) for q, at, h in heads if q == p and at <= line]
+        want[p, line, i] = max(above)[1] if above else None
+    left, right = spark.createDataFrame(hits, "path string, line int, hit int"), spark.createDataFrame(heads, "path string, line int, heading string")
+    for width in (1, 10, 1000):
+        found = context.as_of(left, right, ["path"], "line", "heading", width).collect()
+        assert len(found) == len(hits) and {(r.path, r.line, r.hit): r.heading for r in found} == want
