@@ -236,13 +236,13 @@ def refused_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("""WITH v AS (SELECT user_id, ts, max(event_id) AS viewed FROM events WHERE event_type = 'view' GROUP BY ALL)
-SELECT p.event_id, p.user_id, v.viewed FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+SELECT p.event_id, p.user_id, coalesce(v.viewed, -1) AS viewed FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def last_view_before_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last thing each user viewed up to a purchase, as a hit finds the last heading above it."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     viewed = events.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("viewed"))
     bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "at")
-    return context.as_of(bought, viewed, ["user_id"], "at", "viewed", 7 * 86400e6).select("event_id", "user_id", "viewed")
+    return context.as_of(bought, viewed, ["user_id"], "at", "viewed", 7 * 86400e6).select("event_id", "user_id", F.coalesce("viewed", F.lit(-1)).alias("viewed"))
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -1,4 +1,4 @@
-"""Queries over PDF files, which tasks make of the given tables' rows before they are read."""
+"""Queries over PDF and .doc files, which tasks make of the given tables' rows before they are read."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files, pdf
+from ..sources.doc import made_doc
 from ..sources.made_pdf import grid_page, made_pdf, text_page
 from .common import Registry, table
 
@@ -82,4 +83,20 @@ def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_file.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.sha2(said, 256).alias("words_sha256"))
 
 
+@R.query("""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+stripped AS (SELECT doc_id, n, regexp_replace(line, '^[\\s]+|[\\s]+$', '', 'g') AS line FROM lines)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS content FROM stripped WHERE line <> '' GROUP BY doc_id""")
+def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A .doc file for each document, a paragraph for each of its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            yield _made([(f"{doc_id}.doc", made_doc((text or "").split("\n"), wide=doc_id % 3 == 0)) for doc_id, text in rows])
+
+    found = files.parse(table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, _FILE))
+    return found.where("error is null").select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), "content")
+
+
 QUERIES, SQL = R.queries, R.sql

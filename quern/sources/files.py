@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..storage import stage_table
+from .doc import document_text
 
 SUFFIXES = ("md", "txt", "pdf", "docx", "pptx", "doc", "xlsx", "csv")
 DOCUMENT_SCHEMA = "path string, ordinal int, content string, sheet string, slide int, page int, total_pages int, layout string, parser string, chunk_role string, error string"
@@ -136,12 +137,13 @@ def _plain(raw: bytes) -> list[dict]:
     return [{"content": raw.decode("utf-8")}]
 
 
-def _unsupported(raw: bytes) -> list[dict]:
-    raise NotImplementedError("no parser is registered for this format")
+def _doc(raw: bytes) -> list[dict]:
+    text = document_text(raw)
+    return [{"content": text}] if text else []
 
 
 #: Parsers by suffix, each a list that is tried in order until one gives documents.  Behind those of PDF comes :mod:`quern.sources.pdf`.
-PARSERS: dict[str, list[Callable[[bytes], list[dict]]]] = {"md": [_plain], "txt": [_plain], "docx": [_docx], "pptx": [_pptx], "xlsx": [_xlsx], "csv": [_csv], "pdf": [], "doc": [_unsupported]}
+PARSERS: dict[str, list[Callable[[bytes], list[dict]]]] = {"md": [_plain], "txt": [_plain], "docx": [_docx], "pptx": [_pptx], "xlsx": [_xlsx], "csv": [_csv], "pdf": [], "doc": [_doc]}
 
 
 def register_parser(suffix: str, parser: Callable[[bytes], list[dict]]) -> None:
