@@ -132,9 +132,9 @@ def probes(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def import_notes(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Write the pages of a note-service dump as a table of Markdown texts; with --database the dump is fetched first."""
+    """Write the pages of a note-service dump as a table of Markdown texts; with --database the dump is fetched first, with --sync only what was edited since."""
     if a.database:
-        notion.fetch_dump(spark, a.database, a.token or "", a.dump, a.url)
+        (notion.sync_dump if a.sync else notion.fetch_dump)(spark, a.database, a.token or "", a.dump, a.url)
     notion.markdown_files(notion.read_dump(spark, a.dump)).write.mode("overwrite").parquet(a.out)
 
 
@@ -158,7 +158,7 @@ def parser() -> argparse.ArgumentParser:
     add("diagnose", diagnose, store, (("--questions",), {}))
     add("faithfulness", faithfulness, (("results",), {}), (("--save",), {}))
     add("probe", probes, (("runs",), {}), (("--save",), {}))
-    add("notes", import_notes, (("dump",), {}), (("out",), {}), (("--database",), {}), (("--token",), {}), (("--url",), {"default": "https://api.notion.com/v1"}))
+    add("notes", import_notes, (("dump",), {}), (("out",), {}), (("--database",), {}), (("--token",), {}), (("--url",), {"default": "https://api.notion.com/v1"}), (("--sync",), {"action": "store_true"}))
     return top
 
 

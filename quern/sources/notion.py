@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stage_table
+
 BLOCK = "type string, text string, language string, checked boolean"
 PAGE_SCHEMA = f"id string, title string, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>"
 # What stands before a block's text.
@@ -18,13 +20,20 @@ PREFIXES = {"paragraph": "", "heading_1": "# ", "heading_2": "## ", "heading_3":
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """id, title and blocks of pages stored as one JSON object a line (``id``, ``properties``, ``_blocks``)."""
+    """id, title and blocks of pages stored as one JSON object a line (``id``, ``properties``, ``_blocks``).
+
+    Of a page that was stored more than once, the one edited last counts.
+    """
     rich = "rich_text array<struct<plain_text:string>>, language string, checked boolean"
     kinds = [*PREFIXES, "code", "to_do"]
     fields = rich.replace(" ", ":", 1).replace(", ", ",").replace("language ", "language:").replace("checked ", "checked:")
     block = "type:string," + ",".join(f"{k}:struct<{fields}>" for k in kinds)
-    schema = f"id string, properties map<string,struct<type:string,title:array<struct<plain_text:string>>>>, _blocks array<struct<{block}>>"
-    pages = spark.read.schema(schema).json(path)
+    schema = f"id string, last_edited_time string, properties map<string,struct<type:string,title:array<struct<plain_text:string>>>>, _blocks array<struct<{block}>>"
+    pages = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+    # Whole pages stay where they are: only ids and times are compared, and most dumps hold each page once.
+    last = pages.groupBy("id").agg(F.max(F.coalesce("last_edited_time", F.lit(""))).alias("_t"), F.count("*").alias("times"))
+    again = last.where("times > 1").select("id", "_t")
+    pages = pages.join(again, "id", "left").where(F.col("_t").isNull() | (F.coalesce("last_edited_time", F.lit("")) == F.col("_t"))).drop("_t")
     joined = lambda texts: F.array_join(F.transform(F.coalesce(texts, F.array().cast("array<struct<plain_text:string>>")), lambda t: F.coalesce(t.plain_text, F.lit(""))), "")
     titles = F.filter(F.map_values("properties"), lambda p: p.type == "title")
     title = F.when(F.size(titles) > 0, joined(F.element_at(titles, 1).title)).otherwise("Untitled")
@@ -83,23 +92,51 @@ def _pages(url: str, token: str, body: dict | None) -> Iterator[dict]:
             return
 
 
-def fetch_dump(spark: SparkSession, database: str, token: str, path: str, url: str = "https://api.notion.com/v1", partitions: int = 8) -> None:
-    """Write the pages of a database of the note service as a dump for :func:`read_dump`.
+def _fetched(spark: SparkSession, database: str, token: str, url: str, body: dict) -> DataFrame:
+    """page (its JSON), id and last_edited_time of the pages of a database that ``body`` asks for.
 
-    A cursor can only be followed by one task, so one task lists the pages; their blocks are fetched by many.
+    A cursor can only be followed by one task, so one task lists the pages.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in batch.column("database").to_pylist():
-                rows = [json.dumps(p) for p in _pages(f"{url}/databases/{one}/query", token, {})]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["page"])
+                for page in _pages(f"{url}/databases/{one}/query", token, body):
+                    yield pa.RecordBatch.from_pydict({"page": [json.dumps(page)], "id": pa.array([page.get("id")], pa.string()), "last_edited_time": pa.array([page.get("last_edited_time")], pa.string())})
+
+    return spark.createDataFrame([(database,)], "database string").mapInArrow(listed, "page string, id string, last_edited_time string")
+
+
+def _filled(pages: DataFrame, token: str, url: str, partitions: int) -> DataFrame:
+    """Pages with their blocks, which many tasks fetch."""
 
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = [json.loads(p) for p in batch.column("page").to_pylist()]
-            rows = [json.dumps(p | {"_blocks": list(_pages(f"{url}/blocks/{p['id']}/children", token, None))}) for p in pages]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+            for page in map(json.loads, batch.column("page").to_pylist()):
+                yield pa.RecordBatch.from_pydict({"value": [json.dumps(page | {"_blocks": list(_pages(f"{url}/blocks/{page['id']}/children", token, None))})]})
 
-    start = spark.createDataFrame([(database,)], "database string").mapInArrow(listed, "page string")
-    start.repartition(partitions, "page").mapInArrow(filled, "value string").write.mode("overwrite").text(path)
+    return pages.select("page").repartition(partitions, "page").mapInArrow(fill, "value string")
+
+
+def fetch_dump(spark: SparkSession, database: str, token: str, path: str, url: str = "https://api.notion.com/v1", partitions: int = 8) -> None:
+    """Write the pages of a database of the note service as a dump for :func:`read_dump`, in place of what is there."""
+    _filled(_fetched(spark, database, token, url, {}), token, url, partitions).write.mode("overwrite").text(path)
+
+
+def sync_dump(spark: SparkSession, database: str, token: str, path: str, url: str = "https://api.notion.com/v1", partitions: int = 8) -> int:
+    """Add to a dump what was edited since; the number of pages whose blocks were fetched.
+
+    The service is asked for pages from the last time of edit in the dump on; of those, pages that are in it with that
+    very time are left out.  Pages that were deleted stay in the dump: :func:`fetch_dump` begins anew.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    schema = "id string, last_edited_time string"
+    known = spark.read.schema(schema).option("recursiveFileLookup", True).json(path) if there else spark.createDataFrame([], schema)
+    since = known.agg(F.max("last_edited_time")).first()[0]
+    body = {"filter": {"timestamp": "last_edited_time", "last_edited_time": {"on_or_after": since}}} if since else {}
+    edited = stage_table(_fetched(spark, database, token, url, body).join(known.distinct(), ["id", "last_edited_time"], "left_anti"), "edited-notes")
+    n = edited.count()
+    if n:
+        _filled(edited, token, url, partitions).write.mode("append").text(path)
+    return n

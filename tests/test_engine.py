@@ -318,3 +318,44 @@ def test_storage_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(RuntimeError):
             storage.shared_root(Elsewhere)
+
+
+def test_notes_are_synced_by_time_of_edit(spark, tmp_path):
+    """A second sync fetches the blocks of edited and new pages only, and an idle one those of none."""
+    import http.server
+    import threading
+
+    pages, blocks_of = {f"p{i}": f"2024-01-0{i + 1}T00:00:00.000Z" for i in range(5)}, []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def reply(self, rows):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"results": rows, "has_more": False}).encode())
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            since = asked.get("filter", {}).get("last_edited_time", {}).get("on_or_after", "")
+            self.reply([{"id": k, "last_edited_time": t, "properties": {"n": {"type": "title", "title": [{"plain_text": f"Page {k}"}]}}} for k, t in pages.items() if t >= since])
+
+        def do_GET(self):
+            page = self.path.split("/")[-2]
+            blocks_of.append(page)
+            self.reply([{"type": "paragraph", "paragraph": {"rich_text": [{"plain_text": f"{page} as of {pages[page][:10]}"}]}}])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    sync = lambda: notion.sync_dump(spark, "db", "token", f"file://{tmp_path}/dump", f"http://127.0.0.1:{server.server_port}", 2)
+    try:
+        assert sync() == 5 and sorted(blocks_of) == sorted(pages)
+        blocks_of.clear()
+        assert sync() == 0 and not blocks_of
+        pages |= {"p1": "2024-02-01T00:00:00.000Z", "p7": "2024-01-05T00:00:00.000Z"}
+        assert sync() == 2 and sorted(blocks_of) == ["p1", "p7"]
+    finally:
+        server.shutdown()
+    found = {r.path: r.content for r in notion.markdown_files(notion.read_dump(spark, f"file://{tmp_path}/dump")).collect()}
+    assert len(found) == 6 and "p1 as of 2024-02-01" in found["Page p1.md"] and "p0 as of 2024-01-01" in found["Page p0.md"]
