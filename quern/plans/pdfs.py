@@ -46,10 +46,10 @@ lines AS (SELECT doc_id, total_pages, line, array_to_string(list_slice(words, li
 pages AS (SELECT doc_id, CAST(line // {LINES_A_PAGE} + 1 AS INTEGER) AS page, total_pages, string_agg(said, chr(10) ORDER BY line) AS content FROM lines
     WHERE NOT regexp_matches(said, '^([0-9]+|[0-9]+ */ *[0-9]+)$') GROUP BY ALL)
 SELECT doc_id, page, total_pages, 'single-column' AS layout, content FROM pages
-UNION ALL SELECT doc_id, 0, NULL, NULL, 'PDF Metadata:' || chr(10) || 'Title: Document ' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE chr(10) || 'Subject: ' || lang END FROM documents""")
+UNION ALL SELECT doc_id, 0, 0, '', 'PDF Metadata:' || chr(10) || 'Title: Document ' || doc_id || CASE WHEN lang IS NULL THEN '' ELSE chr(10) || 'Subject: ' || lang END FROM documents""")
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.parse(_document_files(spark, sf_dir)).where("error is null")
-    return found.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), "page", "total_pages", "layout", "content")
+    return found.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), "page", F.coalesce("total_pages", F.lit(0)).alias("total_pages"), F.coalesce("layout", F.lit("")).alias("layout"), "content")
 
 
 @R.query(f"""
