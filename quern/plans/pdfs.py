@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources import files, pdf
 from ..sources.doc import made_doc
 from ..sources.made_pdf import grid_page, made_pdf, text_page
+from ..storage import default_partitions
 from .common import Registry, table
 
 R = Registry()
@@ -22,6 +23,11 @@ def _made(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in rows], pa.string()), "content": pa.array([c for _, c in rows], pa.binary())})
 
 
+def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over all tasks, however few files or row groups they lie in: a reader's work is far more than moving a text."""
+    return table(spark, sf_dir, "documents").repartition(default_partitions(spark), "doc_id")
+
+
 def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A PDF file for each document: its words in lines on the left side of pages, and a title and a subject."""
 
@@ -35,7 +41,7 @@ def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((f"{doc_id}.pdf", made_pdf(contents, {"Title": f"Document {doc_id}", "Author": "(anonymous)", "Subject": lang or " "}, packed=doc_id % 2 == 0)))
             yield _made(rows)
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").mapInArrow(run, _FILE)
+    return _spread(spark, sf_dir).select("doc_id", "text", "lang").mapInArrow(run, _FILE)
 
 
 @R.query(f"""
@@ -95,7 +101,7 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
             yield _made([(f"{doc_id}.doc", made_doc((text or "").split("\n"), wide=doc_id % 3 == 0)) for doc_id, text in rows])
 
-    found = files.parse(table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, _FILE))
+    found = files.parse(_spread(spark, sf_dir).select("doc_id", "text").mapInArrow(run, _FILE))
     return found.where("error is null").select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), "content")
 
 
