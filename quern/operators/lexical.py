@@ -8,23 +8,36 @@ Documents of similar length are dealt into ranges, and a block has the postings
 the largest term frequency and the smallest text in it, and so what the token can add to a score there.  A search looks at
 heads first: the ranges with the largest sums over a query's tokens are scored, which gives a score that ``top`` documents
 reach, and ranges whose sum stays below it are not read.  No document of the result is in one of them.
+
+Where many tokens are asked for, hardly a range can be left out, and heads by query and token would outgrow the postings.
+Then queries are dealt into groups of a bounded size and ranges are dealt too; a group and a deal are a cell of a shuffle,
+which holds its queries, streams its ranges, and gives only what can be among the best of the cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
-from ..storage import broadcast_if_small, stage_path, stage_table
+from ..storage import broadcast_if_small, default_partitions, stage_path, stage_table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RANGE = 256  # documents of a range, about
 LENGTHS = 16  # classes of length that most documents fall into
 FIRST_RANGES = 4  # ranges that give a query its first bound
 PUSHED_TOKENS = 2000  # so many tokens are looked for in the files' own statistics
+FEW_ASKED = 256  # tokens of all queries up to which ranges are looked at by their heads
+QUERY_BLOCK = 1024  # queries of a cell, about
+TOGETHER, PAIRS = 128, 1 << 16  # queries scored at once, and their tokens, about
+POSTINGS, DOCUMENTS = 1 << 17, 512  # postings gathered, documents scored at once
+CLOSE = 2e-6  # scores that may be equal to six digits
 HEAD = ["token", "part", "n", "top_tf", "low_tokens", "seq"]
 
 
@@ -40,12 +53,20 @@ class LexicalIndex:
     gone: DataFrame | None = None
 
 
-def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens, token and tf.  A document's tokens are counted where its text is, without moving occurrences."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).repartition("doc_id")
-    tokens = texts.select("doc_id", search_tokens("_text").alias("tokens"))
-    exploded = tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.explode("tokens").alias("token"))
-    return exploded.groupBy("doc_id", "token", "n_tokens").agg(F.count("*").alias("tf"))
+def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_tokens and the sorted tokens of each document."""
+    tokens = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(search_tokens(text_col)).alias("tokens"))
+    return tokens.withColumn("n_tokens", F.size("tokens").cast("long"))
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """token and tf beside the other columns.  Equal tokens stand together, so a document's are counted within its row."""
+    place = F.transform("tokens", lambda x, i: F.when((i == 0) | (x != F.get("tokens", i - 1)), i))
+    runs = tokens.withColumn("starts", F.filter(place, lambda i: i.isNotNull()))
+    count = lambda i, k: F.struct(F.get("tokens", i).alias("token"), (F.coalesce(F.get("starts", k + 1), F.size("tokens")) - i).cast("long").alias("tf"))
+    counted = runs.withColumn("counts", F.transform("starts", count)).drop("tokens", "starts")
+    # explode would filter by the size of counts, which is worked out anew, by whole texts, for every token.
+    return counted.withColumn("_c", F.explode_outer("counts")).drop("counts").where("_c is not null").withColumns({"token": F.col("_c.token"), "tf": F.col("_c.tf")}).drop("_c")
 
 
 def write_segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", gone: DataFrame | None = None, like: list[str] | None = None) -> None:
@@ -58,7 +79,9 @@ def write_segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     n_docs = spark.read.parquet(f"{path}/documents").count()
     among = max(1, -(-n_docs // (RANGE * LENGTHS)))
     length = F.floor(4 * F.log2(F.col("n_tokens") + 1.0)).cast("int")
-    postings = _counted(docs, id_col, text_col).withColumn("part", length * among + F.pmod(F.xxhash64("doc_id"), F.lit(among)).cast("int"))
+    dealt = _tokens(docs, id_col, text_col).withColumn("part", length * among + F.pmod(F.xxhash64("doc_id"), F.lit(among)).cast("int"))
+    # Documents move to their range once; its blocks are made there, and no posting moves.
+    postings = _counted(dealt.repartition("part"))
     held = F.collect_list(F.struct("doc_id", "tf", "n_tokens"))
     blocks = postings.groupBy("token", "part").agg(F.count("*").alias("n"), F.sum("tf").alias("total"), F.max("tf").alias("top_tf"), F.min("n_tokens").alias("low_tokens"), held.alias("postings"))
     blocks.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/blocks")
@@ -69,7 +92,7 @@ def write_segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     heads = spark.read.parquet(f"{path}/blocks").groupBy("token").agg(F.sum("n").alias("df"), F.sum("total").alias("total"))
     change = F.lit(n_docs).cast("long")
     if gone is not None:
-        lost = stage_table(_counted(gone, id_col, text_col), "lost")
+        lost = stage_table(_counted(_tokens(gone, id_col, text_col)), "lost")
         heads = heads.unionByName(lost.groupBy("token").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("total")))
         heads = heads.groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
         change = change - gone.count()
@@ -159,11 +182,118 @@ def choose_blocks(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
     reached = scores.withColumn("_place", F.row_number().over(by_score)).where(F.col("_place") == top).select("query_id", F.col("sum").alias("reached"))
     # Scores are compared to six digits; a weight below zero bounds nothing.
     negative = F.min("least").over(Window.partitionBy("query_id")) < 0
-    open_ = F.col("reached").isNull() | (F.col("most") >= F.col("reached") - 2e-6) | negative
+    open_ = F.col("reached").isNull() | (F.col("most") >= F.col("reached") - CLOSE) | negative
     told = sums.join(broadcast_if_small(reached, "reached"), "query_id", "left").select("query_id", "seq", "part", open_.alias("needed"))
     return heads.join(told, ["query_id", "seq", "part"])
 
 
+def _asked_of(table: pa.Table, top: int) -> list[dict]:
+    """A cell's queries, so many at once that their weights are a small matrix: ids, tokens, weights (query by token), and the best scores so far."""
+    query = table.column("query_id").combine_chunks().dictionary_encode()
+    of, out, first = query.indices.to_numpy(), [], 0
+    counts = np.bincount(of, minlength=len(query.dictionary))
+    order, ends = np.argsort(of, kind="stable"), np.cumsum(counts)
+    tokens, weights = table.column("token").combine_chunks(), table.column("weight").to_numpy()
+    while first < len(counts):
+        last = min(first + TOGETHER, max(first + 1, int(np.searchsorted(ends, ends[first] - counts[first] + PAIRS, "right"))))
+        rows = order[ends[first] - counts[first] : ends[last - 1]]
+        coded = tokens.take(pa.array(rows)).dictionary_encode()
+        matrix = np.zeros((last - first, len(coded.dictionary)))
+        np.add.at(matrix, (of[rows] - first, coded.indices.to_numpy()), weights[rows])
+        out.append({"ids": query.dictionary.slice(first, last - first), "tokens": coded.dictionary, "weights": matrix, "signed": bool((weights[rows] <= 0).any()), "best": np.full((last - first, top), -np.inf)})
+        first = last
+    return out
+
+
+def _scores(held: dict, token: pa.Array, sizes: np.ndarray, doc: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, document (its number) and score of what can be among the best, from blocks (token, size) of postings (doc, value)."""
+    at = pc.index_in(token, held["tokens"]).fill_null(-1).to_numpy(zero_copy_only=False)
+    row = np.repeat(at, sizes)
+    kept = np.flatnonzero(row >= 0)
+    kept = kept[np.argsort(doc[kept], kind="stable")]
+    row, doc, value = row[kept], doc[kept], value[kept]
+    numbers, starts = np.unique(doc, return_index=True)
+    for first in range(0, len(numbers), DOCUMENTS):
+        here = numbers[first : first + DOCUMENTS]
+        a, b = starts[first], starts[first + DOCUMENTS] if first + DOCUMENTS < len(numbers) else len(doc)
+        present, local = np.unique(row[a:b], return_inverse=True)
+        block = np.zeros((len(present), len(here)))
+        np.add.at(block, (local, np.searchsorted(here, doc[a:b])), value[a:b])
+        weights = held["weights"][:, present]
+        scores = weights @ block
+        matched = ((weights != 0).astype(float) @ (block > 0)) > 0 if held["signed"] else scores > 0
+        scores[~matched] = -np.inf
+        top = held["best"].shape[1]
+        both = np.concatenate([held["best"], scores], axis=1)
+        held["best"] = np.partition(both, both.shape[1] - top, axis=1)[:, -top:]
+        query, column = np.nonzero(matched & (scores >= held["best"].min(axis=1)[:, None] - CLOSE))
+        yield query, here[column], scores[query, column]
+
+
+def _in_cells(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
+    """query_id, doc_id and added of the documents that can be among the best ``top``, from (query_id, token, times, idf)."""
+    spark = index.blocks.sparkSession
+    parts = default_partitions(spark)
+    groups = max(1, -(-asked.select("query_id").distinct().count() // QUERY_BLOCK))
+    deals = max(1, -(-parts // groups))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    blocks = index.blocks.join(broadcast_if_small(asked.select("token").distinct(), "asked-tokens"), "token", "left_semi")
+    if index.gone is not None:  # blocks without the documents that are gone
+        singles = _left(blocks.select("token", "part", "seq", F.explode("postings").alias("p")).select("token", "part", "seq", "p.*"), index.gone)
+        blocks = singles.groupBy("token", "part", "seq").agg(F.collect_list(F.struct("doc_id", "tf", "n_tokens")).alias("postings"))
+    id_type, query_type = index.documents.schema["doc_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    cell = (F.col("group") * deals + F.col("deal")).alias("cell")
+    rows = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group"), every(deals).alias("deal"), "query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
+    rows = rows.select(cell, F.lit(-1).alias("seq"), F.lit(-1).alias("part"), "token", "query_id", "weight", none(f"array<{id_type}>").alias("ids"), none("array<int>").alias("tfs"), none("array<int>").alias("lengths"))
+    there = blocks.select(every(groups).alias("group"), F.pmod(F.xxhash64("seq", "part"), F.lit(deals)).cast("int").alias("deal"), "seq", "part", "token", "postings")
+    lists = F.col("postings.doc_id").alias("ids"), F.col("postings.tf").cast("array<int>").alias("tfs"), F.col("postings.n_tokens").cast("array<int>").alias("lengths")
+    there = there.select(cell, F.col("seq").cast("int").alias("seq"), F.col("part").cast("int").alias("part"), "token", none(query_type).alias("query_id"), none("double").alias("weight"), *lists)
+    dealt = rows.unionByName(there).repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", "seq", "part")
+    average = index.avg_tokens
+
+    def scored(held: list[dict], pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(pieces).combine_chunks()
+        token, ids, tfs, lengths = (table.column(c).combine_chunks() for c in ("token", "ids", "tfs", "lengths"))
+        coded = ids.flatten().dictionary_encode()
+        tf, n = tfs.flatten().to_numpy().astype(float), lengths.flatten().to_numpy()
+        value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / average))
+        sizes, doc = np.diff(ids.offsets.to_numpy()), coded.indices.to_numpy()
+        for some in held:
+            for query, number, score in _scores(some, token, sizes, doc, value):
+                yield pa.RecordBatch.from_arrays([some["ids"].take(pa.array(query)), coded.dictionary.take(pa.array(number)), pa.array(score)], names=["query_id", "doc_id", "added"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asking, held, pieces, waiting, range_ = -1, [], [], [], 0, None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in ("cell", "seq", "part")])
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                cell, *this = place[:, a].tolist()
+                if cell != now or (waiting >= POSTINGS and this != range_):
+                    if pieces:  # whole ranges only, so that a document's postings are together
+                        yield from scored(held, pieces)
+                    pieces, waiting = [], 0
+                if cell != now:
+                    now, asking, held = cell, [], []
+                range_ = this
+                if this == [-1, -1]:
+                    asking.append(batch.slice(a, b - a))
+                    continue
+                if asking:
+                    held, asking = _asked_of(pa.Table.from_batches(asking), top), []
+                if held:
+                    pieces.append(batch.slice(a, b - a))
+                    ends = pieces[-1].column("ids").offsets
+                    waiting += ends[-1].as_py() - ends[0].as_py()
+        if pieces:
+            yield from scored(held, pieces)
+
+    return dealt.mapInArrow(run, f"query_id {query_type}, doc_id {id_type}, added double")
+
+
 def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only: bool = False, id_col: str = "query_id", text_col: str = "question") -> DataFrame:
     """query_id, doc_id, score and rank of the best ``top`` documents of each query, equal scores (to 6 digits) by id.
 
@@ -173,9 +303,13 @@ def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only:
     index = LexicalIndex(**vars(index))
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(search_tokens(text_col)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     asked = broadcast_if_small(asked, "query-tokens")
-    # Where the wanted blocks are few, postings stay where they are; else both sides meet by token and block.
-    wanted = broadcast_if_small(choose_blocks(index, asked, top).where("needed"), "query-blocks")
-    scored = _postings(index, wanted).groupBy("query_id", "doc_id").agg(F.round(F.sum("added"), 6).alias("score"))
+    if asked.count() <= FEW_ASKED:
+        # Where the wanted blocks are few, postings stay where they are; else both sides meet by token and block.
+        wanted = broadcast_if_small(choose_blocks(index, asked, top).where("needed"), "query-blocks")
+        added = _postings(index, wanted)
+    else:
+        added = _in_cells(index, stage_table(index.terms.join(asked, "token").select("query_id", "token", "times", "idf"), "query-terms"), top)
+    scored = added.groupBy("query_id", "doc_id").agg(F.round(F.sum("added"), 6).alias("score"))
     if not matched_only:
         # A list that is short of ``top`` matches finds its fill among the first 2 * top ids.
         fill = index.documents.orderBy("doc_id").limit(2 * top)

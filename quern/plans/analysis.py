@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LEADING_REFUSAL, REFUSAL_MARKERS
 from ..operators import context, diagnostics, evaluation, memory, probe
+from ..storage import broadcast_if_small
 from .common import MEMORY_TOKENS, Registry, table
 from .retrieval import BM25, _lexical
 
@@ -30,7 +31,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(item % 3 != 0, F.lit(None)).when(item % 2 == 0, "off_topic").when(item % 5 == 0, F.lit(None)).otherwise("no_answer")
     questions = table(spark, sf_dir, "benchmark").select(item.alias("query_id"), words.alias("keywords"), F.array(F.concat(F.lit("src"), (item % 20).cast("string"))).alias("must_cite"), (item % 3 == 0).alias("expect_reject"), kind.alias("negative_type"))
     texts = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    hits = _lexical(spark, sf_dir).where("rank <= 5").join(texts, "doc_id").select("query_id", "rank", "source", "text", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 60)).alias("confidence"))
+    hits = broadcast_if_small(_lexical(spark, sf_dir).where("rank <= 5"), "lexical").join(texts, "doc_id").select("query_id", "rank", "source", "text", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 60)).alias("confidence"))
     return evaluation.question_rows(questions, hits)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import dot, search_tokens
 from ..operators import chunking, context, dense, fusion, gates, lexical, ranking
 from ..providers import overlap_reranker, score_pairs
-from ..storage import stage_path, stage_table
+from ..storage import broadcast_if_small, stage_path
 from .common import TOKENS, Registry, table
 
 R = Registry()
@@ -86,7 +86,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reranked hits with confidence, kept for the queries that begin with them."""
 
     def write(path: str) -> None:
-        fused = stage_table(_fused(spark, sf_dir), "fused")
+        fused = broadcast_if_small(_fused(spark, sf_dir), "fused")  # so texts stay where they are
         scored = score_pairs(fused, _questions(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), overlap_reranker)
         ranking.with_confidence(ranking.rerank(scored, F.col("pair_score"))).write.parquet(path)
 
@@ -159,7 +159,7 @@ PARENTED = f"""{BM25}, parented AS (SELECT b.query_id, b.doc_id, b.rank, CASE WH
 def _parented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical hits whose source stands for a parent; every fourth document has none."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return _lexical(spark, sf_dir).join(texts, "doc_id").withColumn("parent_id", F.when(F.col("doc_id") % 4 != 0, F.col("source")))
+    return broadcast_if_small(_lexical(spark, sf_dir), "lexical").join(texts, "doc_id").withColumn("parent_id", F.when(F.col("doc_id") % 4 != 0, F.col("source")))
 
 
 @R.query(f"""WITH {PARENTED}, kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id IS NULL, coalesce(parent_id, CAST(doc_id AS VARCHAR)) ORDER BY rank) AS n FROM parented)

@@ -194,6 +194,42 @@ def test_segments_are_one_index(spark, zipfian, tmp_path):
     assert all(got[q] == bm25(whole, question, 10) for q, question in [(0, docs[17]), (1, "w0 w5 w2500"), (2, docs[min(lost)])])
 
 
+def test_many_queries_are_scored_in_cells_of_ranges(spark, zipfian, tmp_path, monkeypatch):
+    """What many tokens ask for is scored range by range: the result is that of few, over segments with lost documents too."""
+    docs, index = zipfian
+    monkeypatch.setattr(lexical, "FEW_ASKED", 0)
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(lexical, "POSTINGS", 500)
+    asked = [(k, docs[k * 37]) for k in range(20)] + [(20, "w0 w0 w1"), (21, "nothing here"), (22, "")]
+    queries = spark.createDataFrame(asked, "query_id int, question string")
+    seen = lexical._in_cells(index, index.terms.join(queries.selectExpr("query_id", "explode(split(question, ' ')) as token", "1L as times"), "token"), 10)
+    assert seen.where("query_id = 20").count() < 1000  # matches by far more, of which each cell gives what can be among the best
+
+    def check(index, docs, top):
+        found = {}
+        for r in lexical.search(index, queries, top).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        for q, question in asked:
+            assert found.get(q, []) == (bm25(docs, question, top) if question else [])
+
+    check(index, docs, 10)
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    lost = {k: v for k, v in docs.items() if k % 6 == 0}
+    lexical.write_segment(frame({k: v for k, v in docs.items() if k % 2 == 0}), f"file://{tmp_path}/0")
+    lexical.write_segment(frame({k: v for k, v in docs.items() if k % 2}), f"file://{tmp_path}/1", gone=frame(lost))
+    gone = spark.createDataFrame([(k, 1) for k in lost], "doc_id long, before int")
+    check(lexical.read_segments(spark, {0: f"file://{tmp_path}/0", 1: f"file://{tmp_path}/1"}, gone), {k: v for k, v in docs.items() if k not in lost}, 5)
+
+
+def test_postings_are_made_where_their_range_is(spark):
+    """Tokens are counted within a row: no shuffle and no aggregation over occurrences."""
+    docs = spark.createDataFrame([(1, "b a b c b a"), (2, ""), (3, None), (4, "x")], "doc_id long, text string")
+    counted = lexical._counted(lexical._tokens(docs, "doc_id", "text"))
+    assert sorted((r.doc_id, r.n_tokens, r.token, r.tf) for r in counted.collect()) == [(1, 6, "a", 2), (1, 6, "b", 3), (1, 6, "c", 1), (4, 1, "x", 1)]
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
 def test_scan_by_paths(spark, folder):
     assert {r.path for r in files.scan(spark, f"file://{folder}", only=["f1.md", "f3.md"]).collect()} == {"f1.md", "f3.md"}
     assert files.scan(spark, f"file://{folder}", only=[]).count() == 0 and files.listing(spark, f"file://{folder}").count() == 6
