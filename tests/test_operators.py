@@ -267,3 +267,27 @@ def test_as_of_over_stretches(spark):
     for width in (1, 10, 1000):
         found = context.as_of(left, right, ["path"], "line", "heading", width).collect()
         assert len(found) == len(hits) and {(r.path, r.line, r.hit): r.heading for r in found} == want
+
+
+def test_memories_are_compared_in_cells(spark, monkeypatch):
+    """Cells give the best memories of each query, ties by id, and no row for what a frequent word has in common."""
+    import random
+
+    from quern.operators import memory
+
+    for name, size in (("QUERIES", 20), ("ITEMS", 50), ("TOGETHER", 8), ("TOKENS", 40), ("BLOCK", 16)):
+        monkeypatch.setattr(memory, name, size)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    said = lambda n: "the " + " ".join(rng.choices(words, k=n))
+    items = [(str(i), "a" if i % 10 else "b", said(rng.randint(0, 12)), None) for i in range(400)]
+    asked = [(i, "a" if i % 4 else "b", said(rng.randint(0, 9)) if i % 9 else "") for i in range(60)] + [(60, "nobody", "the w1")]
+    held = spark.createDataFrame(items, "id string, user_id string, content string, tags array<string>")
+    found = memory.search(held, spark.createDataFrame(asked, "query_id int, user_id string, question string"), 3)
+    want = []
+    for q, user, question in asked:
+        tokens = set(question.split())
+        scores = sorted((-len(tokens & set(text.split())), i) for i, owner, text, _ in items if owner == user and tokens & set(text.split()))
+        want += [(q, i, rank, round(-n / len(tokens) ** 0.5, 6)) for rank, (n, i) in enumerate(scores[:3], 1)]
+    assert sorted((r.query_id, r.id, r["rank"], r.score) for r in found.collect()) == sorted(want)
+    assert "Generate explode(tokens" not in found._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
