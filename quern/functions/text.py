@@ -42,9 +42,14 @@ def _bigrams(ideographs: Column) -> Column:
     return F.when(F.length(ideographs) >= 2, F.transform(starts, lambda i: F.substring(ideographs, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
+def lowered(text: Column | str) -> Column:
+    """A text in lower case, null as empty."""
+    return F.lower(_text(text))
+
+
 def search_tokens(text: Column | str) -> Column:
     """Lower-case ASCII words, then every ideograph, then the bigrams of all ideographs as one string; repeats stay."""
-    low = F.lower(_text(text))
+    low = lowered(text)
     words = F.regexp_extract_all(low, F.lit("([a-z0-9_]+)"), F.lit(1))
     ideographs = F.regexp_replace(low, r"[^一-鿿]", "")
     singles = F.filter(F.split(ideographs, ""), lambda c: c != "")

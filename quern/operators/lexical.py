@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import search_tokens
+from ..functions.text import lowered, search_tokens
 from ..storage import broadcast_if_small, default_partitions, stage_path, stage_table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -38,7 +38,9 @@ QUERY_BLOCK = 1024  # queries of a cell, about
 TOGETHER, PAIRS = 128, 1 << 16  # queries scored at once, and their tokens, about
 POSTINGS, DOCUMENTS = 1 << 17, 512  # postings gathered, documents scored at once
 CLOSE = 2e-6  # scores that may be equal to six digits
+SLICE, HELD = 1 << 20, 1 << 22  # bytes of text counted at once, bytes of counted words that become blocks together
 HEAD = ["token", "part", "n", "top_tf", "low_tokens", "seq"]
+_WORD = np.isin(np.arange(256), [*b"abcdefghijklmnopqrstuvwxyz0123456789_"])
 
 
 @dataclass
@@ -69,6 +71,100 @@ def _counted(tokens: DataFrame) -> DataFrame:
     return counted.withColumn("_c", F.explode_outer("counts")).drop("counts").where("_c is not null").withColumns({"token": F.col("_c.token"), "tf": F.col("_c.tf")}).drop("_c")
 
 
+def _found(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of lower-case texts, as ``search_tokens`` has them, and the text of each; their order is another."""
+    inside, edge = _WORD[data], np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])[: len(data)]))
+    end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]])[: len(data)])) + 1
+    lead = np.flatnonzero((data >= 0xE4) & (data <= 0xE9))
+    wide = data[lead[:, None] + np.arange(3)] if len(lead) else np.zeros((0, 3), np.uint8)
+    code = (wide & [0x0F, 0x3F, 0x3F]).astype(np.int32) @ [1 << 12, 1 << 6, 1]
+    kept = (code >= 0x4E00) & (code <= 0x9FFF)
+    lead, wide = lead[kept], wide[kept]
+    words, singles = (np.searchsorted(offsets, at, side="right") - 1 for at in (start, lead))
+    next_too = np.flatnonzero(singles[1:] == singles[:-1])
+    pairs = np.concatenate([wide[next_too], wide[next_too + 1]], axis=1)
+    sizes = np.concatenate([[0], end - start, np.full(len(lead), 3), np.full(len(pairs), 6)])
+    raw = np.concatenate([data[inside], wide.ravel(), pairs.ravel()])
+    tokens = pa.StringArray.from_buffers(len(sizes) - 1, pa.py_buffer(np.cumsum(sizes).astype(np.int32)), pa.py_buffer(raw))
+    return tokens, np.concatenate([words, singles, singles[next_too]])
+
+
+def _counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_tokens, words (the different tokens, a space between two) and tfs of each document that has tokens."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), lowered(text_col).alias("low"))
+
+    def counted(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        tokens, text = _found(data, offsets)
+        coded = tokens.dictionary_encode()
+        width = max(len(coded.dictionary), 1)
+        key, times = np.unique(text * width + coded.indices.to_numpy(), return_counts=True)
+        own, borders = key // width, np.searchsorted(key // width, np.arange(part.num_rows + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(borders), coded.dictionary.take(pa.array(key % width)))
+        tfs = pa.ListArray.from_arrays(pa.array(borders), pa.array(times.astype(np.int32)))
+        total = np.bincount(own, weights=times, minlength=part.num_rows).astype(np.int64)
+        made = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total), pc.binary_join(lists, " "), tfs], names=["doc_id", "n_tokens", "words", "tfs"])
+        return made.filter(pa.array(total > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = batch.column("low").cast(pa.large_string())
+            offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int64)
+            raw, at = np.frombuffer(low.buffers()[2] or b"", np.uint8), 0
+            while at < len(low):
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+                yield counted(batch.slice(at, to - at), raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                at = to
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, words string, tfs array<int>")
+
+
+def _blocks(counts: DataFrame) -> DataFrame:
+    """Blocks of the documents of :func:`_counts`, whose ranges (part) are whole in a task and stand together."""
+    kind = counts.schema["doc_id"].dataType.simpleString()
+
+    def blocks(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(pieces).combine_chunks()
+        part, n_tokens = (table.column(c).to_numpy() for c in ("part", "n_tokens"))
+        ids, words, tfs = (table.column(c).combine_chunks() for c in ("doc_id", "words", "tfs"))
+        lists = pc.split_pattern(words, " ")
+        coded, tf = lists.flatten().dictionary_encode(), tfs.flatten().to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+        place = np.cumsum(np.concatenate([[0], part[1:] != part[:-1]]))
+        key = place[doc] * len(coded.dictionary) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, doc, tf = key[order], doc[order], tf[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(head, len(key)))
+        postings = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf), pa.array(n_tokens[doc])], names=["doc_id", "tf", "n_tokens"])
+        held = pa.ListArray.from_arrays(pa.array(np.append(head, len(key)).astype(np.int32)), postings)
+        columns = {"token": coded.dictionary.take(pa.array(key[head] % len(coded.dictionary))), "part": pa.array(part[doc[head]]), "n": pa.array(sizes), "total": pa.array(np.add.reduceat(tf, head))}
+        columns |= {"top_tf": pa.array(np.maximum.reduceat(tf, head)), "low_tokens": pa.array(np.minimum.reduceat(n_tokens[doc], head)), "postings": held}
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, waiting, last = [], 0, None
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+                if a == b:
+                    continue
+                if waiting >= HELD and part[a] != last:
+                    yield blocks(pieces)
+                    pieces, waiting = [], 0
+                last = part[a]
+                pieces.append(batch.slice(a, b - a))
+                waiting += pc.sum(pc.binary_length(pieces[-1].column("words"))).as_py()
+        if pieces:
+            yield blocks(pieces)
+
+    fields = f"token string, part int, n long, total long, top_tf long, low_tokens long, postings array<struct<doc_id:{kind},tf:bigint,n_tokens:bigint>>"
+    return counts.select("doc_id", "part", "n_tokens", "words", "tfs").mapInArrow(run, fields)
+
+
 def write_segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", gone: DataFrame | None = None, like: list[str] | None = None) -> None:
     """A segment of ``docs`` under ``path``; ``gone`` has documents (the same columns) of earlier segments that no longer count.
 
@@ -79,11 +175,11 @@ def write_segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     n_docs = spark.read.parquet(f"{path}/documents").count()
     among = max(1, -(-n_docs // (RANGE * LENGTHS)))
     length = F.floor(4 * F.log2(F.col("n_tokens") + 1.0)).cast("int")
-    dealt = _tokens(docs, id_col, text_col).withColumn("part", length * among + F.pmod(F.xxhash64("doc_id"), F.lit(among)).cast("int"))
-    # Documents move to their range once; its blocks are made there, and no posting moves.
-    postings = _counted(dealt.repartition("part"))
-    held = F.collect_list(F.struct("doc_id", "tf", "n_tokens"))
-    blocks = postings.groupBy("token", "part").agg(F.count("*").alias("n"), F.sum("tf").alias("total"), F.max("tf").alias("top_tf"), F.min("n_tokens").alias("low_tokens"), held.alias("postings"))
+    dealt = _counts(docs, id_col, text_col).withColumn("part", length * among + F.pmod(F.xxhash64("doc_id"), F.lit(among)).cast("int"))
+    # Documents move to their range once, as counted words; its blocks are made there, and no posting moves.
+    # Their tasks are numbered, as tasks that Spark puts together are too large to sort without spills.
+    tasks = max(1, min(default_partitions(spark), -(-n_docs // (8 * RANGE))))
+    blocks = _blocks(dealt.repartition(tasks, "part").sortWithinPartitions("part"))
     blocks.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/blocks")
     if like:
         spark.read.parquet(*(f"{p}/terms" for p in like)).groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).write.mode("overwrite").parquet(f"{path}/terms")

@@ -291,3 +291,20 @@ def test_memories_are_compared_in_cells(spark, monkeypatch):
         want += [(q, i, rank, round(-n / len(tokens) ** 0.5, 6)) for rank, (n, i) in enumerate(scores[:3], 1)]
     assert sorted((r.query_id, r.id, r["rank"], r.score) for r in found.collect()) == sorted(want)
     assert "Generate explode(tokens" not in found._jdf.queryExecution().executedPlan().toString() and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_has_the_tokens_of_the_expression(spark):
+    """Words are counted over bytes in tasks; odd texts give the tokens of search_tokens, and a range is one block a token."""
+    texts = ["", None, "One one ONE_1 two", "合同Abc金额 über 100 元", "İstanbul K K naïve", "a" * 3000 + " b", "末", "鿿一 x鿿ꀀy", "é _ 9", "ab", "ab", "  \n", "😀合😀同 z"] + [f"w{i % 7} w{i % 5} 合{chr(0x4E00 + i % 9)}" for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    index = lexical.build_index(docs)
+    found = index.blocks.select("token", "part", "n", "total", "top_tf", "low_tokens", F.explode("postings").alias("p")).collect()
+    wanted = lexical._counted(lexical._tokens(docs, "doc_id", "text")).select("doc_id", "token", "tf", "n_tokens").collect()
+    assert sorted((r.p.doc_id, r.token, r.p.tf, r.p.n_tokens) for r in found) == sorted(tuple(r) for r in wanted)
+    groups = {}
+    for r in found:
+        groups.setdefault((r.token, r.part, r.n, r.total, r.top_tf, r.low_tokens), []).append(r.p)
+    assert len(groups) == index.blocks.count() == index.blocks.select("token", "part").distinct().count()
+    for (_, _, n, total, top, low), held in groups.items():
+        assert (n, total, top, low) == (len(held), sum(p.tf for p in held), max(p.tf for p in held), min(p.n_tokens for p in held))
+    assert set(lexical._counts(docs, "doc_id", "text").columns) == {"doc_id", "n_tokens", "words", "tfs"}
