@@ -101,7 +101,7 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
             yield _made([(f"{doc_id}.doc", made_doc((text or "").split("\n"), wide=doc_id % 3 == 0)) for doc_id, text in rows])
 
-    found = files.parse(_spread(spark, sf_dir).select("doc_id", "text").mapInArrow(run, _FILE))
+    found = files.parse(_spread(spark, sf_dir).select("doc_id", "text").mapInArrow(run, _FILE), pdfs=False)
     return found.where("error is null").select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), "content")
 
 

@@ -18,6 +18,7 @@ from ..storage import stage_table
 from .doc import document_text
 
 SUFFIXES = ("md", "txt", "pdf", "docx", "pptx", "doc", "xlsx", "csv")
+BATCH_CHARS = 1 << 21  # of documents that a task gives on together
 DOCUMENT_SCHEMA = "path string, ordinal int, content string, sheet string, slide int, page int, total_pages int, layout string, parser string, chunk_role string, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -165,11 +166,12 @@ def parse_one(path: str, raw: bytes, parsers: dict[str, list[Callable[[bytes], l
     return [{"ordinal": 0, "error": error}] if error else []
 
 
-def parse(files: DataFrame, preferred: str | None = None) -> DataFrame:
+def parse(files: DataFrame, preferred: str | None = None, pdfs: bool = True) -> DataFrame:
     """Documents (path, ordinal, content, ...) of files (path, content); failures have an ``error`` and no content.
 
     Of a format's parsers the one whose name is ``preferred`` is tried first.  PDF files for which no registered parser
-    gives documents, or all if ``pdf`` is preferred, are read by this library.
+    gives documents, or all if ``pdf`` is preferred, are read by this library.  ``files`` is gone through once for PDF
+    files and once for the others; without ``pdfs`` once, and PDF files give nothing.
     """
     from . import pdf
 
@@ -179,12 +181,21 @@ def parse(files: DataFrame, preferred: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                if found := parse_one(path, raw.as_py() or b"", parsers):
-                    yield pa.RecordBatch.from_pylist([{"path": path} | d for d in found], schema=schema)
+                found = [{"path": path} | d for d in parse_one(path, raw.as_py() or b"", parsers) or ()]
+                rows += found
+                held += sum(len(d.get("content") or "") for d in found)
+                if held >= BATCH_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     is_pdf = F.lower("path").endswith(".pdf")
     named = files.select("path", "content")
+    if not pdfs:
+        return named.where(~is_pdf).mapInArrow(run, DOCUMENT_SCHEMA)
     if not parsers.get("pdf") or preferred == "pdf":
         return named.where(~is_pdf).mapInArrow(run, DOCUMENT_SCHEMA).unionByName(pdf.documents(named.where(is_pdf)))
     found = stage_table(named.mapInArrow(run, DOCUMENT_SCHEMA), "parsed")

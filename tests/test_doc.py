@@ -45,3 +45,17 @@ def test_random_damage_is_an_error_or_a_text():
             bad[rng.randrange(len(bad))] = rng.randrange(256)
         rows = files.parse_one("x.doc", bytes(bad), files.PARSERS)
         assert len(rows) <= 1 and all(bool(r.get("error")) != bool(r.get("content")) for r in rows)
+
+
+def test_files_that_are_no_pdf_are_gone_through_once(spark, tmp_path):
+    from quern.plans import pdfs
+
+    texts = ["one\ntwo", "", " \n", None, "größe 日本\r\n\n x\xa0y \x0bz", "a" * 3_000_000 + "\nlast"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = pdfs.doc_texts(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("MapInArrow") == 2 and "Union" not in plan
+    assert {r.doc_id: r.content for r in found.collect()} == {0: "one\ntwo", 4: "größe 日本\nx y\nz", 5: texts[5]}
+    rows = spark.createDataFrame([("a.pdf", bytearray(b"%PDF-1.4")), ("a.doc", bytearray(made_doc(["x"])))], "path string, content binary")
+    assert [r.path for r in files.parse(rows, pdfs=False).collect()] == ["a.doc"]
+    assert {r.path for r in files.parse(rows).collect()} == {"a.pdf", "a.doc"}
