@@ -37,6 +37,7 @@ FEW_ASKED = 256  # tokens of all queries up to which ranges are looked at by the
 QUERY_BLOCK = 1024  # queries of a cell, about
 TOGETHER, PAIRS = 128, 1 << 16  # queries scored at once, and their tokens, about
 POSTINGS, DOCUMENTS = 1 << 17, 512  # postings gathered, documents scored at once
+FOUND = 1 << 18  # documents of a cell that wait to be among its best
 CLOSE = 2e-6  # scores that may be equal to six digits
 SLICE, HELD = 1 << 20, 1 << 22  # bytes of text counted at once, bytes of counted words that become blocks together
 HEAD = ["token", "part", "n", "top_tf", "low_tokens", "seq"]
@@ -209,7 +210,10 @@ def read_segments(spark: SparkSession, paths: dict[int, str], gone: DataFrame |
             found = one if found is None else found.unionByName(one)
         return found
 
-    terms = read("terms").groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where("df > 0")
+    terms = read("terms")
+    if len(paths) > 1:  # a segment has a token once
+        terms = terms.groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    terms = terms.where("df > 0")
     n_docs = read("numbers").agg(F.sum("n_docs")).first()[0]
     raw_idf = F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = terms.withColumn("raw_idf", raw_idf)
@@ -296,11 +300,21 @@ def _asked_of(table: pa.Table, top: int) -> list[dict]:
         coded = tokens.take(pa.array(rows)).dictionary_encode()
         matrix = np.zeros((last - first, len(coded.dictionary)))
         np.add.at(matrix, (of[rows] - first, coded.indices.to_numpy()), weights[rows])
-        out.append({"ids": query.dictionary.slice(first, last - first), "tokens": coded.dictionary, "weights": matrix, "signed": bool((weights[rows] <= 0).any()), "best": np.full((last - first, top), -np.inf)})
+        out.append({"ids": query.dictionary.slice(first, last - first), "tokens": coded.dictionary, "weights": matrix, "signed": bool((weights[rows] <= 0).any()), "best": np.full((last - first, top), -np.inf), "found": []})
         first = last
     return out
 
 
+def _best_found(held: dict) -> int:
+    """Leaves of what a cell's queries found what their best scores so far let be in the result; the number left."""
+    if held["found"]:
+        query, ids, score = zip(*held["found"], strict=True)
+        query, ids, score = np.concatenate(query), pa.concat_arrays(ids), np.concatenate(score)
+        kept = np.flatnonzero(score >= held["best"].min(axis=1)[query] - CLOSE)
+        held["found"] = [(query[kept], ids.take(pa.array(kept)), score[kept])]
+    return sum(len(query) for query, _, _ in held["found"])
+
+
 def _scores(held: dict, token: pa.Array, sizes: np.ndarray, doc: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Query, document (its number) and score of what can be among the best, from blocks (token, size) of postings (doc, value)."""
     at = pc.index_in(token, held["tokens"]).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -348,6 +362,13 @@ def _in_cells(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
     dealt = rows.unionByName(there).repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell", "seq", "part")
     average = index.avg_tokens
 
+    def told(held: list[dict], most: int = 0) -> Iterator[pa.RecordBatch]:
+        if sum(_best_found(some) for some in held) > most:  # ties may be any number
+            for some in held:
+                for query, ids, score in some["found"]:
+                    yield pa.RecordBatch.from_arrays([some["ids"].take(pa.array(query)), ids, pa.array(score)], names=["query_id", "doc_id", "added"])
+                some["found"] = []
+
     def scored(held: list[dict], pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(pieces).combine_chunks()
         token, ids, tfs, lengths = (table.column(c).combine_chunks() for c in ("token", "ids", "tfs", "lengths"))
@@ -357,7 +378,9 @@ def _in_cells(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
         sizes, doc = np.diff(ids.offsets.to_numpy()), coded.indices.to_numpy()
         for some in held:
             for query, number, score in _scores(some, token, sizes, doc, value):
-                yield pa.RecordBatch.from_arrays([some["ids"].take(pa.array(query)), coded.dictionary.take(pa.array(number)), pa.array(score)], names=["query_id", "doc_id", "added"])
+                some["found"].append((query, coded.dictionary.take(pa.array(number)), score))
+        if sum(len(query) for some in held for query, _, _ in some["found"]) > FOUND:
+            yield from told(held, FOUND // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, asking, held, pieces, waiting, range_ = -1, [], [], [], 0, None
@@ -373,6 +396,7 @@ def _in_cells(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
                         yield from scored(held, pieces)
                     pieces, waiting = [], 0
                 if cell != now:
+                    yield from told(held)
                     now, asking, held = cell, [], []
                 range_ = this
                 if this == [-1, -1]:
@@ -386,6 +410,7 @@ def _in_cells(index: LexicalIndex, asked: DataFrame, top: int) -> DataFrame:
                     waiting += ends[-1].as_py() - ends[0].as_py()
         if pieces:
             yield from scored(held, pieces)
+        yield from told(held)
 
     return dealt.mapInArrow(run, f"query_id {query_type}, doc_id {id_type}, added double")
 
@@ -405,11 +430,10 @@ def search(index: LexicalIndex, queries: DataFrame, top: int = 20, matched_only:
         added = _postings(index, wanted)
     else:
         added = _in_cells(index, stage_table(index.terms.join(asked, "token").select("query_id", "token", "times", "idf"), "query-terms"), top)
-    scored = added.groupBy("query_id", "doc_id").agg(F.round(F.sum("added"), 6).alias("score"))
     if not matched_only:
         # A list that is short of ``top`` matches finds its fill among the first 2 * top ids.
         fill = index.documents.orderBy("doc_id").limit(2 * top)
-        blank = asked.select("query_id").distinct().crossJoin(F.broadcast(fill)).withColumn("score", F.lit(0.0))
-        scored = scored.unionByName(blank).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        added = added.unionByName(asked.select("query_id").distinct().crossJoin(F.broadcast(fill)).withColumn("added", F.lit(0.0)))
+    scored = added.groupBy("query_id", "doc_id").agg(F.round(F.sum("added"), 6).alias("score"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= top)

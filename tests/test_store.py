@@ -221,6 +221,34 @@ def test_many_queries_are_scored_in_cells_of_ranges(spark, zipfian, tmp_path, mo
     check(lexical.read_segments(spark, {0: f"file://{tmp_path}/0", 1: f"file://{tmp_path}/1"}, gone), {k: v for k, v in docs.items() if k not in lost}, 5)
 
 
+def test_a_cell_gives_what_is_best_in_all_of_it(spark, zipfian, monkeypatch):
+    """What the first ranges of a cell found goes once later ones are better; terms of one segment don't move."""
+    docs, index = zipfian
+    assert "Exchange" not in index.terms._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lexical, "FEW_ASKED", 0)
+    monkeypatch.setattr(lexical, "POSTINGS", 200)
+    monkeypatch.setattr(lexical, "DOCUMENTS", 16)
+    asked = [(k, docs[k * 37]) for k in range(20)]
+    queries = spark.createDataFrame(asked, "query_id int, question string")
+    words = queries.selectExpr("query_id", "explode(split(question, ' ')) as token").groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    terms = index.terms.join(words, "token")
+    assert lexical._in_cells(index, terms, 10).count() <= 20 * 4 * 12  # 4 cells; 10 of each, and ties
+    monkeypatch.setattr(lexical, "FOUND", 8)
+    found = {}
+    for r in lexical.search(index, queries, 10).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert found == {q: bm25(docs, question, 10) for q, question in asked}
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_scores_below_zero_are_kept(spark, monkeypatch, few):
+    """A word of all documents of a corpus of copies has a weight below zero; documents that also fill lists keep that score."""
+    monkeypatch.setattr(lexical, "FEW_ASKED", few)
+    index = lexical.build_index(spark.createDataFrame([(i, "apple") for i in range(30)], "doc_id long, text string"))
+    rows = lexical.search(index, spark.createDataFrame([(1, "apple")], "query_id int, question string"), 5).orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in rows] == [(i, round(0.25 * (math.log(0.5) - math.log(30.5)), 6)) for i in range(5)]
+
+
 def test_postings_are_made_where_their_range_is(spark):
     """Tokens are counted within a row: no shuffle and no aggregation over occurrences."""
     docs = spark.createDataFrame([(1, "b a b c b a"), (2, ""), (3, None), (4, "x")], "doc_id long, text string")
