@@ -25,12 +25,13 @@ EXPANSIONS = {
     "金额": ["总价", "签约金", "费用", "支付"],
     "amount": ["total", "fee", "price", "payment"],
 }
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # what (?U)\s matches
 PAGE_LINE = r"(?i)^\s*\d+\s*$|^\s*page\s*\d+|^\s*\d+\s*/\s*\d+\s*$"
 
 
 def stripped(x: Column) -> Column:
     """A text without white space of any kind at its ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(WHITE_SPACE))
 
 
 def _text(c: Column | str) -> Column:
@@ -122,9 +123,9 @@ def answer_state(answer: Column | str, confidence: Column, expect_reject: Column
 def clean_page_text(text: Column | str) -> Column:
     """Lines without blanks, page numbers and running heads; a line behind a hyphen goes on with the next one."""
     lines = F.transform(F.split(_text(text), "\n"), stripped)
-    kept = F.filter(lines, lambda line: (line != "") & ~line.rlike(PAGE_LINE))
-    joined = F.aggregate(kept, F.lit(None).cast("string"), lambda out, line: F.when(out.isNull(), line).when(out.endswith("-"), F.concat(F.regexp_replace(out, "-$", ""), line)).otherwise(F.concat(out, F.lit("\n"), line)))
-    return F.coalesce(joined, F.lit(""))
+    begun = list("0123456789pP")  # as a page line does, which is asked first as it is cheap
+    kept = F.filter(lines, lambda line: (line != "") & ~(F.substring(line, 1, 1).isin(begun) & line.rlike(PAGE_LINE)))
+    return F.replace(F.array_join(kept, "\n"), F.lit("-\n"), F.lit(""))
 
 
 def infer_title(text: Column | str, within: int = 500, longest: int = 80) -> Column:

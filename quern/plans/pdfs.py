@@ -16,6 +16,7 @@ from .common import Registry, table
 
 R = Registry()
 WORDS_A_LINE, LINES_A_PAGE, ROWS_A_TABLE = 4, 45, 12
+BATCH_BYTES = 1 << 22  # of files that a task gives on together
 _FILE = "path string, content binary"
 
 
@@ -23,6 +24,18 @@ def _made(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in rows], pa.string()), "content": pa.array([c for _, c in rows], pa.binary())})
 
 
+def _in_batches(made: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
+    for row in made:
+        rows.append(row)
+        held += len(row[1])
+        if held >= BATCH_BYTES:
+            yield _made(rows)
+            rows, held = [], 0
+    if rows:
+        yield _made(rows)
+
+
 def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over all tasks, however few files or row groups they lie in: a reader's work is far more than moving a text."""
     return table(spark, sf_dir, "documents").repartition(default_partitions(spark), "doc_id")
@@ -31,15 +44,16 @@ def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A PDF file for each document: its words in lines on the left side of pages, and a title and a subject."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         for batch in batches:
-            rows = []
-            for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
-                words = (text or "").split()
+            for doc_id, text, lang in zip(*(batch.column(c) for c in ("doc_id", "text", "lang")), strict=True):
+                doc_id, lang, words = doc_id.as_py(), lang.as_py(), (text.as_py() or "").split()
                 lines = [" ".join(words[i : i + WORDS_A_LINE]) for i in range(0, len(words), WORDS_A_LINE)]
                 contents = [text_page(lines[i : i + LINES_A_PAGE], size=5) for i in range(0, max(len(lines), 1), LINES_A_PAGE)]
-                rows.append((f"{doc_id}.pdf", made_pdf(contents, {"Title": f"Document {doc_id}", "Author": "(anonymous)", "Subject": lang or " "}, packed=doc_id % 2 == 0)))
-            yield _made(rows)
+                yield f"{doc_id}.pdf", made_pdf(contents, {"Title": f"Document {doc_id}", "Author": "(anonymous)", "Subject": lang or " "}, packed=doc_id % 2 == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(made(batches))
 
     return _spread(spark, sf_dir).select("doc_id", "text", "lang").mapInArrow(run, _FILE)
 
@@ -82,11 +96,10 @@ def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\x0B\\x0C]+') AS words FROM documents)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, sha256(array_to_string(words, ' ')) AS words_sha256 FROM docs""")
 def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pdf.words(_document_files(spark, sf_dir))
-    row = F.when(F.col("n") >= 0, F.struct("page", "n", "text"))
-    per_file = found.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("words"))
-    said = F.array_join(F.transform("words", lambda w: w["text"]), " ")
-    return per_file.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.sha2(said, 256).alias("words_sha256"))
+    found = pdf.words(_document_files(spark, sf_dir)).select("path", "page", F.size("text").alias("n"), F.array_join("text", " ").alias("said"))
+    pages = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("page", "said"))))
+    per_file = found.groupBy("path").agg(F.sum("n").alias("n_words"), F.array_join(F.transform(pages, lambda p: p["said"]), " ").alias("said"))
+    return per_file.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.sha2("said", 256).alias("words_sha256"))
 
 
 @R.query("""

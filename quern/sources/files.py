@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..storage import stage_table
 from .doc import document_text
 
 SUFFIXES = ("md", "txt", "pdf", "docx", "pptx", "doc", "xlsx", "csv")
-BATCH_CHARS = 1 << 21  # of documents that a task gives on together
+BATCH_CHARS, ROW_CHARS = 1 << 21, 64  # of documents that a task gives on together, and what each counts beside its text
 DOCUMENT_SCHEMA = "path string, ordinal int, content string, sheet string, slide int, page int, total_pages int, layout string, parser string, chunk_role string, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -170,37 +169,51 @@ def parse(files: DataFrame, preferred: str | None = None, pdfs: bool = True) ->
     """Documents (path, ordinal, content, ...) of files (path, content); failures have an ``error`` and no content.
 
     Of a format's parsers the one whose name is ``preferred`` is tried first.  PDF files for which no registered parser
-    gives documents, or all if ``pdf`` is preferred, are read by this library.  ``files`` is gone through once for PDF
-    files and once for the others; without ``pdfs`` once, and PDF files give nothing.
+    gives documents, or all if ``pdf`` is preferred, are read by this library: stated facts as page 0, then the pages that
+    have words.  A page of two columns reads its head over both columns, then the left one, then the right one; grids
+    follow the text as tables.  ``files`` is gone through once.  Without ``pdfs``, PDF files give nothing.
     """
     from . import pdf
 
+    parsers = {k: sorted(v, key=lambda p: p.__name__.strip("_") != preferred) for k, v in PARSERS.items()}
     kinds = {"int": pa.int32(), "string": pa.string()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in DOCUMENT_SCHEMA.split(", "))])
-    parsers = {k: sorted(v, key=lambda p: p.__name__.strip("_") != preferred) for k, v in PARSERS.items()}
+    texts, facts = pa.list_(pa.string()), pa.struct([(k, pa.string()) for k in ("title", "author", "subject", "keywords")])
+    if pdfs:
+        schema = pa.schema([*schema, ("two_column", pa.bool_()), ("texts", texts), ("grids", pa.list_(pa.list_(texts))), ("facts", facts)])
+
+    def documents(held: list[tuple[str, bytes]]) -> Iterator[list[dict]]:
+        left = []
+        for path, raw in held:
+            own = path.lower().endswith(".pdf")
+            found = [] if own and preferred == "pdf" else [d for d in parse_one(path, raw, parsers) if not own or d.get("content") is not None]
+            if own and not found:
+                left.append((path, raw))
+            yield [{"path": path} | d for d in found]
+        for (path, _), found in zip(left, pdf.page_rows(left), strict=True):
+            yield [{"path": path, "ordinal": d["page"], "parser": None if d["error"] else "pdf", "chunk_role": "pdf_metadata" if d["facts"] else None} | d for d in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, held = [], 0
-            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                found = [{"path": path} | d for d in parse_one(path, raw.as_py() or b"", parsers) or ()]
+        rows, chars = [], 0
+        for held in pdf.in_files(batches):
+            for found in documents(held):
                 rows += found
-                held += sum(len(d.get("content") or "") for d in found)
-                if held >= BATCH_CHARS:
+                chars += sum(ROW_CHARS + len(d.get("content") or "") + sum(map(len, d.get("texts") or ())) for d in found)
+                if chars >= BATCH_CHARS:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, chars = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    is_pdf = F.lower("path").endswith(".pdf")
     named = files.select("path", "content")
     if not pdfs:
-        return named.where(~is_pdf).mapInArrow(run, DOCUMENT_SCHEMA)
-    if not parsers.get("pdf") or preferred == "pdf":
-        return named.where(~is_pdf).mapInArrow(run, DOCUMENT_SCHEMA).unionByName(pdf.documents(named.where(is_pdf)))
-    found = stage_table(named.mapInArrow(run, DOCUMENT_SCHEMA), "parsed")
-    left = named.where(is_pdf).join(found.where("content is not null").select("path").distinct(), "path", "left_anti")
-    return found.where(~is_pdf | F.col("content").isNotNull()).unionByName(pdf.documents(left))
+        return named.where(~F.lower("path").endswith(".pdf")).mapInArrow(run, DOCUMENT_SCHEMA)
+    found = named.mapInArrow(run, f"{DOCUMENT_SCHEMA}, {pdf.PAGE_SCHEMA}")
+    # In an array, so that a page's text is made once, and not also for a filter.
+    content = F.when(F.col("facts").isNull() & F.col("texts").isNull(), F.array("content")).otherwise(F.filter(F.array(pdf.page_content()), lambda c: F.trim(c) != ""))
+    layout = F.when(F.col("two_column"), "two-column").when(~F.col("two_column"), "single-column").otherwise(F.col("layout"))
+    columns = [c.split()[0] for c in DOCUMENT_SCHEMA.split(", ")]
+    return found.withColumn("layout", layout).select(*(F.explode(content).alias(c) if c == "content" else c for c in columns))
 
 
 def text_documents(files: DataFrame) -> DataFrame:
