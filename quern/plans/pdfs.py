@@ -96,7 +96,7 @@ def pdf_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\x0B\\x0C]+') AS words FROM documents)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, sha256(array_to_string(words, ' ')) AS words_sha256 FROM docs""")
 def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pdf.words(_document_files(spark, sf_dir)).select("path", "page", F.size("text").alias("n"), F.array_join("text", " ").alias("said"))
+    found = pdf.words(_document_files(spark, sf_dir), "path", "page", "text").select("path", "page", F.size("text").alias("n"), F.array_join("text", " ").alias("said"))
     pages = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("page", "said"))))
     per_file = found.groupBy("path").agg(F.sum("n").alias("n_words"), F.array_join(F.transform(pages, lambda p: p["said"]), " ").alias("said"))
     return per_file.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.sha2("said", 256).alias("words_sha256"))

@@ -259,3 +259,28 @@ def test_a_file_at_fault_leaves_those_read_with_it(monkeypatch):
     found = pdf.page_rows([*made, ("f.pdf", made_pdf([text_page(["fault"] * 9)]))])
     assert [[(r["page"], r["error"]) for r in rows] for rows in found] == [[(0, None), (1, None)]] * 3 + [[(0, "ValueError: at fault")]]
     assert [rows[1]["texts"] for rows in found[:3]] == [["\n".join(some_lines(9, k))] for k in range(3)]
+
+
+def test_words_give_on_the_columns_that_are_named_alone(spark):
+    page = text_page(some_lines(6), top=600) + grid_page([["a", "b"], ["c", ""]], top=300)
+    rows = spark.createDataFrame([("a.pdf", bytearray(made_pdf([page]))), ("b.pdf", bytearray(b"%PDF"))], "path string, content binary")
+    some = pdf.words(rows, "text", "page", "grid_row")
+    whole = pdf.words(rows)
+    assert some.columns == ["page", "text", "grid_row"] and [c.split()[0] for c in pdf.WORD_SCHEMA.split(", ")] == whole.columns
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select("page", "text", "grid_row").collect()))
+    assert [r.grid_row[-3:] for r in some.collect() if r.page] == [[0, 0, 1]]
+
+
+def test_pdf_words_of_odd_documents(spark, tmp_path):
+    """No text, no language, brackets and backslashes, a word over lines, many pages: the words and their hash come back."""
+    import hashlib
+
+    from quern.plans import pdfs
+
+    texts = {0: None, 1: "", 2: " \n\t ", 3: r"a (b) \ c) (", 4: " ".join(f"w{k}" for k in range(4 * 45 * 2 + 1)), 5: "x" * 5000, 6: "one", 7: "été 1 / 2\n3"}
+    spark.createDataFrame([(k, t, None) for k, t in texts.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = pdfs.pdf_words(spark, str(tmp_path))
+    words = {k: (t or "").split() for k, t in texts.items()}
+    assert {r.doc_id: (r.n_words, r.words_sha256) for r in found.collect()} == {k: (len(w), hashlib.sha256(" ".join(w).encode()).hexdigest()) for k, w in words.items()}
+    pages = {(r.doc_id, r.page) for r in pdfs.pdf_pages(spark, str(tmp_path)).collect()}
+    assert pages == {(k, 0) for k in texts} | {(3, 1), (4, 1), (4, 2), (4, 3), (5, 1), (6, 1), (7, 1)}
